@@ -8,11 +8,37 @@ from pyspark.sql import functions as F
 MISSING = "—"
 
 
+def fixed_text(x: Column, places: int) -> Column:
+    """Non-negative ``x`` with ``places`` decimals, rounded on its exact binary value, half up.
+
+    Java formats the shortest decimal text of a double, so 8.37815 (a little less in binary) would
+    come out one too high. The product with 10^places is taken without error instead: as the
+    rounded product plus its rounding error, by splitting both factors in halves.
+    """
+    scale = F.lit(float(10 ** places))
+
+    def halves(a: Column) -> tuple[Column, Column]:
+        c = a * F.lit(134217729.0)
+        high = c - (c - a)
+        return high, a - high
+
+    (xh, xl), (sh, sl) = halves(x), halves(scale)
+    product = x * scale
+    error = ((xh * sh - product) + xh * sl + xl * sh) + xl * sl
+    whole = F.floor(product)
+    up = (product - whole.cast("double") - 0.5) + error >= 0
+    n = whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    if not places:
+        return n.cast("string")
+    return F.concat(F.floor(n / F.lit(10 ** places)).cast("string"), F.lit("."),
+                    F.lpad((n % F.lit(10 ** places)).cast("string"), places, "0"))
+
+
 def format_hz(x: Column) -> Column:
     """GHz, MHz, kHz or Hz by size, trailing zeros trimmed; a dash when missing or not positive."""
 
     def scaled(divisor: float, unit: str, places: int) -> Column:
-        text = F.format_string(f"%.{places}f", x / F.lit(divisor))
+        text = fixed_text(x / F.lit(divisor), places)
         if places:
             text = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
         return F.concat(text, F.lit(" " + unit))

@@ -65,6 +65,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table several parts of one query share, such as the merge."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
