@@ -8,15 +8,13 @@ from pyspark.sql import functions as F
 MISSING = "—"
 
 
-def fixed_text(x: Column, places: int) -> Column:
-    """Non-negative ``x`` with ``places`` decimals, rounded on its exact binary value, half up.
+def rounded_units(x: Column, scale: Column) -> Column:
+    """x * scale as a whole number, rounded half up on the exact product of the two doubles.
 
-    Java formats the shortest decimal text of a double, so 8.37815 (a little less in binary) would
-    come out one too high. The product with 10^places is taken without error instead: as the
-    rounded product plus its rounding error, by splitting both factors in halves.
+    Formatting the shortest decimal text of a double instead would bring 8.37815 (a little less
+    in binary) one too high. The product is taken without error: as the rounded product plus its
+    rounding error, by splitting both factors in halves.
     """
-    scale = F.lit(float(10 ** places))
-
     def halves(a: Column) -> tuple[Column, Column]:
         c = a * F.lit(134217729.0)
         high = c - (c - a)
@@ -26,28 +24,26 @@ def fixed_text(x: Column, places: int) -> Column:
     product = x * scale
     error = ((xh * sh - product) + xh * sl + xl * sh) + xl * sl
     whole = F.floor(product)
-    up = (product - whole.cast("double") - 0.5) + error >= 0
-    n = whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
-    if not places:
-        return n.cast("string")
-    return F.concat(F.floor(n / F.lit(10 ** places)).cast("string"), F.lit("."),
-                    F.lpad((n % F.lit(10 ** places)).cast("string"), places, "0"))
+    return whole + F.when((product - whole.cast("double") - 0.5) + error >= 0, F.lit(1)).otherwise(F.lit(0))
 
 
-def format_hz(x: Column) -> Column:
-    """GHz, MHz, kHz or Hz by size, trailing zeros trimmed; a dash when missing or not positive."""
+def _by_size(x: Column, giga, mega, kilo, plain) -> Column:
+    return (F.when(x >= 1e9, F.lit(giga)).when(x >= 1e6, F.lit(mega))
+            .when(x >= 1e3, F.lit(kilo)).otherwise(F.lit(plain)))
 
-    def scaled(divisor: float, unit: str, places: int) -> Column:
-        text = fixed_text(x / F.lit(divisor), places)
-        if places:
-            text = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
-        return F.concat(text, F.lit(" " + unit))
 
-    return (F.when(x.isNull() | F.isnan(x) | (x <= 0) | (x == F.lit(float("inf"))), F.lit(MISSING))
-            .when(x >= 1e9, scaled(1e9, "GHz", 6))
-            .when(x >= 1e6, scaled(1e6, "MHz", 4))
-            .when(x >= 1e3, scaled(1e3, "kHz", 4))
-            .otherwise(scaled(1.0, "Hz", 0)))
+def format_hz(x: Column) -> Column:
+    """GHz, MHz, kHz or Hz by size, trailing zeros trimmed; a dash when missing or not positive."""
+    places = _by_size(x, 6, 4, 4, 0)
+    scale = _by_size(x, 10 ** 6, 10 ** 4, 10 ** 4, 1)
+    n = rounded_units(x / _by_size(x, 1e9, 1e6, 1e3, 1.0), scale.cast("double"))
+    rest = n % scale
+    whole = ((n - rest) / scale).cast("long").cast("string")
+    text = F.when(rest == 0, whole).otherwise(
+        F.concat(whole, F.lit("."), F.rtrim(F.lpad(rest.cast("string"), places, F.lit("0")), F.lit("0"))))
+    shown = F.concat(text, _by_size(x, " GHz", " MHz", " kHz", " Hz"))
+    fit = (x > 0) & ~F.isnan(x) & (x < F.lit(1e21))
+    return F.when(F.coalesce(fit, F.lit(False)), shown).otherwise(F.lit(MISSING))
 
 
 def parse_hz(text: Column) -> Column:
@@ -55,8 +51,8 @@ def parse_hz(text: Column) -> Column:
     low = F.lower(F.trim(text))
     unit = (F.when(low.contains("ghz"), F.lit(1e9))
             .when(low.contains("khz"), F.lit(1e3))
-            .when(low.rlike(r"(?<![a-z0-9_])hz(?![a-z0-9_])") & ~low.contains("mhz"), F.lit(1.0))
+            .when(low.contains("hz") & ~low.contains("mhz") & low.rlike(r"(?<![a-z0-9_])hz(?![a-z0-9_])"), F.lit(1.0))
             .otherwise(F.lit(1e6)))
-    digits = F.regexp_extract(F.regexp_replace(low, r"[^0-9.]", ""), r"^([0-9]*\.?[0-9]*)", 1)
+    digits = F.substring_index(F.regexp_replace(low, r"[^0-9.]+", ""), ".", 2)
     value = digits.try_cast("double") * unit
     return F.when(value > 0, value)

@@ -31,23 +31,37 @@ class Bands:
     def contiguous(self) -> bool:
         return all(a[1] == b[0] for a, b in zip(self.rows, self.rows[1:]))
 
+    def covers(self, x: Column) -> Column:
+        """Is ``x`` inside the outer limits? A plain comparison, which reaches the Parquet scan."""
+        low, high = self.rows[0][0], self.rows[-1][1]
+        above = (x > 0) if low <= 0 else (x >= F.lit(float(low)))
+        return above if high is None else above & (x < F.lit(float(high)))
+
     def index(self, x: Column) -> Column:
         """Band number of ``x`` as a balanced tree of comparisons; NULL when in no band.
 
-        The table is a constant of the query, so this needs no join, and costs
-        log2(bands) comparisons a row inside generated code. Values that are missing
-        or not positive belong to no band.
+        The table is a constant of the query, so this needs no join, and costs log2(bands)
+        comparisons a row inside generated code. Values that are missing or not positive
+        belong to no band.
         """
-        def tree(first: int, last: int) -> Column:
-            if first == last:
-                hi = self.rows[first][1]
-                return F.lit(first) if hi is None else F.when(x < F.lit(float(hi)), F.lit(first))
-            middle = (first + last + 1) // 2
-            return (F.when(x < F.lit(float(self.rows[middle][0])), tree(first, middle - 1))
-                    .otherwise(tree(middle, last)))
-
-        inside = (x > 0) & (x >= F.lit(float(self.rows[0][0])))
-        return F.when(inside & ~F.isnan(x), tree(0, len(self.rows) - 1))
+        return F.when(self.covers(x) & ~F.isnan(x), self._tree(x, 0, len(self.rows) - 1))
+
+    def assign(self, df: DataFrame, value: str, name: str = "band") -> DataFrame:
+        """The rows that are in a band, with its number. The outer limits are pushed to the scan."""
+        x = F.col(value)
+        inside = df.filter(self.covers(x) & ~F.isnan(x)).withColumn(name, self._tree(x, 0, len(self.rows) - 1))
+        return inside if self.contiguous else inside.filter(F.col(name).isNotNull())
+
+    def _tree(self, x: Column, first: int, last: int) -> Column:
+        if first == last:
+            hi = self.rows[first][1]
+            # The next band starts where this one ends: the branch above has compared already.
+            if hi is None or first + 1 == len(self.rows) or self.rows[first + 1][0] == hi:
+                return F.lit(first)
+            return F.when(x < F.lit(float(hi)), F.lit(first))
+        middle = (first + last + 1) // 2
+        return (F.when(x < F.lit(float(self.rows[middle][0])), self._tree(x, first, middle - 1))
+                .otherwise(self._tree(x, middle, last)))
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """The band table as a small dimension: band, lo, hi (NULL when open), name."""
@@ -111,9 +125,10 @@ def holder_bands(devices: DataFrame, licences: DataFrame, *, band: str, licence:
 
     The facts are reduced to (band, licence) before the licence table is joined, so a
     licence with a third of all rows reaches the join as one row per band. ``holder`` is
-    the holder's column followed by any attributes of it (class, person flag).
+    the holder's column followed by any attributes of it (class, person flag). ``devices`` are
+    rows in a band, as ``Bands.assign`` gives them.
     """
-    each = assignments(devices.filter(F.col(band).isNotNull()), key, [band, licence], transmit)
+    each = assignments(devices, key, [band, licence], transmit)
     per_licence = each.groupBy(band, licence).agg(
         F.sum("rows").alias("rows"), F.sum("tx").alias("tx"), F.count(F.lit(1)).alias("assignments"))
     return (per_licence.join(licences.select(licence, *holder), licence)
@@ -153,7 +168,7 @@ def value_rollup(devices: DataFrame, licences: DataFrame, *, value: str, licence
     """Rows, transmit rows and distinct licences per exact value, for the licences given."""
     each = devices.filter(F.col(value).isNotNull()).groupBy(value, licence).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col(transmit)).alias("tx"))
-    kept = skew_join(each, licences.select(licence).distinct(), licence, "left_semi")
+    kept = skew_join(each, licences.select(licence).distinct(), licence, "left_semi", probe=devices)
     return kept.groupBy(value).agg(F.sum("rows").alias("rows"), F.sum("tx").alias("tx"),
                                    F.count(F.lit(1)).alias("licences"))
 

@@ -2,37 +2,50 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.numbers import half_up
 from holdfast.operators.ordering import ROWS_PER_TASK, best, running, top
+from holdfast.scale import durable
+
+
+def size_histogram(totals: DataFrame, size: str, person: str) -> DataFrame:
+    """(size, person, n): holders per size. Everything below needs no more than this.
+
+    Whole sizes that add up to N take at most sqrt(2N) distinct values, so it is a short table;
+    it is checkpointed because several figures are read off it.
+    """
+    return durable(totals.groupBy(F.col(size).alias("size"), F.col(person).alias("person"))
+                   .agg(F.count(F.lit(1)).alias("n")))
 
 
-def headline(totals: DataFrame, size: str, key: str, person: str) -> DataFrame:
+def headline(totals: DataFrame, size: str, person: str) -> DataFrame:
     """(metric, value): largest named holding, share of the ten largest, HHI, single-licence counts.
 
     Shares are over the whole register, withheld holders included; numerators are named only.
     """
-    all_of_it = totals.agg(F.sum(size).alias("n")).first()["n"] or 0
-    named = totals.filter(~F.col(person))
-    whole = F.lit(float(all_of_it))
-    # A size is at least 1, so its square sum in doubles stays exact far beyond any real register.
-    squares = named.agg(F.sum(F.col(size).cast("double") * F.col(size)).alias("v"))
-    ten = top(named.select(size, key), [F.desc(size), F.asc(key)], 10).agg(F.sum(size).alias("v"))
-    parts = {
-        "total": totals.agg(F.sum(size).alias("v")),
-        "largest": named.agg(F.max(size).alias("v")),
-        "top10_share": ten.select(half_up(F.col("v") / whole * 100, 2).alias("v")),
-        "hhi": squares.select(half_up(F.col("v") * 1e4 / (whole * whole)).alias("v")),
-        "single_named": named.agg(F.count_if(F.col(size) == 1).alias("v")),
-        "single_all": totals.agg(F.count_if(F.col(size) == 1).alias("v")),
-    }
-    return reduce(DataFrame.unionByName, [
-        df.select(F.lit(name).alias("metric"), F.col("v").cast("double").alias("value"))
-        for name, df in parts.items()])
+    sizes = size_histogram(totals, size, person)
+    named = ~F.col("person")
+    held = F.col("n") * F.col("size")
+    row = sizes.agg(
+        F.sum(held).alias("total"), F.max(F.when(named, F.col("size"))).alias("largest"),
+        F.sum(F.when(named, held.cast("double") * F.col("size"))).alias("squares"),
+        F.sum(F.when(named & (F.col("size") == 1), F.col("n")).otherwise(0)).alias("single_named"),
+        F.sum(F.when(F.col("size") == 1, F.col("n")).otherwise(0)).alias("single_all"))
+    ten = (top(sizes.filter(named), [F.desc("size")], 10)
+           .select(F.explode(F.array_repeat("size", F.least(F.col("n"), F.lit(10)).cast("int"))).alias("size"))
+           .orderBy(F.desc("size")).limit(10).agg(F.sum("size").alias("ten")))
+    whole = F.col("total").cast("double")
+    one = F.lit(1).alias("_one")
+    figures = row.select("*", one).join(F.broadcast(ten.select("*", one)), "_one")
+    return figures.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value")) for name, value in {
+            "total": F.col("total"), "largest": F.col("largest"),
+            "top10_share": half_up(F.try_divide(F.col("ten").cast("double"), whole) * 100, 2),
+            "hhi": half_up(F.try_divide(F.col("squares") * 1e4, whole * whole)),
+            "single_named": F.col("single_named"), "single_all": F.col("single_all")}.items()])).alias("m")
+    ).select("m.metric", "m.value")
 
 
 def largest_holder(totals: DataFrame, size: str, name: str, key: str, person: str) -> DataFrame:
@@ -47,7 +60,7 @@ def lorenz(totals: DataFrame, size: str, rows_per_task: int = ROWS_PER_TASK) ->
     one without changing the area. Whole sizes that add up to N take at most sqrt(2N) distinct
     values; other sizes may take more, and are then summed in slices.
     """
-    sizes = totals.groupBy(F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = durable(totals.groupBy(F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("n")))
     return running(sizes, [], [F.col("size").asc()],
                    {"cum_holders": F.col("n"), "cum_size": F.col("n") * F.col("size")}, rows_per_task)
 
@@ -74,6 +87,7 @@ def gini(curve: DataFrame) -> DataFrame:
 
 def stacked(df: DataFrame, group: list[str], value: str, key: str) -> DataFrame:
     """Share of the group and the running offset of each piece, largest first (then by key)."""
+    df = durable(df)
     totals = df.groupBy(*group).agg(F.sum(value).alias("_total"))
     offset = running(df, group, [F.desc(value), F.asc(key)], {"_end": F.col(value)}).join(totals, group)
     return (offset.withColumn("share", F.try_divide(F.col(value).cast("double"), F.col("_total")))

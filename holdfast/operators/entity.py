@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast import scale
 from holdfast.functions.text import first_rule, personal_shape
 from holdfast.operators.ordering import best, position
-from holdfast.scale import durable, skew_join
+from holdfast.scale import durable, hot_hashes, skew_join
 
 MAX_ROUNDS = 60
 # Fixed value: a holder of more licences than this is never taken for a person by its name.
@@ -33,14 +34,12 @@ def components(records: DataFrame, id: str, keys: Sequence[Column], root: str =
                .filter(F.col("v") != F.col("_max")).drop("_max"))
     edges = (skew_join(members, centres, ["kind", "key"]).filter(F.col("id") != F.col("v"))
              .select(F.col("id").alias("u"), "v").distinct())
-    edges = durable(edges)
-    seen = _fingerprint(edges)
     for _ in range(max_rounds):
-        edges = durable(_small_star(_large_star(edges)))
-        now = _fingerprint(edges)
-        if now == seen:
+        edges = durable(edges)
+        settled, hubs = _inspect(edges)
+        if settled:
             break
-        seen = now
+        edges = _small_star(_large_star(edges, hubs))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = edges.select(F.col("u").alias(id), F.col("v").alias(root))
@@ -48,28 +47,44 @@ def components(records: DataFrame, id: str, keys: Sequence[Column], root: str =
             .select(id, F.coalesce(F.col(root), F.col(id)).alias(root)))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _inspect(edges: DataFrame) -> tuple[bool, list[int]]:
+    """Are the edges a forest of stars already, and which centres are hot?
+
+    They are when every vertex has one edge up and no vertex has edges both up and down; another
+    round would then change nothing. One pass over checkpointed edges.
+    """
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    degrees = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
+    bad = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))
+    row = degrees.agg(F.count_if(bad).alias("bad"), F.max("down").alias("widest")).first()
+    settled = not row["bad"]
+    hubs = hot_hashes(edges.select(F.col("v").alias("u")), ["u"]) \
+        if not settled and row["widest"] > scale.HOT_ROWS else []
+    return settled, hubs
+
+
+def _large_star(edges: DataFrame, hubs: Sequence[int]) -> DataFrame:
     """Connect every larger neighbour of u to the smallest vertex of u's neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"))
     low = low.select("u", F.least("u", "m").alias("m"))
-    return (skew_join(both, low, "u").filter(F.col("v") > F.col("u"))
+    return (skew_join(both, low, "u", hot=hubs).filter(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Connect u and its smaller neighbours to the smallest of them. Here u > v on every edge."""
+    """Connect u and its smaller neighbours to the smallest of them. Here u > v on every edge.
+
+    A vertex has few edges up (at most one per key and round), so no centre is hot here.
+    """
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = (edges.join(low, "u").filter(F.col("v") != F.col("m"))
              .select(F.col("v").alias("u"), F.col("m").alias("v")))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return tuple(row)
-
-
 def person_flag(type_is_person: Column, has_company_number: Column, licences: Column, key: Column,
                 not_words: Sequence[str] = (), max_licences: int = PERSON_MAX_LICENCES) -> Column:
     """The register's own flag, or: no company number, few licences and a personal-looking name."""
@@ -114,7 +129,7 @@ def dense_ids(df: DataFrame, size: str, key: str, person: str | None = None, nam
               rows_per_task: int | None = None) -> DataFrame:
     """(key, id): publishable entities numbered from 0 by descending size, then key."""
     kept = df if person is None else df.filter(~F.col(person))
-    thin = kept.select(key, size)
+    thin = durable(kept.select(key, size))
     extra = {} if rows_per_task is None else {"rows_per_task": rows_per_task}
     return position(thin, [], [F.col(size).desc(), F.col(key).asc()], name, start=0, **extra).drop(size)
 

@@ -25,7 +25,8 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     task, this is a plain window. Otherwise the rows are range-partitioned on
     (group, order), every slice is summed on its own, and the sums of the slices
     before it are added; only a group that crosses a slice border needs that, so
-    the table of offsets is no longer than the number of slices.
+    the table of offsets is no longer than the number of slices. The measuring reads ``df`` once more:
+    pass a scan, or something ``durable``, not a long computation.
     """
     group = list(group)
     total, longest = _extent(df, group)
@@ -112,6 +113,7 @@ def share_of_group(df: DataFrame, group: Sequence[str], value: str, name: str =
 def every_kth(df: DataFrame, order: Sequence[Column], points: int,
               rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Systematic sample: about ``points`` rows at equal steps in order, and always the last row."""
+    df = durable(df)
     rows = df.count()
     step = max(1, rows // points)
     placed = position(df, [], order, "_at", start=0, rows_per_task=rows_per_task)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.dates import year_token
 from holdfast.operators.joins import dense, year_domain
 from holdfast.operators.ordering import best
-from holdfast.scale import skew_join
+from holdfast.scale import durable, skew_join
 
 
 def histogram(df: DataFrame, *keys: str | Column, name: str = "rows") -> DataFrame:
@@ -70,7 +70,7 @@ def site_holders(devices: DataFrame, licences: DataFrame, *, site: str, licence:
         F.count(F.lit(1)).alias("devices"), F.count_if(F.col(transmit)).alias("tx"))
     info = licences.select(licence, F.col(holder).alias("holder"), F.col(cls).alias("class"),
                            F.col(person).alias("person"), F.col(granted).alias("granted"))
-    return (skew_join(each, info, licence).groupBy(site, "holder", "class", "person")
+    return (skew_join(each, info, licence, probe=devices).groupBy(site, "holder", "class", "person")
             .agg(F.sum("devices").alias("devices"), F.sum("tx").alias("tx"),
                  F.count(F.lit(1)).alias("licences"), F.bool_or("granted").alias("granted")))
 
@@ -136,7 +136,7 @@ def shares(df: DataFrame, cls: str, sums: Mapping[str, str], least: float) -> Da
     second per unit of the first.
     """
     (a, col_a), (b, col_b) = sums.items()
-    per = df.groupBy(cls).agg(F.sum(col_a).alias(a), F.sum(col_b).alias(b))
+    per = durable(df.groupBy(cls).agg(F.sum(col_a).alias(a), F.sum(col_b).alias(b)))
     total = per.agg(F.sum(a).alias("a"), F.sum(b).alias("b")).first()
     out = (per.withColumn(f"{a}_share", F.try_divide(F.col(a) * 100.0, F.lit(float(total["a"] or 0))))
            .withColumn(f"{b}_share", F.try_divide(F.col(b) * 100.0, F.lit(float(total["b"] or 0))))
@@ -152,17 +152,19 @@ def region_rollup(sites: DataFrame, tenants: DataFrame, regions: DataFrame, *, s
     """Sites, live sites, devices, holders and largest named holder of every region of ``regions``.
 
     ``sites`` gives the region of every site, live or not. Holder counts come from the
-    (region, holder) grain, which is reduced before it is ranked.
+    (region, holder) grain, which is reduced before it is ranked. The tenants are placed once
+    and checkpointed, because two rollups read them.
     """
     placed = sites.filter(F.col(region).isNotNull())
     all_sites = placed.groupBy(region).agg(F.count(F.lit(1)).alias("sites"))
-    joined = skew_join(tenants, placed.select(site, region), site)
-    live = joined.groupBy(region, site).agg(F.sum("devices").alias("devices"))
-    live = live.groupBy(region).agg(F.count(F.lit(1)).alias("live"), F.sum("devices").alias("devices"))
-    held = region_holders(joined, region)
+    joined = durable(skew_join(tenants, placed.select(site, region), site))
+    live = (joined.select(region, site).distinct()
+            .groupBy(region).agg(F.count(F.lit(1)).alias("live")))
+    held = joined.groupBy(region, "holder", "class", "person").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("devices").alias("_d"))
     named = F.when(~F.col("person"), F.col("holder"))
     ranked = held.groupBy(region).agg(
-        F.count(F.lit(1)).alias("holders"),
+        F.sum("_d").alias("devices"), F.count(F.lit(1)).alias("holders"),
         F.min_by(named, F.when(~F.col("person"), F.struct((-F.col("n")).alias("s"), F.col("holder").alias("t"))))
         .alias("top_holder"),
         F.max(F.when(~F.col("person"), F.col("n"))).alias("top_holder_sites"))
@@ -172,11 +174,6 @@ def region_rollup(sites: DataFrame, tenants: DataFrame, regions: DataFrame, *, s
     return out.fillna(0, subset=["sites", "live", "devices", "holders", "top_holder_sites"])
 
 
-def region_holders(tenants_with_region: DataFrame, region: str) -> DataFrame:
-    """Sites of every holder in every region."""
-    return tenants_with_region.groupBy(region, "holder", "class", "person").agg(F.count(F.lit(1)).alias("n"))
-
-
 def region_classes(tenants_with_region: DataFrame, region: str) -> DataFrame:
     """Holder-at-site counts per class and region: each organisation once per site it is at."""
     return tenants_with_region.groupBy(region, "class").agg(F.count(F.lit(1)).alias("n"))

@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.scale import skew_join
-
 # A signature is a 64-bit mask, one bit a class, with the sign bit left alone.
 MAX_CLASSES = 62
 
 
-def class_signatures(tenants: DataFrame, site: str, classes: DataFrame) -> DataFrame:
+def class_signatures(tenants: DataFrame, site: str, numbered: DataFrame) -> DataFrame:
     """(mask, same, sites): how many sites have exactly this set of classes.
 
     ``mask`` has a bit for every class present at the site, ``same`` a bit for every class with
     two or more holders there. A site is 16 bytes of state however many tenants it has, and the
-    pairs are made from the few distinct signatures rather than from the sites.
+    pairs are made from the distinct signatures rather than from the sites.
     """
-    numbered, _ = _numbered(classes)
     per_class = tenants.groupBy(site, "class").agg(F.count(F.lit(1)).alias("n"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_i"))
     joined = per_class.join(F.broadcast(numbered), "class").withColumn("_bit", bit)
@@ -35,18 +32,19 @@ def class_pairs(tenants: DataFrame, site: str, classes: DataFrame) -> DataFrame:
     ``same_class_sites`` is that diagonal under the stricter reading of two or more holders of
     the class at the site (for a pair of different classes the two columns agree).
     """
-    _, names = _numbered(classes)
-    signatures = class_signatures(tenants, site, classes)
-    pairs = F.array(*[
-        F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"),
-                 F.lit((1 << i) | (1 << j)).cast("long").alias("need"))
-        for i in range(len(names)) for j in range(i, len(names))])
-    hit = F.col("mask").bitwiseAND(F.col("p.need")) == F.col("p.need")
-    same = (F.col("p.a") != F.col("p.b")) | (F.col("same").bitwiseAND(F.col("p.need")) != 0)
-    return (signatures.select(F.explode(pairs).alias("p"), "mask", "same", "sites").filter(hit)
-            .groupBy("p.a", "p.b")
-            .agg(F.sum("sites").alias("sites"),
-                 F.coalesce(F.sum(F.when(same, F.col("sites"))), F.lit(0)).alias("same_class_sites")))
+    numbered = numbered_classes(classes)
+    present = F.filter(F.sequence(F.lit(0), F.lit(MAX_CLASSES - 1)),
+                       lambda i: F.call_function("getbit", F.col("mask"), i) == 1)
+    first = class_signatures(tenants, site, numbered).withColumn("_bits", present) \
+        .select("same", "sites", "_bits", F.explode("_bits").alias("i"))
+    both = first.select("same", "sites", "i", F.explode(F.filter("_bits", lambda j: j >= F.col("i"))).alias("j"))
+    same = (F.col("i") != F.col("j")) | (F.call_function("getbit", F.col("same"), F.col("i")) == 1)
+    counted = both.groupBy("i", "j").agg(
+        F.sum("sites").alias("sites"),
+        F.sum(F.when(same, F.col("sites")).otherwise(0)).alias("same_class_sites"))
+    a = F.broadcast(numbered.select(F.col("_i").alias("i"), F.col("class").alias("a")))
+    b = F.broadcast(numbered.select(F.col("_i").alias("j"), F.col("class").alias("b")))
+    return counted.join(a, "i").join(b, "j").select("a", "b", "sites", "same_class_sites")
 
 
 def pair_totals(pairs: DataFrame) -> DataFrame:
@@ -56,16 +54,15 @@ def pair_totals(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("class").agg(F.sum("sites").alias("pairings"))
 
 
-def _numbered(classes: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Classes numbered in order of name; the domain is a checked, short list."""
+def numbered_classes(classes: DataFrame) -> DataFrame:
+    """(class, _i): classes numbered in order of name; the domain is a checked, short list."""
     column = classes.columns[0]
     names = [r[0] for r in classes.select(column).distinct().orderBy(column).limit(MAX_CLASSES + 1).collect()]
     if len(names) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes: group them before pairing")
     kind = classes.schema[column].dataType
-    table = classes.sparkSession.createDataFrame(
+    return classes.sparkSession.createDataFrame(
         [(n, i) for i, n in enumerate(names)], f"class {kind.simpleString()}, _i int")
-    return table, names
 
 
 def crowded_sites(site_totals: DataFrame, site: str, least: int = 6, top: int = 400,
@@ -85,8 +82,8 @@ def crowded_sites(site_totals: DataFrame, site: str, least: int = 6, top: int =
 
 def tenant_list(crowded: DataFrame, tenants: DataFrame, site: str) -> DataFrame:
     """(site, holder) of the named tenants of the sites listed: long form, one row a tenant."""
-    kept = F.broadcast(crowded.select(site)) if crowded.columns else crowded
-    return tenants.filter(~F.col("person")).join(kept, site, "left_semi").select(site, "holder")
+    return tenants.filter(~F.col("person")).join(
+        F.broadcast(crowded.select(site)), site, "left_semi").select(site, "holder")
 
 
 def sharing_split(site_totals: DataFrame) -> DataFrame:

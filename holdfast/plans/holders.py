@@ -324,7 +324,7 @@ UNION ALL SELECT 'single_named', count(*) FROM t WHERE NOT person AND n = 1
 UNION ALL SELECT 'single_all', count(*) FROM t WHERE n = 1""")
 def headline_concentration(t: Tables) -> DataFrame:
     """Largest holder, share of the ten largest, HHI, holders of a single licence."""
-    return C.headline(holdings_of(t), "n", "holder", "person")
+    return C.headline(holdings_of(t), "n", "person")
 
 
 @query(f"WITH {LICENCES_SQL} SELECT holder, n FROM t WHERE NOT person ORDER BY n DESC, holder LIMIT 50")

@@ -22,7 +22,7 @@ fact AS (SELECT * FROM dev JOIN lic USING (licence)
 
 
 def by_holder(t: Tables) -> DataFrame:
-    return B.holder_bands(t.devices, t.licences, band="band", licence="licence",
+    return B.holder_bands(t.banded_devices, t.licences, band="band", licence="licence",
                           holder=["holder", "class", "person"], key=KEY, transmit="tx")
 
 
@@ -134,7 +134,7 @@ def bins_in_view(t: Tables) -> DataFrame:
 WHERE (hi IS NULL OR hi > 3000) AND lo < 26000 AND band IN (
   SELECT b.band FROM lineitem JOIN bands b ON l_extendedprice >= b.lo AND (b.hi IS NULL OR l_extendedprice < b.hi))""")
 def bands_in_view(t: Tables) -> DataFrame:
-    used = t.devices.select("band").distinct()
+    used = t.banded_devices.select("band").distinct()
     return B.overlapping(t.bands, "lo", "hi", (3000.0, 26000.0)).join(used, "band", "left_semi") \
         .select("band", "band_name")
 

@@ -143,9 +143,8 @@ def regions(t: Tables) -> DataFrame:
     listed = t.nation.select(F.col("n_nationkey").alias("region"), F.col("n_name").alias("name"))
     listed = dense(population, listed, ["region"], ["population"])
     rolled = R.region_rollup(placed_sites(t), mast_tenants(t), listed, site="site", region="region")
-    rate = half_up(F.col("sites") / F.when(F.col("population") > 0, F.col("population")) * 1e4, 1)
-    exact = F.floor(F.col("sites") / F.col("population") * 100000 + 0.5) / F.lit(10.0)
-    return rolled.withColumn("per_ten_k", F.when(F.col("population") > 0, exact).otherwise(rate))
+    rate = half_up(F.try_divide(F.col("sites"), F.col("population")) * 1e5) / F.lit(10.0)
+    return rolled.withColumn("per_ten_k", rate)
 
 
 @query(f"WITH {REGIONS} SELECT * FROM rates")

@@ -99,8 +99,11 @@ class Tables:
             F.col("l_orderkey").alias("licence"), F.col("l_partkey").alias("site"),
             F.col("l_extendedprice").alias("value"), F.col("l_linestatus").alias("direction"),
             F.col("l_shipdate").alias("authorised"))
-        return line.withColumns({"tx": F.col("direction") == "O",
-                                 "band": PRICE_BANDS.index(F.col("value"))})
+        return line.withColumn("tx", F.col("direction") == "O")
+
+    @cached_property
+    def banded_devices(self) -> DataFrame:
+        return PRICE_BANDS.assign(self.devices, "value")
 
     @cached_property
     def bands(self) -> DataFrame:

@@ -9,6 +9,7 @@ Three tools are shared by the operators:
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Sequence
 
@@ -20,7 +21,11 @@ BROADCAST_ROWS = 100_000
 # A key is worth salting when it holds more than this share of the rows; at most
 # 1/HOT_SHARE keys can do so, which bounds the list that reaches the driver.
 HOT_SHARE = 0.01
+# ... and more than this number of rows: fewer are no burden for one task.
+HOT_ROWS = 200_000
 SALTS = 64
+# Keys the sketch tracks; its error is about 1/SKETCH of the rows, well below HOT_SHARE.
+SKETCH = 4096
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -56,35 +61,43 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def hot_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of every key that can hold more than ``share`` of the rows (plus false positives).
+    """Hashes of the keys that hold more than ``share`` of the rows, and more than HOT_ROWS rows.
 
-    One map-side sketch of at most 1/share entries per task; nothing is shuffled
-    and the result is at most 1/share numbers, whatever the size of ``df``.
+    One map-side sketch of fixed size per task; nothing else is shuffled, and at most 1/share
+    numbers come back, whatever the size of ``df``. Whether a key is on the list decides only
+    how its rows are spread, never the result.
     """
-    row = df.select(F.xxhash64(*keys).alias("h")).stat.freqItems(["h"], share).first()
-    return sorted(row[0] or []) if row else []
+    most = math.ceil(1 / share)
+    row = df.select(F.xxhash64(*keys).alias("h")).agg(
+        F.expr(f"approx_top_k(h, {most}, {SKETCH})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    floor = max(share * row["n"], HOT_ROWS)
+    return sorted(item["item"] for item in row["top"] or [] if item["count"] > floor)
 
 
 def skew_join(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "inner",
-              condition: Column | None = None, salts: int = SALTS, share: float = HOT_SHARE) -> DataFrame:
-    """Join a large ``fact`` to ``dim`` on ``on``; rows of hot keys are spread over ``salts`` tasks.
+              condition: Column | None = None, probe: DataFrame | None = None,
+              hot: Sequence[int] | None = None) -> DataFrame:
+    """Join a large ``fact`` to ``dim`` on ``on``; rows of hot keys are spread over SALTS tasks.
 
     ``how`` is inner, left, left_semi or left_anti; ``condition`` is a further condition on
-    columns that only one side has. Only the dimension rows of the hot keys (at most 1/share
-    keys) are repeated. A dimension that Catalyst or AQE measures as small is still broadcast.
+    columns that only one side has. The hot keys are found on ``probe``, by default ``fact``: pass
+    the table underneath when ``fact`` is itself an aggregation, so that it is not made twice.
+    Only the dimension rows of the hot keys are repeated. A dimension that Catalyst or AQE
+    measures as small is still broadcast, and AQE still splits what the sketch left alone.
     """
     on = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join cannot do a {how} join")
-    hot = hot_hashes(fact, on, share)
+    if hot is None:
+        hot = hot_hashes(fact if probe is None else probe, on)
     keys = list(on)
     if hot:
         # The map task is part of the salt, so that exact copies of one row are spread too; it
         # does not depend on the order of rows, so a task run again salts every row as before.
         values = [F.col(c) for c in fact.columns if not _is_map(fact, c)]
-        spread = F.pmod(F.xxhash64(F.spark_partition_id(), *values), F.lit(salts)).cast("int")
-        is_hot = F.xxhash64(*on).isin(hot)
-        copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        spread = F.pmod(F.xxhash64(F.spark_partition_id(), *values), F.lit(SALTS)).cast("int")
+        is_hot = F.xxhash64(*on).isin(list(hot))
+        copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
         fact = fact.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
         dim = dim.withColumn("_salt", F.explode(copies))
         keys.append("_salt")
