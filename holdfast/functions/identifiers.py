@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from holdfast.functions.text import SPACE
+from holdfast.functions.text import without_spaces
 
 # The published weights and modulus of the 11-digit business number.
 ABN_WEIGHTS = (10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19)
@@ -20,7 +20,7 @@ def weighted_checksum(x: Column, weights: Sequence[int], modulus: int, lead_offs
 
     White space is ignored. ``lead_offset`` is taken off the first digit.
     """
-    digits = F.regexp_replace(F.coalesce(x, F.lit("")), SPACE, "")
+    digits = without_spaces(F.coalesce(x, F.lit("")))
     terms = [(F.substring(digits, i + 1, 1).try_cast("int") - (lead_offset if i == 0 else 0)) * w
              for i, w in enumerate(weights)]
     total = reduce(lambda a, b: a + b, terms)

@@ -1,58 +1,57 @@
-"""Values with a unit: text of a number of hertz, and back."""
+"""Values with a unit: text of a number of hertz, and back.
+
+Both work in steps, as columns of their own, so that every step is computed once a row and stays
+in generated code; as one expression they would repeat themselves many times over.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING = "—"
 
 
-def rounded_units(x: Column, scale: Column) -> Column:
-    """x * scale as a whole number, rounded half up on the exact product of the two doubles.
-
-    Formatting the shortest decimal text of a double instead would bring 8.37815 (a little less
-    in binary) one too high. The product is taken without error: as the rounded product plus its
-    rounding error, by splitting both factors in halves.
-    """
-    def halves(a: Column) -> tuple[Column, Column]:
-        c = a * F.lit(134217729.0)
-        high = c - (c - a)
-        return high, a - high
-
-    (xh, xl), (sh, sl) = halves(x), halves(scale)
-    product = x * scale
-    error = ((xh * sh - product) + xh * sl + xl * sh) + xl * sl
-    whole = F.floor(product)
-    return whole + F.when((product - whole.cast("double") - 0.5) + error >= 0, F.lit(1)).otherwise(F.lit(0))
-
-
 def _by_size(x: Column, giga, mega, kilo, plain) -> Column:
     return (F.when(x >= 1e9, F.lit(giga)).when(x >= 1e6, F.lit(mega))
             .when(x >= 1e3, F.lit(kilo)).otherwise(F.lit(plain)))
 
 
-def format_hz(x: Column) -> Column:
-    """GHz, MHz, kHz or Hz by size, trailing zeros trimmed; a dash when missing or not positive."""
-    places = _by_size(x, 6, 4, 4, 0)
-    scale = _by_size(x, 10 ** 6, 10 ** 4, 10 ** 4, 1)
-    n = rounded_units(x / _by_size(x, 1e9, 1e6, 1e3, 1.0), scale.cast("double"))
-    rest = n % scale
-    whole = ((n - rest) / scale).cast("long").cast("string")
-    text = F.when(rest == 0, whole).otherwise(
-        F.concat(whole, F.lit("."), F.rtrim(F.lpad(rest.cast("string"), places, F.lit("0")), F.lit("0"))))
-    shown = F.concat(text, _by_size(x, " GHz", " MHz", " kHz", " Hz"))
-    fit = (x > 0) & ~F.isnan(x) & (x < F.lit(1e21))
-    return F.when(F.coalesce(fit, F.lit(False)), shown).otherwise(F.lit(MISSING))
+def with_hz_text(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Add ``value`` as text in GHz, MHz, kHz or Hz by size, trailing zeros trimmed.
 
-
-def parse_hz(text: Column) -> Column:
-    """Number of hertz in a typed text; MHz when no unit is given, NULL when not positive."""
-    low = F.lower(F.trim(text))
+    A value that is missing or not positive becomes a dash. The decimals are those of the exact
+    binary value, half up: formatting the shortest decimal text instead would bring 8.37815 (a
+    little less in binary) one too high. So the value times a power of ten is taken without error:
+    it is split into halves of 26 bits, whose products are exact, and what rounding lost is added.
+    """
+    x = F.col(value)
+    c = {n: F.col(f"_hz_{n}") for n in ("v", "scale", "places", "product", "spread", "below", "high", "n", "rest")}
+    out = df.withColumns({
+        "_hz_v": x / _by_size(x, 1e9, 1e6, 1e3, 1.0),
+        "_hz_scale": _by_size(x, 10 ** 6, 10 ** 4, 10 ** 4, 1), "_hz_places": _by_size(x, 6, 4, 4, 0)})
+    out = out.withColumns({"_hz_product": c["v"] * c["scale"], "_hz_spread": c["v"] * F.lit(134217729.0)})
+    out = out.withColumns({"_hz_below": F.floor("_hz_product"), "_hz_high": c["spread"] - (c["spread"] - c["v"])})
+    lost = (c["high"] * c["scale"] - c["product"]) + (c["v"] - c["high"]) * c["scale"]
+    half = (c["product"] - c["below"].cast("double") - 0.5) + lost >= 0
+    out = out.withColumn("_hz_n", c["below"] + F.when(half, 1).otherwise(0))
+    out = out.withColumn("_hz_rest", c["n"] % c["scale"])
+    whole = ((c["n"] - c["rest"]) / c["scale"]).cast("long").cast("string")
+    decimals = F.rtrim(F.lpad(c["rest"].cast("string"), c["places"], F.lit("0")), F.lit("0"))
+    text = F.concat(whole, F.when(c["rest"] == 0, F.lit("")).otherwise(F.concat(F.lit("."), decimals)),
+                    _by_size(x, " GHz", " MHz", " kHz", " Hz"))
+    fit = F.coalesce((x > 0) & ~F.isnan(x) & (x < F.lit(1e21)), F.lit(False))
+    return out.withColumn(name, F.when(fit, text).otherwise(F.lit(MISSING))).drop(*[f"_hz_{n}" for n in c])
+
+
+def with_parsed_hz(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the number of hertz in a typed text; MHz when no unit is given, NULL when not positive."""
+    low, number = F.col("_hz_low"), F.col("_hz_number")
     unit = (F.when(low.contains("ghz"), F.lit(1e9))
             .when(low.contains("khz"), F.lit(1e3))
             .when(low.contains("hz") & ~low.contains("mhz") & low.rlike(r"(?<![a-z0-9_])hz(?![a-z0-9_])"), F.lit(1.0))
             .otherwise(F.lit(1e6)))
+    out = df.withColumn("_hz_low", F.lower(F.trim(text)))
     digits = F.substring_index(F.regexp_replace(low, r"[^0-9.]+", ""), ".", 2)
-    value = digits.try_cast("double") * unit
-    return F.when(value > 0, value)
+    out = out.withColumn("_hz_number", digits.try_cast("double") * unit)
+    return out.withColumn(name, F.when(number > 0, number)).drop("_hz_low", "_hz_number")

@@ -13,6 +13,8 @@ from holdfast.operators.ordering import best, position
 from holdfast.scale import durable, hot_hashes, skew_join
 
 MAX_ROUNDS = 60
+# An edge list below this length is no burden, hot centre or not.
+SHORT = 200_000
 # Fixed value: a holder of more licences than this is never taken for a person by its name.
 PERSON_MAX_LICENCES = 5
 
@@ -36,10 +38,12 @@ def components(records: DataFrame, id: str, keys: Sequence[Column], root: str =
              .select(F.col("id").alias("u"), "v").distinct())
     for _ in range(max_rounds):
         edges = durable(edges)
-        settled, hubs = _inspect(edges)
+        settled, rows, hubs = _inspect(edges)
         if settled:
             break
-        edges = _small_star(_large_star(edges, hubs))
+        # A short edge list goes through two rounds before it is written again.
+        for _ in range(2 if rows < SHORT else 1):
+            edges = _small_star(_large_star(edges, hubs))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = edges.select(F.col("u").alias(id), F.col("v").alias(root))
@@ -47,8 +51,8 @@ def components(records: DataFrame, id: str, keys: Sequence[Column], root: str =
             .select(id, F.coalesce(F.col(root), F.col(id)).alias(root)))
 
 
-def _inspect(edges: DataFrame) -> tuple[bool, list[int]]:
-    """Are the edges a forest of stars already, and which centres are hot?
+def _inspect(edges: DataFrame) -> tuple[bool, int, list[int]]:
+    """Are the edges a forest of stars already, how many are there, and which centres are hot?
 
     They are when every vertex has one edge up and no vertex has edges both up and down; another
     round would then change nothing. One pass over checkpointed edges.
@@ -58,11 +62,12 @@ def _inspect(edges: DataFrame) -> tuple[bool, list[int]]:
         F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
     degrees = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
     bad = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))
-    row = degrees.agg(F.count_if(bad).alias("bad"), F.max("down").alias("widest")).first()
+    row = degrees.agg(F.count_if(bad).alias("bad"), F.max("down").alias("widest"),
+                      F.sum("up").alias("edges")).first()
     settled = not row["bad"]
     hubs = hot_hashes(edges.select(F.col("v").alias("u")), ["u"]) \
         if not settled and row["widest"] > scale.HOT_ROWS else []
-    return settled, hubs
+    return settled, int(row["edges"] or 0), hubs
 
 
 def _large_star(edges: DataFrame, hubs: Sequence[int]) -> DataFrame:
@@ -71,7 +76,7 @@ def _large_star(edges: DataFrame, hubs: Sequence[int]) -> DataFrame:
     low = both.groupBy("u").agg(F.min("v").alias("m"))
     low = low.select("u", F.least("u", "m").alias("m"))
     return (skew_join(both, low, "u", hot=hubs).filter(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+            .select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

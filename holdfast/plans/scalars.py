@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.numbers import half_up, log_position
-from holdfast.functions.units import format_hz, parse_hz
+from holdfast.functions.units import with_hz_text, with_parsed_hz
 from holdfast.plans.registry import Tables, query
 
 # A price times 10^0 to 10^7 covers every unit.
@@ -26,10 +26,8 @@ SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN hz <= 0 THEN '—' WHEN hz
 def format_value(t: Tables) -> DataFrame:
     """A value in the unit of its size, trailing zeros trimmed."""
     hz = F.floor(F.col("l_extendedprice") * F.pow(F.lit(10.0), F.col("l_linenumber"))).cast("double")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", format_hz(hz).alias("shown"))
-
-
-UNITS = ["", " Hz", "kHz", " GHz", " mhz "]
+    values = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", hz.alias("hz"))
+    return with_hz_text(values, "hz", "shown").drop("hz")
 
 
 @query("""WITH x AS (SELECT event_id, value, CASE event_type WHEN 'click' THEN 1e0 WHEN 'view' THEN 1e3
@@ -39,8 +37,8 @@ def parse_value(t: Tables) -> DataFrame:
     """Typed text with a unit back to a number."""
     unit = (F.when(F.col("event_type") == "click", " Hz").when(F.col("event_type") == "view", "khz")
             .when(F.col("event_type") == "signup", " GHz").when(F.col("event_type") == "error", " MHz").otherwise(""))
-    text = F.concat(F.format_string("%.2f", "value"), unit)
-    return t.events.select("event_id", parse_hz(text).alias("hz")).filter("hz is not null")
+    typed = t.events.select("event_id", F.concat(F.col("value").cast("decimal(20,2)").cast("string"), unit).alias("typed"))
+    return with_parsed_hz(typed, "typed", "hz").drop("typed").filter("hz is not null")
 
 
 @query("""SELECT event_id, floor((log10(value) - log10(0.01)) / (log10(1000.0) - log10(0.01)) * 1e6 + 0.5) / 1e6 AS position

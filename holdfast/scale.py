@@ -2,7 +2,7 @@
 
 Three tools are shared by the operators:
 
-* ``durable``      cuts lineage with a reliable checkpoint in the shared folder.
+* ``durable``      cuts lineage with a table written in the shared checkpoint folder.
 * ``skew_join``    an equi-join that salts only the keys that are really hot.
 * ``bounded_rows`` checks the size of a table before it may be broadcast.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,9 +45,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back: survives lost executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the checkpoint folder and read it back: survives lost executors.
+
+    Parquet rather than a row checkpoint: later steps read only the columns they need, and the
+    planner knows the size.
+    """
+    folder = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> int | None:
