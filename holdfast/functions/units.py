@@ -28,7 +28,7 @@ def with_hz_text(df: DataFrame, value: str, name: str) -> DataFrame:
     x = F.col(value)
     c = {n: F.col(f"_hz_{n}") for n in ("v", "scale", "places", "product", "spread", "below", "high", "n", "rest")}
     out = df.withColumns({
-        "_hz_v": x / _by_size(x, 1e9, 1e6, 1e3, 1.0),
+        "_hz_v": F.when((x > 0) & ~F.isnan(x) & (x < F.lit(1e21)), x / _by_size(x, 1e9, 1e6, 1e3, 1.0)),
         "_hz_scale": _by_size(x, 10 ** 6, 10 ** 4, 10 ** 4, 1), "_hz_places": _by_size(x, 6, 4, 4, 0)})
     out = out.withColumns({"_hz_product": c["v"] * c["scale"], "_hz_spread": c["v"] * F.lit(134217729.0)})
     out = out.withColumns({"_hz_below": F.floor("_hz_product"), "_hz_high": c["spread"] - (c["spread"] - c["v"])})
@@ -40,8 +40,7 @@ def with_hz_text(df: DataFrame, value: str, name: str) -> DataFrame:
     decimals = F.rtrim(F.lpad(c["rest"].cast("string"), c["places"], F.lit("0")), F.lit("0"))
     text = F.concat(whole, F.when(c["rest"] == 0, F.lit("")).otherwise(F.concat(F.lit("."), decimals)),
                     _by_size(x, " GHz", " MHz", " kHz", " Hz"))
-    fit = F.coalesce((x > 0) & ~F.isnan(x) & (x < F.lit(1e21)), F.lit(False))
-    return out.withColumn(name, F.when(fit, text).otherwise(F.lit(MISSING))).drop(*[f"_hz_{n}" for n in c])
+    return out.withColumn(name, F.coalesce(text, F.lit(MISSING))).drop(*[f"_hz_{n}" for n in c])
 
 
 def with_parsed_hz(df: DataFrame, text: str, name: str) -> DataFrame:
