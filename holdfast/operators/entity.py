@@ -134,10 +134,11 @@ def dense_ids(df: DataFrame, size: str, key: str, person: str | None = None, nam
     return position(thin, [], [F.col(size).desc(), F.col(key).asc()], name, start=0, **extra).drop(size)
 
 
-def resolve_ids(df: DataFrame, key: str, ids: DataFrame, ids_key: str, name: str = "entity_id") -> DataFrame:
-    """Replace a reference by its published id; -1 when the entity is withheld."""
+def resolve_ids(df: DataFrame, key: str, ids: DataFrame, ids_key: str, name: str = "entity_id",
+                probe: DataFrame | None = None) -> DataFrame:
+    """Add the published id of a reference; -1 when the entity is withheld."""
     numbered = ids.select(F.col(ids_key).alias(key), F.col(name))
-    return skew_join(df, numbered, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(-1)))
+    return skew_join(df, numbered, key, "left", probe=probe).withColumn(name, F.coalesce(F.col(name), F.lit(-1)))
 
 
 def withheld_totals(entity_totals: DataFrame, person: str, sums: Mapping[str, str]) -> DataFrame:

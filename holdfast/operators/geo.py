@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.numbers import floor_cell, rounded_cell
-from holdfast.scale import bounded_rows, skew_join
+from holdfast.scale import BROADCAST_ROWS, bounded_rows, durable, skew_join
 
 # Fixed value: the side of a candidate cell in degrees.
 CELL = 0.5
 # Edges of one part that one strip may hold before the strips are made thinner.
 STRIP_EDGES = 512
+# Edges (32 bytes each) that may be broadcast.
+BROADCAST_EDGES = 1_000_000
 
 
 def polygon_edges(parts: DataFrame) -> DataFrame:
@@ -34,13 +36,13 @@ def polygon_edges(parts: DataFrame) -> DataFrame:
         F.col("e.b")[0].alias("x2"), F.col("e.b")[1].alias("y2")).filter(F.col("y1") != F.col("y2"))
 
 
-def _strip_height(edges: DataFrame, cell: float, most: int = STRIP_EDGES) -> float:
-    """A strip height at which no part has more than about ``most`` edges in one strip."""
+def _strip_height(edges: DataFrame, cell: float) -> float:
+    """A strip height at which no part has more than about STRIP_EDGES edges in one strip."""
     height = cell
     for _ in range(12):
         row = _strips(edges, height).groupBy("part", "strip").agg(F.count(F.lit(1)).alias("n")).agg(
             F.max("n")).first()
-        if not row[0] or row[0] <= most:
+        if not row[0] or row[0] <= STRIP_EDGES:
             break
         height /= 2
     return height
@@ -61,7 +63,7 @@ def locate(points: DataFrame, parts: DataFrame, *, id: str, lat: str, lon: str,
     they are; beyond that the same joins shuffle, with hot cells salted. Holes and islands need
     no case of their own. Points without coordinates are in no region.
     """
-    edges = polygon_edges(parts)
+    edges = durable(polygon_edges(parts))
     height = _strip_height(edges, cell)
     boxes = edges.groupBy("feature", "part").agg(
         F.min(F.least("x1", "x2")).alias("x0"), F.max(F.greatest("x1", "x2")).alias("x9"),
@@ -69,28 +71,31 @@ def locate(points: DataFrame, parts: DataFrame, *, id: str, lat: str, lon: str,
     cells = (boxes
              .withColumn("_cx", F.explode(F.sequence(floor_cell(F.col("x0"), cell), floor_cell(F.col("x9"), cell))))
              .withColumn("_cy", F.explode(F.sequence(floor_cell(F.col("y0"), cell), floor_cell(F.col("y9"), cell)))))
-    strips = _strips(edges, height).groupBy("part", "strip").agg(
+    cut = _strips(edges, height)
+    strips = cut.groupBy("part", "strip").agg(
         F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
 
     at = points.select(F.col(id), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
     at = at.withColumns({"_cx": floor_cell(F.col("_lon"), cell), "_cy": floor_cell(F.col("_lat"), cell)})
     in_box = F.coalesce(F.col("_lon").between(F.col("x0"), F.col("x9"))
                         & F.col("_lat").between(F.col("y0"), F.col("y9")), F.lit(False))
-    candidates = _join_boundary(at, cells, ["_cx", "_cy"]).select(
+    candidates = _join_boundary(at, cells, ["_cx", "_cy"], cells).select(
         id, "_lat", "_lon", "feature", "part",
         F.when(in_box, floor_cell(F.col("_lat"), height)).alias("strip"))
     crossings = F.size(F.filter("_edges", lambda e: (
         ((e["y1"] > F.col("_lat")) != (e["y2"] > F.col("_lat")))
         & (F.col("_lon") < F.try_divide((e["x2"] - e["x1"]) * (F.col("_lat") - e["y1"]), e["y2"] - e["y1"])
            + e["x1"]))))
-    met = _join_boundary(candidates, strips, ["part", "strip"])
+    # The strips weigh as much as the edges in them: those are counted, not the rows.
+    met = _join_boundary(candidates, strips, ["part", "strip"], cut, BROADCAST_EDGES)
     first = F.min(F.when(crossings % 2 == 1, F.col("feature")))
     return met.groupBy(id).agg(F.coalesce(first.cast("int"), F.lit(-1)).alias(region))
 
 
-def _join_boundary(points: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join to a table that is broadcast when counted small, and met by salting otherwise."""
-    if bounded_rows(table) is not None:
+def _join_boundary(points: DataFrame, table: DataFrame, on: Sequence[str], weight: DataFrame,
+                   limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join to a table that is broadcast when its weight is counted small, else salted."""
+    if bounded_rows(weight, limit) is not None:
         return points.join(F.broadcast(table), list(on), "left")
     return skew_join(points, table, on, "left")
 
@@ -131,7 +136,7 @@ def nearest_within(picks: DataFrame, points: DataFrame, *, pick: str, id: str, x
     asked = (picks.select(pick, F.col(x).alias("_px"), F.col(y).alias("_py"))
              .withColumn("_cx", F.explode(F.transform(around, lambda d: floor_cell(F.col("_px"), radius) + d)))
              .withColumn("_cy", F.explode(F.transform(around, lambda d: floor_cell(F.col("_py"), radius) + d))))
-    near = _join_boundary(places, asked, ["_cx", "_cy"])
+    near = _join_boundary(places, asked, ["_cx", "_cy"], asked)
     d2 = (F.col("_x") - F.col("_px")) * (F.col("_x") - F.col("_px")) \
         + (F.col("_y") - F.col("_py")) * (F.col("_y") - F.col("_py"))
     return (near.withColumn("distance2", d2).filter(F.col("distance2") < radius * radius)

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.scale import durable
+from holdfast.scale import durable, skew_join
 
 # A group up to this long is ordered inside one task; a longer one is cut into slices.
 ROWS_PER_TASK = 4_000_000
@@ -102,11 +102,13 @@ def share_of_group(df: DataFrame, group: Sequence[str], value: str, name: str =
                    total: str | None = None) -> DataFrame:
     """value / sum of value over the group.
 
-    The sums are built map-side and joined back, so a large group is never gathered.
+    The sums are built map-side and joined back with hot groups salted, so a large group is never
+    gathered. ``df`` is written once, because it is read for both.
     """
     group = list(group)
+    df = durable(df)
     sums = df.groupBy(*group).agg(F.sum(value).alias("_total"))
-    out = df.join(sums, group).withColumn(name, F.try_divide(F.col(value).cast("double"), F.col("_total")))
+    out = skew_join(df, sums, group).withColumn(name, F.try_divide(F.col(value).cast("double"), F.col("_total")))
     return out.drop("_total") if total is None else out.withColumnRenamed("_total", total)
 
 

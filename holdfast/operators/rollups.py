@@ -121,11 +121,10 @@ def matrix(df: DataFrame, row: str, column: str, rows: DataFrame, columns: DataF
            name: str = "licences") -> DataFrame:
     """Long form of row × column counts with every combination of the two (small, listed) domains."""
     counted = df.groupBy(row, column).agg(F.count(F.lit(1)).alias(name))
-    members = columns.select(F.collect_set(column).alias("_all"))
-    listed = members.first()["_all"] if columns.limit(1001).count() <= 1000 else None
-    if listed is None:
+    listed = [r[0] for r in columns.select(column).distinct().orderBy(column).limit(1001).collect()]
+    if len(listed) > 1000:
         raise ValueError("a matrix needs a listed domain of at most 1000 columns")
-    domain = rows.withColumn(column, F.explode(F.array(*[F.lit(v) for v in sorted(listed)])))
+    domain = rows.withColumn(column, F.explode(F.array(*[F.lit(v) for v in listed])))
     return dense(counted, domain, [row, column], [name])
 
 
@@ -148,7 +147,7 @@ def shares(df: DataFrame, cls: str, sums: Mapping[str, str], least: float) -> Da
 
 
 def region_rollup(sites: DataFrame, tenants: DataFrame, regions: DataFrame, *, site: str,
-                  region: str) -> DataFrame:
+                  region: str, probe: DataFrame | None = None) -> DataFrame:
     """Sites, live sites, devices, holders and largest named holder of every region of ``regions``.
 
     ``sites`` gives the region of every site, live or not. Holder counts come from the
@@ -157,7 +156,7 @@ def region_rollup(sites: DataFrame, tenants: DataFrame, regions: DataFrame, *, s
     """
     placed = sites.filter(F.col(region).isNotNull())
     all_sites = placed.groupBy(region).agg(F.count(F.lit(1)).alias("sites"))
-    joined = durable(skew_join(tenants, placed.select(site, region), site))
+    joined = durable(skew_join(tenants, placed.select(site, region), site, probe=probe))
     live = (joined.select(region, site).distinct()
             .groupBy(region).agg(F.count(F.lit(1)).alias("live")))
     held = joined.groupBy(region, "holder", "class", "person").agg(

@@ -14,7 +14,8 @@ from holdfast.operators import entity as E
 from holdfast.operators import rollups as R
 from holdfast.operators.joins import equal_or_all
 from holdfast.operators.ordering import every_kth, position, top
-from holdfast.plans.registry import MAST_SQL, REGISTER_SQL, Tables, query
+from holdfast.plans.registry import REGISTER_SQL, Tables, query
+from holdfast.scale import durable, skew_join
 
 # Customers stand for licensee records. Two keys join them, so chains of records occur.
 KEYS_SQL = """rec AS (SELECT c_custkey AS id, 'a' || c_nationkey || '|' || CAST(floor(c_acctbal / 20) AS BIGINT) AS k1,
@@ -35,7 +36,7 @@ ent AS (SELECT root, arg_min(c_name, (-lic, id)) AS name, arg_min(c_mktsegment,
 
 def merged_records(t: Tables) -> DataFrame:
     """The merge, made once per set of tables."""
-    return t.once("merged", lambda: _merge(t))
+    return t.once("merged", lambda: durable(_merge(t)))
 
 
 def _merge(t: Tables) -> DataFrame:
@@ -54,7 +55,11 @@ def client_records(t: Tables) -> DataFrame:
 
 
 def entity_table(t: Tables) -> DataFrame:
-    """Merged entities with the class of their largest record."""
+    """Merged entities with the class of their largest record, made once."""
+    return t.once("entities", lambda: durable(_entities(t)))
+
+
+def _entities(t: Tables) -> DataFrame:
     records = client_records(t)
     ents = E.entities(records, id="c_custkey", root="root", name="c_name", type="c_mktsegment",
                       person="person", licences="lic")
@@ -63,11 +68,17 @@ def entity_table(t: Tables) -> DataFrame:
     return ents.join(cls, "root")
 
 
-def entity_licences(t: Tables) -> DataFrame:
-    """Licences with the entity that holds them."""
-    records = client_records(t).select(F.col("c_custkey").alias("holder"), "root")
-    return t.orders.select(F.col("o_orderkey").alias("licence"), F.col("o_custkey").alias("holder"),
-                           F.col("o_orderpriority").alias("service")).join(records, "holder").drop("holder")
+def entity_licences(t: Tables, of_entity: DataFrame | None = None) -> DataFrame:
+    """Licences with the entity that holds them, and what ``of_entity`` says of it.
+
+    The attributes are brought to the records first: the licences then take part in one join.
+    """
+    records = merged_records(t).withColumnRenamed("c_custkey", "holder")
+    if of_entity is not None:
+        records = records.join(of_entity, "root", "left")
+    licences = t.orders.select(F.col("o_orderkey").alias("licence"), F.col("o_custkey").alias("holder"),
+                               F.col("o_orderpriority").alias("service"))
+    return skew_join(licences, records, "holder").drop("holder")
 
 
 @query(f"WITH RECURSIVE {KEYS_SQL} SELECT id AS c_custkey, root FROM merged")
@@ -103,8 +114,7 @@ FROM orders JOIN merged ON merged.id = o_custkey LEFT JOIN ids USING (root)""")
 def licence_entity_ids(t: Tables) -> DataFrame:
     """Every licence with the published id of its holder, -1 when withheld."""
     ids = E.dense_ids(entity_table(t), "licences", "root", "person")
-    return E.resolve_ids(entity_licences(t).select("licence", "root"), "root", ids, "root") \
-        .select("licence", "entity_id")
+    return entity_licences(t, ids).select("licence", F.coalesce("entity_id", F.lit(-1)).alias("entity_id"))
 
 
 @query(f"""{ENTITY_SQL}, d AS (SELECT root, count(*) AS devices, count(*) FILTER (WHERE l_linestatus = 'O') AS tx,
@@ -119,8 +129,7 @@ def entity_totals(t: Tables) -> DataFrame:
 
 def totals(t: Tables) -> DataFrame:
     ents = entity_table(t)
-    licences = (entity_licences(t).join(ents.select("root", "class", "person"), "root")
-                .withColumn("granted", F.lit(True)))
+    licences = entity_licences(t, ents.select("root", "class", "person")).withColumn("granted", F.lit(True))
     per_licence = R.licence_rows(t.devices, "licence", "tx").join(licences.select("licence", "root"), "licence")
     tenants = R.site_holders(t.devices, licences, site="site", licence="licence", holder="root", cls="class",
                              person="person", granted="granted", transmit="tx")

@@ -13,6 +13,7 @@ from holdfast.operators.concentration import stacked
 from holdfast.operators.joins import dense
 from holdfast.operators.ordering import share_of_group, top_per_group
 from holdfast.plans.registry import BANDS_SQL, PRICE_BANDS, REGISTER_SQL, Tables, query
+from holdfast.scale import skew_join
 
 KEY = ["licence", "site", "value", "direction"]
 BANDED = f"""WITH {BANDS_SQL}, {REGISTER_SQL},
@@ -22,8 +23,10 @@ fact AS (SELECT * FROM dev JOIN lic USING (licence)
 
 
 def by_holder(t: Tables) -> DataFrame:
-    return B.holder_bands(t.banded_devices, t.licences, band="band", licence="licence",
-                          holder=["holder", "class", "person"], key=KEY, transmit="tx")
+    """Holders per band; class and person flag join at that grain, where no holder is hot."""
+    held = B.holder_bands(t.banded_devices, t.owners, band="band", licence="licence", holder=["holder"],
+                          key=KEY, transmit="tx")
+    return held.join(t.clients.drop("name"), "holder")
 
 
 @query(f"""{BANDED}
@@ -258,14 +261,13 @@ def block_rows(t: Tables) -> DataFrame:
         F.col("l_orderkey").alias("licence"), F.col("l_suppkey").alias("holder"), F.col("l_partkey").alias("area"),
         PRICE_BANDS.index(F.col("l_extendedprice")).alias("band"), F.col("l_quantity").alias("lower"),
         F.when(F.col("l_returnflag") == "R", F.round(F.col("l_discount") * 100)).alias("upper"))
-    # Widths are added up per block key before the area table is joined.
     return line, areas
 
 
 def holdings(t: Tables) -> DataFrame:
     line, areas = block_rows(t)
     named = K.named_areas(areas, "market", "^promo")
-    return K.block_holdings(line.join(named, "area"), market="market", band="band", holder="holder",
+    return K.block_holdings(skew_join(line, named, "area"), market="market", band="band", holder="holder",
                             licence="licence", lower=F.col("lower"), upper=F.col("upper"))
 
 

@@ -14,6 +14,7 @@ from holdfast.operators import tenancy as N
 from holdfast.operators.joins import dense, search
 from holdfast.operators.ordering import best, top_per_group
 from holdfast.plans.registry import MAST_SQL, REGISTER_SQL, Tables, query
+from holdfast.scale import skew_join
 from holdfast.sources import polygons
 
 
@@ -134,15 +135,16 @@ rates AS (SELECT *, CASE WHEN population > 0 THEN floor(sites / population * 100
 
 def placed_sites(t: Tables) -> DataFrame:
     customer = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("region"))
-    return t.orders.select(F.col("o_orderkey").alias("site"), "o_custkey").join(customer, "o_custkey") \
-        .select("site", "region")
+    orders = t.orders.select(F.col("o_orderkey").alias("site"), "o_custkey")
+    return skew_join(orders, customer, "o_custkey").select("site", "region")
 
 
 def regions(t: Tables) -> DataFrame:
     population = t.customer.groupBy(F.col("c_nationkey").alias("region")).agg(F.count(F.lit(1)).alias("population"))
     listed = t.nation.select(F.col("n_nationkey").alias("region"), F.col("n_name").alias("name"))
     listed = dense(population, listed, ["region"], ["population"])
-    rolled = R.region_rollup(placed_sites(t), mast_tenants(t), listed, site="site", region="region")
+    rolled = R.region_rollup(placed_sites(t), mast_tenants(t), listed, site="site", region="region",
+                             probe=t.mast_devices)
     rate = half_up(F.try_divide(F.col("sites"), F.col("population")) * 1e5) / F.lit(10.0)
     return rolled.withColumn("per_ten_k", rate)
 
@@ -174,7 +176,7 @@ SELECT region, class, n, rank, n / w AS share FROM (
 def region_classes(t: Tables) -> DataFrame:
     """The ten largest classes of every region, each organisation counted once per site it is at."""
     from holdfast.operators.ordering import share_of_group
-    joined = mast_tenants(t).join(placed_sites(t), "site")
+    joined = skew_join(mast_tenants(t), placed_sites(t), "site", probe=t.mast_devices)
     shared = share_of_group(R.region_classes(joined, "region"), ["region"], "n")
     return top_per_group(shared, ["region"], [F.desc("n"), F.asc("class")], 10)
 

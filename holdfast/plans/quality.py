@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.dates import is_year, year_token
-from holdfast.functions.identifiers import weighted_checksum  # noqa: F401  (re-exported for checks)
 from holdfast.functions.numbers import is_missing
 from holdfast.functions.text import any_contains, clean_spaces, ordered_code
 from holdfast.operators import checks as Q
@@ -15,6 +14,7 @@ from holdfast.operators import rollups as R
 from holdfast.plans import holdings as H
 from holdfast.plans import places as P
 from holdfast.plans.registry import MAST_SQL, PRICE_BANDS, REGISTER_SQL, Tables, query
+from holdfast.scale import durable, skew_join
 
 # --- counts -----------------------------------------------------------------------------------
 
@@ -204,8 +204,8 @@ def condition_coverage(t: Tables) -> DataFrame:
     """Texts, keys, device rows matched, licences reached, and what the documented join matches."""
     keys = t.labels.groupBy(F.col("doc_id").alias("k")).agg(F.count(F.lit(1)).alias("texts"))
     per = t.lineitem.groupBy(F.col("l_partkey").alias("k"), "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    matched = per.join(keys.select("k"), "k", "left_semi")
-    licences = matched.groupBy("l_orderkey").agg(F.sum("n").alias("n"))
+    matched = skew_join(per, keys.select("k"), "k", "left_semi", probe=t.lineitem.select(F.col("l_partkey").alias("k")))
+    licences = durable(matched.groupBy("l_orderkey").agg(F.sum("n").alias("n")))
     documented = keys.join(t.orders.select(F.col("o_orderkey").alias("k")), "k", "left_semi")
     one = Q.reconcile(texts=keys.agg(F.sum("texts")), keys=keys.agg(F.count(F.lit(1))),
                       device_matches=licences.agg(F.coalesce(F.sum("n"), F.lit(0))),
@@ -286,7 +286,6 @@ def clean_dimension(t: Tables) -> DataFrame:
 FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 2""")
 def enrich_licences(t: Tables) -> DataFrame:
     """Every licence with its holder, class, person flag, status, expiry and a looked-up text."""
-    from holdfast.scale import skew_join
     licences = t.orders.select(F.col("o_orderkey").alias("licence"), F.col("o_custkey").alias("holder"),
                                (F.col("o_orderstatus") == "F").alias("granted"),
                                year_token(F.col("o_orderdate"), "never").alias("expires"))

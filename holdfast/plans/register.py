@@ -390,7 +390,8 @@ class Register:
             .groupBy(F.col("LICENCE_NO").alias("k")).agg(F.count(F.lit(1)).alias("texts"))
         keys = durable(keys)
         devices = self.devices.select(F.col("DEVICE_REGISTRATION_IDENTIFIER").alias("k"), "LICENCE_NO").filter("k is not null")
-        per = devices.groupBy("k", "LICENCE_NO").agg(F.count(F.lit(1)).alias("n")).join(keys.select("k"), "k", "left_semi")
+        per = devices.groupBy("k", "LICENCE_NO").agg(F.count(F.lit(1)).alias("n"))
+        per = skew_join(per, keys.select("k"), "k", "left_semi", probe=devices)
         reached = durable(per.groupBy("LICENCE_NO").agg(F.sum("n").alias("n")))
         documented = keys.join(self.licences.select(F.col("LICENCE_NO").alias("k")), "k", "left_semi")
         return Q.reconcile(

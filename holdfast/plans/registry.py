@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.operators.bands import Bands
+from holdfast.scale import skew_join
 
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,7 +92,12 @@ class Tables:
             F.col("o_orderkey").alias("licence"), F.col("o_custkey").alias("holder"),
             (F.col("o_orderstatus") == "F").alias("granted"), F.col("o_orderpriority").alias("service"),
             F.col("o_orderdate").alias("issued"))
-        return orders.join(self.clients.drop("name"), "holder")
+        return skew_join(orders, self.clients.drop("name"), "holder")
+
+    @cached_property
+    def owners(self) -> DataFrame:
+        """Licences with their holder, and nothing else."""
+        return self.orders.select(F.col("o_orderkey").alias("licence"), F.col("o_custkey").alias("holder"))
 
     @cached_property
     def devices(self) -> DataFrame:

@@ -56,8 +56,11 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> int | None:
-    """Number of rows when at most ``limit``, else None. Never scans past the limit."""
-    found = df.limit(limit + 1).count()
+    """Number of rows when at most ``limit``, else None.
+
+    A count, not a ``limit``: the rows stay in their tasks, whatever their number.
+    """
+    found = df.count()
     return found if found <= limit else None
 
 

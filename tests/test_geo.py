@@ -49,7 +49,7 @@ def brute(fs, x, y):
 @pytest.mark.parametrize("mode", ["broadcast", "shuffled", "salted"])
 def test_points_in_polygons(spark, monkeypatch, mode):
     if mode != "broadcast":
-        monkeypatch.setattr(G, "bounded_rows", lambda df: None)
+        monkeypatch.setattr(G, "bounded_rows", lambda df, limit=0: None)
         if mode == "salted":
             monkeypatch.setattr(scale, "HOT_ROWS", 0)
     rng = random.Random(3)
@@ -96,7 +96,7 @@ def test_box_drops_unknown_accuracy_when_zoomed_in(spark):
 @pytest.mark.parametrize("small", [True, False])
 def test_nearest(spark, monkeypatch, small):
     if not small:
-        monkeypatch.setattr(G, "bounded_rows", lambda df: None)
+        monkeypatch.setattr(G, "bounded_rows", lambda df, limit=0: None)
         monkeypatch.setattr(scale, "HOT_ROWS", 0)
     rng = random.Random(8)
     pts = [(i, round(rng.uniform(-5, 5), 2), round(rng.uniform(-5, 5), 2)) for i in range(800)] + [(1000 + i, 1.0, 1.0) for i in range(400)]
