@@ -35,14 +35,12 @@ def headline(totals: DataFrame, size: str, person: str) -> DataFrame:
         F.sum(F.when(F.col("size") == 1, F.col("n")).otherwise(0)).alias("single_all"))
     ten = (top(sizes.filter(named), [F.desc("size")], 10)
            .select(F.explode(F.array_repeat("size", F.least(F.col("n"), F.lit(10)).cast("int"))).alias("size"))
-           .orderBy(F.desc("size")).limit(10).agg(F.sum("size").alias("ten")))
+           .orderBy(F.desc("size")).limit(10).agg(F.sum("size")).first()[0])
     whole = F.col("total").cast("double")
-    one = F.lit(1).alias("_one")
-    figures = row.select("*", one).join(F.broadcast(ten.select("*", one)), "_one")
-    return figures.select(F.explode(F.array(*[
+    return row.select(F.explode(F.array(*[
         F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value")) for name, value in {
             "total": F.col("total"), "largest": F.col("largest"),
-            "top10_share": half_up(F.try_divide(F.col("ten").cast("double"), whole) * 100, 2),
+            "top10_share": half_up(F.try_divide(F.lit(ten).cast("double"), whole) * 100, 2),
             "hhi": half_up(F.try_divide(F.col("squares") * 1e4, whole * whole)),
             "single_named": F.col("single_named"), "single_all": F.col("single_all")}.items()])).alias("m")
     ).select("m.metric", "m.value")

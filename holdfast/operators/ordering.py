@@ -84,7 +84,8 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     if k >= GROUP_LIMIT:
         raise ValueError(f"k must stay below {GROUP_LIMIT} for the limit to be applied before the shuffle")
     frame = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(frame)).filter(F.col(name) <= k)
+    ranked = df.withColumn(name, F.row_number().over(frame)).filter(F.col(name) <= k)
+    return ranked.withColumn(name, F.col(name).cast("long"))
 
 
 def top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

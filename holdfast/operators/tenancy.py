@@ -49,8 +49,7 @@ def class_pairs(tenants: DataFrame, site: str, classes: DataFrame) -> DataFrame:
 
 def pair_totals(pairs: DataFrame) -> DataFrame:
     """Each pair credited to both of its classes, the diagonal once."""
-    ends = pairs.select(F.col("a").alias("class"), "sites").unionByName(
-        pairs.filter(F.col("a") != F.col("b")).select(F.col("b").alias("class"), "sites"))
+    ends = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("class"), "sites")
     return ends.groupBy("class").agg(F.sum("sites").alias("pairings"))
 
 

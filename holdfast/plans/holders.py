@@ -177,7 +177,7 @@ KEY_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(r
  '[\s\x{{00A0}}\x{{202F}}\x{{2007}}]+', ' ', 'g'))"""
 
 
-@query(f"""SELECT doc_id, length({KEY_SQL.format(x='text')}) AS key_length, md5({KEY_SQL.format(x='text')}) AS key_md5
+@query(f"""SELECT doc_id, CAST(length({KEY_SQL.format(x='text')}) AS INTEGER) AS key_length, md5({KEY_SQL.format(x='text')}) AS key_md5
 FROM documents""")
 def name_key(t: Tables) -> DataFrame:
     """The name key of every document's whole text."""
@@ -388,7 +388,7 @@ def oldest_k(t: Tables) -> DataFrame:
         "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
-@query("""SELECT o_orderkey, year(o_orderdate) AS year,
+@query("""SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year,
 row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders""")
 def ordinal_in_year(t: Tables) -> DataFrame:
     """Place of every licence within its year, for stacked dots."""

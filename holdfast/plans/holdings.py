@@ -13,7 +13,7 @@ from holdfast.operators.concentration import stacked
 from holdfast.operators.joins import dense
 from holdfast.operators.ordering import share_of_group, top_per_group
 from holdfast.plans.registry import BANDS_SQL, PRICE_BANDS, REGISTER_SQL, Tables, query
-from holdfast.scale import skew_join
+from holdfast.scale import durable, skew_join
 
 KEY = ["licence", "site", "value", "direction"]
 BANDED = f"""WITH {BANDS_SQL}, {REGISTER_SQL},
@@ -22,11 +22,14 @@ fact AS (SELECT * FROM dev JOIN lic USING (licence)
 """
 
 
+def held(t: Tables) -> DataFrame:
+    return B.holder_bands(t.banded_devices, t.owners, band="band", licence="licence", holder=["holder"],
+                          key=KEY, transmit="tx")
+
+
 def by_holder(t: Tables) -> DataFrame:
     """Holders per band; class and person flag join at that grain, where no holder is hot."""
-    held = B.holder_bands(t.banded_devices, t.owners, band="band", licence="licence", holder=["holder"],
-                          key=KEY, transmit="tx")
-    return held.join(t.clients.drop("name"), "holder")
+    return held(t).join(t.clients.drop("name"), "holder")
 
 
 @query(f"""{BANDED}
@@ -36,7 +39,7 @@ SELECT b.band, b.band_name, count(f.licence) AS rows, count(f.licence) FILTER (W
 FROM bands b LEFT JOIN fact f USING (band) GROUP BY b.band, b.band_name""")
 def band_rollup(t: Tables) -> DataFrame:
     """Rows, transmit rows, assignments, licences and holders of every band, empty ones too."""
-    rolled = B.band_rollup(by_holder(t), "band")
+    rolled = B.band_rollup(held(t), "band")
     return dense(rolled, t.bands.select("band", "band_name"), ["band"],
                  ["rows", "tx", "assignments", "licences", "holders"])
 
@@ -76,7 +79,7 @@ def band_top_classes(t: Tables) -> DataFrame:
   FROM fact GROUP BY band)
 SELECT band, rows / greatest(1, assignments) AS rows_per_assignment FROM r""")
 def band_rows_per_assignment(t: Tables) -> DataFrame:
-    return B.band_rollup(by_holder(t), "band").select(
+    return B.band_rollup(held(t), "band").select(
         "band", ratio_floor_one(F.col("rows"), F.col("assignments")).alias("rows_per_assignment"))
 
 
@@ -90,10 +93,10 @@ SELECT holder, band, rows, share, rank FROM (
   FROM k WHERE place <= 12) WHERE rank <= 10""")
 def holder_bands(t: Tables) -> DataFrame:
     """For every holder in some band's top twelve: the ten bands it is largest in, with its share."""
-    held = by_holder(t)
-    listed = top_per_group(held.filter(~F.col("person")).select("band", "holder", "rows"), ["band"],
+    per_holder = durable(by_holder(t))
+    listed = top_per_group(per_holder.filter(~F.col("person")).select("band", "holder", "rows"), ["band"],
                            [F.desc("rows"), F.asc("holder")], 12, "place").drop("place")
-    whole = B.band_rollup(held, "band").select("band", F.col("rows").alias("_whole"))
+    whole = B.band_rollup(per_holder, "band").select("band", F.col("rows").alias("_whole"))
     shared = listed.join(whole, "band").withColumn("share", ratio_floor_one(F.col("rows"), F.col("_whole")))
     return top_per_group(shared.drop("_whole"), ["holder"], [F.desc("rows"), F.asc("band")], 10)
 
@@ -314,5 +317,5 @@ def composite_key_blocks(t: Tables) -> DataFrame:
 @query(f"""{BANDED}, r AS (SELECT band, count(*) AS rows FROM fact GROUP BY band)
 SELECT band, rows, rows / sum(rows) OVER () AS share FROM r""")
 def band_share(t: Tables) -> DataFrame:
-    rolled = B.band_rollup(by_holder(t), "band").select("band", "rows").withColumn("_all", F.lit(1))
+    rolled = B.band_rollup(held(t), "band").select("band", "rows").withColumn("_all", F.lit(1))
     return share_of_group(rolled, ["_all"], "rows").drop("_all")

@@ -14,7 +14,7 @@ from holdfast.operators import tenancy as N
 from holdfast.operators.joins import dense, search
 from holdfast.operators.ordering import best, top_per_group
 from holdfast.plans.registry import MAST_SQL, REGISTER_SQL, Tables, query
-from holdfast.scale import skew_join
+from holdfast.scale import durable, skew_join
 from holdfast.sources import polygons
 
 
@@ -24,6 +24,11 @@ def mast_tenants(t: Tables) -> DataFrame:
         person="person", granted="granted", transmit="tx"))
 
 
+def kept_tenants(t: Tables) -> DataFrame:
+    """The same, written once: for queries that read it more than once."""
+    return t.once("kept_tenants", lambda: durable(mast_tenants(t)))
+
+
 @query(f"""WITH {MAST_SQL}
 SELECT site, CAST(sum(devices) AS BIGINT) AS devices, CAST(sum(tx) AS BIGINT) AS tx, count(*) AS licences,
  count(*) AS holders, bool_and(person) AS person_only, NOT bool_and(person) AND bool_or(granted) AS publishable
@@ -92,7 +97,7 @@ top400 AS (SELECT * FROM s WHERE publishable AND holders >= 6 ORDER BY named DES
 
 
 def crowded(t: Tables) -> DataFrame:
-    tenants = mast_tenants(t)
+    tenants = kept_tenants(t)
     named = tenants.filter(~F.col("person")).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     return N.crowded_sites(R.site_rollup(tenants, "site").filter("publishable"), "site", 6, 400, named)
 
@@ -106,7 +111,7 @@ def crowded_sites(t: Tables) -> DataFrame:
 @query(f"WITH {CROWDED} SELECT site, holder FROM tenants JOIN top400 USING (site) WHERE NOT person")
 def crowded_tenants(t: Tables) -> DataFrame:
     """Who is at those sites, one row a tenant."""
-    return N.tenant_list(crowded(t), mast_tenants(t), "site")
+    return N.tenant_list(crowded(t), kept_tenants(t), "site")
 
 
 @query(f"""WITH {CROWDED} SELECT count(*) FILTER (WHERE holders = 1) AS single_holder,
@@ -194,10 +199,9 @@ def region_densities(t: Tables) -> DataFrame:
 SELECT region, CAST(least(7, greatest(0, floor(t * 7 + 0.5))) AS INTEGER) AS bucket FROM x""")
 def ramp_buckets(t: Tables) -> DataFrame:
     """The colour step of every region on a log ramp whose ceiling is measured."""
-    r = regions(t).select("region", F.coalesce("per_ten_k", F.lit(0.0)).alias("v"))
-    ceiling = r.agg(F.max("v").alias("ceiling"))
-    pinned = r.withColumn("_one", F.lit(1)).join(F.broadcast(ceiling.withColumn("_one", F.lit(1))), "_one")
-    return pinned.select("region", ramp_bucket(log_share(F.col("v"), F.col("ceiling"))).alias("bucket"))
+    r = durable(regions(t).select("region", F.coalesce("per_ten_k", F.lit(0.0)).alias("v")))
+    ceiling = F.lit(r.agg(F.max("v")).first()[0])
+    return r.select("region", ramp_bucket(log_share(F.col("v"), ceiling)).alias("bucket"))
 
 
 @query(f"""WITH {REGIONS}, m AS (SELECT max(coalesce(per_ten_k, 0)) AS top FROM rates)

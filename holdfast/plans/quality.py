@@ -313,7 +313,7 @@ SELECT (SELECT count(*) FROM hidden JOIN shipped USING (site)) AS leaked, (SELEC
  (SELECT count(*) FROM shipped) AS published""")
 def leak_check(t: Tables) -> DataFrame:
     """No suppressed site is in the published layer: the rule is recomputed from the tenants."""
-    tenants = P.mast_tenants(t)
+    tenants = P.kept_tenants(t)
     shipped = R.site_rollup(tenants, "site").filter("publishable").select("site")
     hidden = tenants.groupBy("site").agg(F.min(F.col("person").cast("int")).alias("all_person")) \
         .filter("all_person = 1").select("site")
@@ -328,7 +328,7 @@ SELECT band, n AS published, n AS recomputed, licences > n AS definitions_differ
 def recount(t: Tables) -> DataFrame:
     """Holders per band, published against recounted straight from the fact by another plan."""
     from holdfast.operators.bands import band_rollup
-    published = band_rollup(H.by_holder(t), "band").select("band", F.col("holders").alias("n"))
+    published = band_rollup(H.held(t), "band").select("band", F.col("holders").alias("n"))
     facts = t.lineitem.select(F.col("l_orderkey").alias("licence"),
                               PRICE_BANDS.index(F.col("l_extendedprice")).alias("band")).distinct()
     owners = t.orders.select(F.col("o_orderkey").alias("licence"), F.col("o_custkey").alias("holder"))
@@ -357,7 +357,7 @@ def reference_resolution(t: Tables) -> DataFrame:
     return one.select(*[F.col(c).cast("long").alias(c) for c in one.columns])
 
 
-@query("""SELECT o_orderstatus AS key, count(*) AS actual, CASE o_orderstatus WHEN 'F' THEN 5 END AS expected FROM orders
+@query("""SELECT o_orderstatus AS key, count(*) AS actual, CAST(CASE o_orderstatus WHEN 'F' THEN 5 END AS BIGINT) AS expected FROM orders
 GROUP BY 1 HAVING count(*) IS DISTINCT FROM CASE o_orderstatus WHEN 'F' THEN 5 END
 UNION ALL SELECT 'X', NULL, 2""")
 def histogram_gate(t: Tables) -> DataFrame:
@@ -381,7 +381,7 @@ UNION ALL SELECT 'unit of the value', 'gate', least, NULL, 100, NULL, least >= 1
 UNION ALL SELECT 'quantities below one', 'gate', small, 0, NULL, NULL, small = 0, '' FROM n)""")
 def checks_report(t: Tables) -> DataFrame:
     """Gates and warnings over several sources, one aggregation a source."""
-    held = H.by_holder(t)
+    held = durable(H.held(t))
     per_band = held.groupBy("band").agg(F.sum("rows").alias("b"))
     parts = Q.reconcile(whole=t.lineitem.agg(F.count(F.lit(1))), parts=held.agg(F.sum("rows")))
     lost = J.orphans(t.devices, t.orders.select(F.col("o_orderkey").alias("licence")), "licence")

@@ -276,8 +276,8 @@ class Register:
         withheld = E.withheld_totals(self.totals, "person", sums)
         own = self.clients.filter("person").agg(
             F.count(F.lit(1)).alias("clients"), F.coalesce(F.sum("licences"), F.lit(0)).alias("client_level_licences"))
-        one = F.lit(1).alias("_one")
-        return withheld.select("*", one).join(F.broadcast(own.select("*", one)), "_one").drop("_one")
+        both = withheld.unionByName(own, allowMissingColumns=True)
+        return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
     def class_domain(self) -> DataFrame:
         listed = [(c,) for c in self.rules.classes]
