@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast import scale
 from holdfast.functions.text import first_rule, personal_shape
 from holdfast.operators.ordering import best, position
-from holdfast.scale import durable, hot_hashes, skew_join
+from holdfast.scale import durable, skew_join
 
 MAX_ROUNDS = 60
 # Fixed value: a holder of more licences than this is never taken for a person by its name.
@@ -36,10 +36,11 @@ def components(records: DataFrame, id: str, keys: Sequence[Column], root: str =
              .select(F.col("id").alias("u"), "v").distinct())
     for _ in range(max_rounds):
         edges = durable(edges)
-        settled, hubs = _inspect(edges)
+        settled, wide = _inspect(edges)
         if settled:
             break
-        edges = _small_star(_large_star(edges, hubs))
+        edges = _large_star(edges, wide)
+        edges = _small_star(durable(edges) if wide else edges, wide)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = edges.select(F.col("u").alias(id), F.col("v").alias(root))
@@ -47,42 +48,47 @@ def components(records: DataFrame, id: str, keys: Sequence[Column], root: str =
             .select(id, F.coalesce(F.col(root), F.col(id)).alias(root)))
 
 
-def _inspect(edges: DataFrame) -> tuple[bool, list[int]]:
-    """Are the edges a forest of stars already, and which centres are hot?
+def _inspect(edges: DataFrame) -> tuple[bool, bool]:
+    """Are the edges a forest of stars already, and is any star too wide for one task?
 
-    They are when every vertex has one edge up and no vertex has edges both up and down; another
-    round would then change nothing. One pass over checkpointed edges.
+    They are a forest when every vertex has one edge up and no vertex has edges both up and down;
+    another round would then change nothing. One pass over the edges just written.
     """
     ends = edges.select(F.explode(F.array(
         F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")),
         F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
     degrees = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
     bad = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))
-    row = degrees.agg(F.count_if(bad).alias("bad"), F.max("down").alias("widest")).first()
-    settled = not row["bad"]
-    hubs = hot_hashes(edges.select(F.col("v").alias("u")), ["u"]) \
-        if not settled and row["widest"] > scale.HOT_ROWS else []
-    return settled, hubs
+    row = degrees.agg(F.count_if(bad).alias("bad"), F.max(F.col("up") + F.col("down")).alias("widest")).first()
+    return not row["bad"], (row["widest"] or 0) > scale.HOT_ROWS
 
 
-def _large_star(edges: DataFrame, hubs: Sequence[int]) -> DataFrame:
-    """Connect every larger neighbour of u to the smallest vertex of u's neighbourhood."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m"))
-    low = low.select("u", F.least("u", "m").alias("m"))
-    return (skew_join(both, low, "u", hot=hubs).filter(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v")))
-
+def _with_smallest(edges: DataFrame, wide: bool) -> DataFrame:
+    """Every edge with m, the smallest neighbour of its u.
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Connect u and its smaller neighbours to the smallest of them. Here u > v on every edge.
-
-    A vertex has few edges up (at most one per key and round), so no centre is hot here.
+    A round moves a vertex to no more edges than it has, so while the widest neighbourhood is known
+    to fit a task one shuffle does. Otherwise the smallest are found map-side and joined back, with
+    the hot vertices salted.
     """
+    if not wide:
+        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = (edges.join(low, "u").filter(F.col("v") != F.col("m"))
-             .select(F.col("v").alias("u"), F.col("m").alias("v")))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    return skew_join(edges, low, "u")
+
+
+def _large_star(edges: DataFrame, wide: bool) -> DataFrame:
+    """Connect every larger neighbour of u to the smallest vertex of u and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return _with_smallest(both, wide).filter(F.col("v") > F.col("u")).select(
+        F.col("v").alias("u"), F.least("u", "m").alias("v"))
+
+
+def _small_star(edges: DataFrame, wide: bool) -> DataFrame:
+    """Connect u and its smaller neighbours to the smallest of them. Here u > v on every edge."""
+    ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
+                   F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    return (_with_smallest(edges, wide).select(F.explode(ends).alias("e")).select("e.u", "e.v")
+            .filter(F.col("u") != F.col("v")).distinct())
 
 
 def person_flag(type_is_person: Column, has_company_number: Column, licences: Column, key: Column,
