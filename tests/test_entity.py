@@ -16,10 +16,10 @@ from holdfast.operators import rollups as R
 from holdfast.operators import tenancy as N
 from holdfast.sources.dictionary import read_dictionary
 
-CLIENTS = [("1", "TELSTRA LIMITED", "33051775556"), ("2", "Telstra Ltd", None), ("3", "Airservices Australia", "59698720886"),
-           ("4", "AIRSERVICES AUSTRALIA (Melbourne)", "59698720886"), ("5", "CSL Australia Pty Ltd", None),
-           ("6", "CSL Limited", None), ("a", "One Pty Ltd", "11111111111"), ("b", "Two Pty Ltd", "11111111111"),
-           ("7", "Airservices Australia", "33051775556"), ("8", None, None), ("9", "", None)]
+CLIENTS = [("1", "CORVID LIMITED", "31415927000"), ("2", "Corvid Ltd", None), ("3", "Skylark Navigation", "42424242881"),
+           ("4", "SKYLARK NAVIGATION (North)", "42424242881"), ("5", "Lark Australia Pty Ltd", None),
+           ("6", "Lark Limited", None), ("a", "One Pty Ltd", "11111111111"), ("b", "Two Pty Ltd", "11111111111"),
+           ("7", "Skylark Navigation", "31415927000"), ("8", None, None), ("9", "", None)]
 
 
 def roots(df):
@@ -102,9 +102,9 @@ def test_one_flagged_record_flags_the_entity(spark):
 
 
 @pytest.mark.parametrize("type_,acn,lic,name,person", [
-    ("7", None, 176, "Spotlight Pty Ltd as trustee", True), ("7", "1", 1, "X", True), ("6", None, 1, "Bruce Abrahams", True),
-    ("6", None, 400, "Hansen Yuncken", False), ("6", "004085616", 1, "Bruce Abrahams", False), ("6", None, 5, "Bruce Abrahams", True),
-    ("6", None, 6, "Bruce Abrahams", False), (None, None, 0, "Bruce Pty", False), (None, None, 0, None, False)])
+    ("7", None, 176, "Lantern Pty Ltd as trustee", True), ("7", "1", 1, "X", True), ("6", None, 1, "Ada Example", True),
+    ("6", None, 400, "Boris Sample", False), ("6", "004085616", 1, "Ada Example", False), ("6", None, 5, "Ada Example", True),
+    ("6", None, 6, "Ada Example", False), (None, None, 0, "Bruce Pty", False), (None, None, 0, None, False)])
 def test_person_flag(spark, type_, acn, lic, name, person):
     df = spark.createDataFrame([(type_, acn, lic, name)], "t string, acn string, lic int, name string")
     flag = E.person_flag(F.col("t") == "7", F.col("acn").isNotNull(), F.col("lic"), name_key(F.col("name")), ["PTY"])
@@ -112,12 +112,12 @@ def test_person_flag(spark, type_, acn, lic, name, person):
 
 
 def test_classes(spark, tmp_path):
-    (tmp_path / "d.json").write_text('{"NBN CO LIMITED": "TELCO",\n "POLICE BAND": "MUSIC"}')
+    (tmp_path / "d.json").write_text('{"WIDE NET CO LIMITED": "TELCO",\n "POLICE BAND": "MUSIC"}')
     listed = read_dictionary(spark, str(tmp_path / "d.json"))
     assert read_dictionary(spark, str(tmp_path / "none.json")).count() == 0
     rules = [(whole_words(["POLICE"]), "SAFETY"), (whole_words(["MINING", "COAL"]), "MINING")]
-    df = spark.createDataFrame([("NBN CO LIMITED", False), ("POLICE BAND", False), ("COAL POLICE", False), ("YALLOURN COAL", False),
-                                ("COALITION", False), ("NBN CO LIMITED", True)], "key string, person boolean")
+    df = spark.createDataFrame([("WIDE NET CO LIMITED", False), ("POLICE BAND", False), ("COAL POLICE", False), ("NORTH COAL", False),
+                                ("COALITION", False), ("WIDE NET CO LIMITED", True)], "key string, person boolean")
     got = [r["class"] for r in E.classify(df, "key", "person", listed, rules).orderBy("person", "key").collect()]
     assert sorted(got) == sorted(["TELCO", "MUSIC", "SAFETY", "MINING", "UNCLASSIFIED", "INDIVIDUAL"])
 

@@ -53,8 +53,8 @@ def test_ramp_is_inverted_by_its_breakpoints(spark):
 
 
 @pytest.mark.parametrize("name,key", [
-    ("Telstra Ltd", "TELSTRA LIMITED"), ("St John Ambulance Incorporated", "ST JOHN AMBULANCE INC"),
-    ("Smith & Jones", "SMITH AND JONES"), ("B.H.P.  Billiton  Iron Ore Pty. Ltd.", "B H P BILLITON IRON ORE PTY LIMITED"),
+    ("Corvid Ltd", "CORVID LIMITED"), ("Harbour Choir Incorporated", "HARBOUR CHOIR INC"),
+    ("Alder & Birch", "ALDER AND BIRCH"), ("Q.R.S.  Copper  Works Pty. Ltd.", "Q R S COPPER WORKS PTY LIMITED"),
     ("A B", "A B"), ("  mixed Case  ", "MIXED CASE"), ("MALTDOWN", "MALTDOWN"),
     ("éLTD x", "ÉLIMITED X"), (None, None), (" . ", "")])
 def test_name_key(spark, name, key):
@@ -62,12 +62,12 @@ def test_name_key(spark, name, key):
 
 
 def test_company_suffixes_stay_in_the_key(spark):
-    a, b = many(spark, text.name_key, ["CSL Australia Pty Ltd", "CSL Limited"], "string")
+    a, b = many(spark, text.name_key, ["Lark Australia Pty Ltd", "Lark Limited"], "string")
     assert a != b
 
 
 def test_checksum(spark):
-    values = ["51824753556", "51 824 753 556", "51824753557", "", "0", "123456789012", "abcdefghijk", "5182475355", None]
+    values = ["20304050970", "20 304 050 970", "20304050971", "", "0", "123456789012", "abcdefghijk", "2030405097", None]
     assert many(spark, identifiers.valid_abn, values, "string") == [True, True] + [False] * 7
 
 
@@ -75,10 +75,10 @@ ORGANISATION = ["PTY", "LIMITED", "CITY", "TRAINS", "HEALTH", "ENGINEERING", "RE
 
 
 @pytest.mark.parametrize("name,personal", [
-    ("Bruce Abrahams", True), ("GE Hawgood", True), ("GW & DJ Lewis", True), ("D.R NETHERCOTE & J.A NETHERCOTE", True),
-    ("MAX R & MERRYN HENKE", True), ("Gallinagh VP & SD & Co", True), ("R J & V M HATHWAY & SON", True),
-    ("A & B & C & D", False), ("Cher", False), ("One Two Three Four Five", False), ("SYDNEY TRAINS", False),
-    ("CITY OF ALBANY", False), ("SMITH AND JONES ENGINEERING", False), ("SEARCH AND RESCUE", False), ("John 3 Smith", False),
+    ("Ada Example", True), ("QZ Sample", True), ("AB & CD Sample", True), ("A.B EXAMPLE & C.D EXAMPLE", True),
+    ("ADA R & BORIS SAMPLE", True), ("Sample VP & SD & Co", True), ("A B & C D SAMPLE & SON", True),
+    ("A & B & C & D", False), ("Cher", False), ("One Two Three Four Five", False), ("VALLEY TRAINS", False),
+    ("CITY OF LARKS", False), ("ALDER AND BIRCH ENGINEERING", False), ("HILL AND RESCUE", False), ("John 3 Smith", False),
     ("Supercalifragilistic Name", False), ("", False), (None, False)])
 def test_personal_shape(spark, name, personal):
     assert one(spark, lambda x: text.personal_shape(text.name_key(x), ORGANISATION), name) is personal
@@ -88,7 +88,7 @@ def test_rules_in_order(spark):
     rules = [(text.whole_words(["POLICE"]), "SAFETY"), (text.whole_words(["MINES", "PETROLEUM"]), "MINING"),
              (text.whole_words(["DEPARTMENT OF", "POLICE"]), "GOV")]
     got = many(spark, lambda x: text.first_rule(x, rules, "NONE"),
-               ["BROKEN HILL POLICE", "DEPARTMENT OF MINES", "DEPARTMENT OF PARKS", "POLICEMAN"], "string")
+               ["HILL TOP POLICE", "DEPARTMENT OF MINES", "DEPARTMENT OF PARKS", "POLICEMAN"], "string")
     assert got == ["SAFETY", "MINING", "GOV", "NONE"]
 
 

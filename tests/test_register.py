@@ -19,10 +19,10 @@ RULES = Rules(BANDS, class_rules=[(whole_words(["POLICE"]), "SAFETY"), (whole_wo
               not_personal=["PTY", "LIMITED", "POLICE", "MINING", "SHIRE", "BROADCAST"], issue_year=2026)
 
 CLIENT = [  # CLIENT_NO, LICENCEE, ABN, ACN, CLIENT_TYPE_ID, CAT_ID
-    ("1", "Big Tel Ltd", "51824753556", "001", "6", "T"), ("2", "BIG TEL LIMITED", "", "", "6", ""),
-    ("3", "Tel Rural, Pty", "51824753556", "", "6", ""), ("4", "State Police", "", "", "3", "S"),
+    ("1", "Big Tel Ltd", "20304050970", "001", "6", "T"), ("2", "BIG TEL LIMITED", "", "", "6", ""),
+    ("3", "Tel Rural, Pty", "20304050970", "", "6", ""), ("4", "State Police", "", "", "3", "S"),
     ("5", "Deep Mining Pty Ltd", "11111111111", "", "6", ""), ("6", "Other Mining Pty Ltd", "11111111111", "", "6", ""),
-    ("7", "Jane Citizen", "", "", "7", ""), ("8", "Bruce & Joan Smith", "", "", "5", ""), ("9", "Shire of Nowhere", "", "", "4", ""),
+    ("7", "Jane Citizen", "", "", "7", ""), ("8", "Ada & Boris Sample", "", "", "5", ""), ("9", "Shire of Nowhere", "", "", "4", ""),
     ("10", "Broadcast One Pty", "", "", "6", "B")]
 LICENCE = []  # LICENCE_NO, CLIENT_NO, SV_ID, SS_ID, STATUS, STATUS_TEXT, DATE_ISSUED, DATE_OF_EXPIRY, BSL_NO
 for i in range(60):

@@ -20,9 +20,9 @@ def rows(df, *columns):
 
 
 def test_quotes_commas_newlines(spark, tmp_path):
-    text = 'A,B,C\r\n1,"Fort Hill Wharf, DARWIN","say ""hi"""\r\n\r\n2,"line one\nline two",\r\n3,"10K1F3E  ",z'
+    text = 'A,B,C\r\n1,"North Pier, HARBOUR","say ""hi"""\r\n\r\n2,"line one\nline two",\r\n3,"AB12  ",z'
     df = tables.read_table(spark, write(tmp_path / "a.csv", text), ["A", "B", "C"])
-    assert rows(df, "A", "B", "C") == [("1", "Fort Hill Wharf, DARWIN", 'say "hi"'), ("2", "line one\nline two", None), ("3", "10K1F3E  ", "z")]
+    assert rows(df, "A", "B", "C") == [("1", "North Pier, HARBOUR", 'say "hi"'), ("2", "line one\nline two", None), ("3", "AB12  ", "z")]
     assert rows(tables.defects(df), "rows", "ragged") == [(3, 0)]
 
 
