@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.decontaminate import contamination
+from holdfast.llm.pii import find_personal
 from holdfast.llm.registry import QUERIES, SQL, query, read
 
 __all__ = ["QUERIES", "SQL"]
@@ -33,3 +34,9 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query()
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document, disguised forms included. Counts and digest are of the base spans."""
+    return find_personal(read(spark, folder, "documents"), keep=["doc_id"])
