@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.decontaminate import contamination
+from holdfast.llm.packing import packed
 from holdfast.llm.pii import find_personal
 from holdfast.llm.registry import QUERIES, SQL, query, read
 
@@ -40,3 +41,10 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of every document, disguised forms included. Counts and digest are of the base spans."""
     return find_personal(read(spark, folder, "documents"), keep=["doc_id"])
+
+
+@query()
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    import public_tokenizers
+    return packed(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
