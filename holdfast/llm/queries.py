@@ -9,6 +9,7 @@ from holdfast.llm.decontaminate import contamination
 from holdfast.llm.packing import packed
 from holdfast.llm.pii import find_personal
 from holdfast.llm.registry import QUERIES, SQL, query, read
+from holdfast.llm.toxicity import fit, fold, toxicity, training_rows
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -48,3 +49,13 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     import public_tokenizers
     return packed(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+
+
+@query()
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learnt outside the fold that is held out."""
+    docs = read(spark, folder, "documents")
+    model = fit(training_rows(docs, read(spark, folder, "labels")))
+    scored = toxicity(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -99,10 +99,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a block of texts: ``start`` and ``end`` bytes, a 64-bit ``hash`` each, and row borders.
 
-    Row r has words ``first[r]`` to ``first[r + 1]``. ``order`` of words is that of the texts.
+    Row r has words ``first[r]`` to ``first[r + 1]``. For each length in ``stems`` there is a hash of the
+    first so many bytes of each word in ``stem``; 0 for words that are no longer than that.
     """
 
-    def __init__(self, column: pa.Array, kind: str, hashed: bool = True):
+    def __init__(self, column: pa.Array, kind: str, hashed: bool = True, stems: tuple[int, ...] = ()):
         self.raw, self.offsets = text_bytes(column)
         inside = _INSIDE[kind][self.raw]
         n = len(inside)
@@ -115,6 +116,7 @@ class Words:
             ends[:-1] &= ~inside[1:] | edge[1:n]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, self.offsets)
+        self.stem = {n: np.zeros(len(self.start), np.uint64) for n in stems}
         self.hash = self._hash(TABLES[kind]) if hashed else None
 
     def __len__(self) -> int:
@@ -139,7 +141,12 @@ class Words:
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(_VALUE[table[self.raw[low:high]]] * _powers("up", _BASE, n)[:n], out=sums[1:])
             s = self.start[at:to] - low
-            out[at:to] = (sums[self.end[at:to] - low] - sums[s]) * _powers("down", _INVERSE, n + 1)[s]
+            down = _powers("down", _INVERSE, n + 1)[s]
+            out[at:to] = (sums[self.end[at:to] - low] - sums[s]) * down
+            for size, stem in self.stem.items():
+                cut = np.minimum(s + size, self.end[at:to] - low)
+                longer = s + size < self.end[at:to] - low
+                stem[at:to] = np.where(longer, mix((sums[cut] - sums[s]) * down + np.uint64(size)), 0)
             at = to
         return mix(out)
 
