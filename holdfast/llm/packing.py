@@ -29,8 +29,8 @@ from holdfast.scale import durable
 CAPACITY = 2048
 END = 0
 # Words kept by one Python worker: some 40 bytes each. More are forgotten and tokenised again.
-CACHED = 2_000_000
-BLOCK = 8 << 20
+CACHED = 500_000
+BLOCK = 4 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -78,7 +78,7 @@ class Tokens:
                 known = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
             else:
                 known = self._full([part])[0]
-            if len(self.parts) > 300_000:
+            if len(self.parts) > 60_000:
                 self.parts.clear()
             self.parts[part] = known
         return known
