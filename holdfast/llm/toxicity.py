@@ -31,17 +31,17 @@ SHARD_ROWS = 2_500
 # Features in at least so many texts of a shard or, in the end, of the sample may get a weight.
 LEAST_TEXTS = 3
 # Features that the second step may start from, and so the bound of the model: 16 bytes each.
-FEATURES = 1 << 18
+FEATURES = 1 << 16
 STEMS = (4, 5, 6)
 BUCKETS = 1 << 22
 
 
 class Rates(NamedTuple):
-    alpha: float = 0.2
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 0.5
-    epochs: int = 4
+    l1: float = 3.0
+    l2: float = 0.0
+    epochs: int = 10
 
 
 class Model(NamedTuple):
@@ -178,9 +178,13 @@ def fit(rows: DataFrame, rates: Rates = Rates()) -> Model:
                 [t.astype(np.int32) for t in texts], pa.list_(pa.int32()))], names=["label", "at"])
 
     # Every text is now a short list of places, sorted so that the order of learning does not vary.
-    table = shards.mapInArrow(known, "label int, at array<int>").collect()
-    examples = sorted((r["label"], tuple(r["at"])) for r in table)
-    weights = ftrl([1 + np.array(at, np.int64) for _, at in examples], [y for y, _ in examples], len(keys) + 1, rates)
+    table = shards.mapInArrow(known, "label int, at array<int>").toArrow()
+    places = table.column("at").combine_chunks()
+    border, flat = places.offsets.to_numpy(), places.values.to_numpy().astype(np.int64) + 1
+    texts = [flat[a:b] for a, b in zip(border, border[1:])]
+    labels = table.column("label").to_pylist()
+    order = sorted(range(len(texts)), key=lambda k: (labels[k], texts[k].tobytes()))
+    weights = ftrl([texts[k] for k in order], [labels[k] for k in order], len(keys) + 1, rates)
     some = np.flatnonzero(weights[1:])
     return Model(keys[some], weights[1:][some], float(weights[0]))
 
