@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast.llm import langid
 from holdfast.llm.decontaminate import contamination
 from holdfast.llm.packing import packed
 from holdfast.llm.pii import find_personal
@@ -59,3 +60,13 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity(docs, model, keep=["doc_id"])
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learnt outside the fold that is held out."""
+    docs = read(spark, folder, "documents")
+    held = fold(F.col("doc_id"), 4) == 2
+    model = langid.fit(langid.training_texts(docs.filter(~held), "doc_id", "text", "lang"))
+    found = langid.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

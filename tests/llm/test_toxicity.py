@@ -14,7 +14,7 @@ def test_features_are_those_of_single_rows():
     texts = ["You moron, you clown!", "", None, "you", "a b a b", "überlang überlange"]
     row, feature = T.features(pa.array(texts))
     for k, text in enumerate(texts):
-        alone = T.features(pa.array([text]))[1]
+        alone = T.features(pa.array([text], pa.string()))[1]
         assert sorted(feature[row == k].tolist()) == sorted(alone.tolist())
     assert len(set(T.features(pa.array(["a b a b"]))[1].tolist())) == 2 + 2 + 2
 
