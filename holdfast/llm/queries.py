@@ -10,6 +10,7 @@ from holdfast.llm.decontaminate import contamination
 from holdfast.llm.packing import packed
 from holdfast.llm.pii import find_personal
 from holdfast.llm.registry import QUERIES, SQL, query, read
+from holdfast.llm.substring_dedup import deduplicated
 from holdfast.llm.toxicity import fit, fold, toxicity, training_rows
 
 __all__ = ["QUERIES", "SQL"]
@@ -70,3 +71,17 @@ def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.fit(langid.training_texts(docs.filter(~held), "doc_id", "text", "lang"))
     found = langid.identify(docs, model, keep=["doc_id"])
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS x FROM d, unnest(generate_series(1, len(w) - 19)) AS g(i)),
+old AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM old, unnest(generate_series(0, 19)) AS g(j)),
+word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS s FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""")
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without windows of 20 words that also start earlier."""
+    left = deduplicated(read(spark, folder, "documents"), keep=["doc_id"])
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
