@@ -12,19 +12,17 @@ from holdfast.functions.text import first_rule, personal_shape
 from holdfast.operators.ordering import best, position
 from holdfast.scale import durable, skew_join
 
-MAX_ROUNDS = 60
 # Fixed value: a holder of more licences than this is never taken for a person by its name.
 PERSON_MAX_LICENCES = 5
 
 
-def components(records: DataFrame, id: str, keys: Sequence[Column], root: str = "root",
-               max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def components(records: DataFrame, id: str, keys: Sequence[Column], root: str = "root") -> DataFrame:
     """(id, root): records that share any key, transitively; the root is the smallest id.
 
     A NULL key joins nothing. Every key contributes a star (member, smallest member), never
     a clique. The stars are contracted by alternating large-star and small-star steps
     (Kiveris et al., 2014), which need a logarithmic number of rounds on long chains too.
-    Each round is checkpointed; joins that meet a hot centre are salted.
+    Each round is written; joins that meet a hot centre are salted.
     """
     members = records.select(F.col(id).alias("id"), F.explode(F.array_compact(F.array(*[
         F.when(k.isNotNull(), F.struct(F.lit(i).alias("kind"), k.cast("string").alias("key")))
@@ -34,18 +32,24 @@ def components(records: DataFrame, id: str, keys: Sequence[Column], root: str =
                .filter(F.col("v") != F.col("_max")).drop("_max"))
     edges = (skew_join(members, centres, ["kind", "key"]).filter(F.col("id") != F.col("v"))
              .select(F.col("id").alias("u"), "v").distinct())
-    for _ in range(max_rounds):
+    found = connected(edges).select(F.col("u").alias(id), F.col("v").alias(root))
+    return (records.select(id).join(found, id, "left")
+            .select(id, F.coalesce(F.col(root), F.col(id)).alias(root)))
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(u, v): every vertex of the edges (u, v) but the roots, with the smallest of its component.
+
+    Needs v < u on every edge. Alternating large-star and small-star steps, which converge whatever
+    the shape of the graph: the loop ends when the edges are stars.
+    """
+    while True:
         edges = durable(edges)
         settled, wide = _inspect(edges)
         if settled:
-            break
+            return edges
         edges = _large_star(edges, wide)
         edges = _small_star(durable(edges) if wide else edges, wide)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    found = edges.select(F.col("u").alias(id), F.col("v").alias(root))
-    return (records.select(id).join(found, id, "left")
-            .select(id, F.coalesce(F.col(root), F.col(id)).alias(root)))
 
 
 def _inspect(edges: DataFrame) -> tuple[bool, bool]:
