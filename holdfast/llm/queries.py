@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import langid
+from holdfast.llm import langid, lm
 from holdfast.llm.decontaminate import contamination
+from holdfast.llm.near_dedup import near_duplicates
 from holdfast.llm.packing import packed
 from holdfast.llm.pii import find_personal
 from holdfast.llm.registry import QUERIES, SQL, query, read
@@ -85,3 +86,19 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without windows of 20 words that also start earlier."""
     left = deduplicated(read(spark, folder, "documents"), keep=["doc_id"])
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op5_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """log10 probability of every document, learnt outside the fold that is held out."""
+    docs = read(spark, folder, "documents")
+    held = fold(F.col("doc_id"), 5) == 1
+    model = lm.fit(docs.filter(~held))
+    out = lm.scored(docs, model, keep=["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return near_duplicates(read(spark, folder, "documents"))
