@@ -31,15 +31,19 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], result: str,
     """
     made = schema(result)
     kept = [c for c in dict.fromkeys(keep) if c not in made.names]
-    row = F.struct(*[name(c).alias(f"c{i}") for i, c in enumerate(kept)], F.lit(0).alias("z"))
+    # A text that is kept and is a string already travels once.
+    again = text if text in kept and df.schema[text].dataType == T.StringType() else None
+    place = {c: "text" if c == again else f"row.c{i}" for i, c in enumerate(kept)}
+    row = F.struct(*[name(c).alias(f"c{i}") for i, c in enumerate(kept) if c != again], F.lit(0).alias("z"))
     source = df.select(row.alias("row"), name(text).cast("string").alias("text"))
-    out = T.StructType([source.schema["row"], *[T.StructField(f"r{i}", f.dataType) for i, f in enumerate(made)]])
+    out = T.StructType([*(source.schema if again else source.schema[:1]),
+                        *[T.StructField(f"r{i}", f.dataType) for i, f in enumerate(made)]])
     names = [f.name for f in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", limit):
-            yield pa.RecordBatch.from_arrays([block.column("row"), *work(block.column("text"))], names=names)
+            passed = [block.column("row"), block.column("text")][:2 if again else 1]
+            yield pa.RecordBatch.from_arrays([*passed, *work(block.column("text"))], names=names)
 
     done = source.mapInArrow(run, out)
-    return done.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)],
-                       *[F.col(f"r{i}").alias(f.name) for i, f in enumerate(made)])
+    return done.select(*[F.col(place[c]).alias(c) for c in kept], *[F.col(f"r{i}").alias(f.name) for i, f in enumerate(made)])

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import langid, lm
+from holdfast.llm.ann import nearest
 from holdfast.llm.decontaminate import contamination
+from holdfast.llm.licenses import license_scan
 from holdfast.llm.near_dedup import near_duplicates
 from holdfast.llm.packing import packed
 from holdfast.llm.pii import find_personal
@@ -102,3 +104,15 @@ def op5_lm(spark: SparkSession, folder: str) -> DataFrame:
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The class of near-duplicates of every document."""
     return near_duplicates(read(spark, folder, "documents"))
+
+
+@query()
+def op4_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return nearest(read(spark, folder, "embeddings"))
+
+
+@query()
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """The licences that every document states."""
+    return license_scan(read(spark, folder, "documents"), keep=["doc_id"])
