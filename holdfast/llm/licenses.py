@@ -2,7 +2,7 @@
 
 A text is cut into sentences; a line break ends one too, unless what stands before it can only be the
 beginning of a known sentence. Sentences are normalised: lower case, words and numbers only, every
-number a ``#``. A sentence known by its normalised form has an identifier, and its first number is the
+number a ``#``. A sentence known by its normalised form has an identifier, and its last number is the
 version. The sequence of identifiers is matched from left to right against ordered rules, the longest
 that fits first; up to ``GAP`` unknown sentences may lie between those of a rule. A known sentence
 that no rule takes is reported on its own.
@@ -115,8 +115,8 @@ def sentences(text: str) -> list[Sentence]:
 
 def _one(key: str, body: str, start: int, end: int) -> Sentence:
     found = KNOWN.get(key)
-    number = _NUMBER.search(body) if found else None
-    return found, number[0] if number else "", start, end
+    numbers = _NUMBER.findall(body) if found else []
+    return found, numbers[-1] if numbers else "", start, end
 
 
 def match(found: Sequence[Sentence]) -> list[tuple[str, int, int]]:
