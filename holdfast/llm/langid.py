@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.frames import map_texts, name
 from holdfast.llm.words import _BASE, _INVERSE, _powers, blocks, mix
+from holdfast.scale import broadcast_if_small, durable
 
 UNKNOWN = "und"
 # Bounds of the model: texts learnt from, words and n-grams of each length kept, per language.
@@ -90,7 +91,8 @@ def training_texts(docs: DataFrame, id: str, text: str, lang: str, texts: int =
     share = (known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
              .select("lang", F.least(F.lit(1.0), F.lit(float(texts)) / F.col("n")).alias("share")))
     draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(million)) < F.col("share") * million
-    return known.join(share, "lang").filter(draw).select("lang", "text")
+    # A row for each language: counted before it is broadcast, so that no text travels to be drawn.
+    return known.join(broadcast_if_small(durable(share)), "lang").filter(draw).select("lang", "text")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
