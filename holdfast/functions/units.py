@@ -33,6 +33,14 @@ def with_hz_text(df: DataFrame, value: str, name: str) -> DataFrame:
     out = out.withColumns({"_hz_product": c["v"] * c["scale"], "_hz_spread": c["v"] * F.lit(134217729.0)})
     out = out.withColumns({"_hz_below": F.floor("_hz_product"), "_hz_high": c["spread"] - (c["spread"] - c["v"])})
     lost = (c["high"] * c["scale"] - c["product"]) + (c["v"] - c["high"]) * c["scale"]
+    # From 1e21 on the fraction is taken apart first: the number times its scale would not fit a long.
+    large = (x >= F.lit(1e21)) & (x < F.lit(float("inf")))
+    part = (x / 1e9) % F.lit(1.0)
+    millionths = F.floor(part * 1e6 + 0.5)
+    giga = ((x / 1e9 - part).try_cast("decimal(38,0)") + F.when(millionths == 10 ** 6, 1).otherwise(0)).cast("string")
+    after = F.rtrim(F.lpad((millionths % 10 ** 6).cast("string"), 6, "0"), F.lit("0"))
+    huge = F.concat(F.coalesce(giga, (x / 1e9).cast("string")),
+                    F.when(after == "", F.lit("")).otherwise(F.concat(F.lit("."), after)), F.lit(" GHz"))
     half = (c["product"] - c["below"].cast("double") - 0.5) + lost >= 0
     out = out.withColumn("_hz_n", c["below"] + F.when(half, 1).otherwise(0))
     out = out.withColumn("_hz_rest", c["n"] % c["scale"])
@@ -40,7 +48,7 @@ def with_hz_text(df: DataFrame, value: str, name: str) -> DataFrame:
     decimals = F.rtrim(F.lpad(c["rest"].cast("string"), c["places"], F.lit("0")), F.lit("0"))
     text = F.concat(whole, F.when(c["rest"] == 0, F.lit("")).otherwise(F.concat(F.lit("."), decimals)),
                     _by_size(x, " GHz", " MHz", " kHz", " Hz"))
-    return out.withColumn(name, F.coalesce(text, F.lit(MISSING))).drop(*[f"_hz_{n}" for n in c])
+    return out.withColumn(name, F.coalesce(text, F.when(large, huge), F.lit(MISSING))).drop(*[f"_hz_{n}" for n in c])
 
 
 def with_parsed_hz(df: DataFrame, text: str, name: str) -> DataFrame:

@@ -79,6 +79,7 @@ def range_join(facts: DataFrame, value: str, intervals: DataFrame, lo: str = "lo
     Every interval is listed under each log bin it touches (plus one overflow bin at
     either end of the axis), so the join is an equi-join on the bin with the range as
     a second condition. Hot bins are salted; a small interval table is broadcast by AQE.
+    A value that is NULL, NaN or not positive is in no interval.
     """
     last = log_bin_count(low, high, per_decade)
 
@@ -89,7 +90,7 @@ def range_join(facts: DataFrame, value: str, intervals: DataFrame, lo: str = "lo
     first_bin = bin_of(F.col(lo))
     last_bin = F.when(F.col(hi).isNull(), F.lit(last)).otherwise(bin_of(F.col(hi)))
     listed = intervals.withColumn("_bin", F.explode(F.sequence(first_bin, last_bin)))
-    keyed = facts.withColumn("_bin", bin_of(F.col(value)))
+    keyed = facts.withColumn("_bin", F.when((F.col(value) > 0) & ~F.isnan(F.col(value)), bin_of(F.col(value))))
     holds = (F.col(lo) <= F.col(value)) & (F.col(hi).isNull() | (F.col(value) < F.col(hi)))
     return skew_join(keyed, listed, "_bin", how, condition=holds).drop("_bin")
 

@@ -9,10 +9,10 @@ from holdfast.functions.numbers import half_up
 from holdfast.operators.ordering import best, share_of_group, top
 
 
-def named_areas(areas: DataFrame, name: str, placeholder: str) -> DataFrame:
+def named_areas(areas: DataFrame, name: str, placeholder: str | None) -> DataFrame:
     """Areas with a real name: not blank and not matching the placeholder pattern (case ignored)."""
-    return areas.filter(F.col(name).isNotNull() & (F.col(name) != "")
-                        & ~F.col(name).rlike(f"(?i){placeholder}"))
+    named = areas.filter(F.col(name).isNotNull() & (F.col(name) != ""))
+    return named if placeholder is None else named.filter(~F.col(name).rlike(f"(?i){placeholder}"))
 
 
 def block_holdings(blocks: DataFrame, *, market: str, band: str, holder: str, licence: str,

@@ -100,9 +100,9 @@ def _join_boundary(points: DataFrame, table: DataFrame, on: Sequence[str], weigh
     return skew_join(points, table, on, "left")
 
 
-def drop_named(df: DataFrame, name: str, pattern: str) -> DataFrame:
-    """Drop pseudo-regions: rows whose name matches ``pattern``."""
-    return df.filter(~F.coalesce(F.col(name).rlike(pattern), F.lit(False)))
+def drop_named(df: DataFrame, name: str, pattern: str | None) -> DataFrame:
+    """Drop pseudo-regions: rows whose name matches ``pattern``; None drops none."""
+    return df if pattern is None else df.filter(~F.coalesce(F.col(name).rlike(pattern), F.lit(False)))
 
 
 def density_grid(sites: DataFrame, lat: str, lon: str, devices: Column, per_unit: int = 10) -> DataFrame:

@@ -80,9 +80,10 @@ def _window(group: list[str], order: Sequence[Column]):
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
                   name: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each group; every map task passes on at most ``k`` rows a group."""
+    """The first ``k`` rows of each group. Below GROUP_LIMIT every map task passes on at most ``k`` rows
+    a group; from there on the rows are numbered, however long the group, and ``order`` must be total."""
     if k >= GROUP_LIMIT:
-        raise ValueError(f"k must stay below {GROUP_LIMIT} for the limit to be applied before the shuffle")
+        return position(durable(df), group, order, name).filter(F.col(name) <= k)
     frame = Window.partitionBy(*group).orderBy(*order)
     ranked = df.withColumn(name, F.row_number().over(frame)).filter(F.col(name) <= k)
     return ranked.withColumn(name, F.col(name).cast("long"))

@@ -118,13 +118,17 @@ def class_totals(totals: DataFrame, cls: str, sums: Sequence[str], classes: Data
 
 
 def matrix(df: DataFrame, row: str, column: str, rows: DataFrame, columns: DataFrame,
-           name: str = "licences") -> DataFrame:
-    """Long form of row × column counts with every combination of the two (small, listed) domains."""
-    counted = df.groupBy(row, column).agg(F.count(F.lit(1)).alias(name))
-    listed = [r[0] for r in columns.select(column).distinct().orderBy(column).limit(1001).collect()]
-    if len(listed) > 1000:
-        raise ValueError("a matrix needs a listed domain of at most 1000 columns")
-    domain = rows.withColumn(column, F.explode(F.array(*[F.lit(v) for v in listed])))
+           name: str = "licences", weight: str | None = None) -> DataFrame:
+    """Long form of row × column counts with every combination of the two domains.
+
+    The columns meet the rows as one array; ``weight`` sums a column where the rows are counts already.
+    """
+    counted = df.groupBy(row, column).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias(name))
+    one = F.lit(1).alias("_one")
+    listed = columns.select(one, column).groupBy("_one").agg(F.collect_set(column).alias("_listed"))
+    # One row: the only thing ever broadcast here.
+    domain = (rows.select(one, row).distinct().join(F.broadcast(listed), "_one")
+              .select(row, F.explode("_listed").alias(column)))
     return dense(counted, domain, [row, column], [name])
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A signature is a 64-bit mask, one bit a class, with the sign bit left alone.
-MAX_CLASSES = 62
+from holdfast.scale import broadcast_if_small
+
+# Up to so many classes a site's signature is a 64-bit mask, one bit a class; beyond that, an array.
+MASK_CLASSES = 62
 
 
 def class_signatures(tenants: DataFrame, site: str, numbered: DataFrame) -> DataFrame:
@@ -33,7 +35,9 @@ def class_pairs(tenants: DataFrame, site: str, classes: DataFrame) -> DataFrame:
     the class at the site (for a pair of different classes the two columns agree).
     """
     numbered = numbered_classes(classes)
-    present = F.filter(F.sequence(F.lit(0), F.lit(MAX_CLASSES - 1)),
+    if numbered is None:
+        return _pairs_of_arrays(tenants, site, classes)
+    present = F.filter(F.sequence(F.lit(0), F.lit(MASK_CLASSES - 1)),
                        lambda i: F.call_function("getbit", F.col("mask"), i) == 1)
     first = class_signatures(tenants, site, numbered).withColumn("_bits", present) \
         .select("same", "sites", "_bits", F.explode("_bits").alias("i"))
@@ -47,18 +51,32 @@ def class_pairs(tenants: DataFrame, site: str, classes: DataFrame) -> DataFrame:
     return counted.join(a, "i").join(b, "j").select("a", "b", "sites", "same_class_sites")
 
 
+def _pairs_of_arrays(tenants: DataFrame, site: str, classes: DataFrame) -> DataFrame:
+    """``class_pairs`` for any number of classes: a site's signature is the sorted array of its classes."""
+    column = classes.columns[0]
+    listed = classes.select(F.col(column).alias("class")).distinct()
+    per_class = tenants.groupBy(site, "class").agg(F.count(F.lit(1)).alias("n")).join(listed, "class", "left_semi")
+    per_site = per_class.groupBy(site).agg(F.sort_array(F.collect_list(F.struct("class", (F.col("n") > 1).alias("two")))).alias("set"))
+    signatures = per_site.groupBy("set").agg(F.count(F.lit(1)).alias("sites"))
+    first = signatures.select("sites", "set", F.explode("set").alias("x"))
+    both = first.select("sites", "x", F.explode(F.filter("set", lambda y: y["class"] >= F.col("x.class"))).alias("y"))
+    same = (F.col("x.class") != F.col("y.class")) | F.col("x.two")
+    return both.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(
+        F.sum("sites").alias("sites"), F.sum(F.when(same, F.col("sites")).otherwise(0)).alias("same_class_sites"))
+
+
 def pair_totals(pairs: DataFrame) -> DataFrame:
     """Each pair credited to both of its classes, the diagonal once."""
     ends = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("class"), "sites")
     return ends.groupBy("class").agg(F.sum("sites").alias("pairings"))
 
 
-def numbered_classes(classes: DataFrame) -> DataFrame:
-    """(class, _i): classes numbered in order of name; the domain is a checked, short list."""
+def numbered_classes(classes: DataFrame) -> DataFrame | None:
+    """(class, _i): classes numbered in order of name; None when there are more than a mask has bits for."""
     column = classes.columns[0]
-    names = [r[0] for r in classes.select(column).distinct().orderBy(column).limit(MAX_CLASSES + 1).collect()]
-    if len(names) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes: group them before pairing")
+    names = [r[0] for r in classes.select(column).distinct().orderBy(column).limit(MASK_CLASSES + 1).collect()]
+    if len(names) > MASK_CLASSES:
+        return None
     kind = classes.schema[column].dataType
     return classes.sparkSession.createDataFrame(
         [(n, i) for i, n in enumerate(names)], f"class {kind.simpleString()}, _i int")
@@ -82,7 +100,7 @@ def crowded_sites(site_totals: DataFrame, site: str, least: int = 6, top: int =
 def tenant_list(crowded: DataFrame, tenants: DataFrame, site: str) -> DataFrame:
     """(site, holder) of the named tenants of the sites listed: long form, one row a tenant."""
     return tenants.filter(~F.col("person")).join(
-        F.broadcast(crowded.select(site)), site, "left_semi").select(site, "holder")
+        broadcast_if_small(crowded.select(site)), site, "left_semi").select(site, "holder")
 
 
 def sharing_split(site_totals: DataFrame) -> DataFrame:

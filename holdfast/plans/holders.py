@@ -289,17 +289,17 @@ def holder_totals(t: Tables) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT DISTINCT o_orderpriority AS service FROM orders),
-c AS (SELECT DISTINCT c_mktsegment AS class FROM customer),
+c AS (SELECT DISTINCT c_mktsegment AS class FROM customer UNION SELECT 'NO LICENCE AT ALL'),
 n AS (SELECT c_mktsegment AS class, o_orderpriority AS service, count(*) AS licences
-      FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P' AND o_totalprice > 400000 GROUP BY ALL)
+      FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)
 SELECT class, service, coalesce(licences, 0) AS licences FROM (SELECT class, service FROM c CROSS JOIN s) LEFT JOIN n USING (class, service)""")
 def class_service_matrix(t: Tables) -> DataFrame:
-    """Licences per class and service, combinations without any included."""
-    big = t.orders.filter((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000))
-    df = big.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select(
-        F.col("c_mktsegment").alias("class"), F.col("o_orderpriority").alias("service"))
-    return R.matrix(df, "class", "service", t.clients.select("class").distinct(),
-                    t.orders.select(F.col("o_orderpriority").alias("service")).distinct())
+    """Licences per class and service, combinations without any included: one listed class has none."""
+    per_holder = t.orders.groupBy(F.col("o_custkey").alias("holder"), F.col("o_orderpriority").alias("service")).agg(
+        F.count(F.lit(1)).alias("n"))
+    df = per_holder.join(t.clients.select("holder", "class"), "holder")
+    listed = t.clients.select("class").unionByName(t.spark.createDataFrame([("NO LICENCE AT ALL",)], "class string"))
+    return R.matrix(df, "class", "service", listed, per_holder.select("service"), weight="n")
 
 
 @query(f"""WITH {REGISTER_SQL}, l AS (SELECT class, count(*) AS licences FROM lic GROUP BY class),

@@ -319,3 +319,21 @@ SELECT band, rows, rows / sum(rows) OVER () AS share FROM r""")
 def band_share(t: Tables) -> DataFrame:
     rolled = B.band_rollup(held(t), "band").select("band", "rows").withColumn("_all", F.lit(1))
     return share_of_group(rolled, ["_all"], "rows").drop("_all")
+
+
+@query("""WITH iv AS (SELECT n_nationkey AS interval_id, n_nationkey * 400.0 - 1000 AS lo,
+  CASE WHEN n_nationkey < 24 THEN n_nationkey * 400.0 - 600 END AS hi FROM nation),
+v AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 7 = 1 THEN CAST('nan' AS DOUBLE)
+        ELSE c_acctbal END AS value FROM customer)
+SELECT interval_id, count(*) AS rows, count(value) FILTER (WHERE value <= 0 OR isnan(value)) AS outside
+FROM v LEFT JOIN iv ON NOT isnan(value) AND value > 0 AND lo <= value AND (hi IS NULL OR value < hi) GROUP BY interval_id""")
+def range_join_missing(t: Tables) -> DataFrame:
+    """Rows per interval where values are NULL, NaN, negative or zero as well: those are in no interval."""
+    iv = t.nation.select(
+        F.col("n_nationkey").alias("interval_id"), (F.col("n_nationkey") * 400.0 - 1000).alias("lo"),
+        F.when(F.col("n_nationkey") < 24, F.col("n_nationkey") * 400.0 - 600).alias("hi"))
+    kind = F.col("c_custkey") % 7
+    values = t.customer.select(F.when(kind == 1, F.lit(float("nan"))).when(kind != 0, F.col("c_acctbal").cast("double")).alias("value"))
+    joined = B.range_join(values, "value", iv)
+    return joined.groupBy("interval_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when((F.col("value") <= 0) | F.isnan("value"), 1)).alias("outside"))

@@ -225,7 +225,8 @@ def points(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", coordinate(0).alias("lat"), coordinate(1).alias("lon"), "label")
 
 
-# A square with a hole, a two-part region, a triangle over both, and one without geometry.
+# A square with a hole, a two-part region, a triangle over both, one to be dropped by its name (it lies
+# over the others and comes before the triangle), and one without geometry.
 BOUNDARIES = {"type": "FeatureCollection", "features": [
     {"type": "Feature", "properties": {"name": "Ring"}, "geometry": {"type": "Polygon", "coordinates": [
         [[-12.0, -11.0], [11.5, -11.0], [11.5, 12.5], [-12.0, 12.5], [-12.0, -11.0]],
@@ -233,7 +234,9 @@ BOUNDARIES = {"type": "FeatureCollection", "features": [
     {"type": "Feature", "properties": {"name": "Isles"}, "geometry": {"type": "MultiPolygon", "coordinates": [
         [[[-2.0, -2.5], [2.5, -2.0], [2.0, 2.5], [-2.5, 2.0], [-2.0, -2.5]]],
         [[[12.0, 0.0], [30.0, -7.0], [28.0, 14.0], [12.0, 0.0]]]]}},
-    {"type": "Feature", "properties": {"name": "Nowhere (usual address unknown)"}, "geometry": None},
+    {"type": "Feature", "properties": {"name": "Nowhere (usual address unknown)"}, "geometry": {"type": "Polygon", "coordinates": [
+        [[-60.0, -60.0], [60.0, -60.0], [60.0, 60.0], [-60.0, 60.0], [-60.0, -60.0]]]}},
+    {"type": "Feature", "properties": {"name": "Unmapped"}, "geometry": None},
     {"type": "Feature", "properties": {"name": "Wedge"}, "geometry": {"type": "Polygon", "coordinates": [
         [[-30.0, -25.0], [35.0, -25.0], [0.0, 32.0], [-30.0, -25.0]]]}}]}
 
@@ -242,7 +245,7 @@ def _edges_sql() -> str:
     rows = []
     for f, feature in enumerate(BOUNDARIES["features"]):
         geometry = feature["geometry"]
-        if not geometry:
+        if not geometry or "usual address" in feature["properties"]["name"]:
             continue
         polygons_ = geometry["coordinates"] if geometry["type"] == "MultiPolygon" else [geometry["coordinates"]]
         for p, rings in enumerate(polygons_):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.dates import year_token
 from holdfast.functions.identifiers import valid_abn
-from holdfast.functions.numbers import half_up, log_bin, width
+from holdfast.functions.numbers import half_up, log_bin, ratio, ratio_floor_one, width
 from holdfast.functions.text import any_contains, clean_spaces, name_key, ordered_code
 from holdfast.operators import bands as B
 from holdfast.operators import blocks as K
@@ -28,6 +28,7 @@ from holdfast.operators import joins as J
 from holdfast.operators import pairing as P
 from holdfast.operators import rollups as R
 from holdfast.operators import tenancy as N
+from holdfast.operators.ordering import best
 from holdfast.scale import durable, skew_join
 from holdfast.sources import polygons
 from holdfast.sources.tables import typed
@@ -68,7 +69,10 @@ class Rules:
     class_rules: Sequence[tuple[str, str]] = ()
     classes: Sequence[str] = ()
     not_personal: Sequence[str] = ()
-    # Codes of the register, and patterns of names that are no names.
+    # Patterns of area labels that are placeholders, and of regions that are no places; None: there are none.
+    placeholder_area: str | None = None
+    pseudo_region: str | None = None
+    # Codes of the register.
     granted: str = "1"
     person_type: str = "7"
     person_class: str = "INDIVIDUAL"
@@ -77,9 +81,11 @@ class Rules:
     spectrum_service: str = "85"
     broadcast_services: Sequence[str] = ("90", "93")
     accuracy: Sequence[str] = ("Within 10 metres", "Within 100 metres")
-    placeholder_area: str = r"^(area\b|ma\s*\d|market area|hole area|remainder\b|aggregate\b)"
-    pseudo_region: str = "Migratory|No usual address|Outside Australia"
     issue_year: int | None = None
+    # Regions with fewer people than this are not compared by rates.
+    population_floor: float = 0.0
+    # No date of the register is older than this year.
+    first_year: int = 1900
     beyond: float = 1e12
 
 
@@ -90,7 +96,9 @@ class Register:
                  boundaries: DataFrame | None = None, population: DataFrame | None = None,
                  dictionary: DataFrame | None = None):
         self.spark, self.rules = spark, rules
-        self.t = {name: typed(tables[name].select(*columns), TYPES) for name, columns in TABLES.items()}
+        # Read once: a table with line breaks in its fields is one task a file, so what many results and
+        # gates read is the typed copy, which is columnar and can be split.
+        self.t = {name: durable(typed(tables[name].select(*columns), TYPES)) for name, columns in TABLES.items()}
         self.boundaries = boundaries
         self.population = population
         self.dictionary = dictionary if dictionary is not None else spark.createDataFrame([], "key string, class string")
@@ -149,7 +157,7 @@ class Register:
 
     @cached_property
     def site_records(self) -> DataFrame:
-        """Site records, cleaned, with the region each lies in (-1: none)."""
+        """Site records, cleaned, with the region each lies in (-1: none). No record is lost, ids or not."""
         s = self.t["site"]
         clean = s.select(
             "SITE_ID", F.col("LATITUDE").alias("lat"), F.col("LONGITUDE").alias("lon"),
@@ -158,7 +166,7 @@ class Register:
         if self.boundaries is None:
             return durable(clean.withColumn("region", F.lit(-1)))
         found = G.locate(clean, polygons.parts(self.regions), id="SITE_ID", lat="lat", lon="lon")
-        return durable(clean.join(found, "SITE_ID"))
+        return durable(clean.join(found, "SITE_ID", "left").fillna(-1, ["region"]))
 
     @cached_property
     def regions(self) -> DataFrame:
@@ -171,7 +179,7 @@ class Register:
         """(site, holder), over device rows whose site is on record."""
         rolled = R.site_holders(self.devices, self.licences, site="SITE_ID", licence="LICENCE_NO", holder="root",
                                 cls="class", person="person", granted="granted", transmit="tx")
-        return durable(skew_join(rolled, self.t["site"].select("SITE_ID"), "SITE_ID", "left_semi"))
+        return durable(skew_join(rolled, self.t["site"].select("SITE_ID"), "SITE_ID", "left_semi", probe=self.devices))
 
     @cached_property
     def live_sites(self) -> DataFrame:
@@ -227,7 +235,7 @@ class Register:
 
     def makers(self) -> dict[str, Callable[[], DataFrame]]:
         return {
-            "meta": self.meta, "entities": self.entity_result, "entity_services": self.entity_services,
+            "meta": self.meta, "largest_holder": self.largest_holder, "entities": self.entity_result, "entity_services": self.entity_services,
             "entity_states": self.entity_states, "individuals": self.individuals,
             "sector_totals": self.sector_totals, "sector_services": self.sector_services,
             "sector_matrix": self.sector_matrix,
@@ -242,7 +250,13 @@ class Register:
             "grid": lambda: G.density_grid(self.publishable, "lat", "lon", F.col("devices")),
             "tenancy_pairs": self.tenancy_pairs, "tenancy_sites": self.tenancy_sites,
             "tenancy_tenants": self.tenancy_tenants, "tenancy_split": lambda: N.sharing_split(self.publishable),
+            "tenancy_totals": lambda: N.pair_totals(self.tenancy_pairs()),
             "blocks": self.block_result, "block_naive": self.block_naive,
+            "markets": lambda: K.market_summary(self.block_result(), "market", "entity_id"),
+            "market_shares": lambda: K.market_shares(self.block_result(), "market", "band"),
+            "lorenz": self.lorenz, "gini": lambda: C.gini(self.lorenz()), "share_slope": self.share_slope,
+            "dated_split": self.dated_split, "interests": self.interests,
+            **({} if self.boundaries is None else {"region_extremes": self.region_extremes, "region_densities": self.region_densities}),
             "broadcast_services": lambda: self.t["bsl"], "health": self.health, "conditions": self.conditions,
             "expiry": self.expiry, "issued": lambda: R.year_histogram(
                 self.licences, F.col("DATE_ISSUED"), "blank", "licences"),
@@ -252,8 +266,49 @@ class Register:
         }
 
     def meta(self) -> DataFrame:
-        """Headline figures as (metric, value)."""
-        return C.headline(self.entities.filter("licences > 0"), "licences", "person")
+        """Headline figures as (metric, value): concentration, then the size of the register."""
+        count = F.count(F.lit(1))
+        sizes = Q.reconcile(
+            licences=self.licences.agg(count), granted=self.licences.agg(F.count_if("granted")), clients=self.t["client"].agg(count),
+            entities=self.entities.agg(count), sites=self.t["site"].agg(count), live_sites=self.live_sites.agg(count),
+            shown_sites=self.publishable.agg(count))
+        long = sizes.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in sizes.columns])).alias("m"))
+        return C.headline(self.entities.filter("licences > 0"), "licences", "person").unionByName(long.select("m.metric", "m.value"))
+
+    def region_extremes(self) -> DataFrame:
+        """The region with most sites a head, and that with fewest above the floor of population: one row."""
+        rated = self.region_result().withColumn("rate", F.coalesce("per_ten_k", F.lit(0.0)))
+        low = F.when(F.col("population") > self.rules.population_floor, F.struct(F.col("rate").alias("s"), F.col("region").alias("t")))
+        return rated.agg(best("name", "rate", "region").alias("most"), F.max("rate").alias("most_rate"),
+                         F.min_by("name", low).alias("least"), F.min(F.when(low.isNotNull(), F.col("rate"))).alias("least_rate"))
+
+    def region_densities(self) -> DataFrame:
+        """Live sites per 1,000 km², and the largest holder's share of the live sites."""
+        return self.region_result().select(
+            "region", (ratio_floor_one(F.col("live"), F.col("area_km2")) * 1000).alias("per_thousand"),
+            ratio(F.col("top_holder_sites"), F.col("live")).alias("concentration"))
+
+    def lorenz(self) -> DataFrame:
+        return C.lorenz(self.entities.filter(~F.col("person") & (F.col("licences") > 0)), "licences")
+
+    def share_slope(self) -> DataFrame:
+        """Share of licences against share of devices, classes above a hundredth on either."""
+        return R.shares(self.totals, "class", {"licences": "licences", "devices": "devices"}, 1.0)
+
+    def dated_split(self) -> DataFrame:
+        """Broadcast services dated and undated by medium, and the ends of the axis."""
+        day = F.col("DATE_COMMENCED")
+        return self.t["bsl"].groupBy(F.col("MEDIUM_CATEGORY").alias("medium")).agg(
+            F.count(day).alias("dated"), F.count_if(day.isNull()).alias("undated"),
+            F.year(F.min(day)).alias("first_year"), F.year(F.max(day)).alias("last_year"))
+
+    def interests(self) -> DataFrame:
+        named = self.t["bsl"].filter(F.col("COMMUNITY_INTEREST").isNotNull() & (F.col("COMMUNITY_INTEREST") != ""))
+        return R.histogram(named, F.col("COMMUNITY_INTEREST").alias("interest"), name="services")
+
+    def entity(self, entity_id: int) -> DataFrame:
+        """One published entity by its id; no row for -1 and ids that name none."""
+        return self.entity_result().filter(F.col("entity_id") == int(entity_id))
 
     def largest_holder(self) -> DataFrame:
         return C.largest_holder(self.entities, "licences", "name", "root", "person")
@@ -414,13 +469,35 @@ class Register:
 
     # --- gates ------------------------------------------------------------------------------------
 
+    def flags_again(self) -> DataFrame:
+        """Records with the person flag recomputed from client and licence rows, lifted to the merged entity.
+
+        Of what the results were made from, only which records belong together is taken over.
+        """
+        held = self.t["licence"].groupBy("CLIENT_NO").agg(F.count(F.lit(1)).alias("_held"))
+        named = self.t["client"].join(held, "CLIENT_NO", "left").withColumn("_key", name_key(F.col("LICENCEE")))
+        own = E.person_flag(F.col("CLIENT_TYPE_ID") == self.rules.person_type, F.col("ACN").isNotNull(),
+                            F.coalesce("_held", F.lit(0)), F.col("_key"), self.rules.not_personal)
+        records = named.select("CLIENT_NO", "LICENCEE", own.alias("own")).join(self.clients.select("CLIENT_NO", "root"), "CLIENT_NO")
+        lifted = records.groupBy("root").agg(F.bool_or("own").alias("any"))
+        return records.join(lifted, "root").select("CLIENT_NO", "LICENCEE", F.col("own").alias("person"), F.col("any").alias("entity_person"))
+
+    def person_only_again(self, flags: DataFrame) -> DataFrame:
+        """Sites whose every device is a person's, from device, licence and client rows."""
+        owner = self.t["licence"].select("LICENCE_NO", "CLIENT_NO").join(flags.select("CLIENT_NO", "entity_person"), "CLIENT_NO")
+        per = self.t["device_details"].filter(F.col("SITE_ID").isNotNull()).select("SITE_ID", "LICENCE_NO").distinct()
+        seen = skew_join(per, owner.select("LICENCE_NO", "entity_person"), "LICENCE_NO", probe=self.t["device_details"])
+        return seen.groupBy("SITE_ID").agg(F.bool_and("entity_person").alias("p")).filter("p")
+
     def check_sources(self, results: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
         """The tables the gates run on: sources, and comparisons of a result with its source."""
         r = dict(results) if results else self.results()
         t = self.t
         count = F.count(F.lit(1))
-        person_only = self.tenants.groupBy("SITE_ID").agg(F.min(F.col("person").cast("int")).alias("p")).filter("p = 1")
-        person_names = self.clients.filter("person").select(F.trim("LICENCEE").alias("name")).filter(F.length("name") > 4)
+        flags = self.flags_again()
+        person_only = self.person_only_again(flags)
+        person_names = flags.filter("person").select(F.trim("LICENCEE").alias("name")).filter(F.length("name") > 4)
+        matched = skew_join(t["device_details"], t["licence"].select("LICENCE_NO"), "LICENCE_NO", "left_semi")
         top = r["band_top_holders"].groupBy("band").agg(F.max("rows").alias("most"), F.sum("rows").alias("listed"))
         recounted = self.rules.bands.assign(t["device_details"], "FREQUENCY").select("LICENCE_NO", "band").distinct() \
             .join(t["licence"].select("LICENCE_NO", "CLIENT_NO"), "LICENCE_NO") \
@@ -437,7 +514,9 @@ class Register:
                 licences=t["licence"].agg(count), held=self.entities.agg(F.sum("licences")),
                 named=r["entities"].agg(F.sum("licences")), withheld=r["individuals"].select("licences"),
                 devices=t["device_details"].agg(count), attributed=self.totals.agg(F.sum("devices")),
-                serviced=R.histogram(t["device_details"], "SV_ID").agg(F.sum("rows"))),
+                serviced=R.histogram(matched, "SV_ID").agg(F.sum("rows")),
+                sites=t["site"].agg(count), placed=self.site_records.agg(count),
+                site_keys=self.site_records.select("SITE_ID").filter("SITE_ID is not null").distinct().agg(count)),
             "orphan_clients": J.orphans(t["licence"], t["client"], "CLIENT_NO"),
             "orphan_licences": J.orphans(t["device_details"], t["licence"], "LICENCE_NO"),
             "undocumented": J.orphans(t["device_details"].withColumnRenamed("CLASS_OF_STATION_CODE", "CODE"),
@@ -468,6 +547,12 @@ class Register:
             Q.equals("named and withheld are all", "sums", F.sum(F.col("licences") - F.col("named") - F.col("withheld")), 0),
             Q.equals("every device has a holder", "sums", F.sum(F.col("devices") - F.col("attributed")), 0),
             Q.equals("services sum to the file", "sums", F.sum(F.col("devices") - F.col("serviced")), 0),
+            Q.equals("every site is placed or unplaced once", "sums", F.sum(F.col("sites") - F.col("placed")), 0),
+            Q.equals("site keys are unique", "sums", F.sum(F.col("sites") - F.col("site_keys")), 0),
+            Q.plausible("station classes are documented", "undocumented", zero, 0, 0),
+            Q.plausible("block areas have one block", "areas", F.max("most"), 1, 1),
+            Q.in_range("dates are not older than the register", "licence", F.coalesce(F.min(F.year("DATE_ISSUED")), F.lit(9999)),
+                       lo=self.rules.first_year),
             Q.equals("licences without a client", "orphan_clients", zero, 0),
             Q.equals("devices without a licence", "orphan_licences", zero, 0),
             Q.equals("status text agrees", "status_text", F.sum("differing"), 0),

@@ -28,7 +28,7 @@ def from_text(df: DataFrame, column: str = "value") -> DataFrame:
 def parts(features: DataFrame) -> DataFrame:
     """(feature, part, rings): one row per polygon; features without geometry have none.
 
-    ``part`` is unique over the table and keeps feature order.
+    ``part`` is unique over the table and keeps feature order: both numbers have 31 bits at most.
     """
     single = F.array(F.from_json("coordinates", POLYGON))
     many = F.from_json("coordinates", f"array<{POLYGON}>")
@@ -36,4 +36,4 @@ def parts(features: DataFrame) -> DataFrame:
                 .when(F.col("type") == "MultiPolygon", many))
     return (features.filter(F.col("type").isNotNull())
             .select("feature", F.posexplode(geometry).alias("_n", "rings"))
-            .select("feature", (F.col("feature").cast("long") * 1_000_000 + F.col("_n")).alias("part"), "rings"))
+            .select("feature", (F.col("feature").cast("long") * 2**32 + F.col("_n")).alias("part"), "rings"))

@@ -32,13 +32,13 @@ def read_table(spark: SparkSession, path: str | Sequence[str], columns: Sequence
             .option("escape", '"').csv(path).columns
         if list(found) != list(columns):
             raise HeaderMismatch(f"{path}: expected {list(columns)}, found {found}")
+    # Every file's header is checked as it is read, and every row over all columns, whatever a query
+    # selects: so the count of ragged rows is always the same.
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_bad"]])
     raw = (spark.read.schema(schema).option("header", True).option("multiLine", embedded_newlines)
            .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-           .option("enforceSchema", True).csv(path))
-    # The reader parses the columns a query needs, and finds defects in those alone. The second
-    # condition holds always; it makes the mark depend on every column, so that the count of ragged
-    # rows is the same whatever else is selected.
+           .option("enforceSchema", not check_header).option("columnPruning", False).csv(path))
+    # Holds always: the reader refuses a query of the defect alone.
     every = F.length(F.concat_ws("", *[F.col(c) for c in columns])) >= 0
     return raw.withColumn(RAGGED, F.col("_bad").isNotNull() & every).drop("_bad")
 

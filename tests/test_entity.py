@@ -15,11 +15,14 @@ from holdfast.operators import entity as E
 from holdfast.operators import rollups as R
 from holdfast.operators import tenancy as N
 from holdfast.sources.dictionary import read_dictionary
+from tests.test_functions import business_number
 
-CLIENTS = [("1", "CORVID LIMITED", "31415927000"), ("2", "Corvid Ltd", None), ("3", "Skylark Navigation", "42424242881"),
-           ("4", "SKYLARK NAVIGATION (North)", "42424242881"), ("5", "Lark Australia Pty Ltd", None),
-           ("6", "Lark Limited", None), ("a", "One Pty Ltd", "11111111111"), ("b", "Two Pty Ltd", "11111111111"),
-           ("7", "Skylark Navigation", "31415927000"), ("8", None, None), ("9", "", None)]
+# Two names that share a valid number, the second name again with another number, an invalid number
+# on two others, names alike up to a suffix, and records without any key.
+NUMBER, OTHER, INVALID = business_number(3), business_number(4), business_number(5)[:-1] + "x"
+CLIENTS = [("p1", "Fernquay Freight", NUMBER), ("p2", "Quill Depot", NUMBER), ("p3", "QUILL  DEPOT", OTHER), ("p4", "Tarn Signals", OTHER),
+           ("q1", "Marl Ltd", INVALID), ("q2", "Loam Ltd", INVALID), ("r1", "Ida Inc", None), ("r2", "Ida Incorporated", None),
+           ("r3", "Ida Pty", None), ("s1", " ", None), ("s2", None, " ")]
 
 
 def roots(df):
@@ -46,9 +49,8 @@ def merge(spark, clients, partitions=3):
 
 
 def test_records_merge_by_name_or_valid_identifier_and_on(spark):
-    # 7 has the name of 3 and the identifier of 1: one entity of five records.
     got = roots(merge(spark, CLIENTS))
-    assert got == {"1": "1", "2": "1", "3": "1", "4": "1", "7": "1", "5": "5", "6": "6", "a": "a", "b": "b", "8": "8", "9": "9"}
+    assert got == {**{f"p{k}": "p1" for k in range(1, 5)}, "q1": "q1", "q2": "q2", "r1": "r1", "r2": "r1", "r3": "r3", "s1": "s1", "s2": "s2"}
 
 
 def test_merge_does_not_depend_on_order_or_partitions(spark):
@@ -101,14 +103,13 @@ def test_one_flagged_record_flags_the_entity(spark):
     assert (got["s"]["name"], got["s"]["types"], got["s"]["person"]) == ("B", 1, False)
 
 
-@pytest.mark.parametrize("type_,acn,lic,name,person", [
-    ("7", None, 176, "Lantern Pty Ltd as trustee", True), ("7", "1", 1, "X", True), ("6", None, 1, "Ada Example", True),
-    ("6", None, 400, "Boris Sample", False), ("6", "004085616", 1, "Ada Example", False), ("6", None, 5, "Ada Example", True),
-    ("6", None, 6, "Ada Example", False), (None, None, 0, "Bruce Pty", False), (None, None, 0, None, False)])
-def test_person_flag(spark, type_, acn, lic, name, person):
-    df = spark.createDataFrame([(type_, acn, lic, name)], "t string, acn string, lic int, name string")
-    flag = E.person_flag(F.col("t") == "7", F.col("acn").isNotNull(), F.col("lic"), name_key(F.col("name")), ["PTY"])
-    assert df.select(flag).first()[0] is person
+def test_person_flag(spark):
+    """The type alone decides, or all of: no company number, few licences, a personal name."""
+    cases = [(t, acn, lic, name) for t in ("own", "firm", None) for acn in ("c", None) for lic in (0, 5, 6) for name in ("Ida Quill", "Quill Depot", None)]
+    want = [t == "own" or (acn is None and lic <= 5 and name == "Ida Quill") for t, acn, lic, name in cases]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, t string, acn string, lic int, name string")
+    flag = E.person_flag(F.col("t") == "own", F.col("acn").isNotNull(), F.col("lic"), name_key(F.col("name")), ["DEPOT"])
+    assert [r[1] for r in df.select("k", flag).orderBy("k").collect()] == want
 
 
 def test_classes(spark, tmp_path):
@@ -148,8 +149,34 @@ def test_pairs_under_both_readings(spark):
     got = {(r["a"], r["b"]): (r["sites"], r["same_class_sites"]) for r in N.class_pairs(tenants, "site", classes).collect()}
     assert got == {("A", "A"): (2, 1), ("A", "B"): (1, 1), ("B", "B"): (2, 0), ("B", "C"): (1, 1), ("C", "C"): (1, 0)}
     assert roots(N.pair_totals(N.class_pairs(tenants, "site", classes))) == {"A": 3, "B": 4, "C": 2}
-    with pytest.raises(ValueError):
-        N.numbered_classes(spark.range(63).withColumnRenamed("id", "class"))
+
+
+@pytest.mark.parametrize("n", [62, 70])
+def test_pairs_of_many_classes(spark, n):
+    rng = random.Random(n)
+    rows = [(f"s{k % 9}", f"h{k}", f"c{rng.randrange(n):03}") for k in range(400)]
+    tenants = spark.createDataFrame(rows, "site string, holder string, class string")
+    classes = spark.createDataFrame([(f"c{k:03}",) for k in range(n)], "class string")
+    want = {}
+    for site in {s for s, _, _ in rows}:
+        count = {}
+        for s, _, c in rows:
+            if s == site:
+                count[c] = count.get(c, 0) + 1
+        for a in count:
+            for b in count:
+                if a <= b:
+                    x, y = want.get((a, b), (0, 0))
+                    want[a, b] = x + 1, y + (a != b or count[a] > 1)
+    got = {(r["a"], r["b"]): (r["sites"], r["same_class_sites"]) for r in N.class_pairs(tenants, "site", classes).collect()}
+    assert got == want
+
+
+def test_matrix_of_many_columns(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("r"), (F.col("id") % 1500).alias("c"))
+    rows = spark.createDataFrame([(0,), (1,), (2,)], "r long")
+    got = R.matrix(df, "r", "c", rows, df.select("c"))
+    assert got.count() == 4500 and got.agg(F.sum("licences"), F.count_if(F.col("licences") == 0)).first()[:] == (3000, 3000)
 
 
 @pytest.mark.parametrize("sizes", [[1, 1, 1, 1], [1, 2, 3, 10, 10, 50], [5]])

@@ -16,12 +16,13 @@ from holdfast.sources import polygons, sinks, tables
 BANDS = Bands(((0.0, 30e6, "HF"), (30e6, 400e6, "VHF"), (400e6, 520e6, "UHF"), (520e6, 1e10, "mid"), (1e10, 1e12, "micro"), (1e12, None, "light")))
 RULES = Rules(BANDS, class_rules=[(whole_words(["POLICE"]), "SAFETY"), (whole_words(["MINING"]), "MINING"), (whole_words(["SHIRE"]), "LOCAL")],
               classes=["SAFETY", "MINING", "LOCAL", "TELCO", "INDIVIDUAL", "UNCLASSIFIED"],
-              not_personal=["PTY", "LIMITED", "POLICE", "MINING", "SHIRE", "BROADCAST"], issue_year=2026)
+              not_personal=["PTY", "LIMITED", "POLICE", "MINING", "SHIRE", "BROADCAST"], issue_year=2026,
+              placeholder_area=r"^zone \d", pseudo_region="Nowhere")
 
 CLIENT = [  # CLIENT_NO, LICENCEE, ABN, ACN, CLIENT_TYPE_ID, CAT_ID
     ("1", "Big Tel Ltd", "20304050970", "001", "6", "T"), ("2", "BIG TEL LIMITED", "", "", "6", ""),
     ("3", "Tel Rural, Pty", "20304050970", "", "6", ""), ("4", "State Police", "", "", "3", "S"),
-    ("5", "Deep Mining Pty Ltd", "11111111111", "", "6", ""), ("6", "Other Mining Pty Ltd", "11111111111", "", "6", ""),
+    ("5", "Deep Mining Pty Ltd", "20304050971", "", "6", ""), ("6", "Other Mining Pty Ltd", "20304050971", "", "6", ""),
     ("7", "Jane Citizen", "", "", "7", ""), ("8", "Ada & Boris Sample", "", "", "5", ""), ("9", "Shire of Nowhere", "", "", "4", ""),
     ("10", "Broadcast One Pty", "", "", "6", "B")]
 LICENCE = []  # LICENCE_NO, CLIENT_NO, SV_ID, SS_ID, STATUS, STATUS_TEXT, DATE_ISSUED, DATE_OF_EXPIRY, BSL_NO
@@ -43,7 +44,7 @@ SITE = [(f"s{i}", f"{-30 - i / 7:.4f}", f"{140 + i / 3:.4f}", f"Tower {i}, Hill
          ["Within 10 metres", "Within 100 metres", "Unknown"][i % 3]) for i in range(30)] + [("home", "-31", "141", "12 Smith St", "NSW", "")]
 SPEC = [(f"L{i}", f"a{j}", "700000000", "715000000", "760000000" if j else "", "775000000" if j else "")
         for i in (4, 19, 34, 49) for j in range(3)] + [("L4", "a0", "800000000", "805000000", "", "")]
-AREA = [(f"L{i}", f"a{j}", ["Sydney", "MA 3", "Perth"][j]) for i in (4, 19, 34, 49) for j in range(3)]
+AREA = [(f"L{i}", f"a{j}", ["Sydney", "Zone 3", "Perth"][j]) for i in (4, 19, 34, 49) for j in range(3)]
 DATA = {
     "client": CLIENT, "licence": LICENCE, "device_details": DEVICE, "site": SITE, "auth_spectrum_freq": SPEC, "auth_spectrum_area": AREA,
     "bsl": [("bsl1", "Radio", "Metro", "", "VIC", "One", "3AA", "1925-01-01"), ("bsl2", "TV", "", "General", "", "", "", "")],
@@ -52,7 +53,7 @@ DATA = {
     "licence_status": [("1", "Granted"), ("10", "Expired")]}
 BOX = {"features": [{"properties": {"sa4_code_2021": c, "sa4_name_2021": n, "state_name_2021": "VIC", "area_albers_sqkm": "100.6"}, "geometry": g}
                     for c, n, g in [("101", "West", {"type": "Polygon", "coordinates": [[[139, -40], [143, -40], [143, -20], [139, -20], [139, -40]]]}),
-                                    ("197", "Migratory - Offshore", None),
+                                    ("197", "Nowhere at all", {"type": "Polygon", "coordinates": [[[139, -40], [146, -40], [146, -20], [139, -20], [139, -40]]]}),
                                     ("102", "East", {"type": "Polygon", "coordinates": [[[143, -40], [146, -40], [146, -20], [143, -20], [143, -40]]]})]]}
 
 
@@ -67,7 +68,15 @@ def as_csv(path, columns, data):
 @pytest.fixture(scope="module")
 def reg(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("register")
-    read = {name: tables.read_table(spark, as_csv(folder / f"{name}.csv", cols, DATA[name]), cols) for name, cols in TABLES.items()}
+    made = build(spark, folder)
+    for file in folder.iterdir():  # what is read once is not needed again
+        file.unlink()
+    return made
+
+
+def build(spark, folder, **changed):
+    data = {**DATA, **changed}
+    read = {name: tables.read_table(spark, as_csv(folder / f"{name}.csv", cols, data[name]), cols) for name, cols in TABLES.items()}
     text = spark.createDataFrame([(json.dumps(BOX),)], "value string")
     people = spark.createDataFrame([("101", 1000.0), ("102", 0.0)], "code string, value double")
     listed = spark.createDataFrame([("BIG TEL LIMITED", "TELCO")], "key string, class string")
@@ -223,7 +232,8 @@ def test_gates_pass_and_pins_can_fail(reg):
             Q.plausible("licences", "licence", Q.rows(), 1, 5)]
     report = reg.report(pins).persist()
     warnings = Q.enforce(report)
-    assert len(warnings) == 1 and warnings[0].startswith("licences: 64.0")
+    assert sorted(w.split(":")[0] for w in warnings) == ["block areas have one block", "licences", "station classes are documented"]
+    assert any(w.startswith("licences: 64.0") for w in warnings)
     assert report.count() == len(reg.checks()) + 3 and report.filter("kind = 'gate' and not ok").count() == 0
     report.unpersist()
 
@@ -238,6 +248,52 @@ def test_a_leak_is_caught(reg):
     assert "no person-only site is shown" in str(e.value) and "no person names a place" in str(e.value) and "recounted" not in str(e.value)
 
 
+def failed(register, results=None):
+    return {r["check_id"] for r in register.report(results=results).filter("kind = 'gate' and not ok").collect()}
+
+
+def test_a_wrong_person_flag_is_caught(reg):
+    wrong = Register.__new__(Register)
+    wrong.__dict__.update({k: v for k, v in reg.__dict__.items() if k in ("spark", "rules", "t", "boundaries", "population", "dictionary", "clients",
+                                                                          "entities", "ids", "licences", "site_records")})
+    wrong.__dict__["tenants"] = reg.tenants.withColumn("person", F.lit(False))
+    assert "home" in {r["SITE_ID"] for r in wrong.site_result().collect()}
+    assert "no person-only site is shown" in failed(wrong)
+
+
+def test_faulty_rows_fail_their_gates(spark, tmp_path):
+    lost = DEVICE + [("no such licence", "s1", "27005000", "T", "1", "ML", "", "")]
+    sites = SITE + [("", "-31", "141", "Nameless", "VIC", ""), ("s1", "-31", "141", "Again", "VIC", "")]
+    old = [(*row[:6], "1066-10-14", *row[7:]) if row[0] == "L1" else row for row in LICENCE]
+    register = build(spark, tmp_path, device_details=lost, site=sites, licence=old)
+    assert register.site_records.count() == len(sites)
+    assert failed(register) >= {"services sum to the file", "devices without a licence", "site keys are unique",
+                                "dates are not older than the register"}
+
+
+def test_the_register_as_a_whole(reg):
+    held, shown = site_facts()
+    sizes = {r["metric"]: r["value"] for r in reg.meta().collect()}
+    assert sizes["licences"] == len(LICENCE) and sizes["granted"] == len(GRANTED) and sizes["clients"] == len(CLIENT)
+    assert sizes["sites"] == len(SITE) and sizes["live_sites"] == len(held) and sizes["shown_sites"] == len(shown)
+    made = reg.results()
+    most = made["largest_holder"].first()
+    licences = Counter(h for h in HOLDER.values() if h not in PERSON)
+    assert most["licences"] == max(licences.values())
+    assert made["region_extremes"].first()["most"] == "West"
+    markets = {r["market"]: (r["width"], r["holders"]) for r in made["markets"].collect()}
+    blocks = made["blocks"].collect()
+    assert markets == {m: (sum(r["width"] for r in blocks if r["market"] == m), len({r["entity_id"] for r in blocks if r["market"] == m}))
+                       for m in {r["market"] for r in blocks}}
+    assert all(abs(r["share"] * r["column_width"] - r["width"]) < 1e-9 for r in made["market_shares"].collect())
+    assert made["lorenz"].agg(F.max("cum_size")).first()[0] == sum(licences.values())
+    split = {r["medium"]: (r["dated"], r["undated"], r["first_year"]) for r in made["dated_split"].collect()}
+    assert split == {"Radio": (1, 0, 1925), "TV": (0, 1, None)}
+    assert [(r["interest"], r["services"]) for r in made["interests"].collect()] == [("General", 1)]
+    assert made["tenancy_totals"].count() and made["share_slope"].count() and made["region_densities"].count() == 2
+    assert reg.entity(0).count() == 1 and reg.entity(-1).count() == 0 and reg.entity(10_000).count() == 0
+
+
 def test_checks_by_themselves(spark):
     df = spark.createDataFrame([(1, None), (2, 5.0)], "a int, b double")
     report = {r["check_id"]: r["ok"] for r in Q.run_checks({"t": df, "none": df.limit(0)}, [

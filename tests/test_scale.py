@@ -1,5 +1,6 @@
 """What must hold when one key has a third of the rows: same results, spread work."""
 
+import math
 import random
 
 import pytest
@@ -130,9 +131,10 @@ def test_shares_of_a_group(spark):
     assert rows(O.share_of_group(df, ["g"], "v").select("g", "v", "share")) == [("a", 1, 0.25), ("a", 3, 0.75), ("b", 0, None)]
 
 
-def test_top_per_group_refuses_a_limit_spark_would_not_push(spark):
-    with pytest.raises(ValueError):
-        O.top_per_group(spark.range(3), ["id"], [F.asc("id")], 1000)
+def test_top_per_group_beyond_the_limit(spark):
+    df = spark.range(12_000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
+    got = O.top_per_group(df, ["g"], [F.desc("v")], 5000)
+    assert got.groupBy("g").agg(F.count("v"), F.min("v"), F.max("rank")).orderBy("g").collect() == [(0, 5000, 2000, 5000), (1, 5000, 2001, 5000)]
 
 
 # --- bands -----------------------------------------------------------------------------------
@@ -149,8 +151,11 @@ def test_band_table_is_checked():
             B.Bands(bad)
 
 
-VALUES = [(477.4375e6, 3), (412.5e6, 1), (3575e6, 4), (195.3e12, 5), (450e6, 3), (449.99e6, 2), (520e6, None), (2e9, None),
-          (0.0, None), (-1.0, None), (None, None), (float("nan"), None), (1.0, 0)]
+# Each limit, just below it, and what is in no band.
+_LIMITS = [x for lo, hi, _ in TABLE.rows for x in (lo, hi) if x]
+VALUES = [(x, next((i for i, (lo, hi, _) in enumerate(TABLE.rows) if lo <= x and (hi is None or x < hi)), None))
+          for limit in _LIMITS for x in (limit, math.nextafter(limit, 0.0))]
+VALUES += [(v, None) for v in (None, float("nan"), -0.0, -5e8)] + [(float("inf"), len(TABLE.rows) - 1)]
 
 
 def test_band_of_a_value(spark):
@@ -166,7 +171,8 @@ def test_range_join_agrees_with_the_tree(spark, monkeypatch, hot):
     if hot:
         monkeypatch.setattr(scale, "HOT_ROWS", 0)
     rng = random.Random(11)
-    data = [(i, 10 ** rng.uniform(-2, 14)) for i in range(2000)] + [(i, 451e6) for i in range(2000, 3000)] + [(5000, None)]
+    data = [(i, 10 ** rng.uniform(-2, 14)) for i in range(2000)] + [(i, 451e6) for i in range(2000, 3000)]
+    data += [(5000, None), (5001, float("nan")), (5002, 0.0), (5003, -1.0)]
     df = spark.createDataFrame(data, "id int, x double")
     for low, high in ((1.0, 1e12), (1e6, 1e9)):
         joined = B.range_join(df, "x", TABLE.frame(spark), low=low, high=high)
