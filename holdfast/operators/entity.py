@@ -151,6 +151,12 @@ def resolve_ids(df: DataFrame, key: str, ids: DataFrame, ids_key: str, name: str
     return skew_join(df, numbered, key, "left", probe=probe).withColumn(name, F.coalesce(F.col(name), F.lit(-1)))
 
 
+def record_types(clients: DataFrame, root: str, type: str) -> DataFrame:
+    """(root, types): the sorted set of record types of every entity. Reduced to one row a type first."""
+    kinds = clients.filter(F.col(type).isNotNull()).select(root, type).distinct()
+    return kinds.groupBy(root).agg(F.array_sort(F.collect_list(type)).alias("types"))
+
+
 def withheld_totals(entity_totals: DataFrame, person: str, sums: Mapping[str, str]) -> DataFrame:
     """Counts, and nothing but counts, of the entities that may not be named: one row."""
     return entity_totals.filter(F.col(person)).agg(

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.scale import broadcast_if_small, skew_join
+from holdfast.scale import bounded_rows, skew_join
 
 MATCHED, BLANK, ORPHAN = "matched", "blank", "orphan"
 
@@ -39,9 +39,11 @@ def orphans(facts: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 
 
 def lookup(df: DataFrame, key: str, table: DataFrame, code: str, text: str, name: str) -> DataFrame:
-    """Add the description of a code, NULL when the code is not listed."""
-    small = broadcast_if_small(table.select(F.col(code).alias(key), F.col(text).alias(name)))
-    return df.join(small, key, "left")
+    """Add the description of a code, NULL when the code is not listed. A long list is joined with hot codes salted."""
+    listed = table.select(F.col(code).alias(key), F.col(text).alias(name))
+    if bounded_rows(listed) is not None:
+        return df.join(F.broadcast(listed), key, "left")
+    return skew_join(df, listed, key, "left")
 
 
 def key_overlap(sides: Mapping[str, tuple[DataFrame, Column]]) -> DataFrame:
@@ -119,8 +121,8 @@ def common(left: DataFrame, right: DataFrame, left_key: Column, right_key: Colum
 def references(*columns: tuple[DataFrame, str, str]) -> DataFrame:
     """Flatten id columns (table, column, label) of several outputs into one list of references."""
     parts = [df.select(F.lit(label).alias("source"),
-                       (F.explode(c) if df.schema[c].dataType.typeName() == "array" else F.col(c))
-                       .cast("long").alias("ref")) for df, c, label in columns]
+                       (F.explode(F.col(c).cast("array<long>")) if df.schema[c].dataType.typeName() == "array"
+                        else F.col(c).cast("long")).alias("ref")) for df, c, label in columns]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -133,6 +135,11 @@ def search(df: DataFrame, text: str, query: str, order: Sequence[Column], limit:
     return df.filter(F.lower(text).contains(query)).orderBy(*order).limit(limit)
 
 
+def by_ids(df: DataFrame, column: str, ids: Sequence[int]) -> DataFrame:
+    """Rows whose id is one of ``ids``; -1 stands for a withheld entity and names none."""
+    return df.filter(F.col(column).isin([int(i) for i in ids if int(i) != -1]))
+
+
 def equal_or_all(df: DataFrame, column: str, value: str | None) -> DataFrame:
     """Equality filter that lets every row through when the value is blank."""
     return df.filter(F.col(column) == value) if value else df

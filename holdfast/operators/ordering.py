@@ -104,11 +104,16 @@ def share_of_group(df: DataFrame, group: Sequence[str], value: str, name: str =
                    total: str | None = None) -> DataFrame:
     """value / sum of value over the group.
 
-    The sums are built map-side and joined back with hot groups salted, so a large group is never
-    gathered. ``df`` is written once, because it is read for both.
+    While the longest group fits a task this is a window. Otherwise the sums are built map-side and
+    joined back with hot groups salted, so a large group is never gathered. ``df`` is written once,
+    because it is read for both.
     """
     group = list(group)
     df = durable(df)
+    if _extent(df, group)[1] <= ROWS_PER_TASK:
+        whole = F.sum(value).over(Window.partitionBy(*group))
+        out = df.withColumn(name, F.try_divide(F.col(value).cast("double"), whole))
+        return out if total is None else out.withColumn(total, whole)
     sums = df.groupBy(*group).agg(F.sum(value).alias("_total"))
     out = skew_join(df, sums, group).withColumn(name, F.try_divide(F.col(value).cast("double"), F.col("_total")))
     return out.drop("_total") if total is None else out.withColumnRenamed("_total", total)

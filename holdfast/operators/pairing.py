@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.numbers import half_up
 from holdfast.operators.ordering import ROWS_PER_TASK, position
+from holdfast.scale import durable
 
 
 def ordinal_pairs(df: DataFrame, group: Sequence[str], value: str, first: Column,
@@ -16,12 +17,20 @@ def ordinal_pairs(df: DataFrame, group: Sequence[str], value: str, first: Column
     """(group, position, first, second): the n-th smallest value of either side of each group.
 
     ``first`` says which side a row is on. The shorter list ends the pairing. Both sides meet in
-    one aggregation on (group, position): no self join, and a long group is spread by position.
+    one aggregation on (group, position): no self join. Groups that fit a task are dealt once, and
+    that serves the order and the meeting; a long one is cut into slices, by value and, as one value
+    may fill many slices, by row.
     """
     sides = df.filter(F.col(value).isNotNull()).select(
         *group, F.col(value).alias("_value"), F.coalesce(first, F.lit(False)).alias("_first"))
-    placed = position(sides, [*group, "_first"], [F.col("_value").asc()], "position",
-                      rows_per_task=rows_per_task)
+    longest = sides.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest <= rows_per_task:
+        order = Window.partitionBy(*group, "_first").orderBy("_value")
+        placed = sides.repartition(*group).withColumn("position", F.row_number().over(order).cast("long"))
+    else:
+        sides = durable(sides.withColumn("_row", F.monotonically_increasing_id()))
+        placed = position(sides, [*group, "_first"], [F.col("_value").asc(), F.col("_row").asc()], "position",
+                          rows_per_task=rows_per_task)
     met = placed.groupBy(*group, "position").agg(
         F.max(F.when(F.col("_first"), F.col("_value"))).alias("first"),
         F.max(F.when(~F.col("_first"), F.col("_value"))).alias("second"))

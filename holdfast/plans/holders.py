@@ -320,7 +320,8 @@ LICENCES_SQL = """t AS (SELECT c_custkey AS holder, c_acctbal < 0 AS person, cou
 
 
 def holdings_of(t: Tables) -> DataFrame:
-    return (t.licences.groupBy("holder", "person").agg(F.count(F.lit(1)).alias("n")))
+    per_holder = t.owners.groupBy("holder").agg(F.count(F.lit(1)).alias("n"))
+    return per_holder.join(t.clients.select("holder", "person"), "holder")
 
 
 @query(f"""WITH {LICENCES_SQL}, w AS (SELECT sum(n) AS total FROM t)
