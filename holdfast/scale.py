@@ -12,21 +12,21 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table may be broadcast by hint only when it was counted and is at most this long.
 BROADCAST_ROWS = 100_000
-# A key is worth salting when it holds more than this share of the rows; at most
-# 1/HOT_SHARE keys can do so, which bounds the list that reaches the driver.
-HOT_SHARE = 0.01
-# ... and more than this number of rows: fewer are no burden for one task.
+# A key is worth salting when it holds more than this number of rows: fewer are no burden for one task.
 HOT_ROWS = 200_000
-SALTS = 64
-# Keys the sketch tracks; its error is about 1/SKETCH of the rows, well below HOT_SHARE.
-SKETCH = 4096
+# Keys the sketch tracks, and the most of them it reports, which bounds what reaches the driver. A key
+# with less than a part in SKETCH of the rows is left to AQE.
+SKETCH = 8192
+HOT_KEYS = 1000
+# A hot key is dealt over as many tasks as its rows ask for, and over no more than this in all.
+SALTS = 2000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -69,24 +69,24 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return df if bounded_rows(df, limit) is None else F.broadcast(df)
 
 
-def hot_hashes(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of the keys that hold more than ``share`` of the rows, and more than HOT_ROWS rows.
+def hot_hashes(df: DataFrame, keys: Sequence[str], share: float = 0.0) -> dict[int, int]:
+    """Hashes of the keys that hold more than HOT_ROWS rows (and ``share`` of all), with their number of salts.
 
-    One map-side sketch of fixed size per task; nothing else is shuffled, and at most 1/share
+    One map-side sketch of fixed size per task; nothing else is shuffled, and at most HOT_KEYS
     numbers come back, whatever the size of ``df``. Whether a key is on the list decides only
-    how its rows are spread, never the result.
+    how its rows are spread, never the result. A key gets a salt for every HOT_ROWS rows, or for
+    every part in SALTS of the table where that is more.
     """
-    most = math.ceil(1 / share)
     row = df.select(F.xxhash64(*keys).alias("h")).agg(
-        F.expr(f"approx_top_k(h, {most}, {SKETCH})").alias("top"), F.count(F.lit(1)).alias("n")).first()
-    floor = max(share * row["n"], HOT_ROWS)
-    return sorted(item["item"] for item in row["top"] or [] if item["count"] > floor)
+        F.expr(f"approx_top_k(h, {HOT_KEYS}, {SKETCH})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    floor, each = max(share * row["n"], HOT_ROWS), max(1, HOT_ROWS, row["n"] / SALTS)
+    return {item["item"]: max(2, math.ceil(item["count"] / each)) for item in row["top"] or [] if item["count"] > floor}
 
 
 def skew_join(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "inner",
               condition: Column | None = None, probe: DataFrame | None = None,
-              hot: Sequence[int] | None = None) -> DataFrame:
-    """Join a large ``fact`` to ``dim`` on ``on``; rows of hot keys are spread over SALTS tasks.
+              hot: Mapping[int, int] | None = None) -> DataFrame:
+    """Join a large ``fact`` to ``dim`` on ``on``; rows of hot keys are spread, the hotter the wider.
 
     ``how`` is inner, left, left_semi or left_anti; ``condition`` is a further condition on
     columns that only one side has. The hot keys are found on ``probe``, by default ``fact``: pass
@@ -104,11 +104,12 @@ def skew_join(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str
         # The map task is part of the salt, so that exact copies of one row are spread too; it
         # does not depend on the order of rows, so a task run again salts every row as before.
         values = [F.col(c) for c in fact.columns if not _is_map(fact, c)]
-        spread = F.pmod(F.xxhash64(F.spark_partition_id(), *values), F.lit(SALTS)).cast("int")
-        is_hot = F.xxhash64(*on).isin(list(hot))
-        copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        fact = fact.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
-        dim = dim.withColumn("_salt", F.explode(copies))
+        # HOT_KEYS rows at most, so it is broadcast.
+        salts = F.broadcast(fact.sparkSession.createDataFrame([(h, n) for h, n in hot.items()], "_hot long, _salts int"))
+        spread = F.pmod(F.xxhash64(F.spark_partition_id(), *values), F.coalesce("_salts", F.lit(1))).cast("int")
+        copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+        fact = (fact.join(salts, F.xxhash64(*on) == F.col("_hot"), "left").withColumn("_salt", spread).drop("_hot", "_salts"))
+        dim = (dim.join(salts, F.xxhash64(*on) == F.col("_hot"), "left").withColumn("_salt", F.explode(copies)).drop("_hot", "_salts"))
         keys.append("_salt")
     if condition is None:
         return fact.join(dim, keys, how).drop("_salt")
