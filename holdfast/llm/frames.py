@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,18 @@ def schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within: Python tasks that are run get at most so many rows at a time, for rows that are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def map_texts(df: DataFrame, text: str, keep: Sequence[str], result: str,
               work: Callable[[pa.Array], Sequence[pa.Array]], limit: int = BLOCK) -> DataFrame:
     """``keep`` of every row, and the columns ``result`` (DDL) that ``work`` makes from its text.
