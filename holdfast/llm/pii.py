@@ -1,7 +1,7 @@
 """Personal data, also where it is disguised: normalise, detect, and map back to the source.
 
-The base pass finds identifiers as they stand. Texts that show a trace of disguise go through
-transducers as well: look-alike letters and digits become ASCII, invisible characters go, "[at]",
+The base pass finds identifiers as they stand. Texts in which a transducer would change anything go
+through them as well: look-alike letters and digits become ASCII, invisible characters go, "[at]",
 "(dot)", " at ... dot ", spelled digits and "plus" become the characters they stand for. Every
 character of the normalised text knows the source range it came from, so what the same detectors
 find there is mapped back to code points of the source. A span found so is added when it holds
@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -120,22 +120,19 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _SPELLED = "|".join(_DIGITS)
 # Fixed values: "at" without brackets counts only before a domain that ends in one of these.
 _TOP = "com|org|net|edu|gov|info|biz|io|co|uk|de|fr|es|eu|it|nl|ch|at|us|ca|au"
+# A run of spaces before a bracket is tried from its start alone.
+_BEFORE = rf"(?: (?<![ \t]) [ \t]+ )? {_OPEN}"
 _SAID_DOT = rf"(?: [ \t]+ dot [ \t]+ | [ \t]* {_OPEN} [ \t]* (?:dot|\.) [ \t]* {_CLOSE} [ \t]* )"
 _TOKEN = re.compile(rf"""
-    (?P<at>   [ \t]* {_OPEN} [ \t]* (?:at|@) [ \t]* {_CLOSE} [ \t]*
+    (?P<at>   {_BEFORE} [ \t]* (?:at|@) [ \t]* {_CLOSE} [ \t]*
             | (?<=\w) [ \t]+ at [ \t]+ (?= [\w-]+ (?: {_SAID_DOT} [\w-]+ ){{0,4}} {_SAID_DOT} (?:{_TOP}) \b ) )
-  | (?P<dot>  [ \t]* {_OPEN} [ \t]* (?:dot|\.) [ \t]* {_CLOSE} [ \t]* | (?<=\w) [ \t]+ dot [ \t]+ (?=\w) )
-  | (?P<plus> \b plus [ \t]+ (?= (?:{_SPELLED}|[0-9]) \b ) )
+  | (?P<dot>  {_BEFORE} [ \t]* (?:dot|\.) [ \t]* {_CLOSE} [ \t]* | (?<=\w) [ \t]+ dot [ \t]+ (?=\w) )
+  | (?P<plus> \b plus [ \t]+ (?= (?:{_SPELLED}|[0-9]+) \b ) )
   | (?P<said> \b (?:{_SPELLED}) (?: [ \t,-]+ (?: (?:{_SPELLED}) \b | [0-9]+ \b ) )* (?!\w) )
   | (?P<gone> [{_INVISIBLE}]+ )""", re.VERBOSE | re.IGNORECASE)
 _WORD = re.compile(rf"(?:{_SPELLED})|[0-9]", re.IGNORECASE)
 
 
-_SAID_PAIR = re.compile(rf"\b(?:{_SPELLED})[ \t,-]+(?:{_SPELLED}|[0-9])")
-_LONE_DOT = re.compile(rf"(?:[ \t]|{_OPEN})dot(?:[ \t]|{_CLOSE})")
-_BRACKET_AT = re.compile(rf"{_OPEN}[ \t]*(?:at|@)[ \t]*{_CLOSE}")
-
-
 def _latin(text: str) -> bool:
     if text.isascii():
         return True
@@ -146,13 +143,20 @@ def _latin(text: str) -> bool:
     return "\xad" not in text
 
 
+def _tokens(folded: str) -> Iterator[tuple[re.Match[str], list[re.Match[str]]]]:
+    """What is to be replaced, in order, and the number words of it. A single number word is a word."""
+    for m in _TOKEN.finditer(folded):
+        words = list(_WORD.finditer(m[0])) if m["said"] else []
+        if len(words) == 1 and not words[0][0].isdigit() and \
+                not re.match(r"[ \t]+dot[ \t]", folded[m.end():m.end() + 8], re.IGNORECASE) and not \
+                re.search(r"(?:dot|plus)[ \t]+\Z", folded[max(0, m.start() - 8):m.start()], re.IGNORECASE):
+            continue
+        yield m, words
+
+
 def disguised(text: str) -> bool:
-    """May the text hide something? Cheap, and true whenever a transducer would change it to effect."""
-    if not _latin(text) and _SUSPECT.search(text):
-        return True
-    low = text.lower()
-    return bool("dot" in low and _LONE_DOT.search(low) or ("at" in low or "@" in low) and _BRACKET_AT.search(low)
-                or any(word in low for word in _DIGITS) and _SAID_PAIR.search(low))
+    """Would a transducer change the text? The transducers' own patterns decide, so nothing they see is passed over."""
+    return not _latin(text) and _SUSPECT.search(text) is not None or next(_tokens(text), None) is not None
 
 
 def normalise(text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,11 +177,7 @@ def normalise(text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
         starts.append(np.array([a for a, _ in spans], np.int64)), ends.append(np.array([b for _, b in spans], np.int64))
         changed.append(np.ones(len(piece), bool))
 
-    for m in _TOKEN.finditer(folded):
-        if m["said"] and len(words := list(_WORD.finditer(m[0]))) == 1 and not words[0][0].isdigit() and \
-                not re.match(r"[ \t]+dot[ \t]", folded[m.end():m.end() + 8], re.IGNORECASE) and not \
-                re.search(r"(?:dot|plus)[ \t]+\Z", folded[max(0, m.start() - 8):m.start()], re.IGNORECASE):
-            continue  # a single number word is a word
+    for m, words in _tokens(folded):
         copy(m.start())
         at = m.end()
         if m["at"] or m["dot"] or m["plus"]:

@@ -79,3 +79,32 @@ def test_query(spark):
     assert [(r[-2], r[-1]) for r in got if r[0] is None] == [(1, "email:0:17")]
     kept = pii.redacted(df.withColumnRenamed("n_email", "n_chars"), ["doc_id", "text", "n_chars"]).collect()
     assert {r["text"] for r in kept} == {"[EMAIL] and [IP]", None, "", "[EMAIL]"}
+
+
+@pytest.mark.parametrize(("text", "hidden"), [
+    ("host 10[.]0[.]0[.]1 is up", "10[.]0[.]0[.]1"), ("host 192.168.1[.]5", "192.168.1[.]5"), ("mail jo@mail(.)org", "jo@mail(.)org"),
+    ("jo@mail {.} org", "jo@mail {.} org"), ("call plus 1 555 123 4567 now", "plus 1 555 123 4567"),
+    ("call Plus 49 30 123 4567", "Plus 49 30 123 4567"), ("dot one.2.3.4", "one.2.3.4")])
+def test_disguises_without_another_trace(text, hidden):
+    assert pii.disguised(text)
+    assert [text[a:b] for spans in pii.revealed(text, {}).values() for a, b in spans] == [hidden]
+    assert hidden not in pii.redact(text)
+
+
+PIECES = ["jo", "mail", "org", "@", " at ", "[at]", "( @ )", ".", "[.]", " ( . ) ", " dot ", "\ndot ", "(dot)", "plus ", "Plus\t", "+", "1",
+          "10", "49 30 123 4567", "255", "one", " two ", "nine-", "oh ", " ", "  ", "\n", "\u0430", "\uff11", "\u200b", "\xad", "\xe9"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_the_gate_holds_wherever_something_is_revealed(text):
+    if any(pii.revealed(text, pii.detect(text)).values()):
+        assert pii.disguised(text)
+    if not pii.disguised(text):
+        assert pii.normalise(text)[0] == text
+
+
+def test_the_gate_takes_linear_time():
+    for text in (" " * 300_000, "(" * 300_000, "a" + " \t" * 150_000, "plus " * 60_000, "at " * 100_000, "one,,,," * 40_000, "[ " * 150_000):
+        pii.disguised(text)
+        pii.normalise(text)
