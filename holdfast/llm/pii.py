@@ -5,7 +5,7 @@ through them as well: look-alike letters and digits become ASCII, invisible char
 "(dot)", " at ... dot ", spelled digits and "plus" become the characters they stand for. Every
 character of the normalised text knows the source range it came from, so what the same detectors
 find there is mapped back to code points of the source. A span found so is added when it holds
-something disguised and meets no base span; base spans always stay.
+something disguised and does not lie inside one base span; base spans always stay.
 
 All patterns take time in proportion to the text: none can start again inside a run it has tried.
 """
@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -154,9 +156,21 @@ def _tokens(folded: str) -> Iterator[tuple[re.Match[str], list[re.Match[str]]]]:
         yield m, words
 
 
+# What every match of _TOKEN that is replaced holds, alternative by alternative: "at" and "dot" in brackets, "dot" as a
+# word, "plus" before a number, and two number words in a row (a single one counts beside "dot" or "plus" alone).
+_BRACKETED = re.compile(rf"{_OPEN}[ \t]*(?:at|@|dot|\.)[ \t]*{_CLOSE}")
+_SAID_PLUS = re.compile(rf"plus[ \t]+(?:{_SPELLED}|[0-9])")
+_SAID_PAIR = re.compile(rf"\b(?:{_SPELLED})[ \t,-]+(?:{_SPELLED}|[0-9])")
+
+
 def disguised(text: str) -> bool:
-    """Would a transducer change the text? The transducers' own patterns decide, so nothing they see is passed over."""
-    return not _latin(text) and _SUSPECT.search(text) is not None or next(_tokens(text), None) is not None
+    """May a transducer change the text? Cheap, and true wherever one would."""
+    if not _latin(text) and _SUSPECT.search(text):
+        return True
+    # The patterns take these two for an i as well.
+    low = text.lower() if text.isascii() else text.replace("\u0130", "i").replace("\u0131", "i").lower()
+    return bool("dot " in low or "dot\t" in low or _BRACKETED.search(low) or "plus" in low and _SAID_PLUS.search(low)
+                or any(word in low for word in _DIGITS) and _SAID_PAIR.search(low))
 
 
 def normalise(text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
@@ -195,12 +209,14 @@ def revealed(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only the normalised text shows, in code points of ``text``."""
     plain, start, end, changed = normalise(text)
     taken = sorted(s for spans in base.values() for s in spans)
+    begins, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     added: dict[str, list[Span]] = {}
     for kind, spans in detect(plain).items():
         for a, b in spans:
             span = int(start[a]), int(end[b - 1])
             broken = changed[a:b].any() or (start[a + 1:b] != end[a:b - 1]).any()
-            if broken and not any(s < span[1] and span[0] < e for s, e in taken):
+            before = bisect_right(begins, span[0])
+            if broken and not (before and reach[before - 1] >= span[1]):
                 added.setdefault(kind, []).append(span)
     return added
 

@@ -92,7 +92,7 @@ def test_disguises_without_another_trace(text, hidden):
 
 
 PIECES = ["jo", "mail", "org", "@", " at ", "[at]", "( @ )", ".", "[.]", " ( . ) ", " dot ", "\ndot ", "(dot)", "plus ", "Plus\t", "+", "1",
-          "10", "49 30 123 4567", "255", "one", " two ", "nine-", "oh ", " ", "  ", "\n", "\u0430", "\uff11", "\u200b", "\xad", "\xe9"]
+          "10", "49 30 123 4567", "255", "one", " two ", "nine-", "oh ", " ", "  ", "\n", "\u0430", "\uff11", "\u200b", "\xad", "\xe9", "f\u0131ve ", "N\u0130NE", "s\u0130x"]
 
 
 @settings(max_examples=1500, deadline=None)
@@ -108,3 +108,21 @@ def test_the_gate_takes_linear_time():
     for text in (" " * 300_000, "(" * 300_000, "a" + " \t" * 150_000, "plus " * 60_000, "at " * 100_000, "one,,,," * 40_000, "[ " * 150_000):
         pii.disguised(text)
         pii.normalise(text)
+
+
+@pytest.mark.parametrize(("text", "base", "whole", "redacted"), [
+    ("to j\u043ehn@mail.org now", {"email": ["hn@mail.org"]}, {"email": ["j\u043ehn@mail.org"]}, "to [EMAIL] now"),
+    ("call +1 555 123 45\uff167!", {"phone": ["+1 555 123 45"]}, {"phone": ["+1 555 123 45\uff167"]}, "call [PHONE]!"),
+    ("a@b.cc [dot] dd", {"email": ["a@b.cc"]}, {"email": ["a@b.cc [dot] dd"]}, "[EMAIL]"),
+    ("a@b.cc, two dot one", {"email": ["a@b.cc"]}, {}, "[EMAIL], two dot one")])
+def test_spans_beyond_a_base_span_are_added(text, base, whole, redacted):
+    cut = lambda spans: {k: [text[a:b] for a, b in x] for k, x in spans.items() if x}
+    assert cut(pii.detect(text)) == base
+    assert cut(pii.revealed(text, pii.detect(text))) == whole
+    assert pii.redact(text) == redacted
+
+
+def test_spans_inside_a_base_span_are_dropped():
+    text = "10\u200b.0.0.1"
+    assert pii.revealed(text, {"ip": [(0, 9)]}) == {} and pii.revealed(text, {"ip": [(0, 5), (5, 9)]}) == {"ip": [(0, 9)]}
+    assert pii.revealed(text, {"ip": [(0, 20), (1, 2)]}) == {}
