@@ -1,7 +1,8 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences; a line break ends one too, unless what stands before it can only be the
-beginning of a known sentence. Sentences are normalised: lower case, words and numbers only, every
+A text is cut into sentences, at colons and semicolons too; a line break ends one as well, unless what
+stands before it can be the beginning of a known sentence: then the longest known one from there on is
+taken. Sentences are normalised: lower case, words and numbers only, every
 number a ``#``. A sentence known by its normalised form has an identifier, and its last number is the
 version. The sequence of identifiers is matched from left to right against ordered rules, the longest
 that fits first; up to ``GAP`` unknown sentences may lie between those of a rule. A known sentence
@@ -19,29 +20,68 @@ from pyspark.sql import DataFrame
 
 from holdfast.llm.frames import map_texts
 
-# Sentences by which licences are granted, as they are written. Numbers stand for any.
+# Sentences by which licences are granted, as they are written, whole and cut short. Numbers stand for any.
 SENTENCES = {
     "apache-under": ["Licensed under the Apache License, Version 2.0",
                      "Licensed under the Apache License, Version 2.0 (the \"License\")",
                      "This work is licensed under the Apache License, Version 2.0"],
     "apache-only-in-compliance": ["you may not use this file except in compliance with the License"],
-    "apache-as-is": ["software distributed under the License is distributed on an \"AS IS\" BASIS"],
+    "apache-as-is": ["software distributed under the License is distributed on an \"AS IS\" BASIS",
+                     "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+                     "on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+                     "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable "
+                     "law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+                     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
     "gpl-under": ["This work is licensed under the GNU General Public License, version 3",
                   "Licensed under the GNU General Public License, version 3",
                   "Released under the GNU General Public License, version 3"],
     "gpl-free": ["This program is free software"],
     "gpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-                  "the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl-no-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+                  "the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+                  "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by "
+                  "the Free Software Foundation",
+                  "you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published "
+                  "by the Free Software Foundation",
+                  "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+                  "the Free Software Foundation, version 3 of the License"],
+    # A semicolon may stand before the version.
+    "gpl-published": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+                      "the Free Software Foundation"],
+    "gpl-version": ["either version 2 of the License, or (at your option) any later version", "version 2 of the License",
+                    "either version 2, or (at your option) any later version", "version 2"],
+    "gpl-no-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+                        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY, without even the "
+                        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"],
     "mit-under": ["Released under the MIT License", "Licensed under the MIT License", "This work is licensed under the MIT License"],
-    "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
+    "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+                  "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+                  "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+                  "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+                  "to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
     "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial "
-                   "portions of the Software"],
+                   "portions of the Software",
+                   "The above copyright notice and this permission notice (including the next paragraph) shall be included in all "
+                   "copies or substantial portions of the Software"],
     "bsd-grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
                   "the following conditions are met:"],
-    "bsd-source": ["Redistributions of source code must retain the above copyright notice"],
-    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice"],
-    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse"],
+    "bsd-source": ["Redistributions of source code must retain the above copyright notice",
+                   "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+                   "following disclaimer"],
+    "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice",
+                   "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+                   "following disclaimer in the documentation and/or other materials provided with the distribution"],
+    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse",
+                    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                    "products derived from this software without specific prior written permission",
+                    "Neither the name of the copyright holder nor the names of the contributors may be used to endorse or promote "
+                    "products derived from this software without specific prior written permission",
+                    "Neither the names of the copyright holders nor the names of their contributors may be used to endorse or promote "
+                    "products derived from this software without specific prior written permission",
+                    # A name may end in a full stop: then this is left of the sentence.
+                    "nor the names of its contributors may be used to endorse or promote products derived from this software without "
+                    "specific prior written permission",
+                    "The name of the author may not be used to endorse or promote products derived from this software without "
+                    "specific prior written permission"],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0"],
@@ -51,6 +91,7 @@ SENTENCES = {
 # Rules as sequences of those identifiers; {} is the version of the sentence it stands for.
 RULES = [
     ("GPL-{}", ["gpl-free", "gpl-terms", "gpl-no-warranty"]), ("GPL-{}", ["gpl-free", "gpl-terms"]), ("GPL-{}", ["gpl-under"]),
+    ("GPL-{}", ["gpl-free", "gpl-published", "gpl-version", "gpl-no-warranty"]), ("GPL-{}", ["gpl-free", "gpl-published", "gpl-version"]),
     ("Apache-{}", ["apache-under", "apache-only-in-compliance", "apache-as-is"]),
     ("Apache-{}", ["apache-under", "apache-only-in-compliance"]), ("Apache-{}", ["apache-under"]),
     ("MIT", ["mit-grant", "mit-notice"]), ("MIT", ["mit-grant"]), ("MIT", ["mit-under"]),
@@ -63,21 +104,26 @@ GAP = 2
 
 _TERM = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*|[^\W\d_]+")
 _NUMBER = re.compile(r"[0-9]+(?:\.[0-9]+)*")
-_CUT = re.compile(r"[.!?;](?=\s|\Z)|\n")
+_CUT = re.compile(r"[.!?;:](?=\s|\Z)|\n")
+# Whoever the holder is, by up to a dozen words; and the beginning of such a sentence.
+_HOLDER = re.compile(r"^((?:# )?neither the names? of) (?:\S+ ){1,12}?nor\b")
+_OPEN_HOLDER = re.compile(r"neither the names? of(?: (?!nor\b)\S+){0,12}")
 
 
 def normal(sentence: str) -> str:
-    """Lower-cased words and numbers, one space between, numbers as #."""
-    return " ".join("#" if t[0].isdigit() else t for t in _TERM.findall(sentence.lower()))
+    """Lower-cased words and numbers, one space between, numbers as #; without the holder's name where contributors follow."""
+    return _HOLDER.sub(r"\1 nor", " ".join("#" if t[0].isdigit() else t for t in _TERM.findall(sentence.lower())))
 
 
 KNOWN = {normal(s): key for key, forms in SENTENCES.items() for s in forms}
 _BEGINNINGS = {" ".join(words[:k]) for s in KNOWN for words in [s.split()] for k in range(1, len(words))}
+# Too common to be reported where no rule takes them.
+_PARTS = {"gpl-version"}
 _LONGEST = max(map(len, KNOWN))
 # Every known sentence has one of these, so a text without any holds none.
 _TRACES = ("licens", "permission", "permitted", "redistribution", "free software", "rights reserved", "program is", "cc0",
-           "nor the names")
-assert all(any(t in s.lower() for t in _TRACES) for forms in SENTENCES.values() for s in forms)
+           "nor the names", "neither the name")
+assert all(any(t in s.lower() for t in _TRACES) for key, forms in SENTENCES.items() if key not in _PARTS for s in forms)
 _ORDERED = sorted(RULES, key=lambda r: -len(r[1]))
 
 Sentence = tuple[str | None, str, int, int]
@@ -86,30 +132,26 @@ Sentence = tuple[str | None, str, int, int]
 def sentences(text: str) -> list[Sentence]:
     """(identifier or None, version, start, end) of every sentence that has words, in code points."""
     out: list[Sentence] = []
-    start = 0
     ends = [(m.start(), m.end(), m[0] == "\n") for m in _CUT.finditer(text)] + [(len(text), len(text), False)]
-    for stop, after, broken in ends:
-        if stop < start:
-            continue
-        body = text[start:stop]
-        key = normal(body) if len(body) <= 4 * _LONGEST else "?"
-        if broken and key and key not in KNOWN and key in _BEGINNINGS:
-            continue  # goes on in the next line
-        if broken and not key:
-            start = after
-            continue
-        if key:
-            lead = len(body) - len(body.lstrip())
-            if key not in KNOWN and "\n" in body.strip():  # what went on was no known sentence: each line on its own
-                at = start
-                for line in body.split("\n"):
-                    own = normal(line) if len(line) <= 4 * _LONGEST else "?"
-                    if own:
-                        out.append(_one(own, line, at + len(line) - len(line.lstrip()), at + len(line.rstrip())))
-                    at += len(line) + 1
-            else:
-                out.append(_one(key, body, start + lead, start + len(body.rstrip())))
-        start = after
+    start = k = 0
+    while k < len(ends):
+        best, at = None, k
+        while at < len(ends):
+            stop, _, broken = ends[at]
+            key = normal(text[start:stop]) if stop - start <= 4 * _LONGEST else "?"
+            if at == k:
+                own = key
+            if key in KNOWN:
+                best = at
+            if not (broken and key and (key in _BEGINNINGS or _OPEN_HOLDER.fullmatch(key))):
+                break
+            at += 1  # may go on in the next line
+        last = k if best is None else best
+        body = text[start:ends[last][0]]
+        if own:
+            out.append(_one(own if best is None else normal(body), body, start + len(body) - len(body.lstrip()),
+                            start + len(body.rstrip())))
+        start, k = ends[last][1], last + 1
     return out
 
 
@@ -141,7 +183,8 @@ def match(found: Sequence[Sentence]) -> list[tuple[str, int, int]]:
                 k = used[-1] + 1
                 break
         else:
-            out.append((f"sentence:{found[k][0]}", found[k][2], found[k][3]))
+            if found[k][0] not in _PARTS:
+                out.append((f"sentence:{found[k][0]}", found[k][2], found[k][3]))
             k += 1
     return out
 
