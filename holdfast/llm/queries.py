@@ -9,6 +9,7 @@ from holdfast.llm import langid, lm
 from holdfast.llm.ann import nearest
 from holdfast.llm.decontaminate import contamination
 from holdfast.llm.licenses import license_scan
+from holdfast.llm.mixing import mixed
 from holdfast.llm.near_dedup import near_duplicates
 from holdfast.llm.packing import packed
 from holdfast.llm.pii import find_personal
@@ -116,3 +117,10 @@ def op4_ann(spark: SparkSession, folder: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """The licences that every document states."""
     return license_scan(read(spark, folder, "documents"), keep=["doc_id"])
+
+
+@query()
+def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """What a mix of one and a half times all words takes of every document, its sources weighed 3, 1, 2 in turn."""
+    out = mixed(read(spark, folder, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
