@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from holdfast.llm import langid, lm
 from holdfast.llm.ann import nearest
 from holdfast.llm.decontaminate import contamination
+from holdfast.llm.hard_negatives import hard_negatives
 from holdfast.llm.licenses import license_scan
 from holdfast.llm.mixing import mixed
 from holdfast.llm.near_dedup import near_duplicates
@@ -124,3 +125,20 @@ def op11_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """What a mix of one and a half times all words takes of every document, its sources weighed 3, 1, 2 in turn."""
     out = mixed(read(spark, folder, "documents"), keep=["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5""")
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Five positives of every hundredth vector, and for each five negatives that score nearly as high."""
+    rows = read(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", "embedding", moved.alias("label")), F.col("vec_id") % 100 == 0)
