@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import langid, lm
+from holdfast.llm.alignment import aligned
 from holdfast.llm.ann import nearest
 from holdfast.llm.decontaminate import contamination
 from holdfast.llm.hard_negatives import hard_negatives
@@ -142,3 +143,11 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(rows.select("vec_id", "embedding", moved.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document by two tokenizers, in groups of the same bytes, and their links."""
+    import public_tokenizers
+    return aligned(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                   public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
