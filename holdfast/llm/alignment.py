@@ -21,6 +21,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
+from operator import attrgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -33,9 +35,9 @@ from holdfast.llm.packing import _byte_letters
 from holdfast.scale import bounded_rows, broadcast_if_small, durable, skew_join
 
 # Units known to a worker: some 300 bytes each. More are forgotten and tokenised again.
-CACHED = 200_000
-# Bytes of units tokenised at once, and of a block of texts.
-JOINED, BLOCK = 1 << 20, 2 << 20
+CACHED = 400_000
+# Characters of units tokenised at once, and bytes of a block of texts.
+JOINED, BLOCK = 1 << 16, 2 << 20
 # Pairs of ids a task adds up before it sends them on.
 HELD = 500_000
 # Pairs of ids, 17 bytes each, that may be sent to every task; more are joined.
@@ -43,6 +45,7 @@ PAIRS = 4_000_000
 
 # A space after something that is no white space, and before anything at all: a model asked for nothing says nothing.
 _CUT = re.compile(r"(?<=\S) (?=[\s\S])")
+_ID, _END = attrgetter("id"), attrgetter("end")
 _PROBE = " Don't  stop\n  the naïve 你好 \U0001F600x  y 12,5%\t z a　 b"
 
 
@@ -82,7 +85,7 @@ class Byte:
     def encode(self, text: str) -> Bytes:
         made = self.tokenizer.encode(text, add_special_tokens=False)
         ids = np.array(made.ids, np.int64)
-        begin, end = np.array(made.offsets, np.int64).reshape(-1, 2).T
+        begin, end = np.fromiter(chain.from_iterable(made.offsets), np.int64, 2 * len(ids)).reshape(-1, 2).T
         raw = np.frombuffer(text.encode(), np.uint8)
         at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # the byte at which each character begins
         # A character that the next token begins in is not over yet.
@@ -106,8 +109,8 @@ class Piece:
     def encode(self, text: str) -> Bytes:
         """``text`` begins with the space that the model puts there itself."""
         pieces = self.model.encode(text[1:], return_type="proto", num_threads=1).pieces
-        ids = np.array([p.id for p in pieces], np.int64)
-        end = np.array([p.end for p in pieces], np.int64) + 1
+        ids = np.fromiter(map(_ID, pieces), np.int64, len(pieces))
+        end = np.fromiter(map(_END, pieces), np.int64, len(pieces)) + 1
         return Bytes(ids, refined(end, ~self.is_byte[ids], self.length[ids]), b"".join(map(self.decoded.__getitem__, ids.tolist())))
 
 
@@ -122,7 +125,7 @@ def overlaps(a_end: np.ndarray, a_length: np.ndarray, b_end: np.ndarray, b_lengt
 
 def group_texts(a: Bytes, b: Bytes, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
     """``a1,a2|b1;a3|b2`` of each unit, of which ``ends`` are the last bytes, and its number of groups."""
-    both = np.intersect1d(a.end, b.end)
+    both = a.end[b.end[np.minimum(np.searchsorted(b.end, a.end), len(b.end) - 1)] == a.end]
     group = np.concatenate([np.searchsorted(both, t.end) for t in (a, b)])
     side = np.repeat([0, 1], [len(a.ids), len(b.ids)])
     order = np.argsort(group * 2 + side, kind="stable")
@@ -218,7 +221,11 @@ class Aligner:
         if len(self.groups) > CACHED:
             self.clear()
         cut = [self.units(t or "") for t in texts]
-        new = list(dict.fromkeys(u for us in cut for u in us if u not in self.known))
+        border = np.cumsum([0, *map(len, cut)])
+        units = list(chain.from_iterable(cut))
+        places = list(map(self.known.get, units))
+        missing = [k for k, p in enumerate(places) if p is None]
+        new = list(dict.fromkeys([units[k] for k in missing]))
         # A space joined to white space is no cut, so units that end in white space are asked for alone.
         for unit in [u for u in new if u[-1:].isspace()]:
             self._learn([unit])
@@ -231,27 +238,27 @@ class Aligner:
                 low, size = k + 1, 0
         if low < len(new):
             self._learn(new[low:])
-        at = [list(map(self.known.__getitem__, us)) for us in cut]
-        for k, (text, places) in enumerate(zip(texts, at)):
-            if not self.facts[places, self.SAME].all() and not self._same(" " + text, places):
-                at[k] = []
-        flat = self.facts[[p for places in at for p in places]] if any(at) else self.facts[:0]
-        border = np.cumsum([0, *map(len, at)])
+        for k in missing:
+            places[k] = self.known[units[k]]
+        places = np.array(places, np.int64)
+        flat = self.facts[places]
+        differ = np.unique(np.searchsorted(border, np.flatnonzero(flat[:, self.SAME] == 0), "right") - 1).tolist()
+        for k in differ:
+            self._check(" " + texts[k], flat[border[k]:border[k + 1]])
+            flat[border[k]:border[k + 1]] = 0
         total = np.concatenate([np.zeros((1, 6), np.int64), np.cumsum(flat, axis=0)])
         per = total[border[1:]] - total[border[:-1]]
-        shown = [";".join(map(self.groups.__getitem__, places)) for places in at]
+        known = [self.groups[p] for p in places.tolist()]
+        shown = ["" if k in differ else ";".join(known[low:high]) for k, (low, high) in enumerate(zip(border, border[1:]))]
         tokens = [pool.take(flat[:, start], flat[:, count]) for pool, start, count in zip(
             self.pools, (self.A, self.A, self.B, self.B), (self.NA, self.NA, self.NB, self.NB))]
         return [per[:, self.NA], per[:, self.NB], per[:, self.GROUPS], shown, *tokens]
 
-    def _same(self, text: str, places: list[int]) -> bool:
-        """Whether tokens whose units differ from the text still give its bytes in all. Their groups are then made anew."""
-        fact = self.facts[places]
+    def _check(self, text: str, fact: np.ndarray) -> None:
+        """Refuses tokenizers whose bytes differ from a text's unit by unit, but not in all."""
         ids = self.pools[0].take(fact[:, self.A], fact[:, self.NA]), self.pools[2].take(fact[:, self.B], fact[:, self.NB])
-        same = all(b"".join(t.decoded[i] for i in x.tolist()) == text.encode() for t, x in zip((self.a, self.b), ids))
-        if same:
+        if all(b"".join(t.decoded[i] for i in x.tolist()) == text.encode() for t, x in zip((self.a, self.b), ids)):
             raise NotImplementedError("a tokenizer that moves bytes from one unit to another")
-        return False
 
 
 _LOADED: dict[tuple[str, str], Aligner] = {}
