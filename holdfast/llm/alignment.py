@@ -32,12 +32,15 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.frames import map_texts, name
 from holdfast.llm.packing import _byte_letters
+from holdfast.llm.words import blocks, text_bytes
 from holdfast.scale import bounded_rows, broadcast_if_small, durable, skew_join
 
 # Units known to a worker: some 300 bytes each. More are forgotten and tokenised again.
 CACHED = 400_000
 # Characters of units tokenised at once, and bytes of a block of texts.
 JOINED, BLOCK = 1 << 16, 2 << 20
+# Bytes of ids whose links are looked at at once, unless one text has more.
+TOKENS = 1 << 20
 # Pairs of ids a task adds up before it sends them on.
 HELD = 500_000
 # Pairs of ids, 17 bytes each, that may be sent to every task; more are joined.
@@ -272,58 +275,59 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return _LOADED[key]
 
 
-_ALIGNED = ("n_a long, n_b long, n_groups long, groups_sha256 string, a array<int>, a_length array<int>, "
-            "b array<int>, b_length array<int>")
+_ALIGNED = "n_a long, n_b long, n_groups long, groups_sha256 string, a binary, a_length binary, b binary, b_length binary"
 
 
-def _aligned(byte_path: str, piece_path: str):
+def _narrow(most: int) -> np.dtype:
+    """Of the whole numbers up to ``most``."""
+    return np.dtype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+
+
+def _aligned(byte_path: str, piece_path: str, kinds: Sequence[np.dtype]):
     def work(column: pa.Array) -> list[pa.Array]:
         n_a, n_b, groups, shown, *tokens = aligner(byte_path, piece_path).align(column.to_pylist())
         digest = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in shown]
-        offsets = [pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)) for n in (n_a, n_b)]
-        lists = [pa.ListArray.from_arrays(offsets[k // 2], pa.array(t)) for k, t in enumerate(tokens)]
-        return [pa.array(n_a), pa.array(n_b), pa.array(groups), pa.array(digest), *lists]
+        bodies = []
+        for count, kind, values in zip((n_a, n_a, n_b, n_b), kinds, tokens):
+            offsets = np.concatenate([[0], np.cumsum(count * kind.itemsize)]).astype(np.int32)
+            bodies.append(pa.Array.from_buffers(pa.binary(), len(count), [None, *map(pa.py_buffer, (offsets, values.astype(kind)))]))
+        return [pa.array(n_a), pa.array(n_b), pa.array(groups), pa.array(digest), *bodies]
     return work
 
 
-def _links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _links(batch: pa.RecordBatch, kinds: Sequence[np.dtype]) -> tuple[np.ndarray, np.ndarray]:
     """Row and pair of ids (a << 32 | b) of every link of a batch."""
-    columns = [batch.column(c) for c in ("a", "a_length", "b", "b_length")]
-    a, a_length, b, b_length = (c.flatten().to_numpy().astype(np.int64) for c in columns)
+    raw = [text_bytes(batch.column(c)) for c in ("a", "a_length", "b", "b_length")]
+    a, a_length, b, b_length = (body.view(kind).astype(np.int64) for (body, _), kind in zip(raw, kinds))
     # Texts with tokens have as many bytes of a as of b, so the lengths of all add up in step.
     x, y = overlaps(np.cumsum(a_length), a_length, np.cumsum(b_length), b_length)
-    border = columns[0].offsets.to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(batch.num_rows), np.diff(border))
+    row = np.repeat(np.arange(batch.num_rows), np.diff(raw[0][1]) // kinds[0].itemsize)
     return row[x], a[x] << 32 | b[y]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for low in range(0, batch.num_rows, 512):
-        yield batch.slice(low, 512)
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(kinds: Sequence[np.dtype]):
     """(pair, n): links of a task by pair, added up as far as HELD pairs go."""
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def sent() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "n"])
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["pair", "n"])
 
-    for whole in batches:
-        for batch in _slices(whole):
-            new, n = np.unique(_links(batch)[1], return_counts=True)
+        for batch in blocks(batches, "a", TOKENS):
+            new, n = np.unique(_links(batch, kinds)[1], return_counts=True)
             every, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, n]), len(every)).astype(np.int64)
             keys = every
             if len(keys) > HELD:
                 yield sent()
                 keys, counts = keys[:0], counts[:0]
-    yield sent()
+        yield sent()
+    return run
 
 
-def link_counts(tokens: DataFrame) -> DataFrame:
+def link_counts(tokens: DataFrame, kinds: Sequence[np.dtype]) -> DataFrame:
     """(pair, n, best), a row for each pair of ids that is linked anywhere; ``best`` where no pair of its b has more."""
-    counts = durable(tokens.select("a", "a_length", "b", "b_length").mapInArrow(_counted, "pair long, n long")
+    counts = durable(tokens.select("a", "a_length", "b", "b_length").mapInArrow(_counted(kinds), "pair long, n long")
                      .groupBy("pair").agg(F.sum("n").alias("n")))
     b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     most = counts.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
@@ -333,32 +337,32 @@ def link_counts(tokens: DataFrame) -> DataFrame:
 _SCORED = "n_links long, n_best long, count_sum long"
 
 
-def _scored(sent):
+def _scored(sent, kinds: Sequence[np.dtype]):
     """Links of each row, with the counts of all pairs at hand."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, best = sent.value
-        for whole in batches:
-            for batch in _slices(whole):
-                row, pair = _links(batch)
-                at = np.searchsorted(keys, pair)
-                border = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                sums = [np.diff(np.concatenate([[0], np.cumsum(v)])[border]) for v in (best[at].astype(np.int64), n[at])]
-                made = [pa.array(v) for v in (np.diff(border), *sums)]
-                yield pa.RecordBatch.from_arrays([batch.column("row"), *made], names=["row", "n_links", "n_best", "count_sum"])
+        for batch in blocks(batches, "a", TOKENS):
+            row, pair = _links(batch, kinds)
+            at = np.searchsorted(keys, pair)
+            border = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            sums = [np.diff(np.concatenate([[0], np.cumsum(v)])[border]) for v in (best[at].astype(np.int64), n[at])]
+            made = [pa.array(v) for v in (np.diff(border), *sums)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *made], names=["row", "n_links", "n_best", "count_sum"])
     return run
 
 
-def _row_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _row_pairs(kinds: Sequence[np.dtype]):
     """(at, pair, times) of each row."""
-    for whole in batches:
-        for batch in _slices(whole):
-            row, pair = _links(batch)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "a", TOKENS):
+            row, pair = _links(batch, kinds)
             by = np.lexsort((pair, row))
             row, pair = row[by], pair[by]
             new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (pair[1:] != pair[:-1]))) if len(row) else row
             times = np.diff(np.append(new, len(row)))
             yield pa.RecordBatch.from_arrays([batch.column("at").take(pa.array(row[new])), pa.array(pair[new]), pa.array(times)],
                                              names=["at", "pair", "times"])
+    return run
 
 
 def aligned(docs: DataFrame, byte_path: str, piece_path: str, keep: Sequence[str], text: str = "text",
@@ -374,17 +378,19 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, keep: Sequence[str
     """
     spark = docs.sparkSession
     row = F.struct(*[name(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("z")).alias("row")
-    made = map_texts(docs.select(row, name(text).alias("text")), "text", ["row"], _ALIGNED, _aligned(byte_path, piece_path), BLOCK)
+    here = aligner(byte_path, piece_path)
+    kinds = [_narrow(n) for t in (here.a, here.b) for n in (len(t.decoded), int(t.length.max()))]
+    made = map_texts(docs.select(row, name(text).alias("text")), "text", ["row"], _ALIGNED, _aligned(byte_path, piece_path, kinds), BLOCK)
     tokens = durable(made.withColumn("at", F.monotonically_increasing_id()))
     plain = F.struct("row", "n_a", "n_b", "n_groups", "groups_sha256").alias("row")
-    counts = durable(link_counts(tokens))
+    counts = durable(link_counts(tokens, kinds))
     if bounded_rows(counts, pairs) is not None:
         table = counts.toArrow().sort_by("pair")
         sent = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("pair", "n", "best")))
         source = tokens.select(plain, "a", "a_length", "b", "b_length")
-        scored = source.mapInArrow(_scored(sent), f"row {source.schema['row'].dataType.simpleString()}, {_SCORED}")
+        scored = source.mapInArrow(_scored(sent, kinds), f"row {source.schema['row'].dataType.simpleString()}, {_SCORED}")
     else:
-        links = tokens.select("at", "a", "a_length", "b", "b_length").mapInArrow(_row_pairs, "at long, pair long, times long")
+        links = tokens.select("at", "a", "a_length", "b", "b_length").mapInArrow(_row_pairs(kinds), "at long, pair long, times long")
         links = durable(links)
         met = skew_join(links, counts, "pair", probe=links).groupBy("at").agg(
             F.sum("times").alias("n_links"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
