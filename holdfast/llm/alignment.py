@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.frames import map_texts, name
+from holdfast.llm.frames import map_texts, name, rows_per_batch
 from holdfast.llm.packing import _byte_letters
 from holdfast.llm.words import blocks, text_bytes
 from holdfast.scale import bounded_rows, broadcast_if_small, durable, skew_join
@@ -381,7 +381,8 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, keep: Sequence[str
     here = aligner(byte_path, piece_path)
     kinds = [_narrow(n) for t in (here.a, here.b) for n in (len(t.decoded), int(t.length.max()))]
     made = map_texts(docs.select(row, name(text).alias("text")), "text", ["row"], _ALIGNED, _aligned(byte_path, piece_path, kinds), BLOCK)
-    tokens = durable(made.withColumn("at", F.monotonically_increasing_id()))
+    with rows_per_batch(spark, 2000):
+        tokens = durable(made.withColumn("at", F.monotonically_increasing_id()))
     plain = F.struct("row", "n_a", "n_b", "n_groups", "groups_sha256").alias("row")
     counts = durable(link_counts(tokens, kinds))
     if bounded_rows(counts, pairs) is not None:
