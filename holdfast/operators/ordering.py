@@ -64,6 +64,39 @@ def position(df: DataFrame, group: Sequence[str], order: Sequence[Column], name:
     return placed.withColumn(name, F.col(name) + F.lit(start - 1).cast("long"))
 
 
+def running_max(df: DataFrame, group: Sequence[str], order: Sequence[Column], maxima: Mapping[str, Column],
+                rows_per_task: int = ROWS_PER_TASK, before: bool = False) -> DataFrame:
+    """Add running maxima over ``order`` inside each ``group``; with ``before`` those of the earlier rows only.
+
+    NULLs are passed over; a maximum of nothing is NULL. ``order`` must be total. As in ``running``, a group
+    longer than a task is cut into slices of the range: every slice has its own maxima, and the maxima of
+    the slices before it are carried in, from a table no longer than the number of slices. ``df`` is
+    read twice: pass a scan, or something ``durable``.
+    """
+    group = list(group)
+    total, longest = _extent(df, group)
+    last = -1 if before else Window.currentRow
+    if longest <= rows_per_task:
+        frame = _window(group, order).rowsBetween(Window.unboundedPreceding, last)
+        return df.withColumns({name: F.max(value).over(frame) for name, value in maxima.items()})
+
+    slices = max(2, math.ceil(total / rows_per_task))
+    ranged = df.repartitionByRange(slices, *[F.col(g) for g in group], *order)
+    ranged = durable(ranged.withColumn("_slice", F.spark_partition_id())
+                     .withColumns({f"_own_{name}": value for name, value in maxima.items()}))
+    local = _window([*group, "_slice"], order).rowsBetween(Window.unboundedPreceding, last)
+    per_slice = ranged.groupBy(*group, "_slice").agg(*[F.max(f"_own_{n}").alias(f"_max_{n}") for n in maxima])
+    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_slice.select(*[F.col(c).alias(f"_o_{c}") for c in [*group, "_slice"]],
+                               *[F.max(f"_max_{n}").over(earlier).alias(f"_before_{n}") for n in maxima])
+    carried = carried.filter(reduce(lambda a, b: a | b, [F.col(f"_before_{n}").isNotNull() for n in maxima]))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in [*group, "_slice"]])
+    ranged = ranged.withColumns({name: F.max(f"_own_{name}").over(local) for name in maxima})
+    # A row for each group that crosses a border of slices: fewer than there are slices.
+    joined = ranged.join(F.broadcast(carried), same, "left")
+    return joined.select(*df.columns, *[F.greatest(n, f"_before_{n}").alias(n) for n in maxima])
+
+
 def _extent(df: DataFrame, group: list[str]) -> tuple[int, int]:
     if not group:
         total = df.count()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.numbers import log_bin, log_bin_edge, ratio_floor_one
 from holdfast.operators import bands as B
 from holdfast.operators import blocks as K
+from holdfast.operators import intervals as I
 from holdfast.operators import pairing as P
 from holdfast.operators.concentration import stacked
 from holdfast.operators.joins import dense
@@ -305,6 +306,35 @@ def market_shares(t: Tables) -> DataFrame:
     return K.market_shares(holdings(t), "market", "band")
 
 
+# A line holds as many hundredths from its price on as its quantity times ten: whole numbers, so sums are exact.
+STRETCHES = """iv AS (SELECT l_suppkey AS holder, CAST(round(l_extendedprice * 100) AS BIGINT) AS lo,
+  CAST(round(l_extendedprice * 100) + l_quantity * 1000 AS BIGINT) AS hi FROM lineitem),
+reach AS (SELECT *, max(hi) OVER (PARTITION BY holder ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM iv),
+numbered AS (SELECT *, count(*) FILTER (WHERE before IS NULL OR lo > before)
+  OVER (PARTITION BY holder ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS n FROM reach),
+stretch AS (SELECT holder, min(lo) AS lo, max(hi) AS hi, count(*) AS blocks FROM numbered GROUP BY holder, n)"""
+
+
+def held_intervals(t: Tables) -> DataFrame:
+    low = F.round(F.col("l_extendedprice") * 100)
+    return t.lineitem.select(F.col("l_suppkey").alias("holder"), low.cast("long").alias("lo"),
+                             (low + F.col("l_quantity") * 1000).cast("long").alias("hi"))
+
+
+@query(f"WITH {STRETCHES} SELECT holder, lo, hi, blocks FROM stretch")
+def interval_islands(t: Tables) -> DataFrame:
+    """The stretches each holder covers, overlapping and touching intervals as one."""
+    return I.islands(held_intervals(t), ["holder"], "lo", "hi")
+
+
+@query(f"""WITH {STRETCHES}, u AS (SELECT holder, CAST(sum(hi - lo) AS BIGINT) AS width, count(*) AS stretches FROM stretch GROUP BY holder)
+SELECT holder, count(*) AS blocks, CAST(sum(hi - lo) AS BIGINT) AS summed, any_value(u.width) AS width, any_value(u.stretches) AS stretches
+FROM iv JOIN u USING (holder) GROUP BY holder""")
+def interval_union(t: Tables) -> DataFrame:
+    """The width each holder covers, beside the sum of its intervals, which counts overlaps again."""
+    return I.union_width(held_intervals(t), ["holder"], "lo", "hi")
+
+
 @query("""WITH k AS (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS keys, count(*) FILTER (WHERE n > 1) AS repeated_keys,
 max(n) AS most FROM k""")
