@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.functions.numbers import log_bin, log_bin_count
-from holdfast.scale import skew_join
+from holdfast.operators.intervals import gaps, islands
+from holdfast.scale import BROADCAST_ROWS, skew_join
 
 
 @dataclass(frozen=True)
@@ -71,28 +72,101 @@ class Bands:
             "band int, lo double, hi double, band_name string")
 
 
-def range_join(facts: DataFrame, value: str, intervals: DataFrame, lo: str = "lo", hi: str = "hi",
-               how: str = "left", low: float = 1.0, high: float = 1e12,
-               per_decade: int = 24) -> DataFrame:
-    """Rows of ``facts`` with the intervals [lo, hi) that hold ``value``; ``hi`` NULL means open.
+# Keys of what is in no interval whatever the intervals are, and of open intervals.
+NOWHERE, OPEN = -32767, -32768
+
+
+def _cell(x: Column, level: Column) -> Column:
+    """The cell of 2^level that holds ``x``: divided by a power of two, so the order of values is kept."""
+    edge = F.lit(4e18)
+    return F.floor(F.greatest(-edge, F.least(edge, x / F.pow(F.lit(2.0), level.cast("double"))))).cast("long")
+
+
+def _level(lo: Column, hi: Column) -> Column:
+    """The level whose cells are as wide as the interval or up to twice as wide, so it lies in two of them, or in one."""
+    return F.ceil(F.log2(hi - lo)).cast("int")
+
+
+def _between(spans: list[tuple[float, float]]) -> list[tuple[float, float | None]]:
+    """What positive values [lo, hi) none of ``spans`` covers; None is open."""
+    out, reach = [], 0.0
+    for lo, hi in sorted(spans):
+        if lo > reach:
+            out.append((reach, lo))
+        reach = max(reach, hi)
+    return out if reach == float("inf") else [*out, (reach, None)]
 
-    Every interval is listed under each log bin it touches (plus one overflow bin at
-    either end of the axis), so the join is an equi-join on the bin with the range as
-    a second condition. Hot bins are salted; a small interval table is broadcast by AQE.
-    A value that is NULL, NaN or not positive is in no interval.
+
+def cells_of(facts: DataFrame, value: str, intervals: DataFrame, lo: str, hi: str, how: str, low: float, high: float,
+             per_decade: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Facts and intervals by (_level, _cell), and whether the intervals were counted few.
+
+    A closed interval is filed at the level of its width, so the cells of a level hold no more intervals
+    than overlap there, and two; a fact is looked up once at every level that has any. Open intervals
+    are filed under each log bin from their start on. For a left join what lies between all intervals is filed as
+    well, as intervals without columns (``_lo`` and ``_hi`` are its ends): then every fact meets something.
     """
+    spans = intervals.withColumns({"_lo": F.col(lo).cast("double"), "_hi": F.col(hi).cast("double")})
+    spans = spans.filter(F.col("_hi").isNull() | (F.col("_lo") < F.col("_hi"))).filter(F.col("_lo").isNotNull() & ~F.isnan("_lo"))
+    few = spans.select("_lo", "_hi").limit(BROADCAST_ROWS + 1).collect()
+    small = len(few) <= BROADCAST_ROWS
+    if how == "left":
+        if small:
+            rest = facts.sparkSession.createDataFrame(_between([(r[0], float("inf") if r[1] is None else r[1]) for r in few]),
+                                                      "_lo double, _hi double")
+        else:
+            whole = spans.select(F.greatest("_lo", F.lit(0.0)).alias("lo"), F.coalesce("_hi", F.lit(float("inf"))).alias("hi"))
+            rest = gaps(islands(whole, [], "lo", "hi")).filter(~F.coalesce(F.col("lo") == float("inf"), F.lit(False)))
+            rest = rest.select(F.coalesce("lo", F.lit(0.0)).alias("_lo"), F.col("hi").alias("_hi"))
+            rest = rest.filter(F.col("_hi").isNull() | (F.col("_lo") < F.col("_hi")))
+        spans = spans.unionByName(rest, allowMissingColumns=True)
+    level = _level(F.col("_lo"), F.col("_hi"))
+    # Exponents of two: a few at most, whatever the number of intervals.
+    levels = sorted(r[0] for r in spans.filter(F.col("_hi").isNotNull()).select(level).distinct().collect())
     last = log_bin_count(low, high, per_decade)
 
     def bin_of(x: Column) -> Column:
         return (F.when(x < low, F.lit(-1)).when(x >= high, F.lit(last))
-                .otherwise(log_bin(x, low, high, per_decade)))
-
-    first_bin = bin_of(F.col(lo))
-    last_bin = F.when(F.col(hi).isNull(), F.lit(last)).otherwise(bin_of(F.col(hi)))
-    listed = intervals.withColumn("_bin", F.explode(F.sequence(first_bin, last_bin)))
-    keyed = facts.withColumn("_bin", F.when((F.col(value) > 0) & ~F.isnan(F.col(value)), bin_of(F.col(value))))
-    holds = (F.col(lo) <= F.col(value)) & (F.col(hi).isNull() | (F.col(value) < F.col(hi)))
-    return skew_join(keyed, listed, "_bin", how, condition=holds).drop("_bin")
+                .otherwise(log_bin(x, low, high, per_decade))).cast("long")
+
+    closed = spans.filter(F.col("_hi").isNotNull()).withColumn("_level", level)
+    closed = closed.withColumn("_cell", F.explode(F.sequence(_cell(F.col("_lo"), F.col("_level")), _cell(F.col("_hi"), F.col("_level")))))
+    opened = spans.filter(F.col("_hi").isNull()).withColumn("_level", F.lit(OPEN))
+    listed = closed.unionByName(opened.withColumn("_cell", F.explode(F.sequence(bin_of(F.col("_lo")), F.lit(last).cast("long")))))
+    x = F.col(value).cast("double")
+    places = [F.struct(F.lit(n).alias("_level"), _cell(x, F.lit(n)).alias("_cell")) for n in levels]
+    places.append(F.struct(F.lit(OPEN).alias("_level"), bin_of(x).alias("_cell")))
+    valid = (x > 0) & ~F.isnan(x)
+    if how == "left":
+        nowhere = F.array(F.struct(F.lit(NOWHERE).alias("_level"), F.lit(0).cast("long").alias("_cell")))
+        keyed = facts.withColumn("_at", F.explode(F.when(valid, F.array(*places)).otherwise(nowhere)))
+        none = facts.sparkSession.createDataFrame([(NOWHERE, 0)], "_level int, _cell long")
+        listed = listed.unionByName(none, allowMissingColumns=True)
+    else:
+        keyed = facts.filter(valid).withColumn("_at", F.explode(F.array(*places)))
+    return keyed.select(*facts.columns, "_at._level", "_at._cell"), listed, small
+
+
+def range_join(facts: DataFrame, value: str, intervals: DataFrame, lo: str = "lo", hi: str = "hi",
+               how: str = "left", low: float = 1.0, high: float = 1e12,
+               per_decade: int = 24) -> DataFrame:
+    """Rows of ``facts`` with the intervals [lo, hi) that hold ``value``; ``hi`` NULL means open.
+
+    An equi-join on cells whose width follows that of the intervals (see ``cells_of``), with the range
+    as a second condition: however many narrow intervals a decade has, a fact meets those around it only.
+    ``how`` is left or inner. Up to BROADCAST_ROWS intervals are broadcast and the facts stay where they are;
+    more are joined with hot cells salted. A value that is NULL, NaN or not positive is in no interval.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError(f"range_join cannot do a {how} join")
+    keyed, listed, small = cells_of(facts, value, intervals, lo, hi, how, low, high, per_decade)
+    x = F.col(value)
+    holds = (F.col("_level") == NOWHERE) | ((F.col("_lo") <= x) & (F.col("_hi").isNull() | (x < F.col("_hi"))))
+    if small:
+        met = keyed.join(F.broadcast(listed), ["_level", "_cell"]).filter(holds)
+    else:
+        met = skew_join(keyed, listed, ["_level", "_cell"]).filter(holds)
+    return met.select(*facts.columns, *intervals.columns)
 
 
 def overlapping(df: DataFrame, lo: str, hi: str, view: tuple[float, float]) -> DataFrame:

@@ -189,6 +189,38 @@ def test_overlapping_intervals_are_all_found(spark):
     assert rows(B.range_join(df, "x", iv, how="inner").select("x", "i")) == [(100.0, 2), (1e15, 2), (50.0, 1), (50.0, 2), (50.0, 3)]
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_range_join_against_every_pair(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(B, "BROADCAST_ROWS", 3)
+    rng = random.Random(5)
+    iv = [(k, lo, lo + 10 ** rng.uniform(-3, 4)) for k, lo in enumerate(rng.uniform(-50, 9000) for _ in range(150))]
+    iv += [(500, 200.0, None), (501, 20000.0, 20001.0), (502, 20001.0, 20002.0), (503, 5.0, 5.0), (504, 9.0, 2.0), (505, None, 4.0)]
+    iv = [i for i in iv if few or i[2] is not None or i[0] != 500]  # without an open one what comes last is open
+    values = [rng.uniform(0, 21000) for _ in range(300)] + [20000.0, 20001.0, 20002.0, 5.0, float("inf"), 1e300, 1e-300, None, float("nan"), 0.0, -3.0]
+    values += [v for _, lo, hi in iv for v in (lo, hi) if v is not None][:100]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id int, x double")
+    table = spark.createDataFrame(iv, "i int, lo double, hi double")
+    want = []
+    for k, v in enumerate(values):
+        hits = [i for i, lo, hi in iv if lo is not None and v is not None and v > 0 and lo <= v and (hi is None or v < hi)]
+        want += [(k, i) for i in hits or [None]]
+    assert rows(B.range_join(df, "x", table).select("id", "i")) == sorted(want, key=repr)
+    assert rows(B.range_join(df, "x", table, how="inner").select("id", "i")) == sorted([w for w in want if w[1] is not None], key=repr)
+
+
+def test_a_million_narrow_intervals_give_few_candidates(spark):
+    """All in one decade, a tenth of them overlapping others: a fact meets a constant number of them."""
+    n = 1_000_000
+    iv = spark.range(n).select((1e6 + F.col("id") * 5.0).alias("lo"), (1e6 + F.col("id") * 5.0 + F.when(F.col("id") % 10 == 0, 8.0).otherwise(5.0)).alias("hi"))
+    facts = spark.range(2000).select((1e6 + F.col("id") * 2499.25).alias("x"))
+    keyed, listed, small = B.cells_of(facts, "x", iv, "lo", "hi", "left", 1.0, 1e12, 24)
+    assert not small
+    per = keyed.join(listed, ["_level", "_cell"]).groupBy("x").count().agg(F.max("count"), F.count("x")).first()
+    assert per[0] <= 10 and per[1] == 2000
+    assert B.range_join(facts, "x", iv).count() == sum(2 if int(k * 2499.25 // 5) % 10 == 1 and k * 2499.25 % 5 < 3 else 1 for k in range(2000))
+
+
 def test_band_rollup_counts_each_thing_once(spark):
     devices = spark.createDataFrame(
         [("L1", "s", 401e6, "T"), ("L1", "s", 401e6, "T"), ("L1", None, 401e6, "T"), ("L2", "s", 402e6, "R"), ("L3", "s", 451e6, "T")],
