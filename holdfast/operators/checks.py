@@ -6,7 +6,7 @@ aggregation; the report is a table, and ``enforce`` raises when a hard gate fail
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -123,6 +123,68 @@ def run_checks(sources: Mapping[str, DataFrame], checks: Sequence[Check]) -> Dat
         "check_id", "kind", "actual", "expected", "lo", "hi", "ok", "detail")
 
 
+# --- are the gates worth having? ----------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Plant:
+    """A wrong input: ``change`` makes it from ``table``."""
+
+    id: str
+    table: str
+    change: Callable[[DataFrame], DataFrame]
+
+
+class _Reading(Mapping):
+    """Tables, and the names of those that were asked for."""
+
+    def __init__(self, tables: Mapping[str, DataFrame]):
+        self.tables, self.names = tables, set()
+
+    def __getitem__(self, name: str) -> DataFrame:
+        self.names.add(name)
+        return self.tables[name]
+
+    def __iter__(self):
+        return iter(self.tables)
+
+    def __len__(self) -> int:
+        return len(self.tables)
+
+
+def sensitivity(tables: Mapping[str, DataFrame], sources: Mapping[str, Callable[[Mapping[str, DataFrame]], DataFrame]],
+                checks: Sequence[Check], plants: Sequence[Plant]) -> DataFrame:
+    """(check_id, plant, passes, failed, blind): every gate under every wrong input that it reads.
+
+    ``sources`` makes each table that checks run on from ``tables``. Which tables it reads is seen while it
+    does, and only the gates on sources that read a planted table are run again, on that table. ``passes``
+    is the gate on the right input; a gate ``failed`` when it passes there and does not on the wrong one. A
+    gate that no planted change fails is ``blind``: it would let all of them through. Gates that read
+    none of them have one row, with a NULL plant.
+    """
+    reads, right = {}, {}
+    for name in dict.fromkeys(c.source for c in checks):
+        seen = _Reading(tables)
+        right[name] = sources[name](seen)
+        reads[name] = seen.names
+    before = run_checks(right, checks).select("check_id", F.col("ok").alias("passes"))
+    reports = []
+    for plant in plants:
+        hit = [c for c in checks if plant.table in reads[c.source]]
+        if hit:
+            wrong = {**tables, plant.table: plant.change(tables[plant.table])}
+            after = run_checks({n: sources[n](wrong) for n in dict.fromkeys(c.source for c in hit)}, hit)
+            reports.append(after.select("check_id", F.lit(plant.id).alias("plant"), (~F.col("ok")).alias("fails")))
+    if not reports:
+        return before.select("check_id", F.lit(None).cast("string").alias("plant"), "passes",
+                             F.lit(False).alias("failed"), F.lit(True).alias("blind"))
+    # A row for each check and plant: both tables are as long as the lists in the program.
+    tried = before.join(F.broadcast(reduce(DataFrame.unionByName, reports)), "check_id", "left")
+    tried = tried.withColumn("failed", F.col("passes") & F.coalesce("fails", F.lit(False)))
+    sharp = tried.groupBy("check_id").agg((~F.bool_or("failed")).alias("blind"))
+    return tried.join(F.broadcast(sharp), "check_id").select("check_id", "plant", "passes", "failed", "blind")
+
+
 def enforce(report: DataFrame) -> list[str]:
     """Raise when a hard gate failed; return the warnings. The report has one row a check."""
     bad = report.filter(~F.col("ok")).orderBy("check_id").collect()

@@ -100,6 +100,14 @@ def _join_boundary(points: DataFrame, table: DataFrame, on: Sequence[str], weigh
     return skew_join(points, table, on, "left")
 
 
+def coarsened(parts: DataFrame, grid: float) -> DataFrame:
+    """The same parts with every position on a grid, repeated positions once: boundaries fit for drawing only."""
+    def snapped(ring: Column) -> Column:
+        at = F.transform(ring, lambda p: F.transform(p, lambda v: F.floor(v / F.lit(grid) + 0.5) * F.lit(grid)))
+        return F.filter(at, lambda p, i: (i == 0) | (p != F.get(at, i - 1)))
+    return parts.withColumn("rings", F.transform("rings", snapped))
+
+
 def drop_named(df: DataFrame, name: str, pattern: str | None) -> DataFrame:
     """Drop pseudo-regions: rows whose name matches ``pattern``; None drops none."""
     return df if pattern is None else df.filter(~F.coalesce(F.col(name).rlike(pattern), F.lit(False)))

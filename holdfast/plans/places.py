@@ -241,7 +241,7 @@ BOUNDARIES = {"type": "FeatureCollection", "features": [
         [[-30.0, -25.0], [35.0, -25.0], [0.0, 32.0], [-30.0, -25.0]]]}}]}
 
 
-def _edges_sql() -> str:
+def _edges_sql(name: str = "edges", snap=lambda v: v) -> str:
     rows = []
     for f, feature in enumerate(BOUNDARIES["features"]):
         geometry = feature["geometry"]
@@ -250,10 +250,11 @@ def _edges_sql() -> str:
         polygons_ = geometry["coordinates"] if geometry["type"] == "MultiPolygon" else [geometry["coordinates"]]
         for p, rings in enumerate(polygons_):
             for ring in rings:
+                ring = [(snap(x), snap(y)) for x, y in ring]
                 for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
                     if y1 != y2:
                         rows.append(f"({f}, {p}, {x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)")
-    return "edges(feature, part, x1, y1, x2, y2) AS (VALUES " + ", ".join(rows) + ")"
+    return f"{name}(feature, part, x1, y1, x2, y2) AS (VALUES " + ", ".join(rows) + ")"
 
 
 # The ray of a point crosses an edge when the edge straddles it and lies to the east.
@@ -279,7 +280,11 @@ def point_in_polygon(t: Tables) -> DataFrame:
 
 @query(f"WITH {LOCATED} SELECT region, count(*) AS sites FROM located GROUP BY region")
 def region_point_counts(t: Tables) -> DataFrame:
-    found = G.locate(points(t), boundary_parts(t), id="vec_id", lat="lat", lon="lon")
+    return region_counts(t, boundary_parts(t))
+
+
+def region_counts(t: Tables, parts: DataFrame) -> DataFrame:
+    found = G.locate(points(t), parts, id="vec_id", lat="lat", lon="lon")
     return found.groupBy("region").agg(F.count(F.lit(1)).alias("sites"))
 
 

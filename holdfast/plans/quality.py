@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from holdfast.functions.text import any_contains, clean_spaces, ordered_code
 from holdfast.operators import checks as Q
 from holdfast.operators import joins as J
 from holdfast.operators import rollups as R
+from holdfast.operators.geo import coarsened
 from holdfast.plans import holdings as H
 from holdfast.plans import places as P
 from holdfast.plans.registry import MAST_SQL, PRICE_BANDS, REGISTER_SQL, Tables, query
@@ -395,3 +398,54 @@ def checks_report(t: Tables) -> DataFrame:
          Q.equals("nothing before 1995", "licences", Q.rows_where(F.col("o_orderdate") < "1995-01-01"), 0),
          Q.in_range("unit of the value", "devices", F.min("l_extendedprice"), lo=100),
          Q.equals("quantities below one", "devices", Q.rows_where(F.col("l_quantity") < 1), 0)])
+
+
+# Positions of boundaries to the nearest four degrees: fit for drawing, not for counting.
+COARSE = 4.0
+
+
+def _region_counts(edges: str) -> str:
+    return f"""SELECT region, count(*) AS sites FROM (SELECT vec_id, coalesce(min(feature), -1) AS region FROM pts LEFT JOIN (
+  SELECT vec_id, feature, part FROM pts JOIN {edges} ON (y1 > lat) <> (y2 > lat) AND lon < (x1 - x2) * (lat - y2) / (y1 - y2) + x2
+  GROUP BY ALL HAVING count(*) % 2 = 1) USING (vec_id) GROUP BY vec_id) GROUP BY region"""
+
+
+# What each gate says on the right input and on each wrong one, from the tables themselves.
+@query(f"""WITH {P.POINTS_SQL}, {P._edges_sql()}, {P._edges_sql("drawn", lambda v: math.floor(v / COARSE + 0.5) * COARSE)},
+fine AS ({_region_counts("edges")}), coarse AS ({_region_counts("drawn")}),
+tried(check_id, plant, passes, wrong) AS (VALUES
+ ('regions recounted', 'coarse boundaries', true, EXISTS (SELECT 1 FROM fine FULL JOIN coarse USING (region) WHERE fine.sites IS DISTINCT FROM coarse.sites)),
+ ('devices without a licence', 'licence keys shifted', (SELECT count(*) FROM lineitem ANTI JOIN orders ON o_orderkey = l_orderkey) = 0,
+   (SELECT count(*) FROM (SELECT CASE WHEN l_linenumber = 2 THEN -l_orderkey ELSE l_orderkey END AS k FROM lineitem) ANTI JOIN orders ON o_orderkey = k) <> 0),
+ ('devices without a licence', 'lines dropped', (SELECT count(*) FROM lineitem ANTI JOIN orders ON o_orderkey = l_orderkey) = 0,
+   (SELECT count(*) FROM (SELECT * FROM lineitem WHERE l_linenumber <> 2) ANTI JOIN orders ON o_orderkey = l_orderkey) <> 0),
+ ('devices without a licence', 'values in cents', (SELECT count(*) FROM lineitem ANTI JOIN orders ON o_orderkey = l_orderkey) = 0, false),
+ ('lines pinned', 'licence keys shifted', true, false), ('lines pinned', 'values in cents', true, false),
+ ('lines pinned', 'lines dropped', true, (SELECT count(*) FROM lineitem WHERE l_linenumber <> 2) <> (SELECT count(*) FROM lineitem)),
+ ('unit of the value', 'licence keys shifted', (SELECT max(l_extendedprice) FROM lineitem) <= 1e6, false),
+ ('unit of the value', 'lines dropped', (SELECT max(l_extendedprice) FROM lineitem) <= 1e6, false),
+ ('unit of the value', 'values in cents', (SELECT max(l_extendedprice) FROM lineitem) <= 1e6, (SELECT max(l_extendedprice) * 100 FROM lineitem) > 1e6),
+ ('transmit share is a share', 'licence keys shifted', true, false), ('transmit share is a share', 'lines dropped', true, false),
+ ('transmit share is a share', 'values in cents', true, false),
+ ('licences have a holder', NULL, (SELECT count(*) FROM orders WHERE o_custkey IS NULL) = 0, false))
+SELECT check_id, plant, passes, passes AND wrong AS failed, NOT bool_or(passes AND wrong) OVER (PARTITION BY check_id) AS blind FROM tried""")
+def gate_sensitivity(t: Tables) -> DataFrame:
+    """Which gates notice which wrong input, and those that notice none."""
+    parts = P.boundary_parts(t)
+    right = durable(P.region_counts(t, parts))
+    moved = F.when(F.col("l_linenumber") == 2, -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    return Q.sensitivity(
+        {"lines": t.lineitem, "licences": t.orders, "boundaries": parts},
+        {"regions": lambda s: Q.recount(right, P.region_counts(t, s["boundaries"]), ["region"], "sites"),
+         "lost": lambda s: J.orphans(s["lines"].select(F.col("l_orderkey").alias("k")), s["licences"].select(F.col("o_orderkey").alias("k")), "k"),
+         "lines": lambda s: s["lines"], "licences": lambda s: s["licences"]},
+        [Q.equals("regions recounted", "regions", Q.violations(F.col("published").eqNullSafe(F.col("recomputed"))), 0),
+         Q.equals("devices without a licence", "lost", F.coalesce(F.sum("rows"), F.lit(0)), 0),
+         Q.equals("lines pinned", "lines", Q.rows(), t.lineitem.count()),
+         Q.in_range("unit of the value", "lines", F.max("l_extendedprice"), hi=1e6),
+         Q.in_range("transmit share is a share", "lines", Q.share_of(F.col("l_linestatus") == "O"), 0, 1),
+         Q.equals("licences have a holder", "licences", Q.rows_where(F.col("o_custkey").isNull()), 0)],
+        [Q.Plant("coarse boundaries", "boundaries", lambda df: coarsened(df, COARSE)),
+         Q.Plant("licence keys shifted", "lines", lambda df: df.withColumn("l_orderkey", moved)),
+         Q.Plant("lines dropped", "lines", lambda df: df.filter("l_linenumber <> 2")),
+         Q.Plant("values in cents", "lines", lambda df: df.withColumn("l_extendedprice", F.col("l_extendedprice") * 100))])

@@ -87,6 +87,9 @@ class Rules:
     # No date of the register is older than this year.
     first_year: int = 1900
     beyond: float = 1e12
+    # Share of sites that lie in a region, and the grid in degrees of the boundaries that are drawn; None: nothing is drawn.
+    match_rate: tuple[float, float] = (0.0, 1.0)
+    drawing_grid: float | None = None
 
 
 class Register:
@@ -489,6 +492,13 @@ class Register:
         seen = skew_join(per, owner.select("LICENCE_NO", "entity_person"), "LICENCE_NO", probe=self.t["device_details"])
         return seen.groupBy("SITE_ID").agg(F.bool_and("entity_person").alias("p")).filter("p")
 
+    def coarse_places(self) -> DataFrame:
+        """Sites whose region would be another on boundaries that are fit for drawing only."""
+        placed = self.site_records.select("SITE_ID", "lat", "lon", "region").filter("SITE_ID is not null")
+        coarse = G.coarsened(polygons.parts(self.regions), self.rules.drawing_grid)
+        drawn = G.locate(placed, coarse, id="SITE_ID", lat="lat", lon="lon", region="drawn")
+        return placed.join(drawn, "SITE_ID").filter(F.col("region") != F.col("drawn"))
+
     def check_sources(self, results: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
         """The tables the gates run on: sources, and comparisons of a result with its source."""
         r = dict(results) if results else self.results()
@@ -535,6 +545,7 @@ class Register:
             "holders_in_band": top.join(r["bands"], "band"),
             "recount": Q.recount(r["bands"].filter("rows > 0"), recounted.withColumnRenamed("n", "holders"), ["band"], "holders"),
             "site_regions": self.site_records,
+            **({} if self.boundaries is None or self.rules.drawing_grid is None else {"coarse_places": self.coarse_places()}),
         }
 
     def checks(self) -> list[Q.Check]:
@@ -568,6 +579,11 @@ class Register:
             Q.equals("references resolve", "references", some, 0),
             Q.equals("no holder exceeds its band", "holders_in_band", Q.violations(F.col("most") <= F.col("rows")), 0),
             Q.equals("listed holders fit the band", "holders_in_band", Q.violations(F.col("listed") <= F.col("rows")), 0),
+            *([] if self.boundaries is None else [
+                Q.plausible("sites are in a region", "site_regions", Q.share_of(F.col("region") >= 0), *self.rules.match_rate)]),
+            # Had the places been found on the boundaries of the drawing, they would agree with it throughout.
+            *([] if self.boundaries is None or self.rules.drawing_grid is None else [
+                Q.in_range("places are not those of the drawing", "coarse_places", some, lo=1)]),
             Q.equals("holders recounted", "recount", Q.violations(F.col("published").eqNullSafe(F.col("recomputed"))), 0),
         ]
 

@@ -303,3 +303,17 @@ def test_checks_by_themselves(spark):
     assert report == {"rows": True, "null counts as violation": True, "share": True, "no value fails": False, "warn": False}
     gone = Q.histogram_difference(df.groupBy("a").count(), {"1": 1, "2": 1}, "a", "count")
     assert gone.count() == 0
+
+
+def test_counting_on_the_drawing_is_caught(reg):
+    from dataclasses import replace
+    from holdfast.operators import geo as G
+    drawn = Register.__new__(Register)
+    drawn.__dict__.update({k: v for k, v in reg.__dict__.items() if k in ("spark", "t", "boundaries", "site_records")})
+    drawn.__dict__["rules"] = replace(RULES, drawing_grid=30.0)
+    assert "places are not those of the drawing" in {c.id for c in drawn.checks()} - {c.id for c in reg.checks()}
+    assert drawn.coarse_places().count() > 0
+    coarse = G.coarsened(polygons.parts(reg.regions), 30.0)
+    moved = G.locate(reg.site_records, coarse, id="SITE_ID", lat="lat", lon="lon")
+    drawn.__dict__["site_records"] = reg.site_records.drop("region").join(moved, "SITE_ID")
+    assert drawn.coarse_places().isEmpty()
