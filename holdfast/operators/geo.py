@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.numbers import floor_cell, rounded_cell
-from holdfast.scale import BROADCAST_ROWS, bounded_rows, durable, skew_join
+from holdfast.scale import BROADCAST_ROWS, bounded_rows, broadcast_if_small, durable, skew_join
 
 # Fixed value: the side of a candidate cell in degrees.
 CELL = 0.5
@@ -16,6 +17,14 @@ CELL = 0.5
 STRIP_EDGES = 512
 # Edges (32 bytes each) that may be broadcast.
 BROADCAST_EDGES = 1_000_000
+# Points around a pick, on average, up to which it meets them all.
+FEW = 64
+# Points of a cell that is split no further, and into how many a cell is split along each side (a power of two,
+# so that the cells of a cell are exactly within it).
+LEAF = 32
+SPLIT = 4
+# Bounds are this much wider than computed, for what rounding takes.
+SLACK = 1 + 1e-9
 
 
 def polygon_edges(parts: DataFrame) -> DataFrame:
@@ -133,20 +142,95 @@ def nearest_within(picks: DataFrame, points: DataFrame, *, pick: str, id: str, x
     """(pick, id, distance²): the nearest point strictly closer than ``radius`` to every pick.
 
     Points at one place are one candidate (the smallest id stands for them). Every pick is listed
-    in the nine cells around it, and a point meets only the picks of its own cell. A checked, short
-    list of picks is broadcast, so the points are read once and reduced map-side; a long list takes
-    the same join with hot cells salted.
+    in the nine cells around it. Where these hold few points, a pick meets them all; a checked, short
+    list of picks is broadcast, so the points are read once and reduced map-side, and a long list takes
+    the same join with hot cells salted. Where they hold many, the cells are split first: see ``_closing``.
+    Picks without a place have no row; ``pick`` is unique.
     """
     places = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(
         F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.min(id).alias(id))
-    places = places.withColumns({"_cx": floor_cell(F.col("_x"), radius), "_cy": floor_cell(F.col("_y"), radius)})
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    asked = (picks.select(pick, F.col(x).alias("_px"), F.col(y).alias("_py"))
+    asked = (picks.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(pick, F.col(x).alias("_px"), F.col(y).alias("_py"))
              .withColumn("_cx", F.explode(F.transform(around, lambda d: floor_cell(F.col("_px"), radius) + d)))
              .withColumn("_cy", F.explode(F.transform(around, lambda d: floor_cell(F.col("_py"), radius) + d))))
-    near = _join_boundary(places, asked, ["_cx", "_cy"], asked)
+    places = durable(places)
+    whole = durable(_cells(places, radius))
+    met = durable(_join_boundary(whole, asked, ["_cx", "_cy"], asked).filter(F.col(pick).isNotNull()))
+    found, listed = met.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    if (found or 0) <= FEW * listed:
+        near = _join_boundary(_placed(places, radius), asked, ["_cx", "_cy"], asked)
+        return _nearest(near, pick, id, radius)
+    return _closing(places, met, pick, id, radius)
+
+
+def _placed(places: DataFrame, side: float) -> DataFrame:
+    return places.withColumns({"_cx": floor_cell(F.col("_x"), side), "_cy": floor_cell(F.col("_y"), side)})
+
+
+def _cells(places: DataFrame, side: float) -> DataFrame:
+    """(_cx, _cy, _n and the box around the points) of every cell that holds any."""
+    return _placed(places, side).groupBy("_cx", "_cy").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_x0"), F.max("_x").alias("_x9"),
+        F.min("_y").alias("_y0"), F.max("_y").alias("_y9"))
+
+
+def _nearest(near: DataFrame, pick: str, id: str, radius: float) -> DataFrame:
     d2 = (F.col("_x") - F.col("_px")) * (F.col("_x") - F.col("_px")) \
         + (F.col("_y") - F.col("_py")) * (F.col("_y") - F.col("_py"))
     return (near.withColumn("distance2", d2).filter(F.col("distance2") < radius * radius)
             .groupBy(pick).agg(F.min(F.struct("distance2", id)).alias("_best"))
             .select(pick, f"_best.{id}", "_best.distance2"))
+
+
+def _bounded(met: DataFrame, pick: str, radius: float) -> DataFrame:
+    """The cells of each pick that may hold its nearest point, with ``_least`` and ``_bound`` (squared).
+
+    No point of a cell is nearer than its box, and one at least is no farther than the box's farthest corner.
+    """
+    def away(p: str, a: str, b: str) -> tuple[Column, Column]:
+        near = F.greatest(F.col(a) - F.col(p), F.col(p) - F.col(b), F.lit(0.0))
+        far = F.greatest(F.abs(F.col(a) - F.col(p)), F.abs(F.col(b) - F.col(p)))
+        return near * near, far * far
+
+    (nx, fx), (ny, fy) = away("_px", "_x0", "_x9"), away("_py", "_y0", "_y9")
+    # The cells of one pick: nine, then what is left of them; a window over a short list.
+    bound = F.least("_bound", F.min((fx + fy) * SLACK).over(Window.partitionBy(pick)))
+    known = met if "_bound" in met.columns else met.withColumn("_bound", F.lit(radius * radius))
+    return known.withColumn("_least", nx + ny).withColumn("_bound", bound).filter(
+        (F.col("_least") <= F.col("_bound")) & (F.col("_least") < radius * radius))
+
+
+def _closing(places: DataFrame, met: DataFrame, pick: str, id: str, radius: float) -> DataFrame:
+    """The search from cells of the radius's side down to cells of LEAF points.
+
+    Each round, a pick keeps the cells that can still hold something nearer than what the others are sure to
+    hold. Those of more than LEAF points are split in SPLIT times SPLIT, and the pick goes on to the parts that
+    hold points. So a pick reads a few small cells, however many points lie within its radius, and
+    what is split is only what some pick still looks at.
+    """
+    edge = places.agg(F.max(F.greatest(F.abs("_x"), F.abs("_y")))).first()[0] or 0.0
+    side, leaves, bounds = radius, [], []
+    keys = [pick, "_px", "_py", "_cx", "_cy"]
+    while True:
+        met = durable(_bounded(met, pick, radius).select(*keys, "_n", "_least", "_bound"))
+        bounds.append(met.select(pick, "_bound"))
+        fine = side / SPLIT
+        # Below this, cells are no wider than the gaps between numbers.
+        open_ = F.col("_n") > LEAF if edge / fine < 2.0 ** 50 else F.lit(False)
+        leaves.append((side, met.filter(~open_)))
+        dense = met.filter(open_)
+        if dense.isEmpty():
+            break
+        parts = F.sequence(F.lit(0), F.lit(SPLIT - 1))
+        further = (dense.withColumn("_cx", F.explode(F.transform(parts, lambda d: F.col("_cx") * SPLIT + d)))
+                   .withColumn("_cy", F.explode(F.transform(parts, lambda d: F.col("_cy") * SPLIT + d))))
+        inside = broadcast_if_small(dense.select("_cx", "_cy").distinct())
+        cells = _cells(_placed(places, side).join(inside, ["_cx", "_cy"], "left_semi"), fine)
+        met = skew_join(further.drop("_n", "_least"), cells, ["_cx", "_cy"])
+        side = fine
+    bound = durable(reduce(DataFrame.unionByName, bounds).groupBy(pick).agg(F.min("_bound").alias("_last")))
+    near = []
+    for side, found in leaves:
+        left = found.join(bound, pick).filter(F.col("_least") <= F.col("_last")).select(*keys)
+        near.append(skew_join(left, _placed(places, side), ["_cx", "_cy"], probe=found))
+    return _nearest(reduce(DataFrame.unionByName, near), pick, id, radius)

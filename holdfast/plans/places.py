@@ -316,6 +316,18 @@ def nearest_within(t: Tables) -> DataFrame:
     return G.nearest_within(picks, points(t), pick="pick", id="vec_id", x="lon", y="lat", radius=2.5)
 
 
+@query(f"""WITH {POINTS_SQL}, d AS (SELECT a.vec_id AS pick, b.vec_id, (b.lon - a.lon - 0.3) * (b.lon - a.lon - 0.3) + (b.lat - a.lat) * (b.lat - a.lat) AS distance2
+  FROM pts a, pts b WHERE a.vec_id % 20 = 0)
+SELECT pick, arg_min(vec_id, (distance2, vec_id)) AS vec_id, floor(min(distance2) * 1e6 + 0.5) / 1e6 AS distance2
+FROM d WHERE distance2 < 900 GROUP BY pick""")
+def nearest_of_many(t: Tables) -> DataFrame:
+    """The nearest point to a place beside every twentieth point, in a radius that holds most of them."""
+    picks = points(t).filter(F.col("vec_id") % 20 == 0).select(
+        F.col("vec_id").alias("pick"), "lat", (F.col("lon") + 0.3).alias("lon"))
+    near = G.nearest_within(picks, points(t), pick="pick", id="vec_id", x="lon", y="lat", radius=30.0)
+    return near.withColumn("distance2", half_up(F.col("distance2"), 6))
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'anv') ORDER BY p_partkey LIMIT 40")
 def search_names(t: Tables) -> DataFrame:
     """The first forty names that contain the text, case ignored."""

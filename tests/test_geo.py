@@ -110,3 +110,42 @@ def test_nearest(spark, monkeypatch, small):
             want[p] = near[0][1]
     assert {r["pick"]: r["id"] for r in got.collect()} == want
     assert 98 not in want and len(want) > 20
+
+
+def closest(asked, pts, radius):
+    want = {}
+    for p, x, y in asked:
+        near = min(((a - x) ** 2 + (b - y) ** 2, i) for i, a, b in pts)
+        if near[0] < radius * radius:
+            want[p] = (near[1], near[0])
+    return want
+
+
+def searched(spark, asked, pts, radius):
+    got = G.nearest_within(spark.createDataFrame(asked, "pick int, x double, y double"), spark.createDataFrame(pts, "id int, x double, y double"),
+                           pick="pick", id="id", x="x", y="y", radius=radius)
+    return {r["pick"]: (r["id"], r["distance2"]) for r in got.collect()}
+
+
+def test_nearest_in_dense_places(spark, monkeypatch):
+    """A dense clump, a lone point beside it, clumps within a clump; every pick has most points in its radius."""
+    monkeypatch.setattr(G, "LEAF", 5)
+    rng = random.Random(12)
+    pts = [(k, rng.gauss(0, 1e-4), rng.gauss(0, 1e-4)) for k in range(1500)]
+    pts += [(2000 + k, 3 + rng.gauss(0, 1e-9), 3 + rng.gauss(0, 1e-9)) for k in range(300)] + [(3000, 1.5, 1.5), (3001, 1.5, 1.5)]
+    pts += [(4000 + k, -7.0 + (k % 30), float(k // 30)) for k in range(300)]
+    asked = [(k, rng.uniform(-9, 9), rng.uniform(-9, 9)) for k in range(60)] + [(100 + k, rng.gauss(0, 2e-4), rng.gauss(0, 2e-4)) for k in range(60)]
+    asked += [(200, 3.0, 3.0), (201, 1.4, 1.4), (202, 500.0, 500.0), (203, 3.0 + 1e-9, 3.0)]
+    got, want = searched(spark, asked, pts, 8.0), closest(asked, pts, 8.0)
+    assert got == want and 202 not in want
+
+
+def test_nearest_among_points_of_one_cell(spark):
+    """All points in one cell of the radius's side, as close as numbers allow: it ends, and few pairs are looked at."""
+    x = 0.1
+    pts = []
+    for k in range(2000):
+        pts.append((k, x, 0.2))
+        x = math.nextafter(x, 1)
+    asked = [(k, pts[k * 19][1], 0.2 + 1e-18) for k in range(100)]
+    assert searched(spark, asked, pts, 5.0) == closest(asked, pts, 5.0)
