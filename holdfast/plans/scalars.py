@@ -49,7 +49,12 @@ def axis_position(t: Tables) -> DataFrame:
         "event_id", half_up(log_position(F.col("value"), 0.01, 1000.0), 6).alias("position"))
 
 
-@query("""SELECT vec_id, floor(embedding[3]::DOUBLE * 1000 + 0.5) / 1000 AS rounded FROM embeddings""")
+@query("""WITH e AS (SELECT vec_id, d::INTEGER AS dimension, CASE WHEN (vec_id + d) % 16 <> 5 THEN embedding[d]::DOUBLE END AS x
+  FROM embeddings, generate_series(1, len(embedding)) AS g(d))
+SELECT vec_id, dimension, floor(x * 1000 + 0.5) / 1000 AS rounded, CAST(floor(x * 100) + 1 AS DOUBLE) AS tie FROM e""")
 def half_up_rounding(t: Tables) -> DataFrame:
-    """Half-up rounding of values on both sides of zero."""
-    return t.embeddings.select("vec_id", half_up(F.col("embedding")[2].cast("double"), 3).alias("rounded"))
+    """Half-up rounding of every component, of exact halves on both sides of zero, and of missing values."""
+    each = t.embeddings.select("vec_id", F.posexplode("embedding").alias("_at", "_v"))
+    x = F.when((F.col("vec_id") + F.col("_at") + 1) % 16 != 5, F.col("_v").cast("double"))
+    return each.select("vec_id", (F.col("_at") + 1).alias("dimension"), half_up(x, 3).alias("rounded"),
+                       half_up(F.floor(x * 100) + F.lit(0.5)).alias("tie"))
