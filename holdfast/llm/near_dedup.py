@@ -19,9 +19,11 @@ further apart than the shingles that may stay unaligned, so aligning inside that
 Texts of equal words are one node, so any number of copies costs as much as one. In a bucket of a
 shared draw every member is first compared with the one that shares most draws with others, not with
 every other. What is linked by then needs no more comparing; only members of buckets that still span
-several classes are compared further. In larger ones those pairs that share a second draw, as two
-similar texts do; where the bucket is of a shingle of short texts, those that share as many shingles
-as the threshold asks for, which loses none.
+several classes are compared further, each pair of them. In larger buckets that is done in blocks of the
+members' words: all pairs of a block are counted at once for the shingles they share, those that share
+as many as the threshold asks for are aligned until their classes are one, and only the links that
+joined two classes are sent on, fewer than a block has members. So nothing is lost there, and what
+fails is never written.
 """
 
 from __future__ import annotations
@@ -46,12 +48,10 @@ DRAWS = 40
 PICKS = 6
 # Shingles of a text up to which its pairs are found by single shingles and not by draws.
 SHORT = 32
-# Members of a bucket paired each with each when they are of several classes; of larger ones, those that
-# share a second draw, which two texts at the threshold lack with a chance of 8e-5, up to 3e-4 just above
-# SHORT. Buckets of single shingles lose none.
-CROWD = 48
-# Members of a part of a larger bucket: two parts meet in a task.
-BLOCK = 1024
+# Members of a bucket that are paired as rows; those of larger ones meet in blocks.
+CROWD = 12
+# Members of a block, and words of theirs: two blocks meet in a task.
+BLOCK, WORDS = 1024, 1 << 20
 # Paired nodes, 16 bytes each, that may be broadcast; more are joined by a shuffle of all words.
 PAIRED = 500_000
 _SALTS = mix(np.arange(1, DRAWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -193,33 +193,46 @@ def _prefixes(sketches: DataFrame, least: float) -> DataFrame:
         F.col("at.key").alias("key"), "node", "n")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose alignment reaches ``least``, written. The words of paired nodes alone travel."""
-    ends = durable(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+def _bodies(ends: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(node, words) of the nodes ``ends``, written. The words of these alone travel."""
     if bounded_rows(ends, PAIRED) is not None:  # then the texts of all others need not travel at all
         ends = F.broadcast(ends)
     bodies = _per_node(docs, text, "binary", lambda words: words.astype(np.uint32).tobytes(), pa.binary())
-    bodies = durable(bodies.join(ends, "node", "left_semi").groupBy("node").agg(F.first("made").alias("words")))
+    return durable(bodies.join(ends, "node", "left_semi").groupBy("node").agg(F.first("made").alias("words")))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node"))
+
+
+class _Bodies:
+    """Labelled shingles by words, some of them remembered."""
+
+    def __init__(self):
+        self.known: dict[bytes, np.ndarray] = {}
+
+    def __call__(self, body: bytes) -> np.ndarray:
+        if body not in self.known:
+            if len(self.known) >= 64:
+                self.known.clear()
+            self.known[body] = shingled(np.frombuffer(body, np.uint32).astype(np.uint64))
+        return self.known[body]
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose alignment reaches ``least``, written."""
     first = bodies.select(F.col("node").alias("u"), F.col("words").alias("words_u"))
     second = bodies.select(F.col("node").alias("v"), F.col("words").alias("words_v"))
     joined = skew_join(skew_join(pairs, first, "u"), second, "v", probe=pairs)
 
     def compare(batches):
-        known: dict[bytes, np.ndarray] = {}
-
-        def of(body: bytes) -> np.ndarray:
-            if body not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[body] = shingled(np.frombuffer(body, np.uint32).astype(np.uint64))
-            return known[body]
-
+        of = _Bodies()
         for batch in batches:
-            bodies = zip(batch.column("words_u").to_pylist(), batch.column("words_v").to_pylist())
-            good = [similarity(of(a), of(b), least) >= least for a, b in bodies]
+            words = zip(batch.column("words_u").to_pylist(), batch.column("words_v").to_pylist())
+            good = [similarity(of(a), of(b), least) >= least for a, b in words]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    with rows_per_batch(docs.sparkSession, 256):
+    with rows_per_batch(bodies.sparkSession, 256):
         return durable(joined.select("u", "v", "words_u", "words_v").mapInArrow(compare, "u binary, v binary"))
 
 
@@ -240,104 +253,100 @@ def _classes(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _spanning(members: DataFrame) -> DataFrame:
-    """Buckets that hold several classes, with their size."""
-    return (members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("a"), F.max("class").alias("b"))
-            .filter(F.col("a") != F.col("b")).select("key", "size"))
-
+    """Buckets that hold several classes, with the blocks they are parted into, 0 for small ones."""
+    size, words = F.col("size"), F.col("total") + (SHINGLE - 1) * F.col("size")
+    return (members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"),
+                                       F.min("class").alias("a"), F.max("class").alias("b"))
+            .filter(F.col("a") != F.col("b")).select("key", "size", F.greatest(
+                F.ceil(size / BLOCK), F.ceil(words / WORDS)).cast("int").alias("parts")))
 
-def _rest(members: DataFrame, sketches: DataFrame, least: float, crowd: int) -> DataFrame:
-    """Pairs (u, v) of different classes that share a bucket: members (key, single, node, n, class).
 
-    Of buckets above ``crowd``, the pairs that share two draws at least, by the 16 lowest bits of all
-    draws, or in buckets of ``single`` shingles as many shingles as similar ones must; found in blocks
-    of at most BLOCK by BLOCK members, each a task's group.
-    """
+def _rest(members: DataFrame, tried: DataFrame, docs: DataFrame, text: str, least: float, crowd: int) -> DataFrame:
+    """Links (u, v) between different classes among members (key, node, n, class) of a bucket, but those ``tried``."""
     spanning = durable(skew_join(members, _spanning(members), "key", probe=members))
     small = spanning.filter(F.col("size") <= crowd)
     left, right = (small.select("key", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("class").alias(f"c{x}"))
                    for x in ("a", "b"))
     pairs = (left.join(right, "key").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb", least))
-             .select(F.col("a").alias("u"), F.col("b").alias("v")))
+             .select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    pairs = durable(pairs.join(tried, ["u", "v"], "left_anti"))
     large = spanning.filter(F.col("size") > crowd)
+    bodies = _bodies(durable(_ends(pairs).unionByName(large.select("node")).distinct()), docs, text)
+    links = _verified(pairs, bodies, least)
     if large.isEmpty():
-        return pairs.distinct()
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    low = F.transform("draws", lambda d: d.bitwiseAND(F.lit(0x7FFF)).cast("smallint"))
-    for single, marks, sharing in ((False, low, _two_draws), (True, F.col("shingles"), _enough_shingles(least))):
-        dealt = (large.filter(F.col("single") == single).withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-                 .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-                 .join(sketches.select("node", marks.alias("marks")), "node")
-                 .select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
-                         "part", "node", "n", "class", "marks"))
-        met = dealt.groupBy("key", "low", "high").applyInArrow(_meet(least, sharing), "u binary, v binary")
-        pairs = pairs.unionByName(met)
-    return pairs.distinct()
-
-
-def _two_draws(marks: pa.ListArray, n: np.ndarray):
-    """Whether pairs of rows have two equal draws."""
-    table = marks.flatten().to_numpy().reshape(len(n), -1)
-    return lambda x, y: (table[x] == table[y]).sum(axis=1) >= 2
-
-
-def _enough_shingles(least: float):
-    """Whether pairs of rows have as many shingles in common as an alignment of ``least`` takes."""
-    def sharing(marks: pa.ListArray, n: np.ndarray):
-        rows = np.repeat(np.arange(len(n)), n.astype(np.int64))
-        kind = np.unique(marks.flatten().to_numpy(), return_inverse=True)[1]
-        by = np.argsort(kind, kind="stable")
-        rows, kind = rows[by], kind[by]
-        many = np.bincount(kind)[kind] > 64
-        shared = np.zeros((len(n), len(n)), np.float32)
-        # Shingles of many rows by products of 0 and 1, the others by their pairs.
-        dense, place = rows[many], np.unique(kind[many], return_inverse=True)[1]
-        for start in range(0, int(place.max()) + 1 if len(place) else 0, 1024):
-            here = (place >= start) & (place < start + 1024)
-            has = np.zeros((len(n), 1024), np.float32)
-            has[dense[here], place[here] - start] = 1
-            shared += has @ has.T
-        rows, kind = rows[~many], kind[~many]
-        for step in range(1, 64):
-            same = np.flatnonzero(kind[step:] == kind[:-step])
-            if not len(same):
-                break
-            np.add.at(shared, (rows[same], rows[same + step]), 1)
-            np.add.at(shared, (rows[same + step], rows[same]), 1)
-        return lambda x, y: shared[x, y] >= np.ceil(least / (1 + least) * (n[x] + n[y]) - 1e-9)
-    return sharing
-
-
-def _meet(least: float, sharing):
-    """Pairs of one block of a bucket, of different classes, of fitting lengths, that share enough by ``sharing``."""
+        return links
+    # Two blocks, or one with itself, are a group; a member is in as many as its bucket has blocks.
+    dealt = (skew_join(large, bodies, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
+                     "part", "node", "class", "words"))
+    met = dealt.groupBy("key", "low", "high").applyInArrow(_meet(least), "u binary, v binary")
+    return links.unionByName(durable(met.distinct()))
+
+
+def _shared(shingles: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of some texts have in common."""
+    n = len(shingles)
+    rows = np.repeat(np.arange(n), [len(x) for x in shingles])
+    kind = np.unique(np.concatenate(shingles), return_inverse=True)[1]
+    by = np.argsort(kind, kind="stable")
+    rows, kind = rows[by], kind[by]
+    many = np.bincount(kind)[kind] > 64
+    shared = np.zeros((n, n), np.float32)
+    # Shingles of many rows by products of 0 and 1, the others by their pairs.
+    dense, place = rows[many], np.unique(kind[many], return_inverse=True)[1]
+    for start in range(0, int(place.max()) + 1 if len(place) else 0, 1024):
+        here = (place >= start) & (place < start + 1024)
+        has = np.zeros((n, 1024), np.float32)
+        has[dense[here], place[here] - start] = 1
+        shared += has @ has.T
+    rows, kind = rows[~many], kind[~many]
+    for step in range(1, 64):
+        same = np.flatnonzero(kind[step:] == kind[:-step])
+        if not len(same):
+            break
+        flat = np.bincount(rows[same] * n + rows[same + step], minlength=n * n).reshape(n, n)
+        shared += flat + flat.T
+    return shared
+
+
+def _meet(least: float):
+    """Links between members of a block, or of two, that join classes not joined by then: a forest."""
     def meet(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        nodes = np.array(table.column("node").to_pylist(), object)
+        nodes, words = table.column("node").to_pylist(), table.column("words").to_pylist()
+        part = np.array(table.column("part").to_pylist())
+        alone = len(np.unique(part)) == 1
         classes = np.unique(np.array(table.column("class").to_pylist(), object), return_inverse=True)[1]
-        n, part = table.column("n").to_numpy().astype(float), table.column("part").to_numpy()
-        enough = sharing(table.column("marks").combine_chunks(), n)
-        alone = table.column("low")[0].as_py() == table.column("high")[0].as_py()
-        every = np.arange(len(n))
-        us, vs = [], []
-        for start in range(0, len(n), 64):
-            rows = every[start:start + 64, None]
-            good = (classes[rows] != classes) & (np.minimum(n[rows], n) >= least * np.maximum(n[rows], n)) & (rows < every)
-            if not alone:
-                good &= part[rows] != part
-            a, b = np.nonzero(good)
-            a += start
-            for at in range(0, len(a), 1 << 18):
-                x, y = a[at:at + (1 << 18)], b[at:at + (1 << 18)]
-                shared = enough(x, y)
-                us.append(x[shared]), vs.append(y[shared])
-        u, v = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (us, vs))
-        first, second = nodes[u], nodes[v]
-        swap = [x < y for x, y in zip(first, second)]
-        return pa.table({"u": pa.array([y if s else x for x, y, s in zip(first, second, swap)], pa.binary()),
-                         "v": pa.array([x if s else y for x, y, s in zip(first, second, swap)], pa.binary())})
+        shingles = [shingled(np.frombuffer(w, np.uint32).astype(np.uint64)) for w in words]
+        n = np.array([len(x) for x in shingles], float)
+        shared = _shared(shingles)
+        need = np.ceil(least / (1 + least) * (n[:, None] + n) - 1e-9)
+        good = (shared >= need) & (classes[:, None] != classes) & (np.minimum(n[:, None], n) >= least * np.maximum(n[:, None], n))
+        if not alone:
+            good &= part[:, None] != part
+        first, second = np.nonzero(np.tril(good, -1))
+        # Those that share most come first, so classes are one after few alignments.
+        order = np.argsort(-(shared[first, second] / need[first, second]), kind="stable")
+        root = list(range(int(classes.max()) + 1))
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        us, vs, of = [], [], classes.tolist()
+        for k in order.tolist():
+            a, b = int(first[k]), int(second[k])
+            x, y = find(of[a]), find(of[b])
+            if x != y and similarity(shingles[a], shingles[b], least) >= least:
+                root[x] = y
+                us.append(max(nodes[a], nodes[b])), vs.append(min(nodes[a], nodes[b]))
+        return pa.table({"u": pa.array(us, pa.binary()), "v": pa.array(vs, pa.binary())})
     return meet
 
 
-def linked(docs: DataFrame, text: str = "text", least: float = SIMILAR, crowd: int = CROWD) -> DataFrame:
+def linked(docs: DataFrame, text: str = "text", least: float = SIMILAR, crowd: int | None = None) -> DataFrame:
     """(u, v): every node that is not the smallest of its class, with the smallest."""
     sketches = durable(_sketches(docs, text, least))
     drawn = sketches.select(F.explode(F.array_distinct("draws")).alias("key"), "node", "n")
@@ -356,11 +365,10 @@ def linked(docs: DataFrame, text: str = "text", least: float = SIMILAR, crowd: i
              .filter((F.col("node") != F.col("leader")) & _fits("n", "of", least))
              .select(*_ordered("node", "leader")).distinct())
     tried = durable(stars)
-    edges = _verified(tried, docs, text, least)
+    edges = _verified(tried, _bodies(durable(_ends(tried).distinct()), docs, text), least)
     roots = connected(edges)
-    rest = _rest(_classes(roots, members.select("key", "single", "node", "n")), sketches, least, crowd)
-    rest = rest.join(tried, ["u", "v"], "left_anti")
-    more = _verified(durable(rest), docs, text, least)
+    more = _rest(_classes(roots, members.select("key", "node", "n")), tried, docs, text, least,
+                 CROWD if crowd is None else crowd)
     return connected(edges.unionByName(more))
 
 

@@ -104,7 +104,9 @@ def ftrl(texts: Sequence[np.ndarray], labels: Sequence[int], size: int, rates: R
             n[at] += g * g
             z[0] += g - (np.sqrt(n[0] + g * g) - np.sqrt(n[0])) / rates.alpha * b
             n[0] += g * g
-    out = weights(np.arange(size))
+    out = np.zeros(size)
+    for low in range(0, size, 1 << 16):  # in slices, as its steps take several arrays of the same length
+        out[low:low + (1 << 16)] = weights(slice(low, low + (1 << 16)))
     out[0] = bias()
     return out
 

@@ -149,12 +149,67 @@ def test_crowded_short_texts(spark):
 
 
 def test_shared_shingles_are_counted():
-    import pyarrow as pa
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, rng.choice([30, 4000]), rng.integers(1, 40))) for _ in range(300)]
-    n = np.array([len(x) for x in sets], float)
-    enough = N._enough_shingles(0.8)(pa.array([x.tolist() for x in sets], pa.list_(pa.int64())), n)
-    x, y = (z.ravel() for z in np.meshgrid(np.arange(300), np.arange(300)))
-    off = x != y
-    want = [len(np.intersect1d(sets[a], sets[b])) >= np.ceil(0.8 / 1.8 * (n[a] + n[b]) - 1e-9) for a, b in zip(x[off], y[off])]
-    assert enough(x[off], y[off]).tolist() == want
+    sets = [np.unique(rng.integers(0, rng.choice([30, 4000]), rng.integers(1, 40))).astype(np.uint64) for _ in range(300)]
+    shared = N._shared(sets)
+    off = [(a, b) for a in range(300) for b in range(300) if a != b]
+    assert [shared[a, b] for a, b in off] == [len(np.intersect1d(sets[a], sets[b])) for a, b in off]
+
+
+def test_a_block_sends_a_forest_of_links_and_no_failures():
+    """Copies of a text with 1 to 8 changed words: what is sent joins what plain links join, in fewer rows than texts."""
+    import pyarrow as pa
+    rng = random.Random(9)
+    base = words(rng, 120)
+    texts = [edited(rng, base, rng.randint(1, 8)) for _ in range(150)]
+    ids = {}
+    code = [np.array([ids.setdefault(w, len(ids) * 7919 + 13) for w in t], np.uint32) for t in texts]
+    node = [b"%03d" % k for k in range(len(texts))]
+    for part in (np.zeros(150, int), np.arange(150) % 2):
+        table = pa.table({"node": node, "class": node, "words": [c.tobytes() for c in code], "part": part})
+        links = list(zip(*(N._meet(0.8)(table).column(c).to_pylist() for c in "uv")))
+        assert len(links) < len(texts) and all(u > v for u, v in links)
+        real = {(a, b) for a in range(150) for b in range(a) if plain_similarity(texts[a], texts[b]) >= 0.8 and (not part.any() or part[a] != part[b])}
+        assert {(int(u), int(v)) for u, v in links} <= real
+
+        def classes(pairs):
+            root = list(range(150))
+            for a, b in list(pairs) * 150:
+                root[a] = root[b] = min(root[a], root[b])
+            return root
+        assert classes((int(u), int(v)) for u, v in links) == classes(real)
+        assert 0 < len(links)
+
+
+def test_failing_pairs_of_a_crowd_are_not_written(spark):
+    """Texts of 120 words with 5 changed words each: they share draws, and none is a link."""
+    rng = random.Random(3)
+    base = words(rng, 120)
+    texts = []
+    for _ in range(300):
+        text = list(base)
+        for at in rng.sample(range(5, 115), 5):
+            text[at] = f"x{rng.random()}"
+        texts.append(" ".join(text))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    links = N.linked(df).count()
+    assert links == sum(w != k for k, w in enumerate(brute([t.split() for t in texts])))
+
+
+@pytest.mark.parametrize("length", [33, 60, 120, 400, 2000])
+def test_recall_of_near_copies(length):
+    """Of pairs at 0.8 to 0.85, those that share a draw."""
+    rng = np.random.default_rng(length)
+    found = tried = 0
+    while tried < 150:
+        a = rng.integers(0, 2**62, length).astype(np.uint64)
+        b = a.copy()
+        at = np.sort(rng.choice(length, max(1, round(length * rng.uniform(0.015, 0.03))), replace=False))
+        b[at] = rng.integers(0, 2**62, len(at)).astype(np.uint64)
+        x, y = N.shingled(a), N.shingled(b)
+        if 0.8 <= N.similarity(x, y) <= 0.85:
+            tried += 1
+            found += bool((N.draws(x) == N.draws(y)).any()) if min(len(x), len(y)) > N.SHORT else 1
+        elif length < 60:
+            length += 1
+    assert found >= 0.95 * tried
