@@ -22,10 +22,20 @@ from holdfast.scale import durable
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOXIC = 0.7
 TOKENIZER = "word_bpe_49k.json"
+# Rows of whole texts that a Python task gets at a time.
+ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel with their rows here, so the session's Arrow batches are made this short, if longer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, str(ROWS if now <= 0 else min(now, ROWS)))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that score below TOXIC, by a model learnt from the labelled ones outside the held-out fold."""
+    small_batches(spark)
     model = fit(training_rows(docs, spark.read.parquet(f"{folder}/labels.parquet")))
     scored = toxicity(docs, model, keep=docs.columns)
     return scored.filter(F.col("score") < TOXIC).select(*docs.columns)
@@ -33,11 +43,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each class of near-duplicates: that of the smallest id."""
+    small_batches(spark)
     return one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without any window of ten words of a benchmark item."""
+    small_batches(spark)
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
     found = contamination(docs, benchmark, keep=docs.columns)
     return found.filter(F.col("n_hit") == 0).select(*docs.columns)
@@ -45,11 +57,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 def redact_personal(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, personal data replaced by its kind, ``n_chars`` that of the new text."""
+    small_batches(spark)
     return redacted(docs, keep=docs.columns).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
+    small_batches(spark)
     import public_tokenizers
     return packed(docs, public_tokenizers.path(TOKENIZER), keep=["doc_id"])
 
