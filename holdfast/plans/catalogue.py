@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.plans.registry import QUERIES, SQL, Tables
 
-MODULES = ("holdings", "holders", "places", "quality", "scalars", "lookups")
+MODULES = ("holdings", "holders", "places", "quality", "scalars", "lookups", "files")
 for _module in MODULES:
     import_module(f"holdfast.plans.{_module}")
 

@@ -155,3 +155,46 @@ def test_snapshots_are_taken_in_once(spark, tmp_path):
     assert arrive([("a", "5")]) == [("a", 3, 6.0), ("b", 1, 2.0)]
     snapshots.take_in(spark, source, "k string, v string", target, progress, rollup)
     assert sorted(rows(snapshots.added_up(spark, target, ["k"], ["rows"]), "k", "rows")) == [("a", 3), ("b", 1)]
+
+
+def total(staged, want):
+    from holdfast.operators import checks as Q
+    return Q.run_checks({"a": staged["a"]}, [Q.equals("total", "a", F.sum("v"), want)])
+
+
+def test_a_failed_publication_changes_nothing(spark, tmp_path):
+    from holdfast.operators.checks import GateFailure
+    folder = str(tmp_path)
+    assert sinks.Published(spark, folder).version is None and sinks.Published(spark, folder).manifest().count() == 0
+    with pytest.raises(KeyError):
+        sinks.Published(spark, folder).load("a")
+    first = {"a": spark.createDataFrame([(1,), (2,)], "v int"), "b": spark.range(5)}
+    assert sinks.publish(spark, first, folder, "Based on x", lambda s: total(s, 3)) == 1
+    kept = sinks.Published(spark, folder)
+    with pytest.raises(GateFailure):
+        sinks.publish(spark, {"a": spark.createDataFrame([(9,)], "v int")}, folder, "Based on y", lambda s: total(s, 3))
+
+    def interrupted(staged):
+        raise RuntimeError("the driver is gone")
+    with pytest.raises(RuntimeError):
+        sinks.publish(spark, first, folder, "Based on y", interrupted)
+    again = sinks.Published(spark, folder)
+    assert (again.version, again.run) == (1, kept.run)
+    assert sorted(rows(again.manifest(), "result", "rows", "provenance")) == [("a", 2, "Based on x"), ("b", 5, "Based on x")]
+    assert again.load("a").schema["v"].metadata == {"provenance": "Based on x"}
+
+
+def test_versions_are_swapped_whole_and_stay_readable(spark, tmp_path):
+    folder = str(tmp_path)
+    one, two = spark.createDataFrame([(1,)], "v int"), spark.createDataFrame([(2,), (3,)], "v int")
+    sinks.publish(spark, {"a": one, "old": one}, folder, "x")
+    before = sinks.Published(spark, folder)
+    assert sinks.publish(spark, {"a": two}, folder, "x") == 2
+    assert rows(before.load("a"), "v") == [(1,)]
+    assert sorted(rows(sinks.Published(spark, folder).load("a"), "v")) == [(2,), (3,)]
+    assert rows(sinks.Published(spark, folder).manifest(), "result", "rows") == [("a", 2)]
+    assert rows(sinks.Published(spark, folder, 1).load("old"), "v") == [(1,)]
+    with pytest.raises(KeyError):
+        sinks.Published(spark, folder, 7)
+    with pytest.raises(ValueError):
+        sinks.publish(spark, {}, folder, "x")
