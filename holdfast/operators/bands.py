@@ -97,6 +97,16 @@ def _between(spans: list[tuple[float, float]]) -> list[tuple[float, float | None
     return out if reach == float("inf") else [*out, (reach, None)]
 
 
+def _listed(spark: SparkSession, spans: list[tuple[float, float | None]]) -> DataFrame:
+    """(_lo, _hi); a short list as constants of the plan, which need no Python worker."""
+    if len(spans) > 64:
+        return spark.createDataFrame(spans, "_lo double, _hi double")
+    rows = [F.struct(F.lit(lo).cast("double").alias("_lo"), F.lit(hi).cast("double").alias("_hi")) for lo, hi in spans]
+    empty = spark.range(1, numPartitions=1)
+    return empty.select(F.inline(F.array(*rows))) if rows else empty.select(
+        F.lit(0.0).alias("_lo"), F.lit(None).cast("double").alias("_hi")).limit(0)
+
+
 def cells_of(facts: DataFrame, value: str, intervals: DataFrame, lo: str, hi: str, how: str, low: float, high: float,
              per_decade: int) -> tuple[DataFrame, DataFrame, bool]:
     """Facts and intervals by (_level, _cell), and whether the intervals were counted few.
@@ -108,21 +118,25 @@ def cells_of(facts: DataFrame, value: str, intervals: DataFrame, lo: str, hi: st
     """
     spans = intervals.withColumns({"_lo": F.col(lo).cast("double"), "_hi": F.col(hi).cast("double")})
     spans = spans.filter(F.col("_hi").isNull() | (F.col("_lo") < F.col("_hi"))).filter(F.col("_lo").isNotNull() & ~F.isnan("_lo"))
-    few = spans.select("_lo", "_hi").limit(BROADCAST_ROWS + 1).collect()
-    small = len(few) <= BROADCAST_ROWS
+    level = _level(F.col("_lo"), F.col("_hi"))
+    few = spans.select("_lo", "_hi", level).limit(BROADCAST_ROWS + 1).collect()
+    small, known = len(few) <= BROADCAST_ROWS, False
     if how == "left":
         if small:
-            rest = facts.sparkSession.createDataFrame(_between([(r[0], float("inf") if r[1] is None else r[1]) for r in few]),
-                                                      "_lo double, _hi double")
+            between = _between([(r[0], float("inf") if r[1] is None else r[1]) for r in few])
+            known = all(hi is None for _, hi in between)
+            rest = _listed(facts.sparkSession, between)
         else:
             whole = spans.select(F.greatest("_lo", F.lit(0.0)).alias("lo"), F.coalesce("_hi", F.lit(float("inf"))).alias("hi"))
             rest = gaps(islands(whole, [], "lo", "hi")).filter(~F.coalesce(F.col("lo") == float("inf"), F.lit(False)))
             rest = rest.select(F.coalesce("lo", F.lit(0.0)).alias("_lo"), F.col("hi").alias("_hi"))
             rest = rest.filter(F.col("_hi").isNull() | (F.col("_lo") < F.col("_hi")))
         spans = spans.unionByName(rest, allowMissingColumns=True)
-    level = _level(F.col("_lo"), F.col("_hi"))
     # Exponents of two: a few at most, whatever the number of intervals.
-    levels = sorted(r[0] for r in spans.filter(F.col("_hi").isNotNull()).select(level).distinct().collect())
+    if small and (known or how != "left"):
+        levels = sorted({r[2] for r in few} - {None})
+    else:
+        levels = sorted(r[0] for r in spans.filter(F.col("_hi").isNotNull()).select(level).distinct().collect())
     last = log_bin_count(low, high, per_decade)
 
     def bin_of(x: Column) -> Column:
@@ -140,7 +154,7 @@ def cells_of(facts: DataFrame, value: str, intervals: DataFrame, lo: str, hi: st
     if how == "left":
         nowhere = F.array(F.struct(F.lit(NOWHERE).alias("_level"), F.lit(0).cast("long").alias("_cell")))
         keyed = facts.withColumn("_at", F.explode(F.when(valid, F.array(*places)).otherwise(nowhere)))
-        none = facts.sparkSession.createDataFrame([(NOWHERE, 0)], "_level int, _cell long")
+        none = facts.sparkSession.range(1, numPartitions=1).select(F.lit(NOWHERE).alias("_level"), F.lit(0).cast("long").alias("_cell"))
         listed = listed.unionByName(none, allowMissingColumns=True)
     else:
         keyed = facts.filter(valid).withColumn("_at", F.explode(F.array(*places)))

@@ -17,7 +17,7 @@ CELL = 0.5
 STRIP_EDGES = 512
 # Edges (32 bytes each) that may be broadcast.
 BROADCAST_EDGES = 1_000_000
-# Points around a pick, on average, up to which it meets them all.
+# Picks, or points around a pick on average, up to which all of them meet.
 FEW = 64
 # Points of a cell that is split no further, and into how many a cell is split along each side (a power of two,
 # so that the cells of a cell are exactly within it).
@@ -153,6 +153,8 @@ def nearest_within(picks: DataFrame, points: DataFrame, *, pick: str, id: str, x
     asked = (picks.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(pick, F.col(x).alias("_px"), F.col(y).alias("_py"))
              .withColumn("_cx", F.explode(F.transform(around, lambda d: floor_cell(F.col("_px"), radius) + d)))
              .withColumn("_cy", F.explode(F.transform(around, lambda d: floor_cell(F.col("_py"), radius) + d))))
+    if bounded_rows(asked, 9 * FEW) is not None:  # a point meets FEW picks at most
+        return _nearest(_placed(places, radius).join(F.broadcast(asked), ["_cx", "_cy"]), pick, id, radius)
     places = durable(places)
     whole = durable(_cells(places, radius))
     met = durable(_join_boundary(whole, asked, ["_cx", "_cy"], asked).filter(F.col(pick).isNotNull()))
