@@ -48,6 +48,8 @@ PAIRS = 4_000_000
 
 # A space after something that is no white space, and before anything at all: a model asked for nothing says nothing.
 _CUT = re.compile(r"(?<=\S) (?=[\s\S])")
+# Without these, every space is such a one.
+_ODD = re.compile(r"\s |^ | $")
 _ID, _END = attrgetter("id"), attrgetter("end")
 _PROBE = " Don't  stop\n  the naïve 你好 \U0001F600x  y 12,5%\t z a　 b"
 
@@ -187,7 +189,9 @@ class Aligner:
         """The text in units, each without the space before it."""
         if not text:
             return []
-        return _CUT.split(text) if self.cuts else [text]
+        if not self.cuts:
+            return [text]
+        return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
     def _learn(self, units: Sequence[str]) -> None:
         """All at once where the bytes come back as they were, else by halves down to the unit where they do not."""
