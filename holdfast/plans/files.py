@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.operators import checks as Q
+from holdfast.operators import geo as G
+from holdfast.plans.places import LOCATED, boundary_document, points
 from holdfast.plans.registry import Tables, query
 from holdfast.scale import checkpoint_folder
-from holdfast.sources import dictionary, sinks, tables
+from holdfast.sources import dictionary, polygons, sinks, tables
 from holdfast.streaming import snapshots
 
 
@@ -124,6 +126,16 @@ def published_results(t: Tables) -> DataFrame:
     return shown.manifest().join(F.broadcast(lines[0].unionByName(lines[1])), "result").select("result", "rows", "lines", "version")
 
 
+@query(f"WITH {LOCATED} SELECT vec_id, region FROM located")
+def located_from_file(t: Tables) -> DataFrame:
+    """The first region that holds the point, the regions from a boundary file that is read in pieces."""
+    folder = shared(t)
+    boundary_document(t).coalesce(1).write.text(folder)
+    features = polygons.read_polygons(t.spark, folder).withColumn("name", F.col("properties")["name"])
+    parts = polygons.parts(G.drop_named(features, "name", "usual address"))
+    return G.locate(points(t), parts, id="vec_id", lat="lat", lon="lon")
+
+
 @query("SELECT event_type, count(*) AS rows, count(DISTINCT event_id) AS ids, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY event_type")
 def snapshots_added_up(t: Tables) -> DataFrame:
     """Events that arrive as files in two lots: each is taken in once, though it is asked for three times."""

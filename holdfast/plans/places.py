@@ -265,9 +265,12 @@ LOCATED = f"""{POINTS_SQL}, {_edges_sql()}, hits AS (
 located AS (SELECT vec_id, CAST(coalesce(min(feature), -1) AS INTEGER) AS region FROM pts LEFT JOIN hits USING (vec_id) GROUP BY vec_id)"""
 
 
+def boundary_document(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(json.dumps(BOUNDARIES),)], "value string")
+
+
 def boundary_parts(t: Tables) -> DataFrame:
-    text = t.spark.createDataFrame([(json.dumps(BOUNDARIES),)], "value string")
-    features = G.drop_named(polygons.from_text(text).withColumn("name", F.col("properties")["name"]),
+    features = G.drop_named(polygons.from_text(boundary_document(t)).withColumn("name", F.col("properties")["name"]),
                             "name", "usual address")
     return polygons.parts(features)
 

@@ -19,22 +19,22 @@ class HeaderMismatch(ValueError):
 
 
 def read_table(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str],
-               embedded_newlines: bool = True, check_header: bool = True) -> DataFrame:
+               embedded_newlines: bool = True, check_header: bool = True, folders: Sequence[str] = ()) -> DataFrame:
     """All columns as text (blank is NULL), plus ``_ragged``: the field count was not the header's.
 
     A short row is kept and padded with NULL. A byte-order mark, CRLF, doubled quotes, blank lines
     and a last row without a newline are handled by the reader. With ``embedded_newlines`` a file
     is one task, so a large table is read once and rewritten (``to_parquet``); without them the
-    file is split.
+    file is split. ``folders`` names the columns whose values are in the names of folders (``name=value``).
     """
     if check_header:
         found = spark.read.option("header", True).option("multiLine", embedded_newlines) \
             .option("escape", '"').csv(path).columns
-        if list(found) != list(columns):
+        if list(found) != [*columns, *folders]:
             raise HeaderMismatch(f"{path}: expected {list(columns)}, found {found}")
     # Every file's header is checked as it is read, and every row over all columns, whatever a query
     # selects: so the count of ragged rows is always the same.
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_bad"]])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_bad", *folders]])
     raw = (spark.read.schema(schema).option("header", True).option("multiLine", embedded_newlines)
            .option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
            .option("enforceSchema", not check_header).option("columnPruning", False).csv(path))

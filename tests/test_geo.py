@@ -79,6 +79,41 @@ def test_geojson_from_a_file(spark, tmp_path):
     assert {r["feature"]: r["count"] for r in per.collect()} == {0: 1, 1: 2, 2: 1, 4: 1}
 
 
+def test_a_large_file_is_read_by_many_tasks(spark, tmp_path):
+    """Braces, brackets and quotes in strings, members beside the features, and features over many ranges of bytes."""
+    rng = random.Random(8)
+    bits = ["}", "{", "[", "]", '"', "\\", ",", "é", "\n", '"features":[{', "x"]
+    fs = features(rng, 10_000)
+    for k, f in enumerate(fs):
+        f["properties"] = {"name": f"{k}-" + "".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))}
+        if k % 3:
+            f["bbox"] = [0, 1, 2, 3]
+    document = {"type": "FeatureCollection", "title": "all [{ of } them", "crs": {"type": "name", "properties": {"name": "x"}},
+                "meta": {"list": [{"a": 1}, {"b": [{"c": {}}]}]}, "bbox": [-1, -2, 3, 4], "features": fs, "after": {"z": [1]}}
+    (tmp_path / "b.geojson").write_text(json.dumps(document, ensure_ascii=False), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 8
+        got = polygons.read_polygons(spark, str(tmp_path / "b.geojson")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r["feature"] for r in got) == list(range(10_000))
+    for r in got:
+        want = fs[r["feature"]]
+        assert r["properties"] == want["properties"]
+        assert r["type"] == (want["geometry"] or {}).get("type")
+        assert want["geometry"] is None or json.loads(r["coordinates"]) == want["geometry"]["coordinates"]
+
+
+def test_cut_and_empty_boundary_files(spark, tmp_path):
+    (tmp_path / "empty.geojson").write_text('{"type": "FeatureCollection", "features": []}\n')
+    assert polygons.read_polygons(spark, str(tmp_path / "empty.geojson")).count() == 0
+    (tmp_path / "cut.geojson").write_text('{"features": [{"type": "Feature", "properties": {}}, {"type": "Feature", "prop')
+    with pytest.raises(polygons.BrokenFile):
+        polygons.read_polygons(spark, str(tmp_path / "cut.geojson"))
+
+
 def test_grid_cells_are_centred(spark):
     df = spark.createDataFrame([(-33.85, 151.2, 2), (-33.86, 151.24, 3), (0.05, -0.05, 1)], "lat double, lon double, d long")
     got = {(r["gx"], r["gy"]): (r["sites"], r["devices"]) for r in G.density_grid(df, "lat", "lon", F.col("d")).collect()}

@@ -101,6 +101,35 @@ def test_archives(spark, archives):
         ("2026-07", "1", "x,y", False), ("2026-07", "2", None, True), ("2026-08", "3", None, False), ("2026-08", "4", "5", False)]
 
 
+def test_members_of_one_archive_go_to_their_own_tasks(spark, tmp_path, monkeypatch):
+    """Members of several blocks, packed and plain, equal the same files read as tables."""
+    monkeypatch.setattr(archive, "BLOCK", 1000)
+    rng, bodies = random.Random(3), {}
+    (tmp_path / "plain").mkdir()
+    with zipfile.ZipFile(tmp_path / "all.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for nth in range(4):
+            rows_ = "".join(f'{nth}-{k},"{"é" * rng.randint(0, 9)}\n,""{rng.random()}"\r\n' for k in range(400 + nth))
+            bodies[nth] = "K,P\r\n" + rows_ + ("" if nth else "long," + "z" * 5000)
+            z.writestr(f"d{nth}/t.csv", bodies[nth], zipfile.ZIP_STORED if nth == 2 else zipfile.ZIP_DEFLATED)
+            (tmp_path / "plain" / f"{nth}.csv").write_bytes(bodies[nth].encode())
+    folder = archive.unpacked(spark, str(tmp_path / "all.zip"), "t.csv")
+    files = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("f")).collect()
+    assert len({r["f"].rsplit("/", 1)[-1].split("-")[1] for r in files}) == len(files) == 4
+    got = archive.records(spark, str(tmp_path / "all.zip"), "t.csv", ["K", "P"])
+    want = tables.read_table(spark, str(tmp_path / "plain"), ["K", "P"])
+    assert sorted(rows(got, "K", "P", "_ragged"), key=str) == sorted(rows(want, "K", "P", "_ragged"), key=str)
+    assert archive.records(spark, str(tmp_path / "all.zip"), "none.csv", ["K", "P"]).count() == 0
+
+
+def test_a_damaged_member_stops_the_job(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "d.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("t.csv", "K\nabcdef\n")
+    raw = (tmp_path / "d.zip").read_bytes()
+    (tmp_path / "d.zip").write_bytes(raw.replace(b"abcdef", b"abcdeg"))
+    with pytest.raises(Exception, match="ManifestError"):
+        archive.records(spark, str(tmp_path / "d.zip"), "t.csv", ["K"])
+
+
 def test_manifest(spark, archives):
     found = archive.members(spark, archives)
     assert [r["member"] for r in archive.missing_members(found, ["licence.csv", "site.csv"]).collect()] == ["site.csv"]
