@@ -4,8 +4,8 @@ Largest inner products become smallest distances: every vector gets one more coo
 to the length of the longest, queries get 0 there. Centroids are fitted to a bounded sample, with
 centroids taken from small clusters and given to large ones, so that the lists come out balanced. They
 are searched through a graph of neighbours held in memory. A vector goes to the list of its nearest
-centroid and, near a border, to a few more; a query reads the lists whose centroid is at most so many
-times as far as its nearest. Scores are then exact.
+centroid and, near a border, to a few more; a query reads all lists whose centroid is at most so many
+times as far as its nearest, however many these are: the ratio alone decides. Scores are then exact.
 
 Equal vectors are one candidate with its smallest ids, as many as can be asked for, so copies cost
 nothing. A list too long for a task is dealt in parts, and so are the queries of a list.
@@ -34,9 +34,8 @@ LISTS = 4096
 # Lists a vector may be in, and how much further than the nearest a centroid may be for that.
 REPLICAS = 4
 BORDER = 1.1
-# Lists a query may read, and how much further than the nearest a centroid may be for that.
-PROBES = 64
-REACH = 1.25
+# How much further than the nearest a centroid may be for a query to read its list.
+REACH = 1.18
 DEGREE = 24
 # Vectors and queries that meet in one task.
 PART = 4096
@@ -141,6 +140,35 @@ def search(graph: Graph, x: np.ndarray, wanted: int) -> tuple[np.ndarray, np.nda
     return ids, far
 
 
+def within(graph: Graph, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``x``, number) of every centroid found at most ``reach`` times as far as the row's nearest.
+
+    A walk finds the nearest; from there the graph is flooded through all centroids that are near enough.
+    """
+    n, found = len(graph.centroids), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for low in range(0, len(x), 256):
+        part = x[low:low + 256]
+        ids, far = search(graph, part, DEGREE)
+        bound = far[:, 0] * reach + 1e-12
+        seen = np.zeros(len(part) * n, bool)
+        row, at = np.nonzero((ids >= 0) & (far <= bound[:, None]))
+        node = ids[row, at]
+        seen[row * n + node] = True
+        while len(row):
+            found.append((row + low, node))
+            flat = np.unique((row[:, None] * n + graph.neighbours[node]).ravel())
+            flat = flat[~seen[flat]]
+            seen[flat] = True
+            row, node = flat // n, flat % n
+            near = np.zeros(len(flat), bool)
+            for k in range(0, len(flat), 8192):
+                gap = graph.centroids[node[k:k + 8192]] - part[row[k:k + 8192]]
+                near[k:k + 8192] = np.sqrt(np.einsum("ij,ij->i", gap, gap)) <= bound[row[k:k + 8192]]
+            row, node = row[near], node[near]
+    rows, nodes = (np.concatenate(x) for x in zip(*found))
+    return rows, nodes
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
@@ -189,11 +217,11 @@ def _probed(asked: DataFrame, graph, dim: int) -> DataFrame:
             for low in range(0, whole.num_rows, 1024):
                 batch = whole.slice(low, 1024)
                 x = _matrix(batch.column("vector"), dim)
-                ids, far = search(graph.value, np.concatenate([x, np.zeros((len(x), 1))], 1), PROBES)
-                row, at = np.nonzero((ids >= 0) & (far <= far[:, :1] * REACH + 1e-12))
-                rows = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([rows.column("query"), rows.column("vector"), pa.array(ids[row, at].astype(np.int32))],
-                                                 names=["query", "vector", "list"])
+                row, node = within(graph.value, np.concatenate([x, np.zeros((len(x), 1))], 1), REACH)
+                for k in range(0, len(row), 8192):
+                    rows = batch.take(pa.array(row[k:k + 8192]))
+                    yield pa.RecordBatch.from_arrays([rows.column("query"), rows.column("vector"), pa.array(node[k:k + 8192].astype(np.int32))],
+                                                     names=["query", "vector", "list"])
 
     return asked.mapInArrow(probe, "query long, vector array<double>, list int")
 

@@ -1,6 +1,7 @@
 """Nearest neighbours: recall and order against brute force, copies, and rows that take no part."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from holdfast.llm import ann
@@ -72,6 +73,35 @@ def test_graph_finds_the_nearest_centroid():
     assert np.allclose(far[:, 0], real[np.arange(300), ids[:, 0]])
 
 
+@pytest.mark.parametrize("dim", [2, 16])
+def test_all_centroids_within_reach_are_found(dim):
+    rng = np.random.default_rng(1)
+    centre, x = rng.normal(size=(900, dim)), rng.normal(size=(300, dim)) * 0.5
+    real = np.sqrt(ann._squares(x, centre))
+    want = real <= real.min(1, keepdims=True) * 1.3
+    row, node = ann.within(ann.graph_of(centre), x, 1.3)
+    got = np.zeros_like(want)
+    got[row, node] = True
+    assert len(row) == got.sum()  # none twice
+    assert (got & want).sum() >= 0.97 * want.sum() and (got & ~want).sum() <= 0.05 * want.sum()
+
+
+def test_recall_on_many_lists(spark):
+    """200,000 vectors without clusters in 1,000 lists: how far a query reads grows with the lists."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = x.astype(np.float32).astype(float)
+    ids = np.arange(len(x))
+    table = pa.table({"vec_id": ids, "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))})
+    got = result(spark.createDataFrame(table), every=1000)
+    queries = ids[::1000]
+    score = x[queries] @ x.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    want = {int(q): [(int(i), 0.0) for i in np.argsort(-score[k], kind="stable")[:20]] for k, q in enumerate(queries)}
+    assert recall(got, want) >= 0.95
+
+
 def test_lists_are_balanced():
     rng = np.random.default_rng(1)
     sample = np.concatenate([rng.normal(size=(1900, 8)) * 0.05, rng.normal(size=(100, 8)) * 5])
