@@ -110,6 +110,21 @@ def entity_totals(entities: DataFrame, per_licence: DataFrame, tenants: DataFram
             .fillna(0, subset=["devices", "tx", "sites"]))
 
 
+def holder_totals(entities: DataFrame, devices: DataFrame, owners: DataFrame, *, key: str, licence: str,
+                  site: str, transmit: str) -> DataFrame:
+    """Devices, transmit rows and live sites of every entity, zero when it has none, from one join.
+
+    ``owners`` gives each licence its entity; licences it does not list are left out, so that owners of a
+    few entities make their totals alone. Devices are brought to (licence, site) before the join, those
+    without a site too, and to (entity, site) after it: the same rows give devices and sites.
+    """
+    each = devices.groupBy(licence, site).agg(F.count(F.lit(1)).alias("devices"), F.count_if(F.col(transmit)).alias("tx"))
+    placed = skew_join(each, owners.select(licence, key), licence, probe=devices).groupBy(key, site).agg(
+        F.sum("devices").alias("devices"), F.sum("tx").alias("tx"))
+    per = placed.groupBy(key).agg(F.sum("devices").alias("devices"), F.sum("tx").alias("tx"), F.count(site).alias("sites"))
+    return entities.join(per, key, "left").fillna(0, subset=["devices", "tx", "sites"])
+
+
 def class_totals(totals: DataFrame, cls: str, sums: Sequence[str], classes: DataFrame | None = None) -> DataFrame:
     """Sums and number of entities per class, with every class of the domain present."""
     rolled = totals.groupBy(cls).agg(*[F.sum(c).alias(c) for c in sums],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.identifiers import weighted_checksum
@@ -127,13 +127,16 @@ def entity_totals(t: Tables) -> DataFrame:
     return totals(t)
 
 
-def totals(t: Tables) -> DataFrame:
+def totals(t: Tables, only: Column | None = None) -> DataFrame:
+    """The totals of all entities, or of those that satisfy ``only``, whose licences alone are then joined."""
     ents = entity_table(t)
-    licences = entity_licences(t, ents.select("root", "class", "person")).withColumn("granted", F.lit(True))
-    per_licence = R.licence_rows(t.devices, "licence", "tx").join(licences.select("licence", "root"), "licence")
-    tenants = R.site_holders(t.devices, licences, site="site", licence="licence", holder="root", cls="class",
-                             person="person", granted="granted", transmit="tx")
-    return R.entity_totals(ents, per_licence, tenants, key="root", holder="root", site="site")
+    if only is not None:
+        ents = ents.filter(only)
+    owners = merged_records(t).withColumnRenamed("c_custkey", "holder")
+    if only is not None:
+        owners = owners.join(ents.select("root"), "root", "left_semi")
+    licences = skew_join(t.owners, owners, "holder")
+    return R.holder_totals(ents, t.devices, licences, key="root", licence="licence", site="site", transmit="tx")
 
 
 @query(f"""{ENTITY_SQL} SELECT DISTINCT root, o_orderpriority AS service
@@ -150,7 +153,7 @@ SELECT count(*) AS entities, CAST(sum(licences) AS BIGINT) AS licences, CAST(sum
 FROM ent LEFT JOIN d USING (root) WHERE person""")
 def withheld_aggregate(t: Tables) -> DataFrame:
     """Counts, and only counts, of the entities that may not be named."""
-    return E.withheld_totals(totals(t), "person", {"licences": "licences", "devices": "devices",
+    return E.withheld_totals(totals(t, F.col("person")), "person", {"licences": "licences", "devices": "devices",
                                                    "sites": "sites", "records": "records"})
 
 
@@ -279,13 +282,9 @@ def class_totals(t: Tables) -> DataFrame:
 
 def holder_totals(t: Tables) -> DataFrame:
     """The same per customer, without merging."""
-    licences = t.licences
-    per_holder = licences.groupBy("holder").agg(F.count(F.lit(1)).alias("licences"))
+    per_holder = t.owners.groupBy("holder").agg(F.count(F.lit(1)).alias("licences"))
     ents = t.clients.join(per_holder, "holder", "left").fillna(0, ["licences"])
-    per_licence = R.licence_rows(t.devices, "licence", "tx").join(licences.select("licence", "holder"), "licence")
-    tenants = R.site_holders(t.devices, licences, site="site", licence="licence", holder="holder", cls="class",
-                             person="person", granted="granted", transmit="tx")
-    return R.entity_totals(ents, per_licence, tenants, key="holder", holder="holder", site="site")
+    return R.holder_totals(ents, t.devices, t.owners, key="holder", licence="licence", site="site", transmit="tx")
 
 
 @query("""WITH s AS (SELECT DISTINCT o_orderpriority AS service FROM orders),

@@ -200,3 +200,16 @@ def test_headline(spark):
     assert got["total"] == 115 and got["largest"] == 20 and got["single_named"] == got["single_all"] == 2
     assert got["top10_share"] == pytest.approx(round(65 / 115 * 100, 2))
     assert got["hhi"] == int(sum((n / 115 * 100) ** 2 for n in named) + 0.5)
+
+
+def test_totals_of_holders_from_one_join(spark):
+    """Rows without a site count as devices and not as sites; licences nobody lists are left out."""
+    devices = spark.createDataFrame(
+        [("l1", "a", True), ("l1", "a", False), ("l1", None, True), ("l2", "a", True), ("l2", "b", False), ("l3", "c", True), (None, "d", True), ("l9", "e", True)],
+        "licence string, site string, tx boolean")
+    owners = spark.createDataFrame([("l1", 1), ("l2", 1), ("l3", 2), ("l4", 3), ("l5", None)], "licence string, k int")
+    entities = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    got = R.holder_totals(entities, devices, owners, key="k", licence="licence", site="site", transmit="tx")
+    assert {r["k"]: (r["devices"], r["tx"], r["sites"]) for r in got.collect()} == {1: (5, 3, 2), 2: (1, 1, 1), 3: (0, 0, 0)}
+    alone = R.holder_totals(entities.filter("k = 2"), devices, owners.filter("k = 2"), key="k", licence="licence", site="site", transmit="tx")
+    assert [tuple(r) for r in alone.collect()] == [(2, 1, 1, 1)]
