@@ -6,6 +6,7 @@ centroids taken from small clusters and given to large ones, so that the lists c
 are searched through a graph of neighbours held in memory. A vector goes to the list of its nearest
 centroid and, near a border, to a few more; a query reads all lists whose centroid is at most so many
 times as far as its nearest, however many these are: the ratio alone decides. Scores are then exact.
+The nearest lists are read first; of the others, only what beats a query's last place so far is sent on.
 
 Equal vectors are one candidate with its smallest ids, as many as can be asked for, so copies cost
 nothing. A list too long for a task is dealt in parts, and so are the queries of a list.
@@ -36,6 +37,8 @@ REPLICAS = 4
 BORDER = 1.1
 # How much further than the nearest a centroid may be for a query to read its list.
 REACH = 1.18
+# Lists a query reads before the others: they decide what the others have to beat, not what is read.
+FIRST = 16
 DEGREE = 24
 # Vectors and queries that meet in one task.
 PART = 4096
@@ -140,33 +143,34 @@ def search(graph: Graph, x: np.ndarray, wanted: int) -> tuple[np.ndarray, np.nda
     return ids, far
 
 
-def within(graph: Graph, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row of ``x``, number) of every centroid found at most ``reach`` times as far as the row's nearest.
+def within(graph: Graph, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``x``, number, distance) of every centroid found at most ``reach`` times as far as the row's nearest.
 
     A walk finds the nearest; from there the graph is flooded through all centroids that are near enough.
     """
-    n, found = len(graph.centroids), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    n, found = len(graph.centroids), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for low in range(0, len(x), 256):
         part = x[low:low + 256]
         ids, far = search(graph, part, DEGREE)
         bound = far[:, 0] * reach + 1e-12
         seen = np.zeros(len(part) * n, bool)
         row, at = np.nonzero((ids >= 0) & (far <= bound[:, None]))
-        node = ids[row, at]
+        node, far = ids[row, at], far[row, at]
         seen[row * n + node] = True
         while len(row):
-            found.append((row + low, node))
+            found.append((row + low, node, far))
             flat = np.unique((row[:, None] * n + graph.neighbours[node]).ravel())
             flat = flat[~seen[flat]]
             seen[flat] = True
             row, node = flat // n, flat % n
-            near = np.zeros(len(flat), bool)
+            far = np.zeros(len(flat))
             for k in range(0, len(flat), 8192):
                 gap = graph.centroids[node[k:k + 8192]] - part[row[k:k + 8192]]
-                near[k:k + 8192] = np.sqrt(np.einsum("ij,ij->i", gap, gap)) <= bound[row[k:k + 8192]]
-            row, node = row[near], node[near]
-    rows, nodes = (np.concatenate(x) for x in zip(*found))
-    return rows, nodes
+                far[k:k + 8192] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+            near = far <= bound[row]
+            row, node, far = row[near], node[near], far[near]
+    rows, nodes, gaps = (np.concatenate(x) for x in zip(*found))
+    return rows, nodes, gaps
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -211,29 +215,32 @@ def _posted(classes: DataFrame, graph, dim: int, longest: float) -> DataFrame:
 
 
 def _probed(asked: DataFrame, graph, dim: int) -> DataFrame:
-    """(query, vector, list): the lists each query reads."""
+    """(query, vector, list, early): the lists each query reads, and whether one is of its FIRST nearest."""
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 1024):
                 batch = whole.slice(low, 1024)
                 x = _matrix(batch.column("vector"), dim)
-                row, node = within(graph.value, np.concatenate([x, np.zeros((len(x), 1))], 1), REACH)
+                row, node, far = within(graph.value, np.concatenate([x, np.zeros((len(x), 1))], 1), REACH)
+                order = np.lexsort((node, far, row))
+                row, node = row[order], node[order]
+                early = np.arange(len(row)) - np.searchsorted(row, row) < FIRST
                 for k in range(0, len(row), 8192):
                     rows = batch.take(pa.array(row[k:k + 8192]))
-                    yield pa.RecordBatch.from_arrays([rows.column("query"), rows.column("vector"), pa.array(node[k:k + 8192].astype(np.int32))],
-                                                     names=["query", "vector", "list"])
+                    yield pa.RecordBatch.from_arrays([rows.column("query"), rows.column("vector"), pa.array(node[k:k + 8192].astype(np.int32)),
+                                                      pa.array(early[k:k + 8192])], names=["query", "vector", "list", "early"])
 
-    return asked.mapInArrow(probe, "query long, vector array<double>, list int")
+    return asked.mapInArrow(probe, "query long, vector array<double>, list int, early boolean")
 
 
 def _meet(dim: int, k: int):
-    """The k best classes of a part of a list for each of some queries, with exact scores."""
+    """The k best classes of a part of a list for each of some queries, with exact scores of at least the query's floor."""
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if left.num_rows and right.num_rows:
             left, right = left.combine_chunks(), right.combine_chunks()
             v, q = (_matrix(t.column("vector").combine_chunks(), dim) for t in (left, right))
-            classes, queries = left.column("class").to_numpy(), right.column("query").to_numpy()
+            classes, queries, floor = left.column("class").to_numpy(), right.column("query").to_numpy(), right.column("floor").to_numpy()
             found = []
             for low in range(0, len(q), 256):
                 score = q[low:low + 256] @ v.T
@@ -243,12 +250,34 @@ def _meet(dim: int, k: int):
                 exact = np.einsum("ij,ij->i", v[at.ravel()], q[row])
                 order = np.lexsort((classes[at.ravel()], -exact, row))
                 order = order[np.arange(len(order)) % take < k]
+                order = order[exact[order] >= floor[row[order]]]
                 found.append((queries[row[order]], classes[at.ravel()[order]], exact[order]))
             out = [np.concatenate(x) for x in zip(*found)]
         return pa.table(out, names=["query", "class", "score"])
     return meet
 
 
+def _met(posted: DataFrame, probed: DataFrame, dim: int, k: int) -> DataFrame:
+    """(query, class, score): queries meet the lists they read, long lists and many queries of one in parts."""
+    parts = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).join(
+        probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("shares")), "list")
+    parts = F.broadcast(parts)  # a row for each list, LISTS at most
+    left = (posted.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+            .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+            .select("list", "part", "share", "class", "vector"))
+    right = (probed.join(parts, "list").withColumn("share", F.pmod(F.xxhash64("query"), F.col("shares")).cast("int"))
+             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("list", "part", "share", "query", "vector", "floor"))
+    keys = ["list", "part", "share"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(dim, k), "query long, class long, score double")
+
+
+def _best(met: DataFrame, k: int) -> DataFrame:
+    """The k best classes of each query, a class once."""
+    each = met.groupBy("query", "class").agg(F.max("score").alias("score"))
+    return top_per_group(each, ["query"], [F.desc("score"), F.col("class")], k, "_at").drop("_at")
+
+
 def nearest(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = NEAREST,
             list_size: int = LIST, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by ``every``, its ``k`` nearest other ids found.
@@ -282,20 +311,11 @@ def nearest(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", e
     distinct = asked.select("query").distinct().join(owner, "query")
     posted = durable(_posted(classes, graph, dim, longest))
     probed = durable(_probed(distinct.select("query", "vector"), graph, dim))
-    parts = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).join(
-        probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("shares")), "list")
-    parts = F.broadcast(parts)  # a row for each list, LISTS at most
-    left = (posted.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-            .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-            .select("list", "part", "share", "class", "vector"))
-    right = (probed.join(parts, "list").withColumn("share", F.pmod(F.xxhash64("query"), F.col("shares")).cast("int"))
-             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("list", "part", "share", "query", "vector"))
-    keys = ["list", "part", "share"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        _meet(dim, k + 1), "query long, class long, score double")
-    best = top_per_group(met.groupBy("query", "class").agg(F.max("score").alias("score")), ["query"],
-                         [F.desc("score"), F.col("class")], k + 1, "_at").drop("_at")
+    any_score = F.lit(float("-inf"))
+    found = durable(_best(_met(posted, probed.filter("early").withColumn("floor", any_score), dim, k + 1), k + 1))
+    floors = found.groupBy("query").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("floor"))
+    later = probed.filter("not early").join(floors, "query", "left").withColumn("floor", F.coalesce("floor", any_score))
+    best = _best(found.unionByName(_met(posted, later, dim, k + 1)), k + 1)
     members = best.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
     members = durable(top_per_group(members, ["query"], [F.desc("score"), F.col("vec_id")], k + 1, "_at").drop("_at"))
     answers = skew_join(asked, members, "query").filter(F.col("vec_id") != F.col("id"))

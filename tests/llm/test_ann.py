@@ -79,7 +79,8 @@ def test_all_centroids_within_reach_are_found(dim):
     centre, x = rng.normal(size=(900, dim)), rng.normal(size=(300, dim)) * 0.5
     real = np.sqrt(ann._squares(x, centre))
     want = real <= real.min(1, keepdims=True) * 1.3
-    row, node = ann.within(ann.graph_of(centre), x, 1.3)
+    row, node, far = ann.within(ann.graph_of(centre), x, 1.3)
+    assert np.allclose(far, real[row, node])
     got = np.zeros_like(want)
     got[row, node] = True
     assert len(row) == got.sum()  # none twice
