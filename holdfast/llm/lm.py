@@ -1,8 +1,8 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-All training texts are counted: every word, then pairs of known words, then triples whose two pairs
-were kept (a triple is never more frequent than its pairs). The trie holds, for each known word, its
-successors, and for each kept pair the words that follow it; pointers and children are monotone and
+All training texts are counted: every word, then all pairs and triples, of which those with a count of
+``LEAST`` make the model. Its commonest words, pairs and triples are in the trie, which holds, for each known
+word, its successors, and for each pair the words that follow it; pointers and children are monotone and
 stored as Elias-Fano sequences. The child of a pair (a, b) is not stored as a word but by its place
 among the successors of b, which is the smaller number: a triple is found by looking up the pair
 (b, c), taking its place relative to b, and searching that among the children of (a, b).
@@ -12,6 +12,11 @@ back-off weights are quantised to 256 values a level. A word alone has the base
 exact, for known and unknown words alike. The levels lie in one file that every executor gets once and
 its workers map into memory.
 
+The log probability of a text is a sum over its words, pairs and triples, so what the trie has no room for
+is a table of one weight an n-gram: a text adds those of its n-grams by a join. Back-off weights, in the trie
+and beside it, are those of the whole model. A bit table of bounded size tells tasks which n-grams cannot be in
+the table; it spares rows and decides nothing.
+
 The counts of all distinct words go into a second file, 5 bytes a word, while they are at most
 ``WORDS``; beyond that, unknown words are looked up by a join, and nothing else changes.
 """
@@ -26,8 +31,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from holdfast.llm.eliasfano import EliasFano
 from holdfast.llm.frames import map_texts, name
@@ -35,7 +41,7 @@ from holdfast.llm.words import LOWER, Words, blocks
 from holdfast.scale import checkpoint_folder, durable, skew_join
 
 # Sizes of the trie, chosen by frequency from counts over all training texts: known words, and
-# n-grams of each longer length. They bound what every executor maps, not what is counted.
+# n-grams of each longer length. They bound what every executor maps, not the model.
 KNOWN = 1 << 16
 GRAMS = 1 << 20
 LEAST = 2
@@ -43,6 +49,8 @@ DISCOUNT = 0.75
 # Distinct words whose counts are sent to every executor, 5 bytes each.
 WORDS = 16_000_000
 BLOCK = 8 << 20
+# Bits for each n-gram beside the trie, and the most of them, as a power of 2.
+BITS, TOP_BITS = 16, 30
 #: Stands for the end of a text among word hashes, and before its first word.
 END = np.uint64(0x0123456789ABCDEF)
 _TOP, _LOW = 22, 32
@@ -69,18 +77,54 @@ def _counted(source: DataFrame, make) -> DataFrame:
     return source.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _frequent(counts: DataFrame, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent keys, about ``size`` at most: all whose count is in the same bins of powers of 2**(1/8)."""
-    level = F.floor(F.log2("n") * 8).cast("int")
-    bins = counts.filter(F.col("n") >= least).groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()
+def _mixed(*ids: np.ndarray) -> np.ndarray:
+    """64 bits of one, two or three ids, alike for every row of the same ids."""
+    h = np.full(len(ids[0]), len(ids), np.uint64)
+    for x in ids:
+        h = (h ^ x.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _grams(source: DataFrame, size: int, make, least: int) -> DataFrame:
+    """(x, y[, z], n): counts of the n-grams of ids that ``make`` finds in a block of texts, ``least`` at least."""
+    names = ["x", "y", "z"][:size]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = make()
+        for block in blocks(batches, limit=BLOCK):
+            ids = find(block.column("text"))
+            _, at, n = np.unique(_mixed(*ids), return_index=True, return_counts=True)
+            order = np.lexsort([x[at] for x in reversed(ids)])
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[at][order]) for x in ids], pa.array(n[order])], names=[*names, "n"])
+
+    schema = ", ".join(f"{c} long" for c in [*names, "n"])
+    return source.mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+
+
+def _level() -> Column:
+    return F.floor(F.log2("n") * 8).cast("int")
+
+
+def _bound(counts: DataFrame, size: int, least: int) -> int | None:
+    """The lowest bin of counts, in powers of 2**(1/8), above which there are about ``size`` keys at most."""
+    bins = counts.filter(F.col("n") >= least).groupBy(_level().alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()
     total, bound = 0, None
     for b, k in sorted(((r["b"], r["k"]) for r in bins), reverse=True):
         if total + k > size and total:
             break
         total, bound = total + k, b
+    return bound
+
+
+def _frequent(counts: DataFrame, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent keys and their counts, sorted by key: what is known to the trie."""
+    bound = _bound(counts, size, least)
     if bound is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kept = counts.filter((F.col("n") >= least) & (level >= bound)).toArrow()
+    kept = counts.filter((F.col("n") >= least) & (_level() >= bound)).toArrow()
     key, n = kept.column("key").to_numpy(), kept.column("n").to_numpy()
     order = np.argsort(key)
     return key[order], n[order]
@@ -165,9 +209,13 @@ class Trie:
         ``number`` starts with an END; what is returned has one element less. A context does not
         reach beyond an END.
         """
+        return self.found(number, unknown)[0]
+
+    def found(self, number: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What ``logs`` returns, and whether the trie has the pair and the triple that end in each token."""
         size = len(self.base)
         if not size:
-            return unknown
+            return unknown, np.zeros(len(unknown), bool), np.zeros(len(unknown), bool)
         before, word = number[:-1], number[1:]
         alone = np.where(word >= 0, self.base[np.maximum(word, 0)], unknown)
         out = alone + np.where(before >= 0, self.back1[np.maximum(before, 0)], 0.0)
@@ -178,6 +226,7 @@ class Trie:
         out[has] = self.value("pair", pair[has])
         # The pair before, unless an END stands between the two words of it and this one.
         context = np.concatenate([[-1], np.where(before[1:] != self.end, pair[:-1], -1)])[:len(pair)]
+        whole = np.zeros(len(word), bool)
         place = np.flatnonzero(context >= 0)
         j = context[place]
         out[place] += self.value("back2", j)
@@ -187,7 +236,8 @@ class Trie:
             relative = pair[place] - self.heads[before[place]]
             found = self.triples.index(self.places[j] + relative)
             out[place[found >= 0]] = self.value("triple", found[found >= 0])
-        return out
+            whole[place[found >= 0]] = True
+        return out, has, whole
 
     @property
     def end(self) -> int:
@@ -206,9 +256,12 @@ def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build(words: np.ndarray, counts: np.ndarray, base: np.ndarray, end: int,
-          pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray]) -> Trie:
+          pairs: tuple[np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray],
+          backs: tuple[np.ndarray, np.ndarray] | None = None) -> Trie:
     """The trie of known words (hash, count, log10 probability) and kept n-grams.
 
+    ``backs`` are the back-off weights of the words and pairs, where the model has more n-grams than these.
+
     ``pairs`` are (a * k + b, count), sorted; ``triples`` (pair * k + c, count), sorted, where pair is
     a place in ``pairs`` and the pair (b, c) is there as well.
     """
@@ -217,20 +270,24 @@ def build(words: np.ndarray, counts: np.ndarray, base: np.ndarray, end: int,
     key, n = pairs
     a, b = key // k, key % k
     p = (n - DISCOUNT) / counts[a] if len(key) else np.zeros(0)
-    mass, shorter = np.bincount(a, p, k), np.bincount(a, 10.0 ** base[b] if len(key) else [], k)
-    back1 = np.log10(np.maximum(1 - mass, 1e-9) / np.maximum(1 - shorter, 1e-9))
+    if backs is None:
+        mass, shorter = np.bincount(a, p, k), np.bincount(a, 10.0 ** base[b] if len(key) else [], k)
+        back1 = np.log10(np.maximum(1 - mass, 1e-9) / np.maximum(1 - shorter, 1e-9))
     heads = np.searchsorted(key, np.arange(k + 1) * k)
     degree = np.diff(heads)
     j, c = triples[0] // k, triples[0] % k
     q = (triples[1] - DISCOUNT) / n[j] if len(j) else np.zeros(0)
     suffix = np.searchsorted(key, b[j] * k + c) if len(j) else np.zeros(0, np.int64)
-    mass2 = np.bincount(j, q, len(key)) if len(key) else np.zeros(0)
-    shorter2 = np.bincount(j, p[suffix], len(key)) if len(key) else np.zeros(0)
-    back2 = np.log10(np.maximum(1 - mass2, 1e-9) / np.maximum(1 - shorter2, 1e-9))
+    if backs is None:
+        mass2 = np.bincount(j, q, len(key)) if len(key) else np.zeros(0)
+        shorter2 = np.bincount(j, p[suffix], len(key)) if len(key) else np.zeros(0)
+        back2 = np.log10(np.maximum(1 - mass2, 1e-9) / np.maximum(1 - shorter2, 1e-9))
+    else:
+        back1, back2 = backs
     places = np.concatenate([[0], np.cumsum(degree[b])]) if len(key) else np.zeros(1, np.int64)
     children = places[j] + suffix - heads[b[j]] if len(j) else np.zeros(0, np.int64)
     parts = {"words": words[order], "number": order, "count": counts.astype(np.int64), "base": base.astype(np.float64),
-             "back1": np.zeros(len(words), np.float32) if not len(words) else back1.astype(np.float32),
+             "back1": np.zeros(0, np.float32) if not len(words) else back1.astype(np.float32),
              "end": np.array([end], np.int64)}
     for level, values in (("pair", np.log10(p)), ("back2", back2), ("triple", np.log10(q))):
         parts[f"{level}.book"], parts[f"{level}.code"] = _quantised(values)
@@ -270,14 +327,72 @@ def mapped(file: str, index: list) -> dict[str, np.ndarray]:
             for key, kind, n, at in index}
 
 
+class Bits:
+    """A bit for the top bits of each key of a table: no key of the table is without its bit."""
+
+    def __init__(self, parts: dict[str, np.ndarray]):
+        self.parts, self.bits = parts, parts["bits"]
+        self.shift = np.uint64(64 - (len(self.bits) * 8).bit_length() + 1)
+
+    @classmethod
+    def build(cls, keys: DataFrame, n: int) -> Bits:
+        """Each of 64 slices is set by the task that has its keys; the slices are collected, 128 MB in all at most."""
+        power = min(TOP_BITS, max(16, (BITS * n - 1).bit_length() if n else 0))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slices: dict[int, np.ndarray] = {}
+            for batch in batches:
+                at = (batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - power)).astype(np.int64)
+                for k in np.unique(at >> (power - 6)).tolist():
+                    own = at[at >> (power - 6) == k] & ((1 << (power - 6)) - 1)
+                    flags = slices.setdefault(k, np.zeros(1 << (power - 9), np.uint8))
+                    np.bitwise_or.at(flags, own >> 3, (1 << (own & 7)).astype(np.uint8))
+            for k, flags in slices.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([flags.tobytes()], pa.binary())], names=["k", "flags"])
+
+        dealt = keys.select("key").repartition(F.shiftrightunsigned("key", 58)).mapInArrow(pack, "k long, flags binary").toArrow()
+        bits = np.zeros((64, 1 << (power - 9)), np.uint8)
+        for k, flags in zip(dealt.column("k").to_pylist(), dealt.column("flags")):
+            bits[k] = np.frombuffer(flags.as_buffer(), np.uint8)
+        return cls({"bits": bits.ravel()})
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys >> self.shift).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 class Model(NamedTuple):
-    """A published trie, and the published counts or, where they are too many, their table."""
+    """A published trie, and the published counts or, where they are too many, their table.
+
+    ``rest`` has the weight (key, w) of each n-gram that is not in the trie; ``bits`` are published for it.
+    """
 
     trie: tuple[str, list]
     counts: tuple[str, list] | None
     table: DataFrame | None
     total: int
     distinct: int
+    bits: tuple[str, list] | None = None
+    rest: DataFrame | None = None
+
+
+def _ids(number: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The number of a known word; of others 63 bits of the hash, below zero."""
+    return np.where(number >= 0, number, -(hashes >> np.uint64(1)).view(np.int64) - 1)
+
+
+def _keyed(df: DataFrame, ids: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``_mixed`` of the ids as ``key``, and some columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _mixed(*[batch.column(c).to_numpy() for c in ids]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *[batch.column(c) for c in keep]], names=["key", *keep])
+
+    return df.select(*ids, *keep).mapInArrow(run, ", ".join(["key long", *[f"{c} double" for c in keep]]))
+
+
+def _log_left(mass: Column, shorter: Column) -> Column:
+    return F.log10(F.greatest(1 - mass, F.lit(1e-9)) / F.greatest(1 - shorter, F.lit(1e-9)))
 
 
 def fit(texts: DataFrame, text: str = "text", known: int = KNOWN, grams: int = GRAMS, words: int = WORDS,
@@ -292,49 +407,130 @@ def fit(texts: DataFrame, text: str = "text", known: int = KNOWN, grams: int = G
         ends = table.filter(F.col("key") == int(END)).first()
         key, n = np.append(key, int(END)), np.append(n, ends["n"])
     hashes = key.view(np.uint64)
-    size = max(1, len(hashes))
-    base = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
+    share = total + 0.5 * (distinct + 1)
+    base = np.log10((n + 0.5) / share)
     order = np.argsort(hashes)
-    vocabulary = spark.sparkContext.broadcast((hashes[order], order))
-
-    def numbered(column: pa.Array) -> np.ndarray:
-        words_, numbers = vocabulary.value
-        h = streams(column)[0]
-        if not len(words_):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(words_, h), len(words_) - 1)
-        return np.where(words_[at] == h, numbers[at], -1)
-
-    def pairs(column: pa.Array) -> np.ndarray:
-        number = numbered(column)
-        both = (number[:-1] >= 0) & (number[1:] >= 0)
-        return (number[:-1] * size + number[1:])[both]
-
-    kept = _frequent(durable(_counted(source, lambda: pairs).filter(F.col("n") >= least)), grams, least)
-    sent = spark.sparkContext.broadcast(kept[0])
+    vocabulary = spark.sparkContext.broadcast((hashes[order], order, n))
     end = int(np.flatnonzero(hashes == END)[0]) if len(hashes) else -2
-
-    def triples(column: pa.Array) -> np.ndarray:
-        number, keys = numbered(column), sent.value
-        both = (number[:-1] >= 0) & (number[1:] >= 0)
-        pair = np.where(both, number[:-1] * size + number[1:], -1)
-        at = np.minimum(np.searchsorted(keys, pair), max(0, len(keys) - 1))
-        here = keys[at] == pair if len(keys) else np.zeros(len(pair), bool)
-        full = here[:-1] & here[1:] & (number[1:-1] != end)
-        return at[:-1][full] * size + number[2:][full]
-
-    longer = _frequent(durable(_counted(source, lambda: triples).filter(F.col("n") >= least)), grams, least)
-    trie = build(hashes, n, base, end, kept, longer)
     few = distinct <= words
-    return Model(publish(spark, trie.parts), publish(spark, Counts.build(table).parts) if few else None,
-                 None if few else table, int(total), int(distinct))
-
-
-_SCORES = "n_tokens long, known long, base_score double, score double, unknown array<long>"
+    counts = publish(spark, Counts.build(table).parts) if few else None
 
+    def numbered(h: np.ndarray) -> np.ndarray:
+        words_, numbers, _ = vocabulary.value
+        if not len(words_):
+            return _ids(np.full(len(h), -1, np.int64), h)
+        at = np.minimum(np.searchsorted(words_, h), len(words_) - 1)
+        return _ids(np.where(words_[at] == h, numbers[at], -1), h)
+
+    def counted(ids: np.ndarray, seen: Counts) -> np.ndarray:
+        out = np.zeros(len(ids), np.int64)
+        inside = ids >= 0
+        out[inside] = vocabulary.value[2][ids[inside]]
+        rare, which = np.unique(ids[~inside], return_inverse=True)
+        out[~inside] = seen((-(rare + 1)).view(np.uint64) << np.uint64(1))[which]
+        return out
 
-def score_block(trie: Trie, counts: Counts | None, total: int, distinct: int, column: pa.Array) -> list[np.ndarray]:
-    """n_tokens, tokens seen in training, base score and score of each text; and each text's words not yet scored."""
+    def frequent(h: np.ndarray, seen: Counts | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and which may be in an n-gram that is counted ``least`` times."""
+        ids = numbered(h)
+        return ids, np.ones(len(ids), bool) if seen is None else (ids >= 0) | (counted(ids, seen) >= least)
+
+    def pairs():
+        seen = Counts(mapped(*counts)) if counts else None
+
+        def find(column: pa.Array) -> list[np.ndarray]:
+            ids, may = frequent(streams(column)[0], seen)
+            both = may[:-1] & may[1:]
+            return [ids[:-1][both], ids[1:][both]]
+        return find
+
+    kept = durable(_grams(source, 2, pairs, least))
+    bits = publish(spark, Bits.build(_keyed(kept, ["x", "y"]), kept.count()).parts)
+
+    def triples():
+        seen = Bits(mapped(*bits))
+
+        def find(column: pa.Array) -> list[np.ndarray]:
+            ids = numbered(streams(column)[0])
+            pair = seen(_mixed(ids[:-1], ids[1:]))
+            full = pair[:-1] & pair[1:] & (ids[1:-1] != end)
+            return [ids[:-2][full], ids[1:-1][full], ids[2:][full]]
+        return find
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counts(mapped(*counts))
+        for batch in batches:
+            more = [pa.array(counted(batch.column(c).to_numpy(), seen)) for c in ("x", "y")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "cx", "cy"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbered(batch.column("key").to_numpy().view(np.uint64))), batch.column("n")], names=["id", "c"])
+
+    if few:
+        both = kept.mapInArrow(looked_up, "x long, y long, n long, cx long, cy long")
+    else:
+        each = durable(table.mapInArrow(named, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")))
+        both = kept
+        for c in ("x", "y"):
+            both = skew_join(both, each.withColumnsRenamed({"id": c, "c": f"c{c}"}), c)
+    two = durable(both.select("x", "y", "n", ((F.col("n") - DISCOUNT) / F.col("cx")).alias("p"),
+                              ((F.col("cy") + 0.5) / F.lit(share)).alias("alone")))
+    heads = durable(two.groupBy("x").agg(_log_left(F.sum("p"), F.sum("alone")).alias("back")))
+    group = Window.partitionBy("x", "y")
+    three = durable(
+        _grams(source, 3, triples, least)
+        .join(two.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("p").alias("shorter")), ["y", "z"])
+        .join(two.select("x", "y", F.col("n").alias("m")), ["x", "y"])
+        .withColumn("q", (F.col("n") - DISCOUNT) / F.col("m"))
+        .withColumn("back", _log_left(F.sum("q").over(group), F.sum("shorter").over(group)))
+        .select("x", "y", "z", "n", "q", "shorter", "back"))
+    followed = durable(skew_join(two, heads, "x").join(
+        three.groupBy("x", "y").agg(F.first("back").alias("back2")), ["x", "y"], "left")
+        .select("x", "y", "n", "p", "alone", "back", F.coalesce("back2", F.lit(0.0)).alias("back2")))
+
+    # What goes into the trie; a triple's pairs are as frequent as it is, so they are there as well.
+    size = max(1, len(hashes))
+    low = _bound(two.filter("x >= 0 AND y >= 0"), grams, least)
+    in_two = F.lit(False) if low is None else (F.col("x") >= 0) & (F.col("y") >= 0) & (_level() >= low)
+    own = F.lit(False) if low is None else in_two & (F.col("z") >= 0)
+    least3 = None if low is None else _bound(three.filter(own), grams, least)
+    in_three = F.lit(False) if least3 is None else own & (_level() >= least3)
+    got = followed.filter(in_two).select((F.col("x") * size + F.col("y")).alias("key"), "n", "back2").toArrow().sort_by("key")
+    pair, pair_n, back2 = (got.column(c).to_numpy() for c in ("key", "n", "back2"))
+    got = three.filter(in_three).select((F.col("x") * size + F.col("y")).alias("key"), "z", "n").toArrow()
+    triple = np.searchsorted(pair, got.column("key").to_numpy()) * size + got.column("z").to_numpy()
+    by, triple_n = np.argsort(triple), got.column("n").to_numpy()
+    back1 = np.zeros(size)
+    got = heads.filter("x >= 0").toArrow()
+    back1[got.column("x").to_numpy()] = got.column("back").to_numpy()
+    trie = publish(spark, build(hashes, n, base, end, (pair, pair_n), (triple[by], triple_n[by]), (back1, back2)).parts)
+
+    weights = durable(
+        _keyed(heads.filter("x < 0").withColumnRenamed("back", "w"), ["x"], ["w"])
+        .unionByName(_keyed(followed.filter(~in_two).withColumn(
+            "w", F.log10("p") - F.log10("alone") - F.col("back") + F.when(F.col("y") != end, F.col("back2")).otherwise(0.0)),
+            ["x", "y"], ["w"]))
+        .unionByName(_keyed(three.filter(~in_three).withColumn("w", F.log10("q") - F.log10("shorter") - F.col("back")),
+                            ["x", "y", "z"], ["w"])))
+    more = weights.count()
+    return Model(trie, counts, None if few else table, int(total), int(distinct),
+                 publish(spark, Bits.build(weights, more).parts) if more else None, weights if more else None)
+
+
+_SCORES = "n_tokens long, known long, base_score double, score double, unknown array<long>, beside array<long>"
+
+
+def _lists(keys: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """The keys of each of ``n`` texts; ``owner`` does not decrease."""
+    at = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(keys))
+
+
+def score_block(trie: Trie, counts: Counts | None, bits: Bits | None, total: int, distinct: int, column: pa.Array) -> list:
+    """n_tokens, tokens seen in training, base score and score of each text; its words not yet scored; its n-grams
+    that may be beside the trie."""
     hashes, first = streams(column)
     number = trie.numbers(hashes)
     share = math.log10(total + 0.5 * (distinct + 1))
@@ -346,17 +542,26 @@ def score_block(trie: Trie, counts: Counts | None, total: int, distinct: int, co
     alone = np.log10(seen + 0.5) - share
     if counts is None:
         alone[unknown] = 0.0
-    whole = trie.logs(number, alone[1:])
+    whole, has, full = trie.found(number, alone[1:])
     n = np.diff(first)
     # Sums over single texts, not differences of long sums, so that a text's score does not vary with its block.
     row = np.repeat(np.arange(len(n)), n)
     known, base, score = (np.bincount(row, x, len(n)) for x in ((seen > 0)[1:], alone[1:], whole))
-    left = [None] * len(n)
+    nothing = np.zeros(0, np.int64)
+    left = _lists(nothing, nothing, len(n))
     if counts is None and len(unknown):
-        owner = np.searchsorted(first, unknown, "left") - 1
-        for r, part in zip(np.unique(owner), np.split(unknown, np.flatnonzero(np.diff(owner)) + 1)):
-            left[r] = hashes[part].view(np.int64)
-    return [n, known.astype(np.int64), base, score, left]
+        left = _lists(hashes[unknown].view(np.int64), row[unknown - 1], len(n))
+    beside = _lists(nothing, nothing, len(n))
+    if bits is not None:
+        ids = _ids(number, hashes)
+        word, pair = np.flatnonzero(ids[:-1] < 0), np.flatnonzero(~has)
+        triple = np.flatnonzero(~full[1:] & (hashes[1:-1] != END))
+        keys = np.concatenate([_mixed(ids[word]), _mixed(ids[pair], ids[pair + 1]), _mixed(ids[triple], ids[triple + 1], ids[triple + 2])])
+        at = np.concatenate([word, pair, triple + 1])
+        may = np.flatnonzero(bits(keys))
+        may = may[np.argsort(at[may], kind="stable")]
+        beside = _lists(keys[may].view(np.int64), row[at[may]], len(n))
+    return [n, known.astype(np.int64), base, score, left, beside]
 
 
 def scored(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text") -> DataFrame:
@@ -366,27 +571,32 @@ def scored(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text
     probability 1.
     """
     cache: dict = {}
-    lean = model._replace(table=None)
+    lean = model._replace(table=None, rest=None)
 
     def work(column: pa.Array):
         if not cache:
             cache["trie"] = Trie(mapped(*lean.trie))
             cache["counts"] = Counts(mapped(*lean.counts)) if lean.counts else None
-        n, known, base, score, left = score_block(cache["trie"], cache["counts"], lean.total, lean.distinct, column)
-        return [pa.array(n.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), pa.array(left, pa.list_(pa.int64()))]
+            cache["bits"] = Bits(mapped(*lean.bits)) if lean.bits else None
+        n, known, base, score, left, beside = score_block(
+            cache["trie"], cache["counts"], cache["bits"], lean.total, lean.distinct, column)
+        return [pa.array(n.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), left, beside]
 
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     kept = [c for c in keep if c not in made]
     out = map_texts(docs, text, kept, _SCORES, work)
+    if model.table is not None or model.rest is not None:
+        out = durable(out.withColumn("_row", F.monotonically_increasing_id()))
     if model.table is not None:
         out = _with_unknown(out, model)
+    if model.rest is not None:
+        out = _with_rest(out, model.rest)
     return out.select(*[name(c) for c in kept], "n_tokens", F.col("known").alias("n_known"),
                       F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def _with_unknown(out: DataFrame, model: Model) -> DataFrame:
     """Adds what the words not known to the trie contribute, by a join with the counts of all words."""
-    out = durable(out.withColumn("_row", F.monotonically_increasing_id()))
     words = (out.select("_row", F.explode("unknown").alias("key")).groupBy("_row", "key").agg(F.count(F.lit(1)).alias("times")))
     share = math.log10(model.total + 0.5 * (model.distinct + 1))
     found = skew_join(words, model.table, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -399,3 +609,13 @@ def _with_unknown(out: DataFrame, model: Model) -> DataFrame:
             .withColumn("base_score", F.col("base_score") + F.coalesce("_log", zero))
             .withColumn("score", F.col("score") + F.coalesce("_log", zero)))
 
+
+def _with_rest(out: DataFrame, rest: DataFrame) -> DataFrame:
+    """Adds the weights of the n-grams beside the trie, once for each time one occurs.
+
+    None of them is common: what is as frequent as the bound of the trie is in the trie.
+    """
+    keys = out.select("_row", F.explode("beside").alias("key"))
+    each = keys.join(rest, "key").groupBy("_row").agg(F.sum("w").alias("_w"))
+    return (out.drop("beside").join(each, "_row", "left")
+            .withColumn("score", F.col("score") + F.coalesce("_w", F.lit(0.0))))

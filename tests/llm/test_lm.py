@@ -98,3 +98,23 @@ def test_large_counts(spark):
     assert out["n_known"] == 3 and abs(out["base_score"] - sum(
         math.log10((c + .5) / (1002 + .5 * 4)) for c in (1, 1000, 0, 1))) < 1e-9
     assert pa.array([1])
+
+
+@pytest.mark.parametrize(("known", "grams", "words"), [(1, 1, 1000), (3, 2, 1000), (3, 2, 0), (1000, 3, 1000), (0, 0, 0)])
+def test_the_whole_model(spark, known, grams, words):
+    """What the trie has no room for is scored as well: the scores are those of all n-grams."""
+    train = spark.createDataFrame([(t,) for t in TRAIN], "text string").repartition(3)
+    test = spark.createDataFrame(list(enumerate(TEST)), "doc_id long, text string")
+    model = lm.fit(train, known=known, grams=grams, words=words)
+    got = sorted(lm.scored(test, model, ["doc_id"]).collect(), key=lambda r: r["doc_id"])
+    for g, w in zip(got, plain(TRAIN, TEST), strict=True):
+        assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == w[:3]
+        assert abs(g["base_score"] - w[3]) < 1e-9 and abs(g["score"] - w[4]) < 1e-4, (g, w)
+
+
+def test_bits(spark):
+    keys = np.random.default_rng(1).integers(-2**63, 2**63 - 1, 20_000)
+    bits = lm.Bits.build(spark.createDataFrame([(int(k),) for k in keys], "key long"), len(keys))
+    assert bits(keys.view(np.uint64)).all()
+    other = np.random.default_rng(2).integers(-2**63, 2**63 - 1, 20_000).view(np.uint64)
+    assert bits(other).mean() < 0.1
