@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.dates import year_token
 from holdfast.operators.joins import dense, year_domain
 from holdfast.operators.ordering import best
-from holdfast.scale import durable, skew_join
+from holdfast.scale import dealt, durable, hot_hashes, skew_join
 
 
 def histogram(df: DataFrame, *keys: str | Column, name: str = "rows") -> DataFrame:
@@ -64,13 +64,17 @@ def site_holders(devices: DataFrame, licences: DataFrame, *, site: str, licence:
     """One row per (site, holder): devices, transmit rows, licences, class, person, granted.
 
     Every site question is answered from this grain. The facts are first reduced to
-    (site, licence); a licence spread over very many sites is salted in the join.
+    (site, licence); a licence spread over very many sites is salted in the join. Without hot keys the
+    rows are dealt by licence for the first step and the join, and by site for what follows.
     """
-    each = devices.filter(F.col(site).isNotNull()).groupBy(site, licence).agg(
+    rows, hot = devices.count(), hot_hashes(devices, [licence])
+    known = devices.filter(F.col(site).isNotNull()).select(site, licence, transmit)
+    each = dealt(known, licence, rows, hot).groupBy(site, licence).agg(
         F.count(F.lit(1)).alias("devices"), F.count_if(F.col(transmit)).alias("tx"))
     info = licences.select(licence, F.col(holder).alias("holder"), F.col(cls).alias("class"),
                            F.col(person).alias("person"), F.col(granted).alias("granted"))
-    return (skew_join(each, info, licence, probe=devices).groupBy(site, "holder", "class", "person")
+    placed = dealt(skew_join(each, info, licence, hot=hot), site, rows, hot_hashes(known, [site]))
+    return (placed.groupBy(site, "holder", "class", "person")
             .agg(F.sum("devices").alias("devices"), F.sum("tx").alias("tx"),
                  F.count(F.lit(1)).alias("licences"), F.bool_or("granted").alias("granted")))
 

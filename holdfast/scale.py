@@ -1,9 +1,10 @@
 """What keeps an operator safe when one key holds a third of the rows.
 
-Three tools are shared by the operators:
+Four tools are shared by the operators:
 
 * ``durable``      cuts lineage with a table written in the shared checkpoint folder.
 * ``skew_join``    an equi-join that salts only the keys that are really hot.
+* ``dealt``        gives every task a bounded number of rows to aggregate.
 * ``bounded_rows`` checks the size of a table before it may be broadcast.
 """
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 # A key is worth salting when it holds more than this number of rows: fewer are no burden for one task.
 HOT_ROWS = 200_000
+# Rows of keys that are nearly all distinct which one task aggregates at a time.
+TASK_ROWS = 500_000
 # Keys the sketch tracks, and the most of them it reports, which bounds what reaches the driver. A key
 # with less than a part in SKETCH of the rows is left to AQE.
 SKETCH = 8192
@@ -83,6 +86,18 @@ def hot_hashes(df: DataFrame, keys: Sequence[str], share: float = 0.0) -> dict[i
     return {item["item"]: max(2, math.ceil(item["count"] / each)) for item in row["top"] or [] if item["count"] > floor}
 
 
+def dealt(df: DataFrame, on: str, rows: int, hot: Mapping[int, int]) -> DataFrame:
+    """``df``, of about ``rows`` rows, dealt by ``on`` with about TASK_ROWS rows a task; as it is when keys are hot.
+
+    For aggregations and joins on ``on`` and more that hardly reduce the rows: a task's hash table is then as
+    large as its part, however large the table, and what follows on the same key needs no shuffle. Rows of
+    hot keys do shrink before a shuffle, so they are left to that.
+    """
+    if hot:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS)), on)
+
+
 def skew_join(fact: DataFrame, dim: DataFrame, on: str | Sequence[str], how: str = "inner",
               condition: Column | None = None, probe: DataFrame | None = None,
               hot: Mapping[int, int] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from holdfast import scale
 from holdfast import scale
 from holdfast.functions.identifiers import valid_abn
 from holdfast.functions.text import name_key, whole_words
@@ -213,3 +214,18 @@ def test_totals_of_holders_from_one_join(spark):
     assert {r["k"]: (r["devices"], r["tx"], r["sites"]) for r in got.collect()} == {1: (5, 3, 2), 2: (1, 1, 1), 3: (0, 0, 0)}
     alone = R.holder_totals(entities.filter("k = 2"), devices, owners.filter("k = 2"), key="k", licence="licence", site="site", transmit="tx")
     assert [tuple(r) for r in alone.collect()] == [(2, 1, 1, 1)]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_sites_are_dealt_in_bounded_tasks(spark, monkeypatch, hot):
+    """No task aggregates more than its share of the rows, and rows of hot keys give the same sites."""
+    monkeypatch.setattr(scale, "TASK_ROWS", 200)
+    monkeypatch.setattr(scale, "HOT_ROWS", 0 if hot else scale.HOT_ROWS)
+    devices = spark.range(8000).select((F.col("id") % 4000).alias("site"), (F.col("id") % 700).alias("lic"), (F.col("id") % 3 == 0).alias("tx"))
+    licences = spark.range(700).select(F.col("id").alias("lic"), (F.col("id") % 50).alias("root"), F.lit("T").alias("cls"),
+                                       (F.col("id") % 2 == 0).alias("person"), F.lit(True).alias("granted"))
+    tenants = R.site_holders(devices, licences, site="site", licence="lic", holder="root", cls="cls", person="person", granted="granted", transmit="tx")
+    sites = R.site_rollup(tenants, "site")
+    assert sites.agg(F.count("site"), F.sum("devices"), F.sum("licences"), F.sum("tx")).first()[:] == (4000, 8000, 8000, 2667)
+    largest = sites.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    assert hot or largest <= 300
