@@ -66,6 +66,17 @@ def streams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, w.first + np.arange(len(w.first))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``durable``, after which the shuffle files of the written rows are let go: no step needs them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return durable(df)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def _counted(source: DataFrame, make) -> DataFrame:
     """(key, n): counts of the 64-bit keys that ``make`` finds in a block of texts, over all texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +399,7 @@ def _keyed(df: DataFrame, ids: Sequence[str], keep: Sequence[str] = ()) -> DataF
             key = _mixed(*[batch.column(c).to_numpy() for c in ids]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), *[batch.column(c) for c in keep]], names=["key", *keep])
 
-    return df.select(*ids, *keep).mapInArrow(run, ", ".join(["key long", *[f"{c} double" for c in keep]]))
+    return df.select(*ids, *keep).mapInArrow(run, ", ".join(["key long", *[f"{c} float" for c in keep]]))
 
 
 def _log_left(mass: Column, shorter: Column) -> Column:
@@ -400,7 +411,7 @@ def fit(texts: DataFrame, text: str = "text", known: int = KNOWN, grams: int = G
     """The model of all rows of ``texts``. NULL and empty texts are an end alone."""
     spark = texts.sparkSession
     source = texts.select(name(text).cast("string").alias("text"))
-    table = durable(_counted(source, lambda: lambda column: streams(column)[0][1:]))
+    table = _written(_counted(source, lambda: lambda column: streams(column)[0][1:]))
     distinct, total = (x or 0 for x in table.agg(F.count(F.lit(1)), F.sum("n")).first())
     key, n = _frequent(table, known, 1)
     if len(key) and not (key == END.astype(np.int64)).any():  # the end is always known
@@ -444,9 +455,6 @@ def fit(texts: DataFrame, text: str = "text", known: int = KNOWN, grams: int = G
             return [ids[:-1][both], ids[1:][both]]
         return find
 
-    kept = durable(_grams(source, 2, pairs, least))
-    bits = publish(spark, Bits.build(_keyed(kept, ["x", "y"]), kept.count()).parts)
-
     def triples():
         seen = Bits(mapped(*bits))
 
@@ -468,27 +476,31 @@ def fit(texts: DataFrame, text: str = "text", known: int = KNOWN, grams: int = G
             yield pa.RecordBatch.from_arrays(
                 [pa.array(numbered(batch.column("key").to_numpy().view(np.uint64))), batch.column("n")], names=["id", "c"])
 
+    # Tables keep counts, which are short, and what follows from them is computed where it is read.
+    both = _grams(source, 2, pairs, least)
     if few:
-        both = kept.mapInArrow(looked_up, "x long, y long, n long, cx long, cy long")
+        both = both.mapInArrow(looked_up, "x long, y long, n long, cx long, cy long")
     else:
-        each = durable(table.mapInArrow(named, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")))
-        both = kept
+        each = _written(table.mapInArrow(named, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")))
+        both = _written(both)
         for c in ("x", "y"):
             both = skew_join(both, each.withColumnsRenamed({"id": c, "c": f"c{c}"}), c)
-    two = durable(both.select("x", "y", "n", ((F.col("n") - DISCOUNT) / F.col("cx")).alias("p"),
-                              ((F.col("cy") + 0.5) / F.lit(share)).alias("alone")))
-    heads = durable(two.groupBy("x").agg(_log_left(F.sum("p"), F.sum("alone")).alias("back")))
-    group = Window.partitionBy("x", "y")
-    three = durable(
+    two = _written(both.select("x", "y", "n", "cx", "cy"))
+    bits = publish(spark, Bits.build(_keyed(two, ["x", "y"]), two.count()).parts)
+    p, alone = (F.col("n") - DISCOUNT) / F.col("cx"), (F.col("cy") + 0.5) / F.lit(share)
+    heads = _written(two.groupBy("x").agg(_log_left(F.sum(p), F.sum(alone)).cast("float").alias("back")))
+    group, q, shorter = Window.partitionBy("x", "y"), (F.col("n") - DISCOUNT) / F.col("nx"), (F.col("ny") - DISCOUNT) / F.col("cy")
+    three = _written(
         _grams(source, 3, triples, least)
-        .join(two.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("p").alias("shorter")), ["y", "z"])
-        .join(two.select("x", "y", F.col("n").alias("m")), ["x", "y"])
-        .withColumn("q", (F.col("n") - DISCOUNT) / F.col("m"))
-        .withColumn("back", _log_left(F.sum("q").over(group), F.sum("shorter").over(group)))
-        .select("x", "y", "z", "n", "q", "shorter", "back"))
-    followed = durable(skew_join(two, heads, "x").join(
+        .join(two.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("n").alias("ny"), F.col("cx").alias("cy")), ["y", "z"])
+        .join(two.select("x", "y", F.col("n").alias("nx")), ["x", "y"])
+        .withColumn("back", _log_left(F.sum(q).over(group), F.sum(shorter).over(group)).cast("float"))
+        .select("x", "y", "z", "n", "nx", "ny", "cy", "back"))
+    ahead = F.when(F.col("y") != end, F.col("back2")).otherwise(0.0)
+    followed = _written(skew_join(two, heads, "x").join(
         three.groupBy("x", "y").agg(F.first("back").alias("back2")), ["x", "y"], "left")
-        .select("x", "y", "n", "p", "alone", "back", F.coalesce("back2", F.lit(0.0)).alias("back2")))
+        .withColumn("back2", F.coalesce("back2", F.lit(0.0).cast("float")))
+        .select("x", "y", "n", (F.log10(p) - F.log10(alone) - F.col("back") + ahead).cast("float").alias("w"), "back2"))
 
     # What goes into the trie; a triple's pairs are as frequent as it is, so they are there as well.
     size = max(1, len(hashes))
@@ -507,12 +519,10 @@ def fit(texts: DataFrame, text: str = "text", known: int = KNOWN, grams: int = G
     back1[got.column("x").to_numpy()] = got.column("back").to_numpy()
     trie = publish(spark, build(hashes, n, base, end, (pair, pair_n), (triple[by], triple_n[by]), (back1, back2)).parts)
 
-    weights = durable(
+    weights = _written(
         _keyed(heads.filter("x < 0").withColumnRenamed("back", "w"), ["x"], ["w"])
-        .unionByName(_keyed(followed.filter(~in_two).withColumn(
-            "w", F.log10("p") - F.log10("alone") - F.col("back") + F.when(F.col("y") != end, F.col("back2")).otherwise(0.0)),
-            ["x", "y"], ["w"]))
-        .unionByName(_keyed(three.filter(~in_three).withColumn("w", F.log10("q") - F.log10("shorter") - F.col("back")),
+        .unionByName(_keyed(followed.filter(~in_two), ["x", "y"], ["w"]))
+        .unionByName(_keyed(three.filter(~in_three).withColumn("w", (F.log10(q) - F.log10(shorter) - F.col("back")).cast("float")),
                             ["x", "y", "z"], ["w"])))
     more = weights.count()
     return Model(trie, counts, None if few else table, int(total), int(distinct),
@@ -586,7 +596,7 @@ def scored(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text
     kept = [c for c in keep if c not in made]
     out = map_texts(docs, text, kept, _SCORES, work)
     if model.table is not None or model.rest is not None:
-        out = durable(out.withColumn("_row", F.monotonically_increasing_id()))
+        out = _written(out.withColumn("_row", F.monotonically_increasing_id()))
     if model.table is not None:
         out = _with_unknown(out, model)
     if model.rest is not None:
