@@ -17,6 +17,12 @@ is a table of one weight an n-gram: a text adds those of its n-grams by a join.
 and beside it, are those of the whole model. A bit table of bounded size tells tasks which n-grams cannot be in
 the table; it spares rows and decides nothing.
 
+N-grams are counted, weighted and asked for in parts: an n-gram's key starts with a hash of its context, and a
+part is a range of keys. Spark deals the n-grams out to as many parts as the words ask for, a block of texts as one
+row a part whose columns are packed numbers (``_chunks``), so that a part's task works on arrays (``_parts``).
+Whatever shares a context that is not among the commonest words is in one part; what starts with a common word is
+dealt by its first two words, and what is summed over a common word is summed over the parts.
+
 The counts of all distinct words go into a second file, 5 bytes a word, while they are at most
 ``WORDS``; beyond that, unknown words are looked up by a join, and nothing else changes.
 """
@@ -25,18 +31,20 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator, Sequence
+from collections import defaultdict
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from holdfast.llm.eliasfano import EliasFano
-from holdfast.llm.frames import map_texts, name
+from holdfast.llm.frames import name, schema
 from holdfast.llm.words import LOWER, Words, blocks
 from holdfast.scale import checkpoint_folder, durable, skew_join
 
@@ -51,6 +59,8 @@ WORDS = 16_000_000
 BLOCK = 8 << 20
 # Bits for each n-gram beside the trie, and the most of them, as a power of 2.
 BITS, TOP_BITS = 16, 30
+# Training tokens for each part of the n-grams.
+PART = 2_000_000
 #: Stands for the end of a text among word hashes, and before its first word.
 END = np.uint64(0x0123456789ABCDEF)
 _TOP, _LOW = 22, 32
@@ -99,29 +109,144 @@ def _mixed(*ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def _grams(source: DataFrame, size: int, make, least: int) -> DataFrame:
-    """(x, y[, z], n): counts of the n-grams of ids that ``make`` finds in a block of texts, ``least`` at least."""
-    names = ["x", "y", "z"][:size]
+def _routed(*ids: np.ndarray) -> np.ndarray:
+    """Keys of n-grams. The top 16 bits, by which they are dealt, are of the first word, or of the first two
+    where the first is known: a common word's n-grams are too many for one part."""
+    route = _mixed(ids[0])
+    if len(ids) > 1:
+        route = np.where(ids[0] < 0, route, _mixed(ids[0], ids[1]))
+    return (route >> np.uint64(48) << np.uint64(48)) | (_mixed(*ids) >> np.uint64(16))
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key, which is a range of keys."""
+    return ((keys >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.uint16)
+
+
+# What a row of packed columns holds, and the types of its columns: n-grams and counts; pairs with the counts of
+# their words; triples with the probability of their last two words; weights by key; pairs and triples of the
+# trie; keys that rows ask for; sums that rows get. The halves of a row number are packed apart.
+GRAMS2, GRAMS3, PAIRS, TRIPLES, WEIGHTS, TOP2, TOP3, ASKED, SUMS = range(9)
+_TYPES = {GRAMS2: ("<i8", "<i8", "<i8"), GRAMS3: ("<i8",) * 4, PAIRS: ("<i8",) * 5, TRIPLES: ("<i8", "<i8", "<i8", "<i8", "<f8"),
+          WEIGHTS: ("<u8", "<f4"), TOP2: ("<i8", "<i8", "<i8", "<f4"), TOP3: ("<i8",) * 4,
+          ASKED: ("<u8", "<u4", "<i4"), SUMS: ("<u4", "<i4", "<f4")}
+_COLUMNS = "abcde"
+_CHUNKS = "part int, kind int, " + ", ".join(f"{c} binary" for c in _COLUMNS)
+
+
+def _chunks(part: np.ndarray, kind: int, columns: Sequence[np.ndarray]) -> pa.RecordBatch:
+    """Numbers dealt out: one row for each part that gets any, with its share of each column as bytes."""
+    order = np.argsort(part, kind="stable")
+    which, at = np.unique(part[order], return_index=True)
+    at = np.append(at, len(part))
+    bodies = []
+    for c, t in zip(columns, _TYPES[kind], strict=True):
+        c = c[order].astype(t, copy=False)
+        bodies.append(pa.array([c[i:j].tobytes() for i, j in zip(at, at[1:])], pa.binary()))
+    bodies += [pa.nulls(len(which), pa.binary())] * (len(_COLUMNS) - len(bodies))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(which.astype(np.int32)), pa.array(np.full(len(which), kind, np.int32)), *bodies], names=["part", "kind", *_COLUMNS])
+
 
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
+    return df.repartition(parts, "part").sortWithinPartitions("part")
+
+
+def _summed(columns: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Distinct n-grams and the sums of their counts, which are the last column."""
+    *ids, n = columns
+    if not len(n):
+        return list(columns)
+    key = _mixed(*ids)
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return [*[x[order[start]] for x in ids], np.add.reduceat(n[order], start)]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[np.ndarray]]]]:
+    """The columns of each kind of a part, part by part, of rows sorted by part.
+
+    N-grams are summed up as they come, so a part's memory depends on its distinct ones.
+    """
+    def joined(pieces: list, kind: int) -> list[np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*pieces)]
+        return _summed(columns) if kind in (GRAMS2, GRAMS3) else columns
+
+    def empty() -> tuple[dict, dict, dict]:
+        return defaultdict(list), defaultdict(int), defaultdict(int)
+
+    part, (held, size, least) = None, empty()
+    for batch in batches:
+        columns = [batch.column(c) for c in _COLUMNS]
+        for i, (p, kind) in enumerate(zip(batch.column("part").to_pylist(), batch.column("kind").to_pylist())):
+            if p != part:
+                if held:
+                    yield part, {k: joined(pieces, k) for k, pieces in held.items()}
+                part, (held, size, least) = p, empty()
+            held[kind].append([np.frombuffer(c[i].as_buffer(), t) for c, t in zip(columns, _TYPES[kind])])
+            size[kind] += len(held[kind][-1][0])
+            if kind in (GRAMS2, GRAMS3) and size[kind] > max(PART, 2 * least[kind]):
+                held[kind] = [joined(held[kind], kind)]
+                size[kind] = least[kind] = len(held[kind][0][0])
+    if held:
+        yield part, {k: joined(pieces, k) for k, pieces in held.items()}
+
+
+def _unpacked(df: DataFrame, kind: int) -> list[np.ndarray]:
+    """The columns of all rows of a kind, on the driver: for what is bounded."""
+    got = df.filter(F.col("kind") == kind).toArrow()
+    return [np.concatenate([np.zeros(0, t), *[np.frombuffer(x.as_buffer(), t) for x in got.column(c)]])
+            for c, t in zip(_COLUMNS, _TYPES[kind])]
+
+
+def _grams(source: DataFrame, kind: int, make, parts: int) -> DataFrame:
+    """The n-grams of ids that ``make`` finds in a block of texts, counted for some blocks, for the part of their last two words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = make()
-        for block in blocks(batches, limit=BLOCK):
-            ids = find(block.column("text"))
-            _, at, n = np.unique(_mixed(*ids), return_index=True, return_counts=True)
-            order = np.lexsort([x[at] for x in reversed(ids)])
-            yield pa.RecordBatch.from_arrays([*[pa.array(x[at][order]) for x in ids], pa.array(n[order])], names=[*names, "n"])
+        find, held = make(), []
+
+        def chunks() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            held.clear()
+            *ids, n = _summed([*columns, np.ones(len(columns[0]), np.int64)])
+            return _chunks(_part(_routed(*ids[-2:]), parts), kind, [*ids, n])
+
+        for block in blocks(batches):
+            held.append(find(block.column("text")))
+            if sum(len(ids[0]) for ids in held) > PART // 2:
+                yield chunks()
+        if held:
+            yield chunks()
+
+    return source.mapInArrow(run, _CHUNKS)
 
-    schema = ", ".join(f"{c} long" for c in [*names, "n"])
-    return source.mapInArrow(run, schema).groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
+def _let_go(*tables: DataFrame) -> None:
+    """Deletes tables that ``_written`` wrote here and no later step reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            place = context._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
-def _level() -> Column:
-    return F.floor(F.log2("n") * 8).cast("int")
 
+def _steps(n: np.ndarray) -> np.ndarray:
+    """The bin of each count, in powers of 2**(1/8)."""
+    return np.floor(np.log2(n) * 8).astype(np.int64)
+
+
+def _binned(df: DataFrame, kind: int, count: Callable[[list[np.ndarray]], np.ndarray]) -> list:
+    """How many counts, of those that ``count`` picks in the rows of a kind, are in each bin."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _parts(batches):
+            b, k = np.unique(_steps(count(held[kind])), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(k)], names=["b", "k"])
+
+    return df.mapInArrow(run, "b long, k long").groupBy("b").agg(F.sum("k").alias("k")).collect()
 
-def _bound(counts: DataFrame, size: int, least: int) -> int | None:
-    """The lowest bin of counts, in powers of 2**(1/8), above which there are about ``size`` keys at most."""
-    bins = counts.filter(F.col("n") >= least).groupBy(_level().alias("b")).agg(F.count(F.lit(1)).alias("k")).collect()
+
+def _bound(bins: list, size: int) -> int | None:
+    """The lowest bin of counts above which there are about ``size`` keys at most."""
     total, bound = 0, None
     for b, k in sorted(((r["b"], r["k"]) for r in bins), reverse=True):
         if total + k > size and total:
@@ -132,10 +257,11 @@ def _bound(counts: DataFrame, size: int, least: int) -> int | None:
 
 def _frequent(counts: DataFrame, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent keys and their counts, sorted by key: what is known to the trie."""
-    bound = _bound(counts, size, least)
+    level = F.floor(F.log2("n") * 8).cast("int")
+    bound = _bound(counts.filter(F.col("n") >= least).groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("k")).collect(), size)
     if bound is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kept = counts.filter((F.col("n") >= least) & (_level() >= bound)).toArrow()
+    kept = counts.filter((F.col("n") >= least) & (level >= bound)).toArrow()
     key, n = kept.column("key").to_numpy(), kept.column("n").to_numpy()
     order = np.argsort(key)
     return key[order], n[order]
@@ -347,21 +473,34 @@ class Bits:
 
     @classmethod
     def build(cls, keys: DataFrame, n: int) -> Bits:
-        """Each of 64 slices is set by the task that has its keys; the slices are collected, 128 MB in all at most."""
+        """Each of 64 slices is set by the task that has its keys; the slices are collected, 128 MB in all at most.
+
+        ``key`` is a long, or many keys packed.
+        """
         power = min(TOP_BITS, max(16, (BITS * n - 1).bit_length() if n else 0))
 
+        inside = np.uint64((1 << (power - 6)) - 1)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = batch.column("key")
+                for piece in [column.to_numpy()] if pa.types.is_integer(column.type) else [x.as_buffer() for x in column]:
+                    at = np.unique(np.frombuffer(piece, np.uint64) >> np.uint64(64 - power))
+                    which, first = np.unique(at >> np.uint64(power - 6), return_index=True)
+                    own = [x.astype(np.uint32).tobytes() for x in np.split(at & inside, first[1:])][:len(which)]
+                    yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), pa.array(own, pa.binary())], names=["k", "at"])
+
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slices: dict[int, np.ndarray] = {}
             for batch in batches:
-                at = (batch.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - power)).astype(np.int64)
-                for k in np.unique(at >> (power - 6)).tolist():
-                    own = at[at >> (power - 6) == k] & ((1 << (power - 6)) - 1)
+                for k, piece in zip(batch.column("k").to_pylist(), batch.column("at")):
+                    own = np.frombuffer(piece.as_buffer(), np.uint32)
                     flags = slices.setdefault(k, np.zeros(1 << (power - 9), np.uint8))
-                    np.bitwise_or.at(flags, own >> 3, (1 << (own & 7)).astype(np.uint8))
+                    np.bitwise_or.at(flags, own >> np.uint32(3), (1 << (own & np.uint32(7))).astype(np.uint8))
             for k, flags in slices.items():
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([flags.tobytes()], pa.binary())], names=["k", "flags"])
 
-        dealt = keys.select("key").repartition(F.shiftrightunsigned("key", 58)).mapInArrow(pack, "k long, flags binary").toArrow()
+        dealt = keys.select("key").mapInArrow(cut, "k long, at binary").repartition("k").mapInArrow(pack, "k long, flags binary").toArrow()
         bits = np.zeros((64, 1 << (power - 9)), np.uint8)
         for k, flags in zip(dealt.column("k").to_pylist(), dealt.column("flags")):
             bits[k] = np.frombuffer(flags.as_buffer(), np.uint8)
@@ -375,7 +514,7 @@ class Bits:
 class Model(NamedTuple):
     """A published trie, and the published counts or, where they are too many, their table.
 
-    ``rest`` has the weight (key, w) of each n-gram that is not in the trie; ``bits`` are published for it.
+    ``rest`` has the weight of each n-gram that is not in the trie, in ``parts``; ``bits`` are published for it.
     """
 
     trie: tuple[str, list]
@@ -385,6 +524,7 @@ class Model(NamedTuple):
     distinct: int
     bits: tuple[str, list] | None = None
     rest: DataFrame | None = None
+    parts: int = 1
 
 
 def _ids(number: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -392,18 +532,16 @@ def _ids(number: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(number >= 0, number, -(hashes >> np.uint64(1)).view(np.int64) - 1)
 
 
-def _keyed(df: DataFrame, ids: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """``_mixed`` of the ids as ``key``, and some columns."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = _mixed(*[batch.column(c).to_numpy() for c in ids]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *[batch.column(c) for c in keep]], names=["key", *keep])
-
-    return df.select(*ids, *keep).mapInArrow(run, ", ".join(["key long", *[f"{c} float" for c in keep]]))
+def _log_left(mass: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(1 - mass, 1e-9) / np.maximum(1 - shorter, 1e-9))
 
 
-def _log_left(mass: Column, shorter: Column) -> Column:
-    return F.log10(F.greatest(1 - mass, F.lit(1e-9)) / F.greatest(1 - shorter, F.lit(1e-9)))
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` are among the sorted keys, and where those are."""
+    at = np.searchsorted(keys, wanted)
+    found = np.flatnonzero(at < len(keys))
+    found = found[keys[at[found]] == wanted[found]]
+    return found, at[found]
 
 
 def fit(texts: DataFrame, text: str = "text", known: int = KNOWN, grams: int = GRAMS, words: int = WORDS,
@@ -425,6 +563,8 @@ def fit(texts: DataFrame, text: str = "text", known: int = KNOWN, grams: int = G
     end = int(np.flatnonzero(hashes == END)[0]) if len(hashes) else -2
     few = distinct <= words
     counts = publish(spark, Counts.build(table).parts) if few else None
+    if few:
+        _let_go(table)
 
     def numbered(h: np.ndarray) -> np.ndarray:
         words_, numbers, _ = vocabulary.value
@@ -460,76 +600,144 @@ def fit(texts: DataFrame, text: str = "text", known: int = KNOWN, grams: int = G
 
         def find(column: pa.Array) -> list[np.ndarray]:
             ids = numbered(streams(column)[0])
-            pair = seen(_mixed(ids[:-1], ids[1:]))
+            pair = seen(_routed(ids[:-1], ids[1:]))
             full = pair[:-1] & pair[1:] & (ids[1:-1] != end)
             return [ids[:-2][full], ids[1:-1][full], ids[2:][full]]
         return find
 
-    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counts(mapped(*counts))
-        for batch in batches:
-            more = [pa.array(counted(batch.column(c).to_numpy(), seen)) for c in ("x", "y")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "cx", "cy"])
-
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(numbered(batch.column("key").to_numpy().view(np.uint64))), batch.column("n")], names=["id", "c"])
 
-    # Tables keep counts, which are short, and what follows from them is computed where it is read.
-    both = _grams(source, 2, pairs, least)
+    def sorted_pairs(part: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        order = np.argsort(_routed(*columns[:2]))
+        return _chunks(np.full(len(order), part, np.uint16), PAIRS, [c[order] for c in columns])
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counts(mapped(*counts))
+        for part, held in _parts(batches):
+            x, y, n = (c[held[GRAMS2][2] >= least] for c in held[GRAMS2])
+            yield sorted_pairs(part, [x, y, n, counted(x, seen), counted(y, seen)])
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(c[held[GRAMS2][2] >= least]) for c in held[GRAMS2]], names=["x", "y", "n"])
+
+    def repacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in ("x", "y", "n", "cx", "cy")]
+            yield _chunks(_part(_routed(*columns[:2]), parts), PAIRS, columns)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, held in _parts(batches):
+            yield sorted_pairs(part, held[PAIRS])
+
+    parts = min(1 << 16, max(spark.sparkContext.defaultParallelism, math.ceil(total / PART)))
+    both = _dealt(_grams(source, GRAMS2, pairs, parts), parts)
     if few:
-        both = both.mapInArrow(looked_up, "x long, y long, n long, cx long, cy long")
+        two = _written(both.mapInArrow(looked_up, _CHUNKS))
     else:
         each = _written(table.mapInArrow(named, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")))
-        both = _written(both)
+        rows = joined = _written(both.mapInArrow(plain, "x long, y long, n long"))
         for c in ("x", "y"):
-            both = skew_join(both, each.withColumnsRenamed({"id": c, "c": f"c{c}"}), c)
-    two = _written(both.select("x", "y", "n", "cx", "cy"))
-    bits = publish(spark, Bits.build(_keyed(two, ["x", "y"]), two.count()).parts)
-    p, alone = (F.col("n") - DISCOUNT) / F.col("cx"), (F.col("cy") + 0.5) / F.lit(share)
-    heads = _written(two.groupBy("x").agg(_log_left(F.sum(p), F.sum(alone)).cast("float").alias("back")))
-    group, q, shorter = Window.partitionBy("x", "y"), (F.col("n") - DISCOUNT) / F.col("nx"), (F.col("ny") - DISCOUNT) / F.col("cy")
-    three = _written(
-        _grams(source, 3, triples, least)
-        .join(two.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("n").alias("ny"), F.col("cx").alias("cy")), ["y", "z"])
-        .join(two.select("x", "y", F.col("n").alias("nx")), ["x", "y"])
-        .withColumn("back", _log_left(F.sum(q).over(group), F.sum(shorter).over(group)).cast("float"))
-        .select("x", "y", "z", "n", "nx", "ny", "cy", "back"))
-    ahead = F.when(F.col("y") != end, F.col("back2")).otherwise(0.0)
-    followed = _written(skew_join(two, heads, "x").join(
-        three.groupBy("x", "y").agg(F.first("back").alias("back2")), ["x", "y"], "left")
-        .withColumn("back2", F.coalesce("back2", F.lit(0.0).cast("float")))
-        .select("x", "y", "n", (F.log10(p) - F.log10(alone) - F.col("back") + ahead).cast("float").alias("w"), "back2"))
+            joined = skew_join(joined, each.withColumnsRenamed({"id": c, "c": f"c{c}"}), c)
+        joined = joined.select("x", "y", "n", "cx", "cy").mapInArrow(repacked, _CHUNKS)
+        two = _written(_dealt(joined, parts).mapInArrow(merged, _CHUNKS))
+        _let_go(each, rows)
+
+    def alone(c: np.ndarray) -> np.ndarray:
+        return (c + 0.5) / share
+
+    def keys_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([_routed(*held[PAIRS][:2]).tobytes()], pa.binary())], names=["key"])
+
+    def known_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _parts(batches):
+            x, _, n, cx, cy = (c[held[PAIRS][0] >= 0] for c in held[PAIRS])
+            x, which = np.unique(x, return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x), *[pa.array(np.bincount(which, v, len(x)).astype(float)) for v in ((n - DISCOUNT) / cx, alone(cy))]],
+                names=["x", "mass", "shorter"])
 
-    # What goes into the trie; a triple's pairs are as frequent as it is, so they are there as well.
+    def packed(df: DataFrame, c: str) -> int:
+        return int(df.agg(F.sum(F.length(c))).first()[0] or 0) // 8
+
+    bits = publish(spark, Bits.build(two.mapInArrow(keys_of_pairs, "key binary"), packed(two, "a")).parts)
     size = max(1, len(hashes))
-    low = _bound(two.filter("x >= 0 AND y >= 0"), grams, least)
-    in_two = F.lit(False) if low is None else (F.col("x") >= 0) & (F.col("y") >= 0) & (_level() >= low)
-    own = F.lit(False) if low is None else in_two & (F.col("z") >= 0)
-    least3 = None if low is None else _bound(three.filter(own), grams, least)
-    in_three = F.lit(False) if least3 is None else own & (_level() >= least3)
-    got = followed.filter(in_two).select((F.col("x") * size + F.col("y")).alias("key"), "n", "back2").toArrow().sort_by("key")
-    pair, pair_n, back2 = (got.column(c).to_numpy() for c in ("key", "n", "back2"))
-    got = three.filter(in_three).select((F.col("x") * size + F.col("y")).alias("key"), "z", "n").toArrow()
-    triple = np.searchsorted(pair, got.column("key").to_numpy()) * size + got.column("z").to_numpy()
-    by, triple_n = np.argsort(triple), got.column("n").to_numpy()
     back1 = np.zeros(size)
-    got = heads.filter("x >= 0").toArrow()
-    back1[got.column("x").to_numpy()] = got.column("back").to_numpy()
-    trie = publish(spark, build(hashes, n, base, end, (pair, pair_n), (triple[by], triple_n[by]), (back1, back2)).parts)
+    got = two.mapInArrow(known_heads, "x long, mass double, shorter double").groupBy("x").agg(
+        F.sum("mass").alias("mass"), F.sum("shorter").alias("shorter")).toArrow()
+    back1[got.column("x").to_numpy()] = _log_left(got.column("mass").to_numpy(), got.column("shorter").to_numpy())
+    backs = spark.sparkContext.broadcast(back1)
+
+    def with_last_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _parts(batches):
+            if GRAMS3 in held and PAIRS in held:
+                x, y, z, n = (c[held[GRAMS3][3] >= least] for c in held[GRAMS3])
+                a, b, ab, ca, _ = held[PAIRS]
+                found, at = _places(_routed(a, b), _routed(y, z))
+                x, y, z, n = (c[found] for c in (x, y, z, n))
+                yield _chunks(_part(_routed(x, y), parts), TRIPLES, [x, y, z, n, (ab[at] - DISCOUNT) / ca[at]])
+
+    three = _written(_dealt(_grams(source, GRAMS3, triples, parts).unionByName(two), parts).mapInArrow(with_last_two, _CHUNKS))
 
-    weights = _written(
-        _keyed(heads.filter("x < 0").withColumnRenamed("back", "w"), ["x"], ["w"])
-        .unionByName(_keyed(followed.filter(~in_two), ["x", "y"], ["w"]))
-        .unionByName(_keyed(three.filter(~in_three).withColumn("w", (F.log10(q) - F.log10(shorter) - F.col("back")).cast("float")),
-                            ["x", "y", "z"], ["w"])))
-    more = weights.count()
+    # What goes into the trie; a triple's pairs are as frequent as it is, so they are there as well.
+    def own(columns: Sequence[np.ndarray], n: np.ndarray, low: int | None) -> np.ndarray:
+        return np.logical_and.reduce([np.full(len(n), low is not None), *[c >= 0 for c in columns]]) & (_steps(n) >= (low or 0))
+
+    low = _bound(_binned(two, PAIRS, lambda c: c[2][own(c[:2], c[2], 0)]), grams)
+    low3 = None if low is None else _bound(_binned(three, TRIPLES, lambda c: c[3][own(c[:3], c[3], low)]), grams)
+    high3 = None if low3 is None else max(low, low3)
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, held in _parts(batches):
+            def chunk(kind, columns):
+                return _chunks(np.full(len(columns[0]), part, np.uint16), kind, columns)
+
+            if PAIRS not in held:
+                continue
+            x, y, n, cx, cy = held[PAIRS]
+            a, b, c, abc, bc = held.get(TRIPLES) or [np.zeros(0, t) for t in _TYPES[TRIPLES]]
+            keys = _routed(x, y)
+            found, j = _places(keys, _routed(a, b))
+            a, b, c, abc, bc = (v[found] for v in (a, b, c, abc, bc))
+            q, p = (abc - DISCOUNT) / n[j], (n - DISCOUNT) / cx
+            back2 = _log_left(np.bincount(j, q, len(x)), np.bincount(j, bc, len(x)))
+            heads, which = np.unique(x, return_inverse=True)
+            back = _log_left(np.bincount(which, p, len(heads)), np.bincount(which, alone(cy), len(heads)))
+            back[heads >= 0] = backs.value[heads[heads >= 0]]
+            w2 = np.log10(p) - np.log10(alone(cy)) - back[which] + np.where(y != end, back2, 0.0)
+            w3 = np.log10(q) - np.log10(bc) - back2[j]
+            in2, in3 = own((x, y), n, low), own((a, b, c), abc, high3)
+            rare = heads < 0
+            key = np.concatenate([_routed(heads[rare]), keys[~in2], _routed(a[~in3], b[~in3], c[~in3])])
+            order = np.argsort(key)
+            yield chunk(WEIGHTS, [key[order], np.concatenate([back[rare], w2[~in2], w3[~in3]])[order]])
+            yield chunk(TOP2, [x[in2], y[in2], n[in2], back2[in2]])
+            yield chunk(TOP3, [a[in3], b[in3], c[in3], abc[in3]])
+
+    levels = _written(_dealt(three.unionByName(two), parts).mapInArrow(weighted, _CHUNKS))
+    _let_go(two, three)
+    x, y, pair_n, back2 = _unpacked(levels, TOP2)
+    pair = x * size + y
+    by = np.argsort(pair)
+    pair, pair_n, back2 = pair[by], pair_n[by], back2[by]
+    x, y, z, triple_n = _unpacked(levels, TOP3)
+    triple = np.searchsorted(pair, x * size + y) * size + z
+    by = np.argsort(triple)
+    trie = publish(spark, build(hashes, n, base, end, (pair, pair_n), (triple[by], triple_n[by]), (back1, back2)).parts)
+    weights = levels.filter(F.col("kind") == WEIGHTS)
+    more = packed(weights, "a")
     return Model(trie, counts, None if few else table, int(total), int(distinct),
-                 publish(spark, Bits.build(weights, more).parts) if more else None, weights if more else None)
+                 publish(spark, Bits.build(weights.select(F.col("a").alias("key")), more).parts) if more else None,
+                 weights if more else None, parts)
 
 
-_SCORES = "n_tokens long, known long, base_score double, score double, unknown array<long>, beside array<long>"
+_SCORES = "n_tokens long, known long, base_score double, score double, unknown array<long>"
+# What scored rows travel as, among packed columns.
+SCORED = -1
 
 
 def _lists(keys: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
@@ -539,8 +747,8 @@ def _lists(keys: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
 
 
 def score_block(trie: Trie, counts: Counts | None, bits: Bits | None, total: int, distinct: int, column: pa.Array) -> list:
-    """n_tokens, tokens seen in training, base score and score of each text; its words not yet scored; its n-grams
-    that may be beside the trie."""
+    """n_tokens, tokens seen in training, base score and score of each text; its words not yet scored. Then the keys of
+    n-grams that may be beside the trie, and the text of each."""
     hashes, first = streams(column)
     number = trie.numbers(hashes)
     share = math.log10(total + 0.5 * (distinct + 1))
@@ -561,17 +769,15 @@ def score_block(trie: Trie, counts: Counts | None, bits: Bits | None, total: int
     left = _lists(nothing, nothing, len(n))
     if counts is None and len(unknown):
         left = _lists(hashes[unknown].view(np.int64), row[unknown - 1], len(n))
-    beside = _lists(nothing, nothing, len(n))
+    keys, owner = np.zeros(0, np.uint64), nothing
     if bits is not None:
         ids = _ids(number, hashes)
         word, pair = np.flatnonzero(ids[:-1] < 0), np.flatnonzero(~has)
         triple = np.flatnonzero(~full[1:] & (hashes[1:-1] != END))
-        keys = np.concatenate([_mixed(ids[word]), _mixed(ids[pair], ids[pair + 1]), _mixed(ids[triple], ids[triple + 1], ids[triple + 2])])
-        at = np.concatenate([word, pair, triple + 1])
-        may = np.flatnonzero(bits(keys))
-        may = may[np.argsort(at[may], kind="stable")]
-        beside = _lists(keys[may].view(np.int64), row[at[may]], len(n))
-    return [n, known.astype(np.int64), base, score, left, beside]
+        keys = np.concatenate([_routed(ids[word]), _routed(ids[pair], ids[pair + 1]), _routed(ids[triple], ids[triple + 1], ids[triple + 2])])
+        may = bits(keys)
+        keys, owner = keys[may], row[np.concatenate([word, pair, triple + 1])[may]]
+    return [n, known.astype(np.int64), base, score, left, keys, owner]
 
 
 def scored(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text") -> DataFrame:
@@ -580,29 +786,52 @@ def scored(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text
     A NULL or empty text is an end alone: one token. Without training texts every token has the
     probability 1.
     """
-    cache: dict = {}
     lean = model._replace(table=None, rest=None)
-
-    def work(column: pa.Array):
-        if not cache:
-            cache["trie"] = Trie(mapped(*lean.trie))
-            cache["counts"] = Counts(mapped(*lean.counts)) if lean.counts else None
-            cache["bits"] = Bits(mapped(*lean.bits)) if lean.bits else None
-        n, known, base, score, left, beside = score_block(
-            cache["trie"], cache["counts"], cache["bits"], lean.total, lean.distinct, column)
-        return [pa.array(n.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), left, beside]
-
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     kept = [c for c in keep if c not in made]
-    out = map_texts(docs, text, kept, _SCORES, work)
-    if model.table is not None or model.rest is not None:
-        out = _written(out.withColumn("_row", F.monotonically_increasing_id()))
-    if model.table is not None:
-        out = _with_unknown(out, model)
+    row = F.struct(*[name(c).alias(f"c{i}") for i, c in enumerate(kept)], F.lit(0).alias("z"))
+    source = docs.select(F.monotonically_increasing_id().alias("_row"), row.alias("row"), name(text).cast("string").alias("text"))
+    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in source.schema[:2]], *schema(_SCORES), *schema(_CHUNKS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, parts = Trie(mapped(*lean.trie)), lean.parts
+        counts, bits = (Counts(mapped(*lean.counts)) if lean.counts else None), (Bits(mapped(*lean.bits)) if lean.bits else None)
+        asked: list = []
+
+        def chunks(like: pa.RecordBatch) -> pa.RecordBatch:
+            keys, rows = (np.concatenate(x) for x in zip(*asked))
+            asked.clear()
+            return _beside(_chunks(_part(keys, parts), ASKED, [keys, rows & 0xFFFFFFFF, rows >> 32]), like)
+
+        done = None
+        for block in blocks(batches):
+            rows = block.column("_row").to_numpy()
+            n, known, base, score, left, keys, owner = score_block(trie, counts, bits, lean.total, lean.distinct, block.column("text"))
+            home = _part(_mixed(rows), parts).astype(np.int32)
+            done = pa.RecordBatch.from_arrays(
+                [*block.columns[:2], pa.array(n.astype(np.int64)), pa.array(known), pa.array(base), pa.array(score), left,
+                 pa.array(home), pa.array(np.full(len(n), SCORED, np.int32)), *[pa.nulls(len(n), pa.binary())] * len(_COLUMNS)],
+                names=out.names)
+            yield done
+            asked.append((keys, rows[owner]))
+            if sum(len(k) for k, _ in asked) > PART:
+                yield chunks(done)
+        if asked:
+            yield chunks(done)
+
+    found = source.mapInArrow(run, out)
     if model.rest is not None:
-        out = _with_rest(out, model.rest)
-    return out.select(*[name(c) for c in kept], "n_tokens", F.col("known").alias("n_known"),
-                      F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+        found = _with_rest(found, model.rest, model.parts)
+    if model.table is not None:
+        found = _with_unknown(_written(found), model)
+    return found.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)], "n_tokens", F.col("known").alias("n_known"),
+                        F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _beside(chunks: pa.RecordBatch, like: pa.RecordBatch) -> pa.RecordBatch:
+    """Packed columns as rows of the schema of scored rows."""
+    return pa.RecordBatch.from_arrays(
+        [chunks.column(f.name) if f.name in chunks.schema.names else pa.nulls(len(chunks), f.type) for f in like.schema], schema=like.schema)
 
 
 def _with_unknown(out: DataFrame, model: Model) -> DataFrame:
@@ -620,12 +849,48 @@ def _with_unknown(out: DataFrame, model: Model) -> DataFrame:
             .withColumn("score", F.col("score") + F.coalesce("_log", zero)))
 
 
-def _with_rest(out: DataFrame, rest: DataFrame) -> DataFrame:
+def _with_rest(found: DataFrame, rest: DataFrame, parts: int) -> DataFrame:
     """Adds the weights of the n-grams beside the trie, once for each time one occurs.
 
-    None of them is common: what is as frequent as the bound of the trie is in the trie.
+    Keys are asked for in the part that has their weights; what a row gets there is one sum, which goes to the
+    part of the row. None of the n-grams is common: what is as frequent as the bound of the trie is in the trie.
     """
-    keys = out.select("_row", F.explode("beside").alias("key"))
-    each = keys.join(rest, "key").groupBy("_row").agg(F.sum("w").alias("_w"))
-    return (out.drop("beside").join(each, "_row", "left")
-            .withColumn("score", F.col("score") + F.coalesce("_w", F.lit(0.0))))
+    def apart(batches: Iterator[pa.RecordBatch], rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The packed rows; the scored ones are put by."""
+        for batch in batches:
+            own = pc.equal(batch.column("kind"), SCORED)
+            rows.append(batch.filter(own))
+            yield batch.filter(pc.invert(own))
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.RecordBatch] = []
+        for _, held in _parts(apart(batches, rows)):
+            like = rows[-1]
+            yield from rows
+            rows[:] = [like.slice(0, 0)]
+            if ASKED in held and WEIGHTS in held:
+                keys, low, high = held[ASKED]
+                hit, at = _places(held[WEIGHTS][0], keys)
+                row, which = np.unique((high[hit].astype(np.int64) << 32) | low[hit], return_inverse=True)
+                w = np.bincount(which, held[WEIGHTS][1][at], len(row))
+                yield _beside(_chunks(_part(_mixed(row), parts), SUMS, [row & 0xFFFFFFFF, row >> 32, w]), like)
+        yield from rows
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.RecordBatch] = []
+        sums = [(np.zeros(0, np.int64), np.zeros(0))]
+        for _, held in _parts(apart(batches, rows)):
+            low, high, w = held[SUMS]
+            row, which = np.unique((high.astype(np.int64) << 32) | low, return_inverse=True)
+            sums.append((row, np.bincount(which, w, len(row))))
+        row, w = (np.concatenate(x) for x in zip(*sums))
+        order = np.argsort(row)
+        for batch in rows:
+            score = batch.column("score").to_numpy().copy()
+            here, at = _places(row[order], batch.column("_row").to_numpy())
+            score[here] += w[order][at]
+            yield batch.set_column(batch.schema.get_field_index("score"), "score", pa.array(score))
+
+    weights = rest.select(*[F.col(c) if c in rest.columns else F.lit(None).cast(found.schema[c].dataType).alias(c) for c in found.columns])
+    sums = _dealt(found.unionByName(weights), parts).mapInArrow(answered, found.schema)
+    return _dealt(sums, parts).mapInArrow(added, found.schema)

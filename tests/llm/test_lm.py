@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -118,3 +119,35 @@ def test_bits(spark):
     assert bits(keys.view(np.uint64)).all()
     other = np.random.default_rng(2).integers(-2**63, 2**63 - 1, 20_000).view(np.uint64)
     assert bits(other).mean() < 0.1
+
+
+def test_many_parts(spark, monkeypatch):
+    """N-grams dealt out to many parts, and the tables that lead to them let go."""
+    monkeypatch.setattr(lm, "PART", 3)
+    train = spark.createDataFrame([(t,) for t in TRAIN], "text string").repartition(3)
+    test = spark.createDataFrame(list(enumerate(TEST)), "doc_id long, text string").repartition(2)
+    folder = Path(lm.checkpoint_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    model = lm.fit(train, known=4, grams=2)
+    assert model.parts > 8
+    got = sorted(lm.scored(test, model, ["doc_id"]).collect(), key=lambda r: r["doc_id"])
+    for g, w in zip(got, plain(TRAIN, TEST), strict=True):
+        assert abs(g["base_score"] - w[3]) < 1e-9 and abs(g["score"] - w[4]) < 1e-4, (g, w)
+    # The weights alone: words, pairs, triples and keys of texts do not stay on disk.
+    assert len([f for f in set(folder.iterdir()) - before if f.is_dir()]) == 1
+
+
+def test_parts(monkeypatch):
+    monkeypatch.setattr(lm, "PART", 50)
+    rng, want, rows = np.random.default_rng(3), Counter(), []
+    for _ in range(30):
+        x, y = rng.integers(-3, 4, (2, 40))
+        want.update(zip(x.tolist(), y.tolist()))
+        rows.append(lm._chunks(lm._part(lm._routed(x, y), 5), lm.GRAMS2, [x, y, np.ones(40, np.int64)]))
+    table, got, met = pa.Table.from_batches(rows).sort_by("part"), Counter(), []
+    for part, held in lm._parts(iter(table.to_batches(max_chunksize=7))):
+        x, y, n = held[lm.GRAMS2]
+        assert (lm._part(lm._routed(x, y), 5) == part).all()
+        met.append(part)
+        got.update(dict(zip(zip(x.tolist(), y.tolist()), n.tolist())))
+    assert got == want and met == sorted(set(met))
